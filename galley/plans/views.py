@@ -135,7 +135,7 @@ class Views:
         return self.sql(f"SELECT * FROM v_{name}")
 
     def sql(self, text: str) -> DataFrame:
-        """A query over views and base tables; braces stand for nothing else in text."""
-        whole = with_views(text, "spark")
+        """A query over views and base tables."""
+        whole = with_views(text, "spark").replace("{", "{{").replace("}", "}}")
         whole, names = re.sub(rf"\b(FROM|JOIN) ({'|'.join(BASE)})\b", r"\1 {\2}", whole), set(BASE)
         return self.spark.sql(whole, **{t: getattr(self, t) for t in names if f"{{{t}}}" in whole})
