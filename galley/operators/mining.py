@@ -215,7 +215,7 @@ def front_matter(lines: DataFrame, zone: int = 25) -> DataFrame:
     rows = rows.filter("first IS NOT NULL AND line_no < stop")
     listed = lambda cond, name: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("line_no", "line")))), lambda x: x["line"]), " ").alias(name)
     meta = F.lower("line").rlike("^(удк|doi|научная статья|original article)")
-    return rows.groupBy("doc_id").agg(listed((F.col("line_no") < F.col("first")) & ~meta, "title"), listed(F.col("line_no") >= F.col("first"), "names")).select("doc_id", "title", F.regexp_extract_all("names", F.lit(f"{AUTHOR}|{NAMED}"), F.lit(0)).alias("authors"))
+    return rows.groupBy("doc_id").agg(listed((F.col("line_no") < F.col("first")) & ~meta, "title"), listed(F.col("line_no") >= F.col("first"), "names")).select("doc_id", "title", F.transform(F.regexp_extract_all("names", F.lit(f"{AUTHOR}|{NAMED}"), F.lit(0)), lambda x: F.regexp_replace(x, "[ ,-]+$", "")).alias("authors"))
 
 
 def title_by_font(spans: DataFrame) -> DataFrame:
@@ -236,7 +236,7 @@ CHARSETS = ("UTF-8", "windows-1251", "IBM866", "KOI8-R", "UTF-16LE")
 def best_charset(files: DataFrame, content: str = "content") -> DataFrame:
     """(name, charset, text): bytes decoded in five ways; the one with most Russian letters and least damage is kept, ties by the order of CHARSETS.
 
-    Four of the charsets need spark.sql.legacy.javaCharsets=true.
+    Three of the charsets need spark.sql.legacy.javaCharsets=true, and damage is only replaced with spark.sql.legacy.codingErrorAction=true.
     """
     tried = F.array(*[F.struct(F.lit(-i).alias("order"), F.lit(c).alias("charset"), F.decode(content, c).alias("text")) for i, c in enumerate(CHARSETS)])
     rows = files.select("name", F.explode(tried).alias("t")).select("name", "t.*")
