@@ -8,15 +8,19 @@ from galley.operators import windows
 from .bound_windows import PLAN
 from .registry import bind
 
-NOW = F.lit("2002-02-02").cast("timestamp_ntz")
+
+def now():
+    return F.lit("2002-02-02").cast("timestamp_ntz")
+
+
 IDS = "SELECT id FROM v_issue WHERE id % 7 = 0"
-state = lambda c: (F.when(F.col(c).isNull(), "visible").when(F.col(c) == NOW, "now").otherwise("before")).alias("state")
+state = lambda c: (F.when(F.col(c).isNull(), "visible").when(F.col(c) == now(), "now").otherwise("before")).alias("state")
 
 for name, k, key in (("soft_delete_cascade", 1, "issue_id"), ("soft_delete_cascade_issue", 0, "id")):
     t = "v_article" if k else "v_issue"
     bind(
         name,
-        lambda v, k=k: m.soft_delete_cascade(v.issue, v.article, v.sql(IDS), NOW)[k].select("id", state("deleted_at")),
+        lambda v, k=k: m.soft_delete_cascade(v.issue, v.article, v.sql(IDS), now())[k].select("id", state("deleted_at")),
         f"SELECT id, CASE WHEN deleted_at IS NOT NULL THEN 'before' WHEN {key} % 7 = 0 THEN 'now' ELSE 'visible' END AS state FROM {t}",
     )
 bind(
@@ -24,7 +28,7 @@ bind(
     lambda v: m.restore_cascade(v.issue, v.article, v.sql(IDS))[1].select("id", state("deleted_at")),
     "SELECT id, CASE WHEN deleted_at IS NULL OR issue_id % 7 = 0 THEN 'visible' ELSE 'before' END AS state FROM v_article",
 )
-bind("bulk_delete", lambda v: m.bulk_delete(v.article, "1,2,3, 41,x", NOW).select("id", state("deleted_at")), "SELECT id, CASE WHEN deleted_at IS NOT NULL THEN 'before' WHEN id IN (1, 2, 3, 41) THEN 'now' ELSE 'visible' END AS state FROM v_article")
+bind("bulk_delete", lambda v: m.bulk_delete(v.article, "1,2,3, 41,x", now()).select("id", state("deleted_at")), "SELECT id, CASE WHEN deleted_at IS NOT NULL THEN 'before' WHEN id IN (1, 2, 3, 41) THEN 'now' ELSE 'visible' END AS state FROM v_article")
 bind("bulk_toggle", lambda v: m.bulk_toggle(v.article, "1,2,3,41", "edited", True).select("id", "edited"), "SELECT id, edited OR id IN (1, 2, 3, 41) AND deleted_at IS NULL AS edited FROM v_article")
 TEN = "SELECT id FROM v_article WHERE id % 10 = 0"
 bind("toggle_status", lambda v: m.toggle_status(v.article, v.sql(TEN), "payment_received")[0].select("id", "payment_received"), "SELECT id, CASE WHEN id % 10 = 0 AND deleted_at IS NULL THEN NOT coalesce(payment_received, false) ELSE payment_received END AS payment_received FROM v_article")

@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from galley.operators import aggs, joins, windows
+from galley.operators import aggs, joins, mining, windows
 from galley.sources import exports, records, text
 from galley.streaming import jobs
 
@@ -165,3 +165,40 @@ bind(
     lambda v: jobs.comment_thread(v.comment).select("article_id", F.sha2(F.array_join(F.transform("thread", lambda x: F.concat_ws(":", x["seq"].cast("string"), x["user_name"], x["text"])), "|"), 256).alias("thread")),
     "SELECT article_id, sha256(string_agg(CAST(seq AS varchar) || ':' || user_name || ':' || text, '|' ORDER BY seq, user_name, text)) AS thread FROM v_comment GROUP BY article_id",
 )
+# ---- uploads: files rendered from the tables
+
+UPLOADS = """SELECT concat('a', CAST(id AS string), CASE id % 4 WHEN 0 THEN '.pdf' WHEN 1 THEN '.docx' WHEN 2 THEN '.txt' ELSE '.exe' END) AS name,
+CASE WHEN id % 7 = 0 THEN 200000000 ELSE 1000 END AS len, CASE WHEN id % 8 < 3 THEN '%PDF-1.4 ' ELSE 'PK' END AS head, title FROM v_article"""
+
+
+def uploads(v):
+    zipped = F.concat(F.when(F.col("head") == "PK", F.unhex(F.lit("504B0304"))).otherwise(F.col("head").cast("binary")), F.col("title").cast("binary"))
+    return v.sql(UPLOADS).select("name", F.col("len").cast("long").alias("len"), zipped.alias("sample"))
+
+
+DETECTED = "CASE WHEN head = 'PK' THEN 'zip' ELSE 'pdf' END"
+EXPECTED = "CASE WHEN suffix(name, '.pdf') THEN 'pdf' WHEN suffix(name, '.docx') THEN 'zip' WHEN suffix(name, '.txt') THEN 'text' END"
+bind("upload_audit_scan", lambda v: records.upload_audit_scan(v.spark, f"{v.sf_dir}/benchmark.parquet").select("name", "len", F.length("sample").alias("sampled")))
+bind("mime_audit", lambda v: mining.mime_audit(uploads(v)), f"SELECT name, {DETECTED} AS detected, {EXPECTED} AS expected, coalesce({DETECTED} = {EXPECTED}, false) AS ok FROM ({UPLOADS})")
+bind(
+    "upload_audit",
+    lambda v: mining.upload_audit(uploads(v)),
+    f"""WITH u AS (SELECT name, len, {DETECTED} AS d, {EXPECTED} AS e FROM ({UPLOADS}))
+    SELECT name, e IS NOT NULL AS extension_ok, len <= 104857600 AS size_ok, coalesce(d = e, false) AS type_ok, CASE WHEN e IS NULL THEN 'extension' WHEN len > 104857600 THEN 'size' WHEN d <> e THEN 'type' ELSE 'accepted' END AS verdict FROM u""",
+)
+
+
+def encoded(v):
+    """References in one of four charsets by their place."""
+    for key in ("javaCharsets", "codingErrorAction"):
+        v.spark.conf.set(f"spark.sql.legacy.{key}", "true")
+    rows = v.ref.select(F.concat_ws("-", F.col("article_id").cast("string"), F.col("pos").cast("string")).alias("name"), "pos", "ru")
+    content = F.when(F.col("pos") % 4 == 1, F.encode("ru", "windows-1251")).when(F.col("pos") % 4 == 2, F.encode("ru", "IBM866")).when(F.col("pos") % 4 == 3, F.encode("ru", "KOI8-R")).otherwise(F.encode("ru", "UTF-8"))
+    return rows.select("name", content.alias("content"))
+
+
+bind(
+    "best_charset",
+    lambda v: mining.best_charset(encoded(v)),
+    "SELECT CAST(article_id AS varchar) || '-' || CAST(pos AS varchar) AS name, CASE pos % 4 WHEN 1 THEN 'windows-1251' WHEN 2 THEN 'IBM866' WHEN 3 THEN 'KOI8-R' ELSE 'UTF-8' END AS charset, ru AS text FROM v_ref",
+)
