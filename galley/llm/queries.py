@@ -33,8 +33,7 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    good = labels.filter("quality = 1").select("doc_id", F.lit(True).alias("target")).distinct()
-    model = lmscore.fit(docs.select("doc_id", "text").join(good, "doc_id", "left"), "target")
+    model = lmscore.fit(lmscore.marked(docs, labels.filter("quality = 1")), "target", counted=docs)
     return lmscore.score(docs, model, ["doc_id"])
 
 
