@@ -13,10 +13,15 @@ from .joins import first_page
 
 
 def numbered_rows(df: DataFrame, order: str = "id", parts: int = 32) -> DataFrame:
-    """df with n, the 1-based place by `order` descending: ranks inside range partitions plus the sizes of those before."""
-    ranged = df.repartitionByRange(parts, F.desc(order)).withColumn("_part", F.spark_partition_id())
-    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"), F.max(order).alias("_top"))  # at most `parts` rows
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy(F.desc("_top")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    """df with n, the 1-based place by the number `order` descending: ranks inside ranges of it plus the sizes of those before.
+
+    The ranges are cut at approximate quantiles, so they depend on values alone and are the same in every pass.
+    """
+    cuts = df.approxQuantile(order, [i / parts for i in range(1, parts)], 0.005)  # parts - 1 numbers
+    part = sum((F.when(F.col(order) < c, 1).otherwise(0) for c in sorted(set(cuts))), F.lit(0))
+    ranged = df.withColumn("_part", part)
+    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))  # at most `parts` rows
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     ranked = ranged.withColumn("_r", F.row_number().over(Window.partitionBy("_part").orderBy(F.desc(order))))
     return ranked.join(F.broadcast(before.select("_part", "_before")), "_part").withColumn("n", F.col("_r") + F.col("_before")).drop("_part", "_r", "_before")
 

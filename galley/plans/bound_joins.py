@@ -109,7 +109,7 @@ bind(
 
 
 def legacy(v):
-    article = v.sql("SELECT id AS art_id, CASE WHEN id % 31 = 0 THEN ' ' ELSE title END AS art_name, CASE WHEN id % 23 = 0 THEN 0 ELSE issue_id END AS razd_id FROM v_article")
+    article = v.sql("SELECT id AS art_id, CASE WHEN id % 31 = 0 THEN ' ' ELSE title END AS art_name, CASE WHEN id % 23 = 0 THEN -5 ELSE issue_id END AS razd_id FROM v_article")
     section = v.sql("SELECT id AS razd_id, id AS number FROM v_issue")
     issue = v.sql("SELECT id AS num_id, journal_id AS jr_num, year AS num_year FROM v_issue WHERE id % 17 <> 0")
     return joins.legacy_chain(article, section, issue, v.sql("SELECT id AS journ_id FROM v_journal WHERE id < 24"))

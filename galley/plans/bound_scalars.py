@@ -100,7 +100,7 @@ bind(
 bind(
     "human_size",
     lambda v: v.snap_new.select("path", s.human_size(F.col("size") * 7).alias("shown")),
-    "SELECT path, CASE WHEN size * 7 < 1024 THEN CAST(size * 7 AS varchar) || ' Б' WHEN size * 7 < 1048576 THEN printf('%.1f', size * 7 / 1024.0) || ' КБ' ELSE printf('%.1f', size * 7 / 1048576.0) || ' МБ' END AS shown FROM v_snap_new",
+    "SELECT path, CASE WHEN size * 7 < 1024 THEN CAST(size * 7 AS varchar) || ' Б' WHEN size * 7 < 1048576 THEN printf('%.1f', floor(size * 70 / 1024.0 + 0.5) / 10) || ' КБ' ELSE printf('%.1f', floor(size * 70 / 1048576.0 + 0.5) / 10) || ' МБ' END AS shown FROM v_snap_new",
 )
 bind(
     "split_keywords",

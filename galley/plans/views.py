@@ -50,7 +50,7 @@ SELECT article_id, ord, concat(ini,'.',ini,'. ',surname_en) AS full_name, email,
 SELECT article_id, ord AS pos, concat('Петров',translate(cast(part AS string),'0123456789','абвгдзикло'),' П.П. Труд ',cast(part AS string),'. М.: Наука. ',cast(1950+part%70 AS string),'.') AS ru, CASE WHEN part%10=3 THEN NULL ELSE concat('Petrov',translate(cast(part AS string),'0123456789','abvgdziklo'),' P.P. Trud ',cast(part AS string),'. M.: Nauka. ',cast(1950+part%70 AS string),'.') END AS en FROM v_author
 """,
     "v_author_lines": """
-SELECT article_id, {AGG(concat(translate(ini,'ABCDEFGHIJKLMNOPQRSTUVWXYZ','АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭ'),'.',translate(ini,'ABCDEFGHIJKLMNOPQRSTUVWXYZ','АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭ'),'. ',surname_ru,'1'))} AS ru_line, {AGG(concat(ini,'.',ini,'. ',surname_en,'1'))} AS en_line, {AGG(concat(surname_ru,' А.А.'))} AS cit, {AGG(email)} AS mails FROM v_author GROUP BY article_id
+SELECT article_id, {AGG(concat(translate(ini,'ABCDEFGHIJKLMNOPQRSTUVWXYZ','АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮ'),'.',translate(ini,'ABCDEFGHIJKLMNOPQRSTUVWXYZ','АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮ'),'. ',surname_ru,'1'))} AS ru_line, {AGG(concat(ini,'.',ini,'. ',surname_en,'1'))} AS en_line, {AGG(concat(surname_ru,' А.А.'))} AS cit, {AGG(email)} AS mails FROM v_author GROUP BY article_id
 """,
     "v_ref_lines": """
 SELECT article_id, {AGL(cast(pos AS string)||'. '||ru)} AS ru_refs, {AGL(cast(pos AS string)||'. '||en)} AS en_refs FROM v_ref GROUP BY article_id
