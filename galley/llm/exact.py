@@ -157,12 +157,11 @@ def checked_copies(positives: DataFrame, old: DataFrame, new: DataFrame, texts:
     return side.groupBy("digest").agg(F.min("body").alias("low"), F.max("body").alias("high"), F.count("*").alias("sides")).filter("sides = 2 AND low = high").select("digest")
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = 2) -> DataFrame:
-    """(id, uid, digest, keep_id, keep_uid, group_size) of every row of docs, taken in as `batches` immutable snapshots one after the other.
+def known_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, uid, digest, batch) and groups (digest, n, top) of docs, taken in as `batches` immutable snapshots one after the other.
 
     The batch of a row is a hash of its id: all rows belong to some batch. uid tells repeated rows apart.
     """
-    spark = docs.sparkSession
     named = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("uid"), F.col(text_col).alias("_t"))
     rows = with_digest(named, "_t", "digest", ["id", "uid"]).withColumn("batch", F.pmod(F.xxhash64("id"), F.lit(batches)).cast("int"))
     rows = stored(rows, "exact-rows")
@@ -179,16 +178,25 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         grown = known.join(new.join(copies, "digest", "left_semi").select("digest", F.col("n").alias("more"), F.col("top").alias("newer")), "digest", "left")
         grown = grown.select("digest", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"), F.greatest("top", "newer").alias("top"))
         known = stored(grown.unionByName(new.join(copies, "digest", "left_anti")), "exact-known")
+    return rows, known
+
+
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = 2) -> DataFrame:
+    """(id, uid, digest, keep_id, keep_uid, group_size) of every row of docs."""
+    rows, known = known_groups(docs, id_col, text_col, batches)
     return rows.join(known, "digest").select("id", "uid", "digest", F.col("top.id").alias("keep_id"), F.col("top.uid").alias("keep_uid"), F.col("n").alias("group_size"))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns: one of each group of equal texts."""
-    groups = exact_groups(docs, id_col, text_col)
+    rows, known = known_groups(docs, id_col, text_col)
     mark = fresh_name(docs.columns, "_digest")
     own_id, own_digest, repeats = (fresh_name([*docs.columns, mark], c) for c in ("_keep_id", "_keep_digest", "_repeats"))
-    stay = groups.groupBy("id", "digest").agg(F.max(F.col("uid") == F.col("keep_uid")).alias("stays"), F.count("*").alias(repeats)).filter("stays")
-    stay = stored(stay.select(F.col("id").alias(own_id), F.col("digest").alias(own_digest), repeats), "exact-stay")
+    # The groups say which (id, digest) stays; how often it stands there is counted by both, so that no group meets in one task.
+    stay = known.select(F.col("top.id").alias(own_id), F.col("digest").alias(own_digest))
+    again = rows.groupBy("id", "digest").agg(F.count("*").alias(repeats)).filter(F.col(repeats) > 1)
+    stay = stay.join(again, F.col(own_id).eqNullSafe(F.col("id")) & (F.col(own_digest) == F.col("digest")), "left")
+    stay = stored(stay.select(own_id, own_digest, F.coalesce(repeats, F.lit(1)).alias(repeats)), "exact-stay")
     marked = with_digest(docs, text_col, mark, docs.columns)
     found = marked.join(stay, F.col(f"`{id_col}`").eqNullSafe(F.col(own_id)) & (F.col(mark) == F.col(own_digest)))
     columns = [f"`{c}`" for c in docs.columns]
