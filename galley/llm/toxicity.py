@@ -357,17 +357,14 @@ def _parts(word: str) -> list[int]:
     return [zlib.crc32(x.encode()) & 0x3FFFF for x in (f"<{word}>", f"<{word[:4]}", f"{word[-4:]}>")]
 
 
-def first_windows(docs: list[list[str]], y: np.ndarray) -> list[np.ndarray]:
+def first_windows(vocabulary: list[str], docs: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     """How much each word or its ends speak for the toxic class, by document frequencies."""
-    numbers = Numbers()
-    ids = [np.fromiter(map(numbers.__getitem__, ws), np.int64, len(ws)) for ws in docs]
-    parts = np.array([_parts(w) for w in numbers])
+    parts = np.array([_parts(w) for w in vocabulary])
     df = np.zeros((2, 1 << 18), np.float32)
-    for own, label in zip(ids, y):
+    for own, label in zip(docs, y):
         df[int(label), np.unique(parts[own])] += 1
     odds = np.log((df[1] + 0.5) / (y.sum() + 1)) - np.log((df[0] + 0.5) / (len(y) - y.sum() + 1))
-    strength = odds[parts].max(axis=1)
-    return [strength[own] for own in ids]
+    return odds[parts].max(axis=1)
 
 
 def fit(texts: list[str | None], labels: list[int], rounds: tuple[int, ...] = (150, 100, 70), seed: int = 7) -> tuple[dict, float, float] | None:
@@ -375,33 +372,42 @@ def fit(texts: list[str | None], labels: list[int], rounds: tuple[int, ...] = (1
     seen: dict[str, int] = {}
     for t, label in zip(texts, labels):
         seen.setdefault(t or "", int(label))
-    docs = [(words(t), label) for t, label in seen.items()]
-    docs = [(ws, label) for ws, label in docs if ws]
-    y = np.array([label for _, label in docs], np.float32)
+    numbers, docs, y = Numbers(), [], []
+    for t, label in seen.items():
+        ws = words(t)
+        if ws:
+            docs.append(np.fromiter(map(numbers.__getitem__, ws), np.int32, len(ws)))
+            y.append(label)
+    y = np.array(y, np.float32)
     if not len(y) or y.min() == y.max():
         return None
-    docs = [ws for ws, _ in docs]
+    vocabulary = list(numbers)
     rng = np.random.default_rng(seed)
     net = Network.new(seed)
-    spans = [(i, int(s)) for i, ws in enumerate(docs) for s in window_starts(len(ws))]
-    owner = np.array([i for i, _ in spans])
-    strength = first_windows(docs, y)
-    value = np.array([np.sort(strength[i][s : s + WINDOW])[-2:].sum() for i, s in spans], np.float32)
+
+    def logits():
+        scorer = Scorer(net.p, 1, 0)
+        scorer.table = split_table(net.word_table(vocabulary))
+        return scorer.window_logits(docs)[2]
+
+    starts = [window_starts(len(d)) for d in docs]
+    owner, start = np.repeat(np.arange(len(docs)), [len(s) for s in starts]), np.concatenate(starts)
+    strength = first_windows(vocabulary, docs, y)
+    value = np.array([np.sort(strength[docs[i][s : s + WINDOW]])[-2:].sum() for i, s in zip(owner, start)], np.float32)
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
     step, harmless = 0, np.flatnonzero(y[owner] == 0)
     for number, batches in enumerate(rounds):
         if number:
-            scorer = Scorer(net.p, 1, 0)
-            ids = scorer.ids_of(docs)
-            _, _, value = scorer.window_logits(ids)
+            value = logits()
         good, bad = _chosen(owner, value, y)
         for _ in range(batches):
             # Half the harmless windows are the hardest ones, half are any, so that no common word is taken for a sign.
             pick = np.concatenate([rng.choice(good, 32), rng.choice(bad, 32), rng.choice(harmless, 32)])
             step += 1
-            _step(net, docs, [spans[i] for i in pick], np.repeat([1.0, 0.0], (32, 64)).astype(np.float32), moments, step)
-    scorer = Scorer(net.p, 1, 0)
-    top = scorer.best([" ".join(ws) for ws in docs])
+            windows = [docs[owner[i]][start[i] : start[i] + WINDOW] for i in pick]
+            _step(net, vocabulary, windows, np.repeat([1.0, 0.0], (32, 64)).astype(np.float32), moments, step)
+    top = np.full(len(docs), -np.inf, np.float32)
+    np.maximum.at(top, owner, logits())
     slope, shift = _logistic(top.astype(np.float64), y)
     return net.p, slope, shift
 
@@ -415,14 +421,12 @@ def _chosen(owner: np.ndarray, value: np.ndarray, y: np.ndarray) -> tuple[np.nda
     return top[y[owner[top]] == 1], top[y[owner[top]] == 0]
 
 
-def _step(net: Network, docs, picked, y, moments, step, rate=0.01) -> float:
-    windows = [docs[i][s : s + WINDOW] for i, s in picked]
-    pieces = sorted({w for ws in windows for w in ws})
-    at = {w: i for i, w in enumerate(pieces)}
-    lengths = np.array([len(ws) for ws in windows])
+def _step(net: Network, vocabulary: list[str], windows: list[np.ndarray], y, moments, step, rate=0.01) -> float:
+    own, at = np.unique(np.concatenate(windows), return_inverse=True)
+    pieces = [vocabulary[i] for i in own]
+    lengths = np.array([len(w) for w in windows])
     ids = np.zeros((len(windows), lengths.max()), np.int64)
-    for row, ws in zip(ids, windows):
-        row[: len(ws)] = [at[w] for w in ws]
+    ids[np.arange(ids.shape[1])[None, :] < lengths[:, None]] = at
     loss, g = net.learn(pieces, ids, lengths, y, np.ones(len(y), np.float32))
     norm = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
     for k, x in g.items():
@@ -462,12 +466,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: tuple[int, in
     ranked = known.join(docs.select(F.col(id_col).alias("doc_id")), "doc_id", "left_semi").withColumn("order", F.xxhash64("doc_id"))
     chosen = [ranked.filter(F.col("toxic") == k).orderBy("order", "doc_id").limit(per_class[k]) for k in (0, 1)]
     chosen = chosen[0].unionByName(chosen[1])
-    # The sum of per_class is a bound that the data cannot exceed.
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    # The sum of per_class is a bound that the data cannot exceed; rows that repeat an id count once.
+    found = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic")
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = PER_CLASS, id_col: str = "doc_id", text_col: str = "text"):
-    rows = sorted((r["text"] or "", r["toxic"]) for r in labelled_sample(docs, labels, per_class, id_col, text_col).toLocalIterator())
+    rows = sorted((r["text"] or "", r["toxic"]) for r in labelled_sample(docs, labels, per_class, id_col, text_col).collect())
     return fit([t for t, _ in rows], [x for _, x in rows])
 
 
