@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, new_path, stored
 
 ARCHIVE_BYTES, CHUNK, LEAST = 16 << 20, 1 << 16, 100
+#: Tasks that read archives, at most; each takes its archives one after the other.
+READERS_MOST = 20_000
 RECORD = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, archive string, position long, error string"
 
 
@@ -177,8 +179,9 @@ def read_warc(manifest: DataFrame) -> DataFrame:
                 if rows:
                     yield _frame(rows, columns)
 
+    # Names are few bytes each: without a number of its own, one task would get them all.
     names = manifest.select("archive").distinct()
-    return names.mapInPandas(run, RECORD)
+    return names.repartition(max(1, min(manifest.count(), READERS_MOST))).mapInPandas(run, RECORD)
 
 
 def _frame(rows: list[dict], columns: list[str]) -> pd.DataFrame:
