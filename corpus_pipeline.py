@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from galley.llm import bpe, decontam, exact, simhash, toxicity
-from galley.llm.common import new_path, table
+from galley.llm.common import fresh_name, new_path, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score stays under the threshold."""
     model = toxicity.fit_on(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score_texts(docs, model, docs.columns, name="_score").filter(f"_score < {toxicity.THRESHOLD}").drop("_score")
+    name = fresh_name(docs.columns, "_score")
+    return toxicity.score_texts(docs, model, docs.columns, name=name).filter(F.col(name) < toxicity.THRESHOLD).drop(name)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,8 @@ or mark and a following space or line feed. No match of the split pattern reache
 stands only at the start of a match, so the ids are those of the whole text.
 
 Edge cases: a null text counts as empty; an empty text has no ids and decodes to no bytes; rows are independent, so
-repeated rows and ties need no rule; an empty table gives an empty table; other columns are kept where asked for.
+repeated rows and ties need no rule; an empty table gives an empty table; other columns are kept where asked for, and a new column whose
+name is taken gets an underscore.
 """
 
 from __future__ import annotations
@@ -78,10 +79,8 @@ def bpe_tokenize(df: DataFrame, rank_path: str, pattern: str, text_col: str = "t
     added = [("n_tokens", T.LongType(), pa.int64())]
     added += [("token_ids", T.ArrayType(T.IntegerType(), False), pa.list_(pa.int32()))] * ids
     added += [(c, T.StringType(), pa.string()) for c in ("ids_sha256", "decoded_sha256")] * digests
-    clash = {c.lower() for c in keep} & {c for c, _, _ in added}
-    if clash:
-        raise ValueError(f"columns already there: {sorted(clash)}; leave them out of keep")
-    schema = T.StructType(list(kept.fields) + [T.StructField(c, t) for c, t, _ in added])
+    names_of = {c: fresh_name(keep, c) for c, _, _ in added}
+    schema = T.StructType(list(kept.fields) + [T.StructField(names_of[c], t) for c, t, _ in added])
 
     def run(batches):
         enc, names = encoder(ranks.value, pattern)
@@ -96,6 +95,6 @@ def bpe_tokenize(df: DataFrame, rank_path: str, pattern: str, text_col: str = "t
                     made["ids_sha256"].append(hashlib.sha256(",".join([names[i] for i in tokens]).encode()).hexdigest())
                     made["decoded_sha256"].append(hashlib.sha256(decode(enc, tokens)).hexdigest())
             old = [batch.column(c) for c in keep]
-            yield pa.RecordBatch.from_arrays(old + [pa.array(made[c], t) for c, _, t in added], names=keep + [c for c, _, _ in added])
+            yield pa.RecordBatch.from_arrays(old + [pa.array(made[c], t) for c, _, t in added], names=keep + [names_of[c] for c, _, _ in added])
 
     return df.selectExpr(*[f"`{c}`" for c in keep], f"`{text_col}` AS `{inner}`").mapInArrow(run, schema)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, stored
+from .common import bounded_batches, fresh_name, stored
 
 WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")  # of lower-cased UTF-8: code points outside ASCII and its letters and digits
 WINDOW = 10
@@ -151,5 +151,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that hold no window of the benchmark, with all their columns."""
-    hit = contamination(docs, benchmark, id_col, text_col).filter("contaminated").select(F.col("doc_id").alias("_hit_id"), F.col("mark").alias("_hit_mark")).distinct()
-    return docs.join(hit, F.col(f"`{id_col}`").eqNullSafe(F.col("_hit_id")) & (F.xxhash64(F.col(text_col)) == F.col("_hit_mark")), "left_anti")
+    own_id, own_mark = (fresh_name(docs.columns, c) for c in ("_hit_id", "_hit_mark"))
+    hit = contamination(docs, benchmark, id_col, text_col).filter("contaminated").select(F.col("doc_id").alias(own_id), F.col("mark").alias(own_mark)).distinct()
+    return docs.join(hit, F.col(f"`{id_col}`").eqNullSafe(F.col(own_id)) & (F.xxhash64(F.col(text_col)) == F.col(own_mark)), "left_anti")
