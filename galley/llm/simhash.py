@@ -234,22 +234,21 @@ def trie_links(fps: DataFrame, budget: int = BUDGET) -> DataFrame:
         meta.append((trie, cells[trie][i][1], cells[trie][j][1]))
     starts = {k: np.array([x for x, _ in own], np.uint64) for k, own in cells.items()}
     # Bounded by the number of cells (about 4,096 a trie) times the prefixes within the budget.
-    plan = spark.sparkContext.broadcast((starts, tasks))
+    flat = {k: np.array([x for mine in own for x in mine], np.int64).reshape(-1, 2) for k, own in tasks.items()}
+    size = {k: np.array([len(mine) for mine in own], np.int64) for k, own in tasks.items()}
+    plan = spark.sparkContext.broadcast((starts, flat, size, {k: np.cumsum(n) - n for k, n in size.items()}))
 
     def deal(batches):
-        starts, tasks = plan.value
+        starts, flat, size, first = plan.value
         for pdf in batches:
             fp = pdf["fp"].to_numpy().view(np.uint64)
             for trie, (by, _) in enumerate(BLOCKS):
                 rot = rotated(fp, by)
                 cell = np.searchsorted(starts[trie], rot, side="right") - 1
-                order = np.argsort(cell, kind="stable")
-                rot, cell = rot[order], cell[order]
-                bounds = np.flatnonzero(np.diff(cell, prepend=-1, append=-1))
-                for low, high in zip(bounds[:-1], bounds[1:]):
-                    mine = tasks[trie][int(cell[low])]
-                    part = rot[low:high].view(np.int64)
-                    yield pd.DataFrame({"task": np.repeat([t for t, _ in mine], len(part)), "side": np.repeat([s for _, s in mine], len(part)), "rot": np.tile(part, len(mine))})
+                n = size[trie][cell]
+                row = np.repeat(np.arange(len(rot)), n)
+                at = first[trie][cell][row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                yield pd.DataFrame({"task": flat[trie][at, 0], "side": flat[trie][at, 1], "rot": rot.view(np.int64)[row]})
 
     shape = spark.sparkContext.broadcast(meta)
 
@@ -276,7 +275,7 @@ def trie_links(fps: DataFrame, budget: int = BUDGET) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, root) of every node in links (a, b): root is the smallest node reachable. Alternates large and small stars until nothing moves."""
+    """(node, root) of every node in links (a, b) but the roots themselves: root is the smallest node reachable. Alternates large and small stars until nothing moves."""
     links = stored(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     before = None
     while True:
