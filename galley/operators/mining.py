@@ -31,12 +31,18 @@ def canon_headings(lines: DataFrame, near: float = 0.07, most: int = 80) -> Data
 
     Short lines are compared without blanks and look-alike letters; from nine letters on one wrong letter in about fourteen is forgiven.
     """
-    key = heading_key(F.col("line"))
     bare = [(h.replace(" ", ""), s) for h, s in HEADINGS]
-    exact = F.coalesce(*[F.when(F.col("_key") == h, s) for h, s in bare])
-    close = F.coalesce(*[F.when(F.levenshtein(F.col("_key"), F.lit(h)) <= F.ceil(near * F.length("_key")), s) for h, s in bare if len(h) >= 9])
-    short = (F.length("line") < most) & (F.col("_key") != "")
-    return lines.withColumn("_key", key).withColumn("heading", F.when(short, F.coalesce(exact, F.when(F.length("_key") >= 9, close)))).drop("_key")
+    names = F.create_map(*[F.lit(x) for pair in bare for x in pair])
+
+    def found(k: Column) -> Column:
+        # Lengths rule most lines out before any distance is computed.
+        wrong = F.ceil(near * F.length(k))
+        close = [F.when((F.abs(F.length(k) - len(h)) <= wrong) & (F.levenshtein(k, F.lit(h)) <= wrong), s) for h, s in bare if len(h) >= 9]
+        return F.coalesce(names[k], F.when(F.length(k) >= 9, F.coalesce(*close)))
+
+    # transform binds the key: it is computed once a line, whatever the optimizer moves where.
+    heading = F.get(F.transform(F.array(heading_key(F.col("line"))), found), F.lit(0))
+    return lines.withColumn("heading", F.when((F.length("line") < most) & (F.col("line") != ""), heading))
 
 
 def fronted(lines: DataFrame) -> DataFrame:
