@@ -4,32 +4,44 @@ A target model (bigrams of the documents chosen as target) and a background mode
 same tokens, one shared vocabulary, same order, same smoothing. A document's score is the mean over its tokens of the background
 loss minus the target loss, so that higher means more like the target.
 
-The vocabulary is the `vocabulary` most frequent tokens of all documents; any other token is <unk>. Counts are made by tasks over
-whole texts, shuffled and summed; the two tables of log-probabilities have (vocabulary + 2) squared cells whatever the
-corpus is, which bounds the broadcast.
+The vocabulary is every token of the documents, and every bigram is kept with its counts in a written table. A token has a code:
+a small number for the `NUMBERED` most frequent ones, 63 bits of its hash for the others. Documents meet the table in a join on the
+bigram; the `SHARED` most frequent n-grams, which would be the join's hot keys, are looked up in a broadcast of fixed size instead.
 
-Smoothing: p(w | v) = (c(v, w) + K p(w)) / (c(v) + K) with p(w) = (c(w) + 1) / (N + V + 1).
+Smoothing: p(w | v) = (c(v, w) + K p(w)) / (c(v) + K) with p(w) = (c(w) + 1) / (N + V + 1). Its logarithm is the sum of
+
+    -log(N + V + 1),  log(c(w) + 1),  -log(1 + c(v) / K)  and  log(1 + c(v, w) / (K p(w))),
+
+whose last three are 0 for what was never counted, so n-grams that the table lacks need no row.
 
 Edge cases: a null text counts as empty; no tokens: losses null, score 0; a corpus without target documents gives the target model
-its uniform prior; ties in the vocabulary go by the token; equal rows score alike; an empty table gives an empty one.
+its uniform prior; `vocabulary` keeps only so many tokens, ties go by the token, the others are <unk>; equal rows score alike; an
+empty table gives an empty one.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
-from itertools import repeat
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, fresh_name, stored
+from .common import bounded_batches, stored
 
 TOKENS = re.compile(r"\w+|[^\w\s]")
-VOCABULARY, STRENGTH = 1024, 8.0
+STRENGTH = 8.0
+NUMBERED, SHARED = 1 << 17, 1 << 19
+#: Tokens counted at once, and codes of rare tokens that a worker remembers.
+BUFFER, REMEMBERED = 3_000_000, 300_000
+#: Codes: 0 stands for any token, 3 and up are numbered tokens, negative ones are hashes.
+ANY, START, UNKNOWN, FIRST, SHIFT = 0, 1, 2, 3, 20
 
 
 def tokens(text: str | None) -> list[str]:
@@ -57,44 +69,89 @@ def _counted(counted: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(counted), pa.string()), pa.array(list(counted.values()), pa.int64())], names=["token", "n"])
 
 
-def _ids(known: dict[str, int], text: str | None) -> np.ndarray:
-    """<s> (len(known) + 1) and the tokens' ids; 0 is <unk>."""
-    found = tokens(text)
-    return np.fromiter(map(known.get, ["", *found], repeat(0)), np.int64, len(found) + 1) if found else np.empty(0, np.int64)
+class _Codes(dict):
+    """token -> code, filled as tokens turn up."""
 
+    def __init__(self, known: dict[str, int], limited: bool):
+        super().__init__(known)
+        self.known, self.limited = known, limited
+
+    def __missing__(self, token: str) -> int:
+        if self.limited:
+            return UNKNOWN
+        if len(self) > len(self.known) + REMEMBERED:
+            self.clear()
+            self.update(self.known)
+            return self[token]
+        code = int.from_bytes(hashlib.blake2b(token.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) | -(1 << 63)
+        self[token] = code
+        return code
+
+    def of(self, text: str | None) -> np.ndarray:
+        """<s> and the codes of the text's tokens; empty without tokens."""
+        found = tokens(text)
+        return np.array([START, *map(self.__getitem__, found)], np.int64) if found else np.empty(0, np.int64)
+
+
+def _summed(v: np.ndarray, w: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Each pair once, with the sums of its counts."""
+    order = np.lexsort((w, v))
+    v, w = v[order], w[order]
+    first = np.flatnonzero(np.concatenate(([True], (v[1:] != v[:-1]) | (w[1:] != w[:-1]))))
+    return v[first], w[first], *(np.add.reduceat(c[order], first) for c in counts)
 
-def bigram_counts(docs: DataFrame, known: dict[str, int], target: str, text_col: str = "text") -> DataFrame:
-    """(pair, background, target): how often each pair of ids stands in all documents and in those whose column `target` is true."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(known | {"": len(known) + 1})
-    width = len(known) + 2
+
+def gram_counts(docs: DataFrame, codes: Broadcast, target: str, text_col: str = "text") -> DataFrame:
+    """(v, w, background, target): how often w follows v in all documents and in those whose column `target` is true.
+
+    v = 0: the word w after anything; w = 0: v before anything.
+    """
+
+    def counted(parts, marks):
+        v, w = (np.concatenate([p[a:b] for p in parts]) for a, b in ((None, -1), (1, None)))
+        chosen = np.repeat(np.array(marks, np.int64), [len(p) - 1 for p in parts])
+        pairs = _summed(v, w, np.ones(len(v), np.int64), chosen)
+        none = np.zeros(len(pairs[0]), np.int64)
+        for made in (pairs, _summed(none, pairs[1], *pairs[2:]), _summed(pairs[0], none, *pairs[2:])):
+            for low in range(0, len(made[0]), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[low : low + 100_000]) for c in made], names=["v", "w", "background", "target"])
 
     def run(batches):
-        made = np.zeros((2, width * width), np.int32)
+        of, parts, marks, held = _Codes(*codes.value).of, [], [], 0
         for batch in batches:
             for value, chosen in zip(batch.column("text"), batch.column("target").to_pylist()):
-                ids = _ids(shared.value, value.as_py())
-                if len(ids):
-                    pairs, n = np.unique(ids[:-1] * width + ids[1:], return_counts=True)
-                    made[0][pairs] += n.astype(np.int32)
-                    if chosen:
-                        made[1][pairs] += n.astype(np.int32)
-        at = np.flatnonzero(made[0])
-        for low in range(0, len(at), 100_000):
-            part = at[low : low + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(made[0][part].astype(np.int64)), pa.array(made[1][part].astype(np.int64))], names=["pair", "background", "target"])
-
-    part = docs.select(F.col(text_col).alias("text"), F.coalesce(F.col(target), F.lit(False)).alias("target")).mapInArrow(run, "pair int, background long, target long")
-    return part.groupBy("pair").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
-
-
-def log_probabilities(counts: np.ndarray, strength: float = STRENGTH) -> np.ndarray:
-    """log p(w | v) of a square table of counts [v, w]; its last row and column are <s>."""
-    counts = counts.astype(np.float64)
-    word = counts.sum(axis=0)
-    prior = (word + 1) / (word.sum() + len(word) - 1)
-    row = counts.sum(axis=1, keepdims=True)
-    return np.log((counts + strength * prior) / (row + strength)).astype(np.float32)
+                part = of(value.as_py())
+                if len(part):
+                    parts.append(part)
+                    marks.append(chosen)
+                    held += len(part)
+                if held > BUFFER:
+                    yield from counted(parts, marks)
+                    parts, marks, held = [], [], 0
+        if parts:
+            yield from counted(parts, marks)
+
+    part = docs.select(F.col(text_col).alias("text"), F.coalesce(F.col(target), F.lit(False)).alias("target")).mapInArrow(run, "v long, w long, background long, target long")
+    return part.groupBy("v", "w").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
+
+
+def least_count(counts: DataFrame, column: str, most: int) -> int:
+    """A count that at most `most` rows reach, by a histogram of sixteen steps a doubling."""
+    step = F.floor(F.log2(F.col(column)) * 16)
+    above = 0
+    for r in sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("rows"), F.min(column).alias("least"), F.max(column).alias("most")).collect(), key=lambda r: -r["step"]):
+        above += r["rows"]
+        if above > most:
+            return r["most"] + 1
+    return 1
+
+
+class Model(NamedTuple):
+    codes: Broadcast  # (numbered tokens, whether all others are <unk>)
+    grams: DataFrame  # (v, w, background, target, word_background, word_target)
+    shared_from: int  # n-grams with so many in the background are broadcast
+    totals: tuple[int, int]  # N + V + 1 of target and background
+    strength: float
 
 
 def marked(docs: DataFrame, chosen: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -106,49 +163,82 @@ def marked(docs: DataFrame, chosen: DataFrame, id_col: str = "doc_id", text_col:
     return docs.select(id_col, F.col(text_col).alias("text")).join(ids, id_col, "left").select("text", "target")
 
 
-def fit(docs: DataFrame, target: str, text_col: str = "text", vocabulary: int = VOCABULARY, strength: float = STRENGTH, counted: DataFrame | None = None):
-    """(vocabulary token -> id, target table, background table).
+def fit(docs: DataFrame, target: str, text_col: str = "text", vocabulary: int | None = None, strength: float = STRENGTH, counted: DataFrame | None = None) -> Model:
+    """Both models, as one table of n-gram counts.
 
+    vocabulary: only the so many most frequent tokens; None: all.
     counted: the same documents without the column target, where that saves a join for the token counts.
     """
-    bounded_batches(docs.sparkSession)
-    counts = token_counts(docs if counted is None else counted, text_col)
-    listed = counts.orderBy(F.desc("n"), "token").limit(vocabulary).collect()
-    known = {r["token"]: i + 1 for i, r in enumerate(listed)}
-    width = len(known) + 2
-    pairs = stored(bigram_counts(docs, known, target, text_col), "bigrams").toPandas()  # width squared rows at most
-    tables = []
-    for c in ("target", "background"):
-        table = np.zeros(width * width, np.int64)
-        table[pairs["pair"].to_numpy(dtype=np.int64)] = pairs[c].to_numpy(dtype=np.int64)
-        tables.append(log_probabilities(table.reshape(width, width), strength))
-    return known, tables[0], tables[1]
-
-
-def score(docs: DataFrame, model, keep: list[str], text_col: str = "text") -> DataFrame:
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    counts = stored(token_counts(docs if counted is None else counted, text_col), "tokens")
+    if vocabulary is None:
+        numbered, size = counts.filter(F.col("n") >= least_count(counts, "n", NUMBERED)), counts.count()
+    else:
+        numbered = counts.orderBy(F.desc("n"), "token").limit(vocabulary)
+    listed = [r["token"] for r in numbered.select("token").collect()]
+    size = len(listed) if vocabulary is not None else size
+    codes = spark.sparkContext.broadcast(({t: i for i, t in enumerate(sorted(listed), FIRST)}, vocabulary is not None))
+    grams = stored(gram_counts(docs, codes, target, text_col), "grams")
+    totals = grams.filter(F.col("v") == ANY).agg(F.coalesce(F.sum("target"), F.lit(0)), F.coalesce(F.sum("background"), F.lit(0))).first()
+    # What stands after v = ANY are the words; the numbered ones are at most NUMBERED + 2 rows.
+    words = grams.filter(F.col("v") == ANY).select("w", F.col("background").alias("word_background"), F.col("target").alias("word_target"))
+    pairs = grams.filter((F.col("v") != ANY) & (F.col("w") != ANY))
+    near = pairs.filter(F.col("w") > 0).join(F.broadcast(words.filter(F.col("w") > 0)), "w")
+    far = pairs.filter(F.col("w") < 0).join(words.filter(F.col("w") < 0).hint("merge"), "w")
+    single = grams.filter((F.col("v") == ANY) | (F.col("w") == ANY)).withColumns({"word_background": F.lit(0).cast("long"), "word_target": F.lit(0).cast("long")})
+    table = near.unionByName(far).unionByName(single)
+    return Model(codes, table, least_count(grams.filter((F.col("v") >= 0) & (F.col("w") >= 0)), "background", SHARED), tuple(n + size + 1 for n in totals), strength)
+
+
+def _weights(model: Model) -> list:
+    """What an n-gram adds to the log-probability in each model, as columns t and b."""
+    out = []
+    for name, c, total in zip("tb", ("target", "background"), model.totals):
+        n, k = F.col(c), F.lit(float(model.strength))
+        prior = (F.col(f"word_{c}") + 1) / F.lit(float(total))
+        out.append(F.when(F.col("v") == ANY, F.log1p(n)).when(F.col("w") == ANY, -F.log1p(n / k)).otherwise(F.log1p(n / (k * prior))).alias(name))
+    return out
+
+
+def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
     """The columns in keep, n_tokens, target_loss and background_loss (nats a token) and score."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    known, target, background = model
-    shared = spark.sparkContext.broadcast((known | {"": len(known) + 1}, target, background))
-    inner = fresh_name(keep, "_text")
-    added = [("n_tokens", T.LongType()), ("target_loss", T.DoubleType()), ("background_loss", T.DoubleType()), ("score", T.DoubleType())]
-    schema = T.StructType([*docs.select(*[f"`{c}`" for c in keep]).schema.fields, *[T.StructField(c, t) for c, t in added]])
+    hot = (F.col("v") >= 0) & (F.col("w") >= 0) & (F.col("background") >= model.shared_from)
+    common = model.grams.filter(hot).select((F.shiftleft("v", SHIFT) + F.col("w")).alias("key"), *_weights(model)).toPandas().sort_values("key")  # SHARED rows at most
+    shared = spark.sparkContext.broadcast(tuple(common[c].to_numpy() for c in ("key", "t", "b")))
+    codes = model.codes
+    kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept"), F.col(text_col).alias("text"))
+    gram = T.ArrayType(T.StructType([T.StructField(c, T.LongType()) for c in ("v", "w", "n")]))
+    schema = T.StructType([kept.schema["kept"], T.StructField("n_tokens", T.LongType()), T.StructField("t", T.DoubleType()), T.StructField("b", T.DoubleType()), T.StructField("grams", gram)])
 
     def run(batches):
-        known, target, background = shared.value
+        of, (keys, t, b) = _Codes(*codes.value).of, shared.value
         for batch in batches:
-            rows = []
-            for value in batch.column(inner):
-                ids = _ids(known, value.as_py())
-                n = max(len(ids) - 1, 0)
-                if n:
-                    t, b = (-float(x[ids[:-1], ids[1:]].sum(dtype=np.float64)) / n for x in (target, background))
-                    rows.append((n, t, b, b - t))
-                else:
-                    rows.append((0, None, None, 0.0))
-            columns = list(zip(*rows)) or [[]] * 4
-            made = [pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.float64(), pa.float64(), pa.float64()))]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *made], names=[*keep, *[c for c, _ in added]])
-
-    return docs.selectExpr(*[f"`{c}`" for c in keep], f"`{text_col}` AS `{inner}`").mapInArrow(run, schema)
+            sizes, sums, rest, ends = [], [], [], [0]
+            for value in batch.column("text"):
+                ids = of(value.as_py())
+                none = np.zeros(max(len(ids) - 1, 0), np.int64)
+                sizes.append(len(none))
+                v, w = np.concatenate((ids[:-1], none, ids[:-1])), np.concatenate((ids[1:], ids[1:], none))
+                key = np.where((v >= 0) & (w >= 0), (v << SHIFT) + w, -1)
+                at = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
+                here = keys[at] == key if len(keys) else np.zeros(len(key), bool)
+                sums.append((t[at[here]].sum(), b[at[here]].sum()))
+                v, w = v[~here], w[~here]
+                rest.append(_summed(v, w, np.ones(len(v), np.int64)) if len(v) else (v, w, v))
+                ends.append(ends[-1] + len(rest[-1][0]))
+            columns = [pa.array(np.concatenate([r[i] for r in rest]) if rest else [], pa.int64()) for i in range(3)]
+            grams = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, names=["v", "w", "n"]))
+            made = [pa.array(sizes, pa.int64()), *(pa.array([x[i] for x in sums], pa.float64()) for i in range(2)), grams]
+            yield pa.RecordBatch.from_arrays([batch.column("kept"), *made], names=["kept", "n_tokens", "t", "b", "grams"])
+
+    read = stored(kept.mapInArrow(run, schema).withColumn("uid", F.monotonically_increasing_id()), "read")
+    rare = model.grams.filter(~hot).hint("merge")
+    met = read.select("uid", F.inline("grams")).join(rare, ["v", "w"]).select("uid", "n", *_weights(model))
+    sums = met.groupBy("uid").agg(F.sum(F.col("n") * F.col("t")).alias("rare_t"), F.sum(F.col("n") * F.col("b")).alias("rare_b"))
+    both = read.drop("grams").join(sums.hint("merge"), "uid", "left")
+    losses = [F.when(F.col("n_tokens") > 0, F.lit(float(np.log(total))) - (F.col(c) + F.coalesce(F.col(f"rare_{c}"), F.lit(0.0))) / F.col("n_tokens")) for c, total in zip("tb", model.totals)]
+    done = both.select("kept", "n_tokens", losses[0].alias("target_loss"), losses[1].alias("background_loss"))
+    return done.select(*[F.col(f"kept.`{c}`").alias(c) for c in keep], "n_tokens", "target_loss", "background_loss", F.coalesce(F.col("background_loss") - F.col("target_loss"), F.lit(0.0)).alias("score"))

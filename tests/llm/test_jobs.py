@@ -226,6 +226,36 @@ def test_lm_scores(spark):
             assert abs(got[i]["target_loss"] - t) < 1e-4 and abs(got[i]["background_loss"] - b) < 1e-4 and abs(got[i]["score"] - (b - t)) < 1e-4
 
 
+def test_lm_scores_of_all_tokens(spark, monkeypatch):
+    """Two documents that differ only in one rare word each: a fixed number of tokens can't tell them apart."""
+    monkeypatch.setattr(lmscore, "NUMBERED", 40)
+    monkeypatch.setattr(lmscore, "SHARED", 60)
+    common = " ".join(f"w{i}" for i in range(1500))
+    texts = [common] * 3 + ["w1 w2 rareone w3", "w1 w2 raretwo w3", "w1 w2 rareone w3", None, "..."]
+    docs = spark.createDataFrame([(i, t, i in (0, 3)) for i, t in enumerate(texts)], "doc_id long, text string, target boolean")
+    got = {r["doc_id"]: r for r in lmscore.score(docs, lmscore.fit(docs, "target"), ["doc_id"]).collect()}
+    ids = [["<s>", *re.findall(r"\w+|[^\w\s]", t or "")] for t in texts]
+    v = len({w for x in ids for w in x[1:]})
+
+    def loss(w, chosen):
+        c = Counter(p for i in chosen for p in zip(ids[i], ids[i][1:]))
+        words, before = Counter(), Counter()
+        for (a, b), n in c.items():
+            words[b] += n
+            before[a] += n
+        k, total = lmscore.STRENGTH, sum(c.values())
+        return -sum(math.log((c[a, b] + k * (words[b] + 1) / (total + v + 1)) / (before[a] + k)) for a, b in zip(w, w[1:])) / (len(w) - 1)
+
+    for i, w in enumerate(ids):
+        t, b = (loss(w, x) if len(w) > 1 else None for x in ((0, 3), range(len(ids))))
+        assert got[i]["n_tokens"] == len(w) - 1
+        if t is None:
+            assert (got[i]["target_loss"], got[i]["background_loss"], got[i]["score"]) == (None, None, 0.0)
+        else:
+            assert abs(got[i]["target_loss"] - t) < 1e-9 and abs(got[i]["background_loss"] - b) < 1e-9
+    assert got[3]["score"] > got[4]["score"] + 0.05
+
+
 # ---- toxicity
 
 
