@@ -1,9 +1,9 @@
 """HTML main text by tag-path ratios.
 
 A page is cut into blocks, each with its path of block-level tags from the root. Per path the text length and the punctuation of
-all its blocks are added up and set against the number of blocks; the sequence of ratios is smoothed along the page, both ratios and
-what the path's own names say (article, nav, comment ...) are fused to one score, and the paths over the threshold are content:
-all their blocks are kept, however short, and no block of another path.
+all its blocks are added up and set against the number of blocks; the sequence of ratios is smoothed along the page, both ratios are
+fused to one score, to which a path's container adds half of its own, and what tags and names say (article, nav, comment ...) is one
+weight of it. The paths over the threshold are content: all their blocks are kept, however short, and no block of another path.
 
 Fixed values: the tag and name lists below.
 
@@ -43,27 +43,42 @@ _NAMED = re.compile(r"(?:^|[\s\"'])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(
 _WORDS = re.compile(r"[a-z]+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 SMOOTH = (0.06, 0.24, 0.4, 0.24, 0.06)
-
-
-def _says(tag: str, attributes: str) -> int:
-    """-1: the element is no content by its tag, names or role; 1: it is by tag or names; 0: nothing said."""
-    if tag in AWAY:
-        return -1
-    said = 1 if tag in MAIN else 0
+#: A class like has-sidebar tells of a layout, not of the element.
+LAYOUT = {"has", "with", "no", "without", "layout"}
+HIDDEN = -3
+#: What a path's score is multiplied by: away by tag or role, away by name, nothing said, main.
+WEIGHT = {-2: 0.1, -1: 0.15, 0: 1.0, 1: 3.0}
+
+
+def _says(tag: str, attributes: str, above: int) -> int:
+    """A key of WEIGHT, or HIDDEN; above: what the parent says.
+
+    An article or main inside something that is away counts as main, unless its own names are away; other names don't.
+    """
+    if above == HIDDEN:
+        return HIDDEN
+    away = -2 if tag in AWAY else 0
+    strong = weak = tag in MAIN
+    named = False
     for m in _NAMED.finditer(attributes) if attributes else ():
         name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in ROLES_AWAY:
-            return -1
+        if name == "hidden" or name == "aria-hidden" and value == "true":
+            return HIDDEN
+        if name == "role":
+            away = -2 if value in ROLES_AWAY else away
+            strong = strong or value in ("main", "article")
         if name in ("class", "id"):
             for part in value.split():
                 words = _WORDS.findall(part)
-                if tag not in ("body", "html", "article", "main") and any(w in NAMES_AWAY for w in words):
-                    return -1
-                if any(w in NAMES_MAIN for w in words):
-                    said = 1
-        if name == "role" and value in ("main", "article"):
-            said = 1
-    return said
+                named = named or not LAYOUT.intersection(words) and any(w in NAMES_AWAY for w in words)
+                weak = weak or any(w in NAMES_MAIN for w in words)
+    if away:
+        return away
+    if named and (above < 0 or tag not in ("body", "html", "article", "main")):
+        return min(above, -1)
+    if strong:
+        return 1
+    return 1 if weak and above >= 0 else above
 
 
 def blocks(page: str) -> list[tuple[str, str, int, int]]:
@@ -130,8 +145,7 @@ def blocks(page: str) -> list[tuple[str, str, int, int]]:
         if tag not in INLINE:
             flush()
         above = stack[-1] if stack else ("", "", 0, False)
-        says = _says(tag, m[3])
-        says = -1 if above[2] < 0 else says or above[2]
+        says = _says(tag, m[3], above[2])
         if m[3].endswith("/"):
             continue
         step = tag
@@ -151,43 +165,50 @@ def blocks(page: str) -> list[tuple[str, str, int, int]]:
     return out
 
 
-def content_paths(found: list[tuple[str, str, int, int]]) -> set[str]:
-    """The paths whose fused and smoothed ratio is over the threshold."""
-    paths: dict[str, list[float]] = {}
+def _fused(blocks: int, size: int, marks: int, linked: int, smooth: float) -> float:
+    ratio = (size - linked) / blocks
+    return math.log1p(0.5 * ratio + 0.5 * smooth) * (1 + math.log1p(marks / blocks)) * math.log1p(size)
+
+
+def content_paths(found: list[tuple[str, str, int, int]]) -> set[tuple[str, int]]:
+    """The paths, each with what it says, whose fused and smoothed ratio is over the threshold."""
+    paths: dict[tuple[str, int], list[float]] = {}
     for path, text, linked, says in found:
-        row = paths.setdefault(path, [0, 0, 0, 0, says])
+        row = paths.setdefault((path, says), [0, 0, 0, 0, 0.0])
         row[0] += 1
         row[1] += len(text)
         row[2] += len(_PUNCTUATION.findall(text))
         row[3] += min(linked, len(text))
-    ratio = {p: (r[1] - r[3]) / r[0] for p, r in paths.items()}
-    marks = {p: r[2] / r[0] for p, r in paths.items()}
     # Smoothing: a block's ratio takes in its neighbours' along the page; a path has the mean of its blocks.
-    raw = [ratio[p] for p, *_ in found]
-    smooth = [sum(w * raw[min(max(i + k - 2, 0), len(raw) - 1)] for k, w in enumerate(SMOOTH)) for i in range(len(raw))]
-    total: dict[str, float] = dict.fromkeys(paths, 0.0)
-    for (p, *_), x in zip(found, smooth):
-        total[p] += x
+    raw = [(paths[p, says][1] - paths[p, says][3]) / paths[p, says][0] for p, _, _, says in found]
+    for i, (p, _, _, says) in enumerate(found):
+        paths[p, says][4] += sum(w * raw[min(max(i + k - 2, 0), len(raw) - 1)] for k, w in enumerate(SMOOTH))
+    # A container is what stands above a path and not above the whole page; a main one counts anyway.
+    steps = [p.split("/") for p, _ in paths]
+    shared = next((i for i, x in enumerate(zip(*steps)) if len(set(x)) > 1), min(map(len, steps), default=0))
+    above = {key: ("/".join(way[:-1]), key[1]) for key, way in zip(paths, steps) if len(way) - 1 > shared or key[1] > 0 and len(way) > 1}
+    held: dict[tuple[str, int], list[float]] = {}
+    for box in set(above.values()):
+        inside = [r for (p, says), r in paths.items() if says == box[1] and (p == box[0] or p.startswith(box[0] + "/"))]
+        held[box] = [sum(x) for x in zip(*inside)]
     fused = {}
-    for p, r in paths.items():
-        plain = 1 - r[3] / r[1]
-        fused[p] = math.log1p(0.5 * ratio[p] + 0.5 * total[p] / r[0]) * (1 + math.log1p(marks[p])) * plain * math.log1p(r[1])
+    for key, r in paths.items():
+        own = _fused(*r[:4], r[4] / r[0])
+        if key in above:
+            box = held[above[key]]
+            own = max(own, 0.5 * _fused(*box[:4], box[4] / box[0]))
+        fused[key] = own * (1 - r[3] / r[1]) * WEIGHT[key[1]]
     most = max(fused.values(), default=0.0)
-    says = {p: r[4] for p, r in paths.items()}
-    mains = [p for p in paths if says[p] > 0]
-    if mains:
-        # Something calls itself the article: the threshold only sorts out link lists inside it.
-        return {p for p in mains if paths[p][3] < 0.8 * paths[p][1] or re.search(r"(^|/)(p|h[1-6]|blockquote)(\.[^/]*)?$", p)}
     mean = sum(fused.values()) / max(len(fused), 1)
     spread = math.sqrt(sum((x - mean) ** 2 for x in fused.values()) / max(len(fused), 1))
-    limit = min(most, max(mean - 0.2 * spread, 0.1 * most))
-    return {p for p in paths if says[p] >= 0 and fused[p] >= limit}
+    limit = max(0.2 * most, min(mean - 0.2 * spread, 0.35 * most))
+    return {key for key, x in fused.items() if x >= limit}
 
 
 def main_text(page: str | None) -> str:
-    found = blocks(page or "")
-    kept = content_paths([b for b in found if b[3] >= 0])
-    return "\n".join(text for path, text, _, says in found if says >= 0 and path in kept)
+    found = [b for b in blocks(page or "") if b[3] != HIDDEN]
+    kept = content_paths(found)
+    return "\n".join(text for path, text, _, says in found if (path, says) in kept)
 
 
 def extract_text(df: DataFrame, keep: list[str], html_col: str = "html") -> DataFrame:

@@ -144,6 +144,20 @@ def test_article_by_ratios_only():
     assert html.main_text(PAGE.format(body=body)) == f"{PROSE}\n{PROSE} Again.\nTiny."
 
 
+def test_names_are_only_a_weight():
+    both = f"{PROSE}\n{PROSE} Again."
+    prose = both.replace("\n", "</p><p>")
+    meta = f"<div class='post-meta'>by X</div><div class=x1><p>{prose}</p></div>"
+    assert both in html.main_text(f"<body>{meta}</body>")
+    assert html.main_text(PAGE.format(body=meta)) in (both, f"by X\n{both}")
+    article = f"<article><h1>Title</h1><p>{prose}</p></article>"
+    for wrapper in ("div class='layout has-sidebar'", "div class='sidebar-layout'", "div id=page-header", "form", "div role=search"):
+        assert html.main_text(PAGE.format(body=f"<{wrapper}>{article}</{wrapper.split()[0]}>")) == f"Title\n{both}", wrapper
+    for wrapper in ("layout has-sidebar", "sidebar-layout", "content"):
+        assert html.main_text(PAGE.format(body=f"<div class='{wrapper}'><div class=x1><p>{prose}</p></div></div>")) == both, wrapper
+    assert html.main_text(f"<body><div hidden><p>{prose}</p></div><p>Seen, only this.</p></body>") == "Seen, only this."
+
+
 def test_odd_pages():
     assert html.main_text(None) == "" and html.main_text("") == ""
     assert html.main_text("just text") == "just text"
