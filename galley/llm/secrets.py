@@ -1,11 +1,12 @@
 """Secret scans with a recursive decoding worklist.
 
 A text is scanned for three kinds of secrets; then its encoded parts are unwrapped (URL escapes, Unicode escapes, base64, and
-gzip or zlib inside base64), each new layer is scanned and unwrapped again until nothing new turns up. A layer that was
-seen before, by its content, is not entered again, which ends cycles. Every layer carries, per character, the span of the original
+gzip or zlib inside base64, as deep as they are nested and through all their members), each new layer is scanned and unwrapped again
+until nothing new turns up. Base64 is read at all four alignments of a run, as it may be glued to a path or a name; of decoded bytes,
+every printable stretch is a layer. A layer that was seen before, by its content, is not entered again, which ends cycles. Every layer carries, per character, the span of the original
 text it came from, so a find in a deep layer is reported where its source stands.
 
-Fixed values: the patterns and least lengths below.
+Fixed values: the patterns and least lengths below, and the bytes unzipped at once, which nested zip bombs would have no end of.
 
 Edge cases: a null text counts as empty and has no spans; spans are code points of the original text, end exclusive; equal finds
 (same kind and place) from different layers are reported once; rows are independent; an empty table gives an empty table.
@@ -14,7 +15,6 @@ Edge cases: a null text counts as empty and has no spans; spans are code points
 from __future__ import annotations
 
 import base64
-import binascii
 import hashlib
 import re
 import zlib
@@ -31,10 +31,13 @@ ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:
 ASSIGN_LEAST = 12
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")  # 18 characters or more; a run that is too short holds no longer match
 HEX = re.compile(r"[0-9a-f]{16,}")
+UNZIPPED_MOST = 1 << 26
 
 _LINE = re.compile(r"[^\n]+")
 _ESCAPE = re.compile(r"\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\U[0-9A-Fa-f]{8}|&#x[0-9A-Fa-f]{1,6};|&#[0-9]{1,7};")
+_ZIPPED = re.compile(r"H4sI|eJ|eN|eA|eF")  # the first bytes of gzip and zlib in base64
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_PRINTABLE = re.compile(r"[^\x00-\x08\x0b\x0c\x0e-\x1f\x7f\udc80-\udcff]{12,}")
 _BYTES = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 
 
@@ -51,24 +54,39 @@ def scan(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
-def _readable(data: bytes) -> str | None:
-    """The text of bytes that are UTF-8 and hold no control characters but white space."""
-    try:
-        text = data.decode()
-    except UnicodeDecodeError:
-        return None
-    return text if text and all(c >= " " or c in "\t\n\r" for c in text) and "\x7f" not in text else None
+def _readable(data: bytes) -> list[tuple[int, str]]:
+    """(first byte, text) of the stretches of bytes that are UTF-8 without control characters but white space: all, or those long enough for a secret or a layer."""
+    text = data.decode("utf-8", "surrogateescape")
+    found = [(m.start(), m[0]) for m in _PRINTABLE.finditer(text)]
+    if not found:
+        whole = text and not re.search(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f\udc80-\udcff]", text)
+        return [(0, text)] if whole else []
+    out, at, past = [], 0, 0
+    for start, part in found:
+        past += len(text[at:start].encode("utf-8", "surrogateescape"))
+        out.append((past, part))
+        at = start
+    return out
 
 
-def _unzipped(data: bytes) -> bytes | None:
-    """What gzip or zlib data hold; deflate makes at most about 1,032 times its input of it, which bounds the layer."""
-    if data[:2] != b"\x1f\x8b" and not (data[:1] == b"\x78" and len(data) > 6 and (data[0] * 256 + data[1]) % 31 == 0):
-        return None
-    unpacker = zlib.decompressobj(47)
-    try:
-        return unpacker.decompress(data) + unpacker.flush()
-    except zlib.error:
-        return None
+def _unzipped(data: bytes) -> tuple[bytes, bool]:
+    """What gzip or zlib data hold, all members, up to where they are damaged or UNZIPPED_MOST is reached; whether that was all of data."""
+    out, room = [], UNZIPPED_MOST
+    while room > 0 and (data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and len(data) > 6 and (data[0] * 256 + data[1]) % 31 == 0):
+        unpacker, at = zlib.decompressobj(47), 0
+        try:
+            # In pieces, so that what stands before the damage is kept.
+            while at < len(data) and room > 0 and not unpacker.eof:
+                piece = unpacker.unconsumed_tail or data[at : at + 256]
+                at += 0 if unpacker.unconsumed_tail else len(piece)
+                out.append(unpacker.decompress(piece, room))
+                room -= len(out[-1])
+        except zlib.error:
+            break
+        if not unpacker.eof:
+            break
+        data = unpacker.unused_data + data[at:]
+    return b"".join(out), bool(out) and not data
 
 
 # A layer is (text, spans): spans[i] is the (start, end) in the original text of the layer's character i; None: the text itself.
@@ -129,32 +147,48 @@ def _escape_layers(text: str, spans):
         yield from _line_layers(text, spans, sign, _ESCAPE, _escape)
 
 
+def _decoded(data: bytes):
+    """(whether data itself, first byte, text) of the readable stretches of data and of what is unzipped from it, at any depth."""
+    work, seen, whole = [data], set(), True
+    while work:
+        data = work.pop()
+        plain, complete = _unzipped(data)
+        if plain:
+            mark = hashlib.sha256(plain).digest()
+            if mark not in seen:
+                seen.add(mark)
+                work.append(plain)
+        if not complete:
+            for at, text in _readable(data):
+                yield whole, at, text
+        whole = False
+
+
 def _base64_layers(text: str, spans):
     for m in _BASE64.finditer(text):
-        body = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-        if len(body) % 4 == 1:
-            continue
-        try:
-            data = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-        except (binascii.Error, ValueError):
-            continue
-        plain = _unzipped(data)
-        whole = _place(spans, m.start(), m.end())
-        if plain is not None:
-            found = _readable(plain)
-            if found:
-                yield found, [whole] * len(found)
-            continue
-        found = _readable(data)
-        if found is None:
-            continue
-        where, at = [], 0
-        for c in found:
-            width = len(c.encode())
-            first, last = at // 3 * 4 + at % 3, (at + width - 1) // 3 * 4 + (at + width - 1) % 3 + 2
-            where.append(_place(spans, m.start() + first, min(m.start() + last, m.end())))
-            at += width
-        yield found, where
+        run = m[0].rstrip("=").replace("-", "+").replace("_", "/")
+        # What is glued to the front shifts the blob by any number of characters: all alignments, and zipped data from where they start.
+        starts = {0, 1, 2, 3, *(d.start() for d in _ZIPPED.finditer(run))}
+        for shift in sorted(starts):
+            body = run[shift:]
+            body = body[: len(body) - (len(body) % 4 == 1)]
+            if len(body) < 16 and shift:
+                continue
+            data = base64.b64decode(body + "=" * (-len(body) % 4))
+            if shift > 3 and not _unzipped(data)[0]:
+                continue  # a part of what its alignment gave
+            start = m.start() + shift
+            for direct, at, found in _decoded(data):
+                if not direct:
+                    yield found, [_place(spans, start, m.end())] * len(found)
+                    continue
+                where = []
+                for c in found:
+                    width = len(c.encode())
+                    first, last = at // 3 * 4 + at % 3, (at + width - 1) // 3 * 4 + (at + width - 1) % 3 + 2
+                    where.append(_place(spans, start + first, min(start + last, m.end())))
+                    at += width
+                yield found, where
 
 
 def layers(text: str):

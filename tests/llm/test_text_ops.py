@@ -89,6 +89,36 @@ def test_layers_are_unwrapped_and_mapped(wrap):
         assert 7 <= start < end <= 7 + len(coded)
 
 
+def _b64(data):
+    return base64.b64encode(data).decode()
+
+
+@pytest.mark.parametrize(
+    "coded",
+    [
+        _b64(gzip.compress(gzip.compress(SECRET.encode()))),
+        _b64(gzip.compress(zlib.compress(SECRET.encode()))),
+        _b64(gzip.compress(b"first") + gzip.compress(SECRET.encode())),
+        *(glue + _b64(SECRET.encode()) for glue in ("https://h/path/", "key_", "ab", "abc", "abcde")),
+        *(glue + _b64(zip_(SECRET.encode())) for glue in ("https://h/path/", "key_", "ab", "a/bc/", "name-x-") for zip_ in (gzip.compress, zlib.compress)),
+        _b64(SECRET.encode()).rstrip("=") + "xyz"[: (1 - len(_b64(SECRET.encode()).rstrip("="))) % 4],
+        _b64(b"\x00\x01" + SECRET.encode() + b"\xff\xfe"),
+        _b64(b"x " + SECRET.encode()),
+        _b64(gzip.compress(bytes(9000) + SECRET.encode()) + b"tail"),
+        _b64(b"\xff" + _b64(gzip.compress(b"\x00" + SECRET.encode())).encode() + b"\x07"),
+    ],
+)
+def test_layers_are_a_fixpoint(coded):
+    found = [x for x in spans_of(f"before {coded} after") if x[2] == "assign"]
+    assert found
+    for start, end, _ in found:
+        assert 7 <= start < end <= 7 + len(coded)
+
+
+def test_exact_map_in_partly_binary_base64():
+    assert spans_of("before " + _b64(b"\x00\xff\x01" + SECRET.encode() + b"\x00")) == [(11, 41, "assign")]
+
+
 def test_exact_map_in_percent_text():
     t = "é pass%77ord=abcdefghijkl z"
     assert spans_of(t) == [(2, len(t) - 2, "assign")]
