@@ -96,6 +96,19 @@ bind(
 )
 bind("issues_order", lambda v: windows.issues_order(v.issue.filter("journal_id = 4")).select("id", "year", "number").limit(20), "SELECT id, year, number FROM v_issue WHERE journal_id = 4 ORDER BY year DESC, greatest(number, 0) DESC, id DESC LIMIT 20")
 bind("issues_order_public", lambda v: windows.issues_order(v.issue.filter("journal_id = 4"), True).select("id", "year", "number").limit(20), "SELECT id, year, number FROM v_issue WHERE journal_id = 4 ORDER BY position, id DESC LIMIT 20")
+#: The whole sorts; those above are their first pages.
+bind(
+    "natural_sort_whole",
+    lambda v: windows.natural_sort(v.snap_new.select("path"), "path"),
+    "SELECT path FROM v_snap_new ORDER BY lower(split_part(split_part(path, '/', 1), '_', 1)), CAST(split_part(split_part(path, '/', 1), '_', 2) AS int), path LIKE '%', CAST(split_part(path, '/', 2) AS int), CAST(substr(split_part(path, '/', 3), 5, 2) AS int), CAST(split_part(split_part(path, '/', 5), '.', 1) AS int), path",
+)
+bind(
+    "folder_order_whole",
+    lambda v: windows.folder_order(v.sql("SELECT CASE WHEN id % 2 = 0 THEN concat('Rt_', CAST(id AS string)) ELSE concat('rt_', CAST(id AS string)) END AS name, id % 3 = 0 AS is_dir FROM v_article")),
+    "SELECT CASE WHEN id % 2 = 0 THEN 'Rt_' ELSE 'rt_' END || CAST(id AS varchar) AS name, id % 3 = 0 AS is_dir FROM v_article ORDER BY is_dir DESC, id",
+)
+bind("issues_order_whole", lambda v: windows.issues_order(v.issue).select("id", "year", "number"), "SELECT id, year, number FROM v_issue ORDER BY year DESC, greatest(number, 0) DESC, id DESC")
+bind("issues_order_public_whole", lambda v: windows.issues_order(v.issue, True).select("id", "year", "number"), "SELECT id, year, number FROM v_issue ORDER BY position, id DESC")
 bind("years_of_journal", lambda v: windows.years_of_journal(v.issue, 9), "SELECT DISTINCT year FROM v_issue WHERE journal_id = 9 AND year > 0 AND deleted_at IS NULL ORDER BY year DESC")
 RECORDED = "SELECT article_id, concat('c', CAST(person AS string)) AS code FROM v_author WHERE ord % 3 <> 0"
 PRINTED = "SELECT article_id, concat('c', CAST(person AS string)) AS code FROM v_author WHERE ord % 2 = 1"
