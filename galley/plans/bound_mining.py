@@ -73,6 +73,11 @@ bind(
     lambda v: m.surname_by_translit(v.author.filter("ord = 1").select("article_id", F.col("ord").alias("pos"), F.col("surname_ru").alias("surname")), v.author.filter("ord = 1").select("article_id", F.explode(F.array("surname_en", "ini", F.lit("Institute"))).alias("word"))),
     "SELECT article_id, ord AS pos, surname_en AS word FROM v_author WHERE ord = 1",
 )
+bind(
+    "surname_by_translit_whole",
+    lambda v: m.surname_by_translit(v.author.select("article_id", F.col("ord").alias("pos"), F.col("surname_ru").alias("surname")), v.author.select("article_id", F.explode(F.array("surname_en", "ini", F.lit("Institute"))).alias("word"))),
+    "SELECT article_id, ord AS pos, surname_en AS word FROM v_author",
+)
 bind(
     "equalize_keywords",
     lambda v: m.equalize_keywords(v.article.select(F.col("id").alias("doc_id"), F.array(F.lit("сеть связи"), F.lit("сс"), F.lit("поле")).alias("ru"), F.when(F.col("id") % 2 == 0, F.array(F.lit("network"), F.lit("field"))).otherwise(F.array(F.lit("network"), F.lit("n"), F.lit("field"))).alias("en"))).select("doc_id", F.array_join("ru", "|").alias("ru"), F.array_join("en", "|").alias("en")),
