@@ -1,34 +1,42 @@
 """Language-model scores by cross-entropy difference.
 
-A target model (bigrams of the documents chosen as target) and a background model (bigrams of all documents) are matched:
-same tokens, one shared vocabulary, same order, same smoothing. A document's score is the mean over its tokens of the background
-loss minus the target loss, so that higher means more like the target.
-
-The vocabulary is every token of the documents, and every bigram is kept with its counts in a written table. A token has a code:
-a small number for the `NUMBERED` most frequent ones, 63 bits of its hash for the others. Documents meet the table in a join on the
-bigram; the `SHARED` most frequent n-grams, which would be the join's hot keys, are looked up in a broadcast of fixed size instead.
+A target model (bigrams of the documents chosen as target) and a background model (bigrams of all documents) are matched: same
+tokens, one shared vocabulary (every token of the documents), same order, same smoothing. A document's score is the mean over its
+predictions (its tokens and its end) of the background loss minus the target loss, so that higher means more like the target.
 
 Smoothing: p(w | v) = (c(v, w) + K p(w)) / (c(v) + K) with p(w) = (c(w) + 1) / (N + V + 1). Its logarithm is the sum of
 
     -log(N + V + 1),  log(c(w) + 1),  -log(1 + c(v) / K)  and  log(1 + c(v, w) / (K p(w))),
 
-whose last three are 0 for what was never counted, so n-grams that the table lacks need no row.
+whose last three are 0 for what was never counted. Every token and every bigram counts, however rare.
+
+The jobs, each one pass over the texts:
+
+1. Counts of all tokens, and bigrams that are frequent in some stretch of `BUFFER` tokens.
+2. Bigrams. The `SHARED` most frequent ones, which would be hot keys, are counted before they are moved. All others are moved once to
+   the part of their key with the documents that they stand in; a part counts its bigrams in both models and at once replies to each
+   stretch of documents with what they add beyond what a bigram that stands nowhere else would add. A bigram that is not shared stands at most so often: `HEAVY` times
+   in any `BUFFER` tokens, or less often than `SHARED` others. Rare tokens (not among the `NUMBERED` ones) go the same way.
+3. Scores: the shared bigrams and numbered tokens by broadcast tables of fixed size, others as if they stood nowhere else, and the replies.
 
-Edge cases: a null text counts as empty; no tokens: losses null, score 0; a corpus without target documents gives the target model
-its uniform prior; `vocabulary` keeps only so many tokens, ties go by the token, the others are <unk>; equal rows score alike; an
-empty table gives an empty one.
+Which documents are chosen is told by a Bloom filter of fixed size and the list of the documents it wrongly lets through; where that
+list is longer than `WRONG_MOST`, by a join that moves the texts. Either way the marks are exact.
+
+Tokens and bigrams are known by 64-bit hashes. Documents are known by the hashes of id and text, so equal rows are one key.
+
+Edge cases: a null text counts as empty; no tokens: losses null, score 0; a null id is never chosen; a corpus without chosen documents
+gives the target model its uniform prior; equal rows score alike; an empty table gives an empty one; clashing names don't matter.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
-from collections import Counter
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,208 +45,396 @@ from .common import bounded_batches, stored
 
 TOKENS = re.compile(r"\w+|[^\w\s]")
 STRENGTH = 8.0
-NUMBERED, SHARED = 1 << 17, 1 << 19
-#: Tokens counted at once, and codes of rare tokens that a worker remembers.
-BUFFER, REMEMBERED = 3_000_000, 300_000
-#: Codes: 0 stands for any token, 3 and up are numbered tokens, negative ones are hashes.
-ANY, START, UNKNOWN, FIRST, SHIFT = 0, 1, 2, 3, 20
+NUMBERED, SHARED, HEAVY = 1 << 17, 1 << 19, 32
+#: Tokens and documents held at once, hashes of tokens that a worker remembers, tokens of the corpus for each part.
+BUFFER, BUFFER_DOCS, REMEMBERED, PART_TOKENS, PARTS_LEAST = 3_000_000, 30_000, 500_000, 10_000_000, 16
+#: Bits of the Bloom filter of chosen ids, and wrong ids that are listed at most.
+BLOOM_BITS, WRONG_MOST = 1 << 26, 1 << 20
+#: The start and the end of a document, as context and as what is predicted.
+EDGE = np.uint64(xxhash.xxh64_intdigest(b""))
+SLICE = 1 << 16
+#: A number of a document in its stretch has this bit where the document is chosen.
+CHOSEN = 1 << 15
+DOCS, HOT, TOKEN, PAIR, RARE, REPLY = range(6)
 
 
 def tokens(text: str | None) -> list[str]:
     return TOKENS.findall((text or "").lower())
 
 
-def token_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(token, n) over all documents."""
+class _Codes(dict):
+    """token -> its hash, filled as tokens turn up."""
 
-    def run(batches):
-        counted: Counter = Counter()
-        for batch in batches:
-            for value in batch.column("text"):
-                counted.update(tokens(value.as_py()))
-            if len(counted) > 200_000:
-                yield _counted(counted)
-                counted = Counter()
-        yield _counted(counted)
+    def __missing__(self, token: str) -> int:
+        if len(self) > REMEMBERED:
+            self.clear()
+        code = self[token] = xxhash.xxh64_intdigest(token.encode("utf-8", "surrogatepass"))
+        return code
 
-    part = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "token string, n long")
-    return part.groupBy("token").agg(F.sum("n").alias("n"))
+    def of(self, text: str | None) -> np.ndarray:
+        found = tokens(text)
+        return np.fromiter(map(self.__getitem__, found), np.uint64, len(found))
 
 
-def _counted(counted: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(counted), pa.string()), pa.array(list(counted.values()), pa.int64())], names=["token", "n"])
+def _pairs(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(v, w, number of the document) of all bigrams of documents that have tokens."""
+    sizes = np.array([len(p) + 1 for p in parts])
+    ends, flat = np.cumsum(sizes), np.concatenate(parts)
+    inner = np.ones(ends[-1], bool)
+    v, w = np.full(len(inner), EDGE), np.full(len(inner), EDGE)
+    inner[ends - 1] = False
+    w[inner] = flat
+    inner[ends - 1], inner[ends - sizes] = True, False
+    v[inner] = flat
+    return v, w, np.repeat(np.arange(len(parts)), sizes)
 
 
-class _Codes(dict):
-    """token -> code, filled as tokens turn up."""
+def _keys(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    x = v * np.uint64(0x9E3779B97F4A7C15) + w
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
 
-    def __init__(self, known: dict[str, int], limited: bool):
-        super().__init__(known)
-        self.known, self.limited = known, limited
 
-    def __missing__(self, token: str) -> int:
-        if self.limited:
-            return UNKNOWN
-        if len(self) > len(self.known) + REMEMBERED:
-            self.clear()
-            self.update(self.known)
-            return self[token]
-        code = int.from_bytes(hashlib.blake2b(token.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) | -(1 << 63)
-        self[token] = code
-        return code
+def _at(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where keys stand in a sorted table, and whether they do."""
+    if not len(table):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return at, table[at] == keys
 
-    def of(self, text: str | None) -> np.ndarray:
-        """<s> and the codes of the text's tokens; empty without tokens."""
-        found = tokens(text)
-        return np.array([START, *map(self.__getitem__, found)], np.int64) if found else np.empty(0, np.int64)
 
+def _planes(values: np.ndarray, kind: type) -> bytes:
+    """The bytes of values, the lowest ones first, then the next ones: high bytes are mostly zero and compress to nothing."""
+    return np.ascontiguousarray(values.astype(kind).view(np.uint8).reshape(len(values), -1).T).tobytes()
 
-def _summed(v: np.ndarray, w: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Each pair once, with the sums of its counts."""
-    order = np.lexsort((w, v))
-    v, w = v[order], w[order]
-    first = np.flatnonzero(np.concatenate(([True], (v[1:] != v[:-1]) | (w[1:] != w[:-1]))))
-    return v[first], w[first], *(np.add.reduceat(c[order], first) for c in counts)
 
+def _whole(data: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
-def gram_counts(docs: DataFrame, codes: Broadcast, target: str, text_col: str = "text") -> DataFrame:
-    """(v, w, background, target): how often w follows v in all documents and in those whose column `target` is true.
 
-    v = 0: the word w after anything; w = 0: v before anything.
-    """
+# ---- which documents are chosen
 
-    def counted(parts, marks):
-        v, w = (np.concatenate([p[a:b] for p in parts]) for a, b in ((None, -1), (1, None)))
-        chosen = np.repeat(np.array(marks, np.int64), [len(p) - 1 for p in parts])
-        pairs = _summed(v, w, np.ones(len(v), np.int64), chosen)
-        none = np.zeros(len(pairs[0]), np.int64)
-        for made in (pairs, _summed(none, pairs[1], *pairs[2:]), _summed(pairs[0], none, *pairs[2:])):
-            for low in range(0, len(made[0]), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c[low : low + 100_000]) for c in made], names=["v", "w", "background", "target"])
 
-    def run(batches):
-        of, parts, marks, held = _Codes(*codes.value).of, [], [], 0
+class Chosen(NamedTuple):
+    docs: DataFrame  # with the columns kept, mark, mate (hashes of id and text; mark 0: no id), text and, after a join, target
+    flags: Callable[[pa.RecordBatch], np.ndarray]
+
+
+def _let_through(words, wrong, marks: np.ndarray) -> np.ndarray:
+    found, a, b = marks != 0, marks & 0xFFFFFFFF, (marks >> 32) & 0xFFFFFFFF | 1
+    for i in range(4):
+        at = (a + i * b) & (len(words) * 64 - 1)
+        found &= (words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+    return found & ~_at(wrong, marks)[1]
+
+
+def with_marks(docs: DataFrame, chosen: DataFrame, keep: list[str], id_col: str, text_col: str) -> Chosen:
+    spark = docs.sparkSession
+    key, text = F.col(f"`{id_col}`"), F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    mark = F.when(key.isNull(), 0).otherwise(F.xxhash64(key))
+    kind = docs.select(key).schema[0].dataType
+    ids = chosen.select(F.col(f"`{id_col}`").cast(kind).alias("chosen")).filter("chosen IS NOT NULL").distinct()
+    hashed = ids.select(F.xxhash64("chosen").alias("h"))
+    spots = F.explode(F.array(*[F.expr(f"((h & 4294967295) + {i} * (shiftrightunsigned(h, 32) | 1)) & {BLOOM_BITS - 1}") for i in range(4)]))
+    rows = hashed.select(spots.alias("spot")).groupBy(F.expr("cast(shiftright(spot, 6) AS int)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(spot & 63 AS int)))").alias("bits")).toPandas()
+    words = np.zeros(BLOOM_BITS >> 6, np.uint64)
+    words[rows["word"].to_numpy()] = rows["bits"].to_numpy().astype(np.int64).view(np.uint64)
+    sent = spark.sparkContext.broadcast(words)
+
+    def suspects(batches):
         for batch in batches:
-            for value, chosen in zip(batch.column("text"), batch.column("target").to_pylist()):
-                part = of(value.as_py())
-                if len(part):
-                    parts.append(part)
-                    marks.append(chosen)
-                    held += len(part)
-                if held > BUFFER:
-                    yield from counted(parts, marks)
-                    parts, marks, held = [], [], 0
-        if parts:
-            yield from counted(parts, marks)
-
-    part = docs.select(F.col(text_col).alias("text"), F.coalesce(F.col(target), F.lit(False)).alias("target")).mapInArrow(run, "v long, w long, background long, target long")
-    return part.groupBy("v", "w").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
-
-
-def least_count(counts: DataFrame, column: str, most: int) -> int:
-    """A count that at most `most` rows reach, by a histogram of sixteen steps a doubling."""
-    step = F.floor(F.log2(F.col(column)) * 16)
-    above = 0
-    for r in sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("rows"), F.min(column).alias("least"), F.max(column).alias("most")).collect(), key=lambda r: -r["step"]):
-        above += r["rows"]
-        if above > most:
-            return r["most"] + 1
-    return 1
+            yield batch.filter(pa.array(_let_through(sent.value, np.empty(0, np.int64), batch.column("mark").to_numpy())))
 
+    told = docs.select(key.alias("chosen"), mark.alias("mark"))
+    wrong = told.mapInArrow(suspects, told.schema).join(ids, "chosen", "left_anti").select("mark").distinct().limit(WRONG_MOST + 1).toPandas()["mark"].to_numpy()
+    base = [F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept"), mark.alias("mark"), F.xxhash64(text).alias("mate"), text.alias("text")]
+    if len(wrong) > WRONG_MOST:
+        joined = docs.select(key.alias("chosen"), *base).join(ids.withColumn("target", F.lit(True)).hint("merge"), "chosen", "left").drop("chosen")
+        return Chosen(joined, lambda batch: batch.column("target").fill_null(False).to_numpy(zero_copy_only=False))
+    listed = spark.sparkContext.broadcast(np.sort(wrong.astype(np.int64)))
+    return Chosen(docs.select(*base), lambda batch: _let_through(sent.value, listed.value, batch.column("mark").to_numpy()))
 
-class Model(NamedTuple):
-    codes: Broadcast  # (numbered tokens, whether all others are <unk>)
-    grams: DataFrame  # (v, w, background, target, word_background, word_target)
-    shared_from: int  # n-grams with so many in the background are broadcast
-    totals: tuple[int, int]  # N + V + 1 of target and background
-    strength: float
 
+class Stretch(NamedTuple):
+    """Documents with tokens, as many as are held at once."""
 
-def marked(docs: DataFrame, chosen: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(text, target): texts and whether their id is among chosen.
+    parts: list[np.ndarray]
+    chosen: np.ndarray
+    marks: np.ndarray
+    mates: np.ndarray
 
-    The ids grow with the documents, so neither side is broadcast, small or not: texts move once, at every size.
-    """
-    ids = chosen.select(F.col(id_col), F.lit(True).alias("target")).distinct().hint("merge")
-    return docs.select(id_col, F.col(text_col).alias("text")).join(ids, id_col, "left").select("text", "target")
 
+def _stretches(batches, flags, limits: tuple[int, int]) -> Iterator[Stretch]:
+    codes, parts, rows, held = _Codes(), [], [], 0
+    made = lambda: Stretch(parts, *(np.array(x) for x in zip(*rows)))
+    for batch in batches:
+        marks, mates = (batch.column(c).to_numpy() for c in ("mark", "mate"))
+        for value, *row in zip(batch.column("text"), flags(batch), marks, mates):
+            part = codes.of(value.as_py())
+            if not len(part):
+                continue
+            parts.append(part)
+            rows.append(row)
+            held += len(part)
+            if held > limits[0] or len(parts) == limits[1]:
+                yield made()
+                parts, rows, held = [], [], 0
+    if parts:
+        yield made()
 
-def fit(docs: DataFrame, target: str, text_col: str = "text", vocabulary: int | None = None, strength: float = STRENGTH, counted: DataFrame | None = None) -> Model:
-    """Both models, as one table of n-gram counts.
 
-    vocabulary: only the so many most frequent tokens; None: all.
-    counted: the same documents without the column target, where that saves a join for the token counts.
-    """
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    counts = stored(token_counts(docs if counted is None else counted, text_col), "tokens")
-    if vocabulary is None:
-        numbered, size = counts.filter(F.col("n") >= least_count(counts, "n", NUMBERED)), counts.count()
-    else:
-        numbered = counts.orderBy(F.desc("n"), "token").limit(vocabulary)
-    listed = [r["token"] for r in numbered.select("token").collect()]
-    size = len(listed) if vocabulary is not None else size
-    codes = spark.sparkContext.broadcast(({t: i for i, t in enumerate(sorted(listed), FIRST)}, vocabulary is not None))
-    grams = stored(gram_counts(docs, codes, target, text_col), "grams")
-    totals = grams.filter(F.col("v") == ANY).agg(F.coalesce(F.sum("target"), F.lit(0)), F.coalesce(F.sum("background"), F.lit(0))).first()
-    # What stands after v = ANY are the words; the numbered ones are at most NUMBERED + 2 rows.
-    words = grams.filter(F.col("v") == ANY).select("w", F.col("background").alias("word_background"), F.col("target").alias("word_target"))
-    pairs = grams.filter((F.col("v") != ANY) & (F.col("w") != ANY))
-    near = pairs.filter(F.col("w") > 0).join(F.broadcast(words.filter(F.col("w") > 0)), "w")
-    far = pairs.filter(F.col("w") < 0).join(words.filter(F.col("w") < 0).hint("merge"), "w")
-    single = grams.filter((F.col("v") == ANY) | (F.col("w") == ANY)).withColumns({"word_background": F.lit(0).cast("long"), "word_target": F.lit(0).cast("long")})
-    table = near.unionByName(far).unionByName(single)
-    return Model(codes, table, least_count(grams.filter((F.col("v") >= 0) & (F.col("w") >= 0)), "background", SHARED), tuple(n + size + 1 for n in totals), strength)
-
-
-def _weights(model: Model) -> list:
-    """What an n-gram adds to the log-probability in each model, as columns t and b."""
-    out = []
-    for name, c, total in zip("tb", ("target", "background"), model.totals):
-        n, k = F.col(c), F.lit(float(model.strength))
-        prior = (F.col(f"word_{c}") + 1) / F.lit(float(total))
-        out.append(F.when(F.col("v") == ANY, F.log1p(n)).when(F.col("w") == ANY, -F.log1p(n / k)).otherwise(F.log1p(n / (k * prior))).alias(name))
-    return out
-
-
-def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns in keep, n_tokens, target_loss and background_loss (nats a token) and score."""
+# ---- 1: tokens and frequent bigrams
+
+
+def token_counts(marked: Chosen) -> DataFrame:
+    """(pair, key, background, target): all tokens (pair false), and bigrams (pair true, target 0) with the occurrences of those stretches where they are frequent."""
+    flags, limits = marked.flags, (BUFFER, BUFFER_DOCS)
+
+    def run(batches):
+        for held in _stretches(batches, flags, limits):
+            v, w, doc = _pairs(held.parts)
+            key, at, n = np.unique(w, return_inverse=True, return_counts=True)
+            pair, m = np.unique(_keys(v, w), return_counts=True)
+            pair, m = pair[m >= HEAVY], m[m >= HEAVY]
+            columns = (np.repeat([False, True], [len(key), len(pair)]), np.concatenate((key, pair)).view(np.int64), np.concatenate((n, m)), np.concatenate((np.bincount(at[held.chosen[doc]], minlength=len(key)), 0 * m)))
+            for low in range(0, len(columns[0]), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[low : low + 100_000]) for c in columns], names=["pair", "key", "background", "target"])
+
+    part = marked.docs.drop("kept").mapInArrow(run, "pair boolean, key long, background long, target long")
+    return part.groupBy("pair", "key").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
+
+
+def most_frequent(counts: DataFrame, most: int) -> DataFrame:
+    """Rows with at least such a background count as `most` rows at most have, by a histogram of sixteen steps a doubling."""
+    step = F.floor(F.log2("background") * 16)
+    above, least = 0, 1
+    for r in sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("rows"), F.max("background").alias("most")).collect(), key=lambda r: -r["step"]):
+        above += r["rows"]
+        if above > most:
+            least = r["most"] + 1
+            break
+    return counts.filter(F.col("background") >= least)
+
+
+class Model(NamedTuple):
+    """What every task gets, of a size that NUMBERED and SHARED fix."""
+
+    known: np.ndarray  # hashes of the numbered tokens, sorted
+    counts: np.ndarray  # 2 x known: their counts in background and target
+    shared: np.ndarray  # keys of the shared bigrams, sorted
+    totals: tuple[int, int]  # N + V + 1 of background and target
+    strength: float
+
+    def priors(self, i: int, count: np.ndarray) -> np.ndarray:
+        return (count + 1) / self.totals[i]
+
+    def token_weight(self, count: np.ndarray) -> np.ndarray:
+        """What a token adds, as what is predicted and as context."""
+        return np.log1p(count) - np.log1p(count / self.strength)
+
+    def pair_weight(self, count: np.ndarray | int, prior: np.ndarray) -> np.ndarray:
+        return np.log1p(count / (self.strength * prior))
+
+
+def fit_tokens(marked: Chosen, strength: float) -> tuple[Model, int]:
+    """The model without the counts of shared bigrams, and the number of parts for the others."""
+    counted = stored(token_counts(marked), "lm-tokens")
+    words = counted.filter("NOT pair")
+    size, *sums = words.agg(F.count("*"), F.coalesce(F.sum("background"), F.lit(0)), F.coalesce(F.sum("target"), F.lit(0))).first()
+    edge = F.col("key") == F.lit(int(EDGE.view(np.int64)))
+    numbered = most_frequent(words.filter(~edge), NUMBERED).unionByName(words.filter(edge)).toPandas()
+    shared = most_frequent(counted.filter("pair"), SHARED).select("key").toPandas()
+    hashes = numbered["key"].to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    counts = numbered[["background", "target"]].to_numpy().astype(np.int64).T[:, order]
+    model = Model(hashes[order], counts, np.sort(shared["key"].to_numpy().astype(np.int64).view(np.uint64)), tuple(n + size + 1 for n in sums), strength)
+    return model, max(PARTS_LEAST, sums[0] // PART_TOKENS)
+
+
+# ---- 2: bigrams, counted and replied to
+
+
+def _moved(kind: int, parts: int, part, key, doc, prior, prior_kind):
+    """(part, kind, keys, seen, prior, docs) of each part: its distinct keys, how often each stands there and in which documents."""
+    if not len(key):
+        return
+    order = np.lexsort((key, part))
+    part, key, doc, prior = (x[order] for x in (part, key, doc, prior))
+    first = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (part[1:] != part[:-1]))))
+    ends = np.append(first[1:], len(key))
+    cuts = np.searchsorted(part[first], np.arange(parts + 1))
+    for p in np.flatnonzero(np.diff(cuts)):
+        own = slice(cuts[p], cuts[p + 1])
+        at = first[own]
+        yield int(p), kind, _planes(np.diff(key[at], prepend=np.uint64(0)), np.uint64), _planes(ends[own] - at, np.uint32), _planes(prior[at], prior_kind), _planes(doc[at[0] : ends[own][-1]], np.uint16)
+
+
+def moved_grams(marked: Chosen, model, parts: int) -> DataFrame:
+    flags, limits, names = marked.flags, (BUFFER, BUFFER_DOCS), ["part", "kind", "keys", "seen", "prior", "docs"]
+
+    def rows_of(held: Stretch):
+        m: Model = model.value
+        v, w, doc = _pairs(held.parts)
+        chosen, key = held.chosen[doc], _keys(v, w)
+        number, known = _at(m.known, w)
+        at, hot = _at(m.shared, key)
+        hot &= known
+        seen, hit = (np.bincount(at[x], minlength=len(m.shared)) for x in (hot, hot & chosen))
+        for low in range(0, len(seen), SLICE):
+            here = np.flatnonzero(seen[low : low + SLICE])
+            if len(here):
+                yield -1 - low // SLICE, HOT, _planes(here, np.uint16), _planes(seen[low + here], np.uint32), _planes(hit[low + here], np.uint32), b""
+        many, doc = np.uint64(parts), doc | chosen * CHOSEN
+        for kind, own, prior, by, prior_kind in ((PAIR, ~hot & known, number, key, np.uint32), (RARE, ~known, w, w, np.uint64)):
+            yield from _moved(kind, parts, ((by[own] >> np.uint64(16)) % many).astype(np.int64), key[own], doc[own], prior[own], prior_kind)
+        own = ~known
+        yield from _moved(TOKEN, parts, ((w[own] >> np.uint64(16)) % many).astype(np.int64), w[own], doc[own], w[own], np.uint64)
+        yield int(np.uint64(held.marks[0] ^ held.mates[0]) % many), DOCS, held.marks.astype(np.int64).tobytes(), held.mates.astype(np.int64).tobytes(), b"", b""
+
+    def run(batches):
+        partition, no = None, 0
+
+        def watched():
+            nonlocal partition
+            for batch in batches:
+                if partition is None and len(batch):
+                    partition = batch.column("partition")[0].as_py()
+                yield batch
+
+        for held in _stretches(watched(), flags, limits):
+            columns = list(zip(*rows_of(held)))
+            no += 1
+            kinds = [pa.int32(), pa.int32()] + [pa.binary()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array([(partition << 32) + no] * len(columns[0]), pa.int64()), *map(pa.array, columns, kinds)], names=["stretch", *names])
+
+    told = marked.docs.drop("kept").withColumn("partition", F.spark_partition_id().cast("long"))
+    return told.mapInArrow(run, "stretch long, part int, kind int, keys binary, seen binary, prior binary, docs binary")
+
+
+def _counted_part(model, most_docs: int):
+    """One part: counts of its bigrams and tokens in both models, and what they add to the documents of each stretch."""
+    names = ["stretch", "kind", "docs", "background", "target"]
+
+    def out(rows) -> pa.Table:
+        columns = list(zip(*rows)) or [[]] * 5
+        return pa.table([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=names)
+
+    def run(table: pa.Table) -> pa.Table:
+        m: Model = model.value
+        part, rows = table.column("part")[0].as_py(), table.drop_columns(["part"]).to_pydict()
+        rows = list(zip(*(rows[c] for c in ("stretch", "kind", "keys", "seen", "prior", "docs"))))
+        if part < 0:
+            sums = np.zeros((2, SLICE), np.int64)
+            for _, _, keys, *counts, _ in rows:
+                for i in (0, 1):
+                    sums[i, _whole(keys, np.uint16)] += _whole(counts[i], np.uint32)
+            return out([(-1 - part, HOT, b"", sums[0].tobytes(), sums[1].tobytes())])
+        done = [(stretch, DOCS, keys, seen, b"") for stretch, kind, keys, seen, _, _ in rows if kind == DOCS]
+        replies: dict[int, np.ndarray] = {}
+        words = np.empty(0, np.uint64), np.empty((2, 0))
+        for kind in (TOKEN, PAIR, RARE):
+            own = [r for r in rows if r[1] == kind]
+            if not own:
+                continue
+            # Sums of 64-bit deltas give the keys back, in each row from its own start.
+            keys, at = np.unique(np.concatenate([np.cumsum(_whole(r[2], np.uint64), dtype=np.uint64) for r in own]), return_inverse=True)
+            seen, docs = [_whole(r[3], np.uint32).astype(np.int64) for r in own], [_whole(r[5], np.uint16) for r in own]
+            hit = [np.add.reduceat(d // CHOSEN, np.cumsum(n) - n, dtype=np.int64) for d, n in zip(docs, seen)]
+            sums = np.stack([np.bincount(at, np.concatenate(x), len(keys)) for x in (seen, hit)])
+            lone = [np.zeros(len(keys))] * 2  # what pass 3 adds by itself
+            if kind == TOKEN:
+                words, weights = (keys, sums), [m.token_weight(c) for c in sums]
+            else:
+                prior = np.zeros(len(keys), np.uint64)
+                prior[at] = np.concatenate([_whole(r[4], np.uint32 if kind == PAIR else np.uint64) for r in own])
+                counts = m.counts[:, prior.astype(np.int64)] if kind == PAIR else words[1][:, np.searchsorted(words[0], prior)]
+                priors = [m.priors(i, counts[i]) for i in (0, 1)]
+                weights = [m.pair_weight(c, p) for c, p in zip(sums, priors)]
+                if kind == PAIR:
+                    lone = [m.pair_weight(1, p) for p in priors]
+            low = 0
+            for r, n, d in zip(own, seen, docs):
+                mine = np.repeat(at[low : low + len(n)], n)
+                low += len(n)
+                reply = replies.setdefault(r[0], np.zeros((2, most_docs)))
+                for i, alone in ((0, 1), (1, d // CHOSEN)):
+                    reply[i] += np.bincount(d % CHOSEN, weights[i][mine] - lone[i][mine] * alone, most_docs)
+        for stretch, reply in replies.items():
+            docs = np.flatnonzero(reply.any(axis=0))
+            if len(docs):
+                done.append((stretch, REPLY, _planes(docs, np.uint16), *(reply[i, docs].astype(np.float32).tobytes() for i in (0, 1))))
+        return out(done)
+
+    return run
+
+
+def _summed_stretch(most_docs: int):
+    def run(table: pa.Table) -> pa.Table:
+        """(mark, mate, background, target) of the documents of one stretch."""
+        rows, sums = table.to_pydict(), np.zeros((2, most_docs))
+        marks = mates = np.empty(0, np.int64)
+        for kind, docs, *added in zip(*(rows[c] for c in ("kind", "docs", "background", "target"))):
+            if kind == DOCS:
+                marks, mates = np.frombuffer(docs, np.int64), np.frombuffer(added[0], np.int64)
+            else:
+                for i in (0, 1):
+                    sums[i, _whole(docs, np.uint16)] += np.frombuffer(added[i], np.float32)
+        return pa.table([marks, mates, *(s[: len(marks)] for s in sums)], names=["mark", "mate", "background", "target"])
+
+    return run
+
+
+# ---- 3: scores
+
+
+def lm_scores(docs: DataFrame, chosen: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str = "text", strength: float = STRENGTH) -> DataFrame:
+    """The columns in keep, n_tokens, target_loss and background_loss (nats a prediction) and score of every document, by models of all documents and of those whose id is in chosen."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    hot = (F.col("v") >= 0) & (F.col("w") >= 0) & (F.col("background") >= model.shared_from)
-    common = model.grams.filter(hot).select((F.shiftleft("v", SHIFT) + F.col("w")).alias("key"), *_weights(model)).toPandas().sort_values("key")  # SHARED rows at most
-    shared = spark.sparkContext.broadcast(tuple(common[c].to_numpy() for c in ("key", "t", "b")))
-    codes = model.codes
-    kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept"), F.col(text_col).alias("text"))
-    gram = T.ArrayType(T.StructType([T.StructField(c, T.LongType()) for c in ("v", "w", "n")]))
-    schema = T.StructType([kept.schema["kept"], T.StructField("n_tokens", T.LongType()), T.StructField("t", T.DoubleType()), T.StructField("b", T.DoubleType()), T.StructField("grams", gram)])
+    marked = with_marks(docs, chosen, keep, id_col, text_col)
+    fitted, parts = fit_tokens(marked, strength)
+    model = spark.sparkContext.broadcast(fitted)
+    counted = moved_grams(marked, model, parts).groupBy("part").applyInArrow(_counted_part(model, BUFFER_DOCS), "stretch long, kind int, docs binary, background binary, target binary")
+    counted = stored(counted, "lm-counted")
+    hot = np.zeros((2, -(-len(fitted.shared) // SLICE) * SLICE), np.int64)
+    for r in counted.filter(F.col("kind") == HOT).collect():  # SHARED / SLICE rows at most
+        at = slice(r["stretch"] * SLICE, (r["stretch"] + 1) * SLICE)
+        hot[:, at] = [np.frombuffer(r[c], np.int64) for c in ("background", "target")]
+    shared = spark.sparkContext.broadcast(hot)
+    sums = counted.filter(F.col("kind") != HOT).groupBy("stretch").applyInArrow(_summed_stretch(BUFFER_DOCS), "mark long, mate long, background double, target double")
+    # Equal rows share a key: each of them is owed its share of the sum.
+    sums = sums.groupBy("mark", "mate").agg(F.count("*").alias("rows"), *[F.sum(c).alias(f"rare_{c}") for c in ("background", "target")])
+    flags, schema = marked.flags, T.StructType([marked.docs.schema["kept"], *[T.StructField(c, T.LongType()) for c in ("mark", "mate", "n_tokens")], *[T.StructField(c, T.DoubleType()) for c in ("background", "target")]])
 
     def run(batches):
-        of, (keys, t, b) = _Codes(*codes.value).of, shared.value
+        m, counts, codes = model.value, shared.value, _Codes()
+        singles = [m.token_weight(c) for c in m.counts]
+        priors = [m.priors(i, m.counts[i]) for i in (0, 1)]
         for batch in batches:
-            sizes, sums, rest, ends = [], [], [], [0]
-            for value in batch.column("text"):
-                ids = of(value.as_py())
-                none = np.zeros(max(len(ids) - 1, 0), np.int64)
-                sizes.append(len(none))
-                v, w = np.concatenate((ids[:-1], none, ids[:-1])), np.concatenate((ids[1:], ids[1:], none))
-                key = np.where((v >= 0) & (w >= 0), (v << SHIFT) + w, -1)
-                at = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
-                here = keys[at] == key if len(keys) else np.zeros(len(key), bool)
-                sums.append((t[at[here]].sum(), b[at[here]].sum()))
-                v, w = v[~here], w[~here]
-                rest.append(_summed(v, w, np.ones(len(v), np.int64)) if len(v) else (v, w, v))
-                ends.append(ends[-1] + len(rest[-1][0]))
-            columns = [pa.array(np.concatenate([r[i] for r in rest]) if rest else [], pa.int64()) for i in range(3)]
-            grams = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, names=["v", "w", "n"]))
-            made = [pa.array(sizes, pa.int64()), *(pa.array([x[i] for x in sums], pa.float64()) for i in range(2)), grams]
-            yield pa.RecordBatch.from_arrays([batch.column("kept"), *made], names=["kept", "n_tokens", "t", "b", "grams"])
-
-    read = stored(kept.mapInArrow(run, schema).withColumn("uid", F.monotonically_increasing_id()), "read")
-    rare = model.grams.filter(~hot).hint("merge")
-    met = read.select("uid", F.inline("grams")).join(rare, ["v", "w"]).select("uid", "n", *_weights(model))
-    sums = met.groupBy("uid").agg(F.sum(F.col("n") * F.col("t")).alias("rare_t"), F.sum(F.col("n") * F.col("b")).alias("rare_b"))
-    both = read.drop("grams").join(sums.hint("merge"), "uid", "left")
-    losses = [F.when(F.col("n_tokens") > 0, F.lit(float(np.log(total))) - (F.col(c) + F.coalesce(F.col(f"rare_{c}"), F.lit(0.0))) / F.col("n_tokens")) for c, total in zip("tb", model.totals)]
-    done = both.select("kept", "n_tokens", losses[0].alias("target_loss"), losses[1].alias("background_loss"))
+            parts = [codes.of(x.as_py()) for x in batch.column("text")]
+            some, marks = [i for i, p in enumerate(parts) if len(p)], flags(batch)
+            added = np.zeros((2, len(parts)))
+            for low in range(0, len(some), 256):
+                rows = np.array(some[low : low + 256])
+                v, w, doc = _pairs([parts[i] for i in rows])
+                number, known = _at(m.known, w)
+                at, found = _at(m.shared, _keys(v, w))
+                found &= known
+                number, doc = number[known], doc[known]
+                at, found = at[known], found[known]
+                for i, alone in ((0, 1), (1, marks[rows][doc])):
+                    # What isn't shared counts as if it stood nowhere else; the replies hold what is missing then.
+                    count = np.where(found, counts[i, at], alone) if len(m.shared) else np.broadcast_to(alone, len(doc))
+                    added[i, rows] = np.bincount(doc, singles[i][number] + m.pair_weight(count, priors[i][number]), len(rows))
+            columns = [*(batch.column(c) for c in ("kept", "mark", "mate")), pa.array([len(p) for p in parts], pa.int64()), *map(pa.array, added)]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())
+
+    renamed = sums.withColumnsRenamed({"mark": "sum_mark", "mate": "sum_mate"})
+    both = marked.docs.mapInArrow(run, schema).join(renamed, (F.col("mark") == F.col("sum_mark")) & (F.col("mate") == F.col("sum_mate")), "left")
+    losses = {}
+    for c, total in zip(("background", "target"), fitted.totals):
+        logs = F.col(c) + F.coalesce(F.col(f"rare_{c}") / F.col("rows"), F.lit(0.0))
+        losses[c] = F.when(F.col("n_tokens") > 0, F.lit(float(np.log(total))) - logs / (F.col("n_tokens") + 1))
+    done = both.select("kept", "n_tokens", losses["target"].alias("target_loss"), losses["background"].alias("background_loss"))
     return done.select(*[F.col(f"kept.`{c}`").alias(c) for c in keep], "n_tokens", "target_loss", "background_loss", F.coalesce(F.col("background_loss") - F.col("target_loss"), F.lit(0.0)).alias("score"))

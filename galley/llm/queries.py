@@ -33,8 +33,7 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    model = lmscore.fit(lmscore.marked(docs, labels.filter("quality = 1")), "target", counted=docs)
-    return lmscore.score(docs, model, ["doc_id"])
+    return lmscore.lm_scores(docs, labels.filter("quality = 1"), ["doc_id"])
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

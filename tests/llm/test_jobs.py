@@ -192,38 +192,43 @@ def test_few_rows_move_when_the_rest_stays(spark):
 # ---- language models
 
 
-def test_lm_scores(spark):
-    docs = table(spark, "documents").limit(60)
-    rows = docs.collect()
-    chosen = {r["doc_id"] for r in rows[:20]}
-    marked = docs.withColumn("target", docs["doc_id"].isin(chosen))
-    v = 50
-    got = {r["doc_id"]: r for r in lmscore.score(docs, lmscore.fit(marked, "target", vocabulary=v), ["doc_id"]).collect()}
-    find = lambda t: re.findall(r"\w+|[^\w\s]", t.lower())
-    counts = Counter(w for r in rows for w in find(r["text"]))
-    known = {w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:v]}
-    pairs = {k: Counter() for k in ("t", "b")}
-    ids = {r["doc_id"]: ["<s>", *[w if w in known else "<unk>" for w in find(r["text"])]] for r in rows}
-    for i, w in ids.items():
-        for p in zip(w, w[1:]):
-            pairs["b"][p] += 1
-            if i in chosen:
-                pairs["t"][p] += 1
-
-    def loss(w, c):
-        words, before = Counter(), Counter()
-        for (a, b), n in c.items():
-            words[b] += n
-            before[a] += n
-        total = sum(words.values())
-        p = lambda a, b: (c[a, b] + lmscore.STRENGTH * (words[b] + 1) / (total + v + 1)) / (before[a] + lmscore.STRENGTH)
-        return -sum(math.log(p(a, b)) for a, b in zip(w, w[1:])) / (len(w) - 1)
-
-    for i, w in ids.items():
-        if len(w) > 1:
-            t, b = loss(w, pairs["t"]), loss(w, pairs["b"])
-            assert got[i]["n_tokens"] == len(w) - 1
-            assert abs(got[i]["target_loss"] - t) < 1e-4 and abs(got[i]["background_loss"] - b) < 1e-4 and abs(got[i]["score"] - (b - t)) < 1e-4
+def plain_losses(texts, chosen, k=lmscore.STRENGTH):
+    """(target loss, background loss) of each text, straight from the definition."""
+    ids = [re.findall(r"\w+|[^\w\s]", (t or "").lower()) for t in texts]
+    ids = [["", *x, ""] if x else [] for x in ids]
+    v = len({w for x in ids for w in x})
+
+    def losses(part):
+        words, pairs = Counter(w for i in part for w in ids[i][1:]), Counter(p for i in part for p in zip(ids[i], ids[i][1:]))
+        total = sum(words.values()) + v + 1
+        p = lambda a, b: (pairs[a, b] + k * (words[b] + 1) / total) / (words[a] + k)
+        return [-sum(math.log(p(a, b)) for a, b in zip(x, x[1:])) / (len(x) - 1) if x else None for x in ids]
+
+    return list(zip(losses(chosen), losses(range(len(texts))))), [max(len(x) - 2, 0) for x in ids]
+
+
+@pytest.mark.parametrize("sizes", [{}, {"NUMBERED": 40, "SHARED": 60, "HEAVY": 2, "BUFFER": 500, "PART_TOKENS": 3000}, {"NUMBERED": 1, "SHARED": 1, "BUFFER_DOCS": 7}, {"WRONG_MOST": -1, "BLOOM_BITS": 64}, {"BLOOM_BITS": 64}])
+def test_lm_scores(spark, monkeypatch, sizes):
+    """Whatever is numbered, shared or moved, held back or joined: the same scores."""
+    for name, value in sizes.items():
+        monkeypatch.setattr(lmscore, name, value)
+    rows = table(spark, "documents").limit(60).collect()
+    common = " ".join(f"w{i}" for i in range(300))
+    texts = [r["text"] for r in rows] + [common, common, common, "w1 w2 rareone w3", "w1 w2 raretwo w3", "w1 w2 rareone w3", None, "...", ""]
+    ids = [*range(len(texts) - 1), None]
+    chosen = [i for i in ids if i is not None and (i < 20 or i in (60, 63))]
+    docs = spark.createDataFrame([*zip(ids, texts), (61, texts[61])], "doc_id long, text string").repartition(3)
+    texts, ids = [*texts, texts[61]], [*ids, 61]
+    wanted, sizes_of = plain_losses(texts, chosen)
+    picked = spark.createDataFrame([(i,) for i in [*chosen, 999, None, 3]], "doc_id int")
+    got = {(r["doc_id"], r["text"]): r for r in lmscore.lm_scores(docs, picked, ["doc_id", "text"]).collect()}
+    for i, t, (target, background), n in zip(ids, texts, wanted, sizes_of):
+        r = got[i, t]
+        assert r["n_tokens"] == n
+        if target is None:
+            assert (r["target_loss"], r["background_loss"], r["score"]) == (None, None, 0.0)
+        else:
+            assert abs(r["target_loss"] - target) < 1e-5 and abs(r["background_loss"] - background) < 1e-5 and abs(r["score"] - (background - target)) < 1e-5
 
 
 def test_lm_scores_of_all_tokens(spark, monkeypatch):
@@ -232,28 +237,18 @@ def test_lm_scores_of_all_tokens(spark, monkeypatch):
     monkeypatch.setattr(lmscore, "SHARED", 60)
     common = " ".join(f"w{i}" for i in range(1500))
     texts = [common] * 3 + ["w1 w2 rareone w3", "w1 w2 raretwo w3", "w1 w2 rareone w3", None, "..."]
-    docs = spark.createDataFrame([(i, t, i in (0, 3)) for i, t in enumerate(texts)], "doc_id long, text string, target boolean")
-    got = {r["doc_id"]: r for r in lmscore.score(docs, lmscore.fit(docs, "target"), ["doc_id"]).collect()}
-    ids = [["<s>", *re.findall(r"\w+|[^\w\s]", t or "")] for t in texts]
-    v = len({w for x in ids for w in x[1:]})
-
-    def loss(w, chosen):
-        c = Counter(p for i in chosen for p in zip(ids[i], ids[i][1:]))
-        words, before = Counter(), Counter()
-        for (a, b), n in c.items():
-            words[b] += n
-            before[a] += n
-        k, total = lmscore.STRENGTH, sum(c.values())
-        return -sum(math.log((c[a, b] + k * (words[b] + 1) / (total + v + 1)) / (before[a] + k)) for a, b in zip(w, w[1:])) / (len(w) - 1)
-
-    for i, w in enumerate(ids):
-        t, b = (loss(w, x) if len(w) > 1 else None for x in ((0, 3), range(len(ids))))
-        assert got[i]["n_tokens"] == len(w) - 1
-        if t is None:
-            assert (got[i]["target_loss"], got[i]["background_loss"], got[i]["score"]) == (None, None, 0.0)
-        else:
-            assert abs(got[i]["target_loss"] - t) < 1e-9 and abs(got[i]["background_loss"] - b) < 1e-9
-    assert got[3]["score"] > got[4]["score"] + 0.05
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in lmscore.lm_scores(docs, docs.filter("doc_id IN (0, 3)"), ["doc_id"]).collect()}
+    assert got[3] > got[4] + 0.05
+
+
+def test_lm_query_takes_documents_of_quality(spark):
+    rows = table(spark, "documents").orderBy("doc_id").collect()
+    good = {r["doc_id"] for r in table(spark, "labels").filter("quality = 1").collect()}
+    wanted, _ = plain_losses([r["text"] for r in rows], [i for i, r in enumerate(rows) if r["doc_id"] in good])
+    got = {r["doc_id"]: r for r in queries.op5_lm_score(spark, DATA).collect()}
+    for r, (target, background) in zip(rows, wanted):
+        assert target is None or abs(got[r["doc_id"]]["score"] - (background - target)) < 1e-5
 
 
 # ---- toxicity
