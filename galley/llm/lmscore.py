@@ -22,7 +22,7 @@ The jobs, each one pass over the texts:
 Which documents are chosen is told by a Bloom filter of fixed size and the list of the documents it wrongly lets through; where that
 list is longer than `WRONG_MOST`, by a join that moves the texts. Either way the marks are exact.
 
-Tokens and bigrams are known by 64-bit hashes. Documents are known by the hashes of id and text, so equal rows are one key.
+Tokens and bigrams are known by 64-bit hashes, made for all characters of many texts at once. Documents are known by the hashes of id and text, so equal rows are one key.
 
 Edge cases: a null text counts as empty; no tokens: losses null, score 0; a null id is never chosen; a corpus without chosen documents
 gives the target model its uniform prior; equal rows score alike; an empty table gives an empty one; clashing names don't matter.
@@ -36,7 +36,6 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,12 +45,12 @@ from .common import bounded_batches, stored
 TOKENS = re.compile(r"\w+|[^\w\s]")
 STRENGTH = 8.0
 NUMBERED, SHARED, HEAVY = 1 << 17, 1 << 19, 32
-#: Tokens and documents held at once, hashes of tokens that a worker remembers, tokens of the corpus for each part.
-BUFFER, BUFFER_DOCS, REMEMBERED, PART_TOKENS, PARTS_LEAST = 3_000_000, 30_000, 500_000, 10_000_000, 16
+#: Tokens and documents held at once, characters hashed at once, tokens of the corpus for each part, and parts at least.
+BUFFER, BUFFER_DOCS, CHARS, PART_TOKENS, PARTS_LEAST = 2_000_000, 30_000, 500_000, 4_000_000, 16
 #: Bits of the Bloom filter of chosen ids, and wrong ids that are listed at most.
 BLOOM_BITS, WRONG_MOST = 1 << 26, 1 << 20
 #: The start and the end of a document, as context and as what is predicted.
-EDGE = np.uint64(xxhash.xxh64_intdigest(b""))
+EDGE = np.uint64(0x5851F42D4C957F2D)
 SLICE = 1 << 16
 #: A number of a document in its stretch has this bit where the document is chosen.
 CHOSEN = 1 << 15
@@ -62,18 +61,74 @@ def tokens(text: str | None) -> list[str]:
     return TOKENS.findall((text or "").lower())
 
 
-class _Codes(dict):
-    """token -> its hash, filled as tokens turn up."""
-
-    def __missing__(self, token: str) -> int:
-        if len(self) > REMEMBERED:
-            self.clear()
-        code = self[token] = xxhash.xxh64_intdigest(token.encode("utf-8", "surrogatepass"))
-        return code
-
-    def of(self, text: str | None) -> np.ndarray:
-        found = tokens(text)
-        return np.fromiter(map(self.__getitem__, found), np.uint64, len(found))
+SPACE, WORD, MARK = range(3)
+_NOT_WORD = re.compile(r"\W")
+_FACTOR = 0x9E3779B97F4A7C15
+_MADE: dict = {}
+
+
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """Per code point its class and a random number; made once in a process."""
+    if not _MADE:
+        every = np.concatenate([np.arange(0xD800), np.arange(0xE000, 0x110000)]).astype("<u4")
+        text, kinds = every.tobytes().decode("utf-32-le"), np.full(0x110000, SPACE, np.uint8)
+        for pattern, kind in ((r"\w", WORD), (r"[^\w\s]", MARK)):
+            kinds[every[[m.start() for m in re.finditer(pattern, text)]]] = kind
+        _MADE["tables"] = kinds, np.random.default_rng(1).integers(0, 1 << 64, 0x110000, np.uint64)
+    return _MADE["tables"]
+
+
+def _powers(n: int, factor: int) -> np.ndarray:
+    if len(_MADE.get(factor, ())) < n:
+        _MADE[factor] = np.cumprod(np.concatenate(([np.uint64(1)], np.full(max(n, CHARS), np.uint64(factor)))), dtype=np.uint64)
+    return _MADE[factor][:n]
+
+
+def _hashed(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all tokens of the texts, and how many tokens each text has.
+
+    A token's hash is the sum of its characters' numbers times powers of a factor, from differences of one running sum.
+    """
+    kinds, numbers = _tables()
+    lengths = np.array([len(x) + 1 for x in texts])
+    chars = np.frombuffer(("\n".join(texts) + "\n").encode("utf-32-le", "replace"), np.uint32)
+    kind = kinds[chars]
+    word = kind == WORD
+    before = np.concatenate(([False], word[:-1]))
+    first = np.flatnonzero((kind == MARK) | word & ~before)
+    # A word ends before the next character that is none; a mark is one character. White space ends every text.
+    stops = np.flatnonzero(~word)
+    last = np.where(kind[first] == MARK, first + 1, stops[np.minimum(np.searchsorted(stops, first), len(stops) - 1)])
+    sums = np.concatenate(([np.uint64(0)], np.cumsum(numbers[chars] * _powers(len(chars), _FACTOR), dtype=np.uint64)))
+    found = (sums[last] - sums[first]) * _powers(len(chars), pow(_FACTOR, -1, 1 << 64))[first]
+    found = (found ^ (found >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+    ends = np.cumsum(lengths)
+    return found ^ (found >> np.uint64(32)), np.diff(np.searchsorted(first, ends), prepend=0)
+
+
+def coded(texts: list[str | None]) -> list[np.ndarray]:
+    """The hashes of each text's tokens; a long text is cut where a token can't reach over the cut."""
+    pieces, owner = [], []
+    for i, text in enumerate(texts):
+        text, at = (text or "").lower(), 0
+        while len(text) - at > CHARS and (cut := _NOT_WORD.search(text, at + CHARS)):
+            pieces.append(text[at : cut.start()])
+            owner.append(i)
+            at = cut.start()
+        pieces.append(text[at:])
+        owner.append(i)
+    out: list[list[np.ndarray]] = [[] for _ in texts]
+    at = 0
+    while at < len(pieces):
+        to, held = at + 1, len(pieces[at])
+        while to < len(pieces) and held + len(pieces[to]) <= CHARS:
+            held += len(pieces[to])
+            to += 1
+        found, sizes = _hashed(pieces[at:to])
+        for i, part in zip(owner[at:to], np.split(found, np.cumsum(sizes)[:-1])):
+            out[i].append(part)
+        at = to
+    return [np.concatenate(x) if len(x) > 1 else x[0] for x in out]
 
 
 def _pairs(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -95,12 +150,27 @@ def _keys(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _at(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where keys stand in a sorted table, and whether they do."""
-    if not len(table):
-        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-    return at, table[at] == keys
+class Lookup:
+    """Finds keys in a sorted table: the top bits say where to look."""
+
+    def __init__(self, table: np.ndarray):
+        self.table, self.shift = table, np.uint64(64 - max(1, len(table)).bit_length() - 1)
+        self.starts = np.searchsorted(table >> self.shift, np.arange((1 << (64 - int(self.shift))) + 1, dtype=np.uint64))
+
+    def __call__(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where keys stand in the table, and whether they do."""
+        at, found = np.zeros(len(keys), np.int32), np.zeros(len(keys), bool)
+        bucket = (keys >> self.shift).astype(np.int64)
+        low, high = self.starts[bucket], self.starts[bucket + 1]
+        left = np.flatnonzero(low < high)
+        while len(left):
+            spot = low[left]
+            here = self.table[spot] == keys[left]
+            at[left[here]], found[left[here]] = spot[here], True
+            left = left[~here]
+            low[left] += 1
+            left = left[low[left] < high[left]]
+        return at, found
 
 
 def _planes(values: np.ndarray, kind: type) -> bytes:
@@ -126,7 +196,7 @@ def _let_through(words, wrong, marks: np.ndarray) -> np.ndarray:
     for i in range(4):
         at = (a + i * b) & (len(words) * 64 - 1)
         found &= (words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
-    return found & ~_at(wrong, marks)[1]
+    return found & ~wrong(marks.view(np.uint64))[1]
 
 
 def with_marks(docs: DataFrame, chosen: DataFrame, keep: list[str], id_col: str, text_col: str) -> Chosen:
@@ -144,7 +214,7 @@ def with_marks(docs: DataFrame, chosen: DataFrame, keep: list[str], id_col: str,
 
     def suspects(batches):
         for batch in batches:
-            yield batch.filter(pa.array(_let_through(sent.value, np.empty(0, np.int64), batch.column("mark").to_numpy())))
+            yield batch.filter(pa.array(_let_through(sent.value, Lookup(np.empty(0, np.uint64)), batch.column("mark").to_numpy())))
 
     told = docs.select(key.alias("chosen"), mark.alias("mark"))
     wrong = told.mapInArrow(suspects, told.schema).join(ids, "chosen", "left_anti").select("mark").distinct().limit(WRONG_MOST + 1).toPandas()["mark"].to_numpy()
@@ -152,7 +222,7 @@ def with_marks(docs: DataFrame, chosen: DataFrame, keep: list[str], id_col: str,
     if len(wrong) > WRONG_MOST:
         joined = docs.select(key.alias("chosen"), *base).join(ids.withColumn("target", F.lit(True)).hint("merge"), "chosen", "left").drop("chosen")
         return Chosen(joined, lambda batch: batch.column("target").fill_null(False).to_numpy(zero_copy_only=False))
-    listed = spark.sparkContext.broadcast(np.sort(wrong.astype(np.int64)))
+    listed = spark.sparkContext.broadcast(Lookup(np.sort(wrong.astype(np.int64).view(np.uint64))))
     return Chosen(docs.select(*base), lambda batch: _let_through(sent.value, listed.value, batch.column("mark").to_numpy()))
 
 
@@ -166,12 +236,11 @@ class Stretch(NamedTuple):
 
 
 def _stretches(batches, flags, limits: tuple[int, int]) -> Iterator[Stretch]:
-    codes, parts, rows, held = _Codes(), [], [], 0
+    parts, rows, held = [], [], 0
     made = lambda: Stretch(parts, *(np.array(x) for x in zip(*rows)))
     for batch in batches:
         marks, mates = (batch.column(c).to_numpy() for c in ("mark", "mate"))
-        for value, *row in zip(batch.column("text"), flags(batch), marks, mates):
-            part = codes.of(value.as_py())
+        for part, *row in zip(coded(batch.column("text").to_pylist()), flags(batch), marks, mates):
             if not len(part):
                 continue
             parts.append(part)
@@ -194,10 +263,13 @@ def token_counts(marked: Chosen) -> DataFrame:
     def run(batches):
         for held in _stretches(batches, flags, limits):
             v, w, doc = _pairs(held.parts)
-            key, at, n = np.unique(w, return_inverse=True, return_counts=True)
+            key, n = np.unique(w, return_counts=True)
+            mine, hits = np.unique(w[held.chosen[doc]], return_counts=True)
+            hit = np.zeros(len(key), np.int64)
+            hit[np.searchsorted(key, mine)] = hits
             pair, m = np.unique(_keys(v, w), return_counts=True)
             pair, m = pair[m >= HEAVY], m[m >= HEAVY]
-            columns = (np.repeat([False, True], [len(key), len(pair)]), np.concatenate((key, pair)).view(np.int64), np.concatenate((n, m)), np.concatenate((np.bincount(at[held.chosen[doc]], minlength=len(key)), 0 * m)))
+            columns = (np.repeat([False, True], [len(key), len(pair)]), np.concatenate((key, pair)).view(np.int64), np.concatenate((n, m)), np.concatenate((hit, 0 * m)))
             for low in range(0, len(columns[0]), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c[low : low + 100_000]) for c in columns], names=["pair", "key", "background", "target"])
 
@@ -220,9 +292,9 @@ def most_frequent(counts: DataFrame, most: int) -> DataFrame:
 class Model(NamedTuple):
     """What every task gets, of a size that NUMBERED and SHARED fix."""
 
-    known: np.ndarray  # hashes of the numbered tokens, sorted
+    known: Lookup  # hashes of the numbered tokens
     counts: np.ndarray  # 2 x known: their counts in background and target
-    shared: np.ndarray  # keys of the shared bigrams, sorted
+    shared: Lookup  # keys of the shared bigrams
     totals: tuple[int, int]  # N + V + 1 of background and target
     strength: float
 
@@ -248,18 +320,24 @@ def fit_tokens(marked: Chosen, strength: float) -> tuple[Model, int]:
     hashes = numbered["key"].to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(hashes)
     counts = numbered[["background", "target"]].to_numpy().astype(np.int64).T[:, order]
-    model = Model(hashes[order], counts, np.sort(shared["key"].to_numpy().astype(np.int64).view(np.uint64)), tuple(n + size + 1 for n in sums), strength)
+    model = Model(Lookup(hashes[order]), counts, Lookup(np.sort(shared["key"].to_numpy().astype(np.int64).view(np.uint64))), tuple(n + size + 1 for n in sums), strength)
     return model, max(PARTS_LEAST, sums[0] // PART_TOKENS)
 
 
 # ---- 2: bigrams, counted and replied to
 
 
+def _part(key: np.ndarray, parts: int) -> np.ndarray:
+    """Parts are ranges of keys."""
+    return (((key >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
+
+
 def _moved(kind: int, parts: int, part, key, doc, prior, prior_kind):
     """(part, kind, keys, seen, prior, docs) of each part: its distinct keys, how often each stands there and in which documents."""
     if not len(key):
         return
-    order = np.lexsort((key, part))
+    order = np.argsort(key) if part is None else np.lexsort((key, part))
+    part = _part(key, parts) if part is None else part
     part, key, doc, prior = (x[order] for x in (part, key, doc, prior))
     first = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (part[1:] != part[:-1]))))
     ends = np.append(first[1:], len(key))
@@ -277,20 +355,23 @@ def moved_grams(marked: Chosen, model, parts: int) -> DataFrame:
         m: Model = model.value
         v, w, doc = _pairs(held.parts)
         chosen, key = held.chosen[doc], _keys(v, w)
-        number, known = _at(m.known, w)
-        at, hot = _at(m.shared, key)
+        number, known = m.known(w)
+        at, hot = m.shared(key)
         hot &= known
-        seen, hit = (np.bincount(at[x], minlength=len(m.shared)) for x in (hot, hot & chosen))
+        seen, hit = (np.bincount(at[x], minlength=len(m.shared.table)) for x in (hot, hot & chosen))
         for low in range(0, len(seen), SLICE):
             here = np.flatnonzero(seen[low : low + SLICE])
             if len(here):
                 yield -1 - low // SLICE, HOT, _planes(here, np.uint16), _planes(seen[low + here], np.uint32), _planes(hit[low + here], np.uint32), b""
-        many, doc = np.uint64(parts), doc | chosen * CHOSEN
-        for kind, own, prior, by, prior_kind in ((PAIR, ~hot & known, number, key, np.uint32), (RARE, ~known, w, w, np.uint64)):
-            yield from _moved(kind, parts, ((by[own] >> np.uint64(16)) % many).astype(np.int64), key[own], doc[own], prior[own], prior_kind)
-        own = ~known
-        yield from _moved(TOKEN, parts, ((w[own] >> np.uint64(16)) % many).astype(np.int64), w[own], doc[own], w[own], np.uint64)
-        yield int(np.uint64(held.marks[0] ^ held.mates[0]) % many), DOCS, held.marks.astype(np.int64).tobytes(), held.mates.astype(np.int64).tobytes(), b"", b""
+        doc = (doc | chosen * CHOSEN).astype(np.uint16)
+        del v, at, chosen
+        own = ~hot & known
+        yield from _moved(PAIR, parts, None, key[own], doc[own], number[own], np.uint32)
+        # Bigrams that end in a rare token go where its own counts are.
+        key, w, doc = key[~known], w[~known], doc[~known]
+        yield from _moved(RARE, parts, _part(w, parts), key, doc, w, np.uint64)
+        yield from _moved(TOKEN, parts, None, w, doc, w, np.uint64)
+        yield int(held.mates.view(np.uint64)[0] % np.uint64(parts)), DOCS, held.marks.astype(np.int64).tobytes(), held.mates.astype(np.int64).tobytes(), b"", b""
 
     def run(batches):
         partition, no = None, 0
@@ -339,8 +420,8 @@ def _counted_part(model, most_docs: int):
                 continue
             # Sums of 64-bit deltas give the keys back, in each row from its own start.
             keys, at = np.unique(np.concatenate([np.cumsum(_whole(r[2], np.uint64), dtype=np.uint64) for r in own]), return_inverse=True)
-            seen, docs = [_whole(r[3], np.uint32).astype(np.int64) for r in own], [_whole(r[5], np.uint16) for r in own]
-            hit = [np.add.reduceat(d // CHOSEN, np.cumsum(n) - n, dtype=np.int64) for d, n in zip(docs, seen)]
+            seen, docs = [_whole(r[3], np.uint32) for r in own], [_whole(r[5], np.uint16) for r in own]
+            hit = [np.add.reduceat(d // CHOSEN, np.cumsum(n, dtype=np.int64) - n, dtype=np.int64) for d, n in zip(docs, seen)]
             sums = np.stack([np.bincount(at, np.concatenate(x), len(keys)) for x in (seen, hit)])
             lone = [np.zeros(len(keys))] * 2  # what pass 3 adds by itself
             if kind == TOKEN:
@@ -397,7 +478,7 @@ def lm_scores(docs: DataFrame, chosen: DataFrame, keep: list[str], id_col: str =
     model = spark.sparkContext.broadcast(fitted)
     counted = moved_grams(marked, model, parts).groupBy("part").applyInArrow(_counted_part(model, BUFFER_DOCS), "stretch long, kind int, docs binary, background binary, target binary")
     counted = stored(counted, "lm-counted")
-    hot = np.zeros((2, -(-len(fitted.shared) // SLICE) * SLICE), np.int64)
+    hot = np.zeros((2, -(-len(fitted.shared.table) // SLICE) * SLICE), np.int64)
     for r in counted.filter(F.col("kind") == HOT).collect():  # SHARED / SLICE rows at most
         at = slice(r["stretch"] * SLICE, (r["stretch"] + 1) * SLICE)
         hot[:, at] = [np.frombuffer(r[c], np.int64) for c in ("background", "target")]
@@ -408,24 +489,24 @@ def lm_scores(docs: DataFrame, chosen: DataFrame, keep: list[str], id_col: str =
     flags, schema = marked.flags, T.StructType([marked.docs.schema["kept"], *[T.StructField(c, T.LongType()) for c in ("mark", "mate", "n_tokens")], *[T.StructField(c, T.DoubleType()) for c in ("background", "target")]])
 
     def run(batches):
-        m, counts, codes = model.value, shared.value, _Codes()
+        m, counts = model.value, shared.value
         singles = [m.token_weight(c) for c in m.counts]
         priors = [m.priors(i, m.counts[i]) for i in (0, 1)]
         for batch in batches:
-            parts = [codes.of(x.as_py()) for x in batch.column("text")]
+            parts = coded(batch.column("text").to_pylist())
             some, marks = [i for i, p in enumerate(parts) if len(p)], flags(batch)
             added = np.zeros((2, len(parts)))
             for low in range(0, len(some), 256):
                 rows = np.array(some[low : low + 256])
                 v, w, doc = _pairs([parts[i] for i in rows])
-                number, known = _at(m.known, w)
-                at, found = _at(m.shared, _keys(v, w))
+                number, known = m.known(w)
+                at, found = m.shared(_keys(v, w))
                 found &= known
                 number, doc = number[known], doc[known]
                 at, found = at[known], found[known]
                 for i, alone in ((0, 1), (1, marks[rows][doc])):
                     # What isn't shared counts as if it stood nowhere else; the replies hold what is missing then.
-                    count = np.where(found, counts[i, at], alone) if len(m.shared) else np.broadcast_to(alone, len(doc))
+                    count = np.where(found, counts[i, at], alone) if len(m.shared.table) else np.broadcast_to(alone, len(doc))
                     added[i, rows] = np.bincount(doc, singles[i][number] + m.pair_weight(count, priors[i][number]), len(rows))
             columns = [*(batch.column(c) for c in ("kept", "mark", "mate")), pa.array([len(p) for p in parts], pa.int64()), *map(pa.array, added)]
             yield pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())

@@ -207,6 +207,21 @@ def plain_losses(texts, chosen, k=lmscore.STRENGTH):
     return list(zip(losses(chosen), losses(range(len(texts))))), [max(len(x) - 2, 0) for x in ids]
 
 
+@pytest.mark.parametrize("chars", [1 << 20, 1, 7])
+def test_lm_token_hashes(monkeypatch, chars):
+    """Equal tokens, and only they, have equal hashes, wherever they stand and however texts are cut."""
+    monkeypatch.setattr(lmscore, "CHARS", chars)
+    rng = random.Random(2)
+    texts = [None, "", " ", "a", "A b,a", "don't_stop 1é\u00adß x", "漢字。かな 𝒳𝒴 \U0001f600\U0001f600", "\x00a\x1fb\u2028c\u0085d", "İstanbul ıI"]
+    texts += ["".join(rng.choice("ab,_ \n7é漢😀.") for _ in range(rng.randint(0, 60))) for _ in range(200)]
+    got, known = lmscore.coded(texts), {}
+    for text, codes in zip(texts, got):
+        wanted = lmscore.tokens(text)
+        assert len(codes) == len(wanted)
+        assert all(known.setdefault(t, int(c)) == int(c) for t, c in zip(wanted, codes))
+    assert len(set(known.values())) == len(known)
+
+
 @pytest.mark.parametrize("sizes", [{}, {"NUMBERED": 40, "SHARED": 60, "HEAVY": 2, "BUFFER": 500, "PART_TOKENS": 3000}, {"NUMBERED": 1, "SHARED": 1, "BUFFER_DOCS": 7}, {"WRONG_MOST": -1, "BLOOM_BITS": 64}, {"BLOOM_BITS": 64}])
 def test_lm_scores(spark, monkeypatch, sizes):
     """Whatever is numbered, shared or moved, held back or joined: the same scores."""
