@@ -476,7 +476,8 @@ def lm_scores(docs: DataFrame, chosen: DataFrame, keep: list[str], id_col: str =
     marked = with_marks(docs, chosen, keep, id_col, text_col)
     fitted, parts = fit_tokens(marked, strength)
     model = spark.sparkContext.broadcast(fitted)
-    counted = moved_grams(marked, model, parts).groupBy("part").applyInArrow(_counted_part(model, BUFFER_DOCS), "stretch long, kind int, docs binary, background binary, target binary")
+    # As many tasks as parts: a task never sorts many of them.
+    counted = moved_grams(marked, model, parts).repartition(parts, "part").groupBy("part").applyInArrow(_counted_part(model, BUFFER_DOCS), "stretch long, kind int, docs binary, background binary, target binary")
     counted = stored(counted, "lm-counted")
     hot = np.zeros((2, -(-len(fitted.shared.table) // SLICE) * SLICE), np.int64)
     for r in counted.filter(F.col("kind") == HOT).collect():  # SHARED / SLICE rows at most
