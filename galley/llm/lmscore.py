@@ -40,15 +40,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, stored
+from .common import BLOOM_BITS, bloom_filter, bounded_batches, in_bloom, stored
 
 TOKENS = re.compile(r"\w+|[^\w\s]")
 STRENGTH = 8.0
 NUMBERED, SHARED, HEAVY = 1 << 17, 1 << 19, 32
 #: Tokens and documents held at once, characters hashed at once, tokens of the corpus for each part, and parts at least.
 BUFFER, BUFFER_DOCS, CHARS, PART_TOKENS, PARTS_LEAST = 2_000_000, 30_000, 500_000, 4_000_000, 16
-#: Bits of the Bloom filter of chosen ids, and wrong ids that are listed at most.
-BLOOM_BITS, WRONG_MOST = 1 << 26, 1 << 20
+#: Ids that the filter wrongly lets through and that are listed, at most.
+WRONG_MOST = 1 << 20
 #: The start and the end of a document, as context and as what is predicted.
 EDGE = np.uint64(0x5851F42D4C957F2D)
 SLICE = 1 << 16
@@ -192,11 +192,7 @@ class Chosen(NamedTuple):
 
 
 def _let_through(words, wrong, marks: np.ndarray) -> np.ndarray:
-    found, a, b = marks != 0, marks & 0xFFFFFFFF, (marks >> 32) & 0xFFFFFFFF | 1
-    for i in range(4):
-        at = (a + i * b) & (len(words) * 64 - 1)
-        found &= (words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
-    return found & ~wrong(marks.view(np.uint64))[1]
+    return (marks != 0) & in_bloom(words, marks) & ~wrong(marks.view(np.uint64))[1]
 
 
 def with_marks(docs: DataFrame, chosen: DataFrame, keep: list[str], id_col: str, text_col: str) -> Chosen:
@@ -205,11 +201,7 @@ def with_marks(docs: DataFrame, chosen: DataFrame, keep: list[str], id_col: str,
     mark = F.when(key.isNull(), 0).otherwise(F.xxhash64(key))
     kind = docs.select(key).schema[0].dataType
     ids = chosen.select(F.col(f"`{id_col}`").cast(kind).alias("chosen")).filter("chosen IS NOT NULL").distinct()
-    hashed = ids.select(F.xxhash64("chosen").alias("h"))
-    spots = F.explode(F.array(*[F.expr(f"((h & 4294967295) + {i} * (shiftrightunsigned(h, 32) | 1)) & {BLOOM_BITS - 1}") for i in range(4)]))
-    rows = hashed.select(spots.alias("spot")).groupBy(F.expr("cast(shiftright(spot, 6) AS int)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(spot & 63 AS int)))").alias("bits")).toPandas()
-    words = np.zeros(BLOOM_BITS >> 6, np.uint64)
-    words[rows["word"].to_numpy()] = rows["bits"].to_numpy().astype(np.int64).view(np.uint64)
+    words = bloom_filter(ids.select(F.xxhash64("chosen")), BLOOM_BITS)
     sent = spark.sparkContext.broadcast(words)
 
     def suspects(batches):
