@@ -3,7 +3,8 @@
 The rank file is read on the driver and sent as a broadcast (about 1 MB, independent of the data); each Python
 worker builds its encoder once. Long texts are cut before encoding at safe boundaries: between an ASCII letter, digit
 or mark and a following space or line feed. No match of the split pattern reaches over such a place, because white space
-stands only at the start of a match, so the ids are those of the whole text.
+stands only at the start of a match, so the ids are those of the whole text. A long run of white space, which the pattern's
+lookahead can't get through, is one match up to its last character (or to its end, at the end of the text) and goes to the merges directly.
 
 Edge cases: a null text counts as empty; an empty text has no ids and decodes to no bytes; rows are independent, so
 repeated rows and ties need no rule; an empty table gives an empty table; other columns are kept where asked for, and a new column whose
@@ -25,6 +26,10 @@ from .common import bounded_batches, fresh_name
 #: Texts of more characters than this are encoded in pieces.
 PIECE_CHARS = 1 << 16
 _SAFE = re.compile(r"[0-9A-Za-z.,;:!?)](?=[ \n])")
+#: White space as the pattern has it (Python's \\s has four separators more), and the length from which a run is a piece of its own.
+LONG_RUN = 1000
+_BLANK = "[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_RUN, _PAIR = re.compile(f"{_BLANK}{{{LONG_RUN},}}"), re.compile(_BLANK + "{2}")
 _ENCODERS: dict = {}
 
 
@@ -53,12 +58,27 @@ def pieces(text: str, size: int = PIECE_CHARS) -> list[str]:
     return out
 
 
+def runs(text: str) -> list[tuple[str, bool]]:
+    """text in consecutive parts: those that are one match of white space, and the others."""
+    # A long run covers two samples that follow each other.
+    if len(text) < LONG_RUN or not _PAIR.search(text[:: LONG_RUN // 2]):
+        return [(text, False)]
+    out, at = [], 0
+    for m in _RUN.finditer(text):
+        end = m.end() - (m.end() < len(text))
+        out += [(text[at : m.start()], False), (text[m.start() : end], True)]
+        at = end
+    return [*out, (text[at:], False)]
+
+
 def encode(enc, text: str, size: int = PIECE_CHARS) -> list[int]:
-    if len(text) <= size:
-        return enc.encode_ordinary(text)
     ids: list[int] = []
-    for piece in pieces(text, size):
-        ids += enc.encode_ordinary(piece)
+    for part, blank in runs(text):
+        if blank:
+            ids += enc._encode_single_piece(part)
+        else:
+            for piece in pieces(part, size):
+                ids += enc.encode_ordinary(piece)
     return ids
 
 
