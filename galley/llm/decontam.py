@@ -6,8 +6,9 @@ benchmark item as its anchor, shifts the anchor's postings by its offset in the
 (document, item, start), and intersects these candidates with the positions of all other terms in the document: exact windows give
 phrase matches, positions within a slop give proximity matches.
 
-A vocabulary is broadcast only if it has VOCABULARY_MOST words at most; beyond that all words are indexed. A word can
-be part of a match only inside a run of benchmark words as long as the shortest window, so other positions need not be stored.
+A vocabulary is broadcast as a Bloom filter of fixed size, whatever its own size; a word that it wrongly lets through costs a position,
+no match. A word can be part of a match only inside a run of benchmark words as long as the shortest window, so other positions need
+not be stored.
 
 Edge cases: nulls have no words (0 words, not contaminated); an item without words has no window; an item of fewer words than a window
 is one window; repeated items count once by item_id, each repeated document has its own row; a null item_id is listed as an empty
@@ -17,18 +18,19 @@ string; empty tables (either one) give no hits; other columns are not returned b
 from __future__ import annotations
 
 import re
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, fresh_name, stored
+from .common import bloom_filter, bounded_batches, fresh_name, in_bloom, stored
 
 WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")  # of lower-cased UTF-8: code points outside ASCII and its letters and digits
 WINDOW = 10
-VOCABULARY_MOST = 1_000_000
+#: Words of which a worker remembers whether the filter holds them.
+REMEMBERED = 500_000
 
 
 def words(text: str | None) -> list[bytes]:
@@ -47,16 +49,31 @@ def item_words(items: DataFrame, text_col: str = "text") -> DataFrame:
     return stored(rows.mapInArrow(run, "item long, item_id string, terms array<string>").filter("size(terms) > 0"), "items")
 
 
+class _Held(dict):
+    """word -> whether the filter holds it."""
+
+    def __init__(self, filter_words: np.ndarray):
+        super().__init__()
+        self.filter_words = filter_words
+
+    def learn(self, found: list[bytes]) -> None:
+        if len(self) > REMEMBERED:
+            self.clear()
+        new = list(set(found).difference(self))
+        hashes = np.array([xxhash.xxh64_intdigest(w, 42) for w in new], np.uint64).view(np.int64)  # as xxhash64 of Spark
+        self.update(zip(new, in_bloom(self.filter_words, hashes).tolist()))
+
+
 def positional_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: DataFrame | None = None, least_run: int = 1) -> DataFrame:
     """(uid, doc_id, mark, n_words, positions, terms) per document, stored; mark is a hash of the text. With a vocabulary (column term) only runs of at least least_run of its words."""
     spark = docs.sparkSession
     bounded_batches(spark)
     known = None
     if vocabulary is not None:
-        found = vocabulary.distinct().limit(VOCABULARY_MOST + 1).collect()
-        known = spark.sparkContext.broadcast({t.encode(): i for i, (t,) in enumerate(found)}) if len(found) <= VOCABULARY_MOST else None
+        known = spark.sparkContext.broadcast(bloom_filter(vocabulary.distinct().select(F.xxhash64("term"))))
 
     def run(batches):
+        held = None if known is None else _Held(known.value)
         for batch in batches:
             numbers, positions, terms = [], [], []
             for value in batch.column("text"):
@@ -65,8 +82,9 @@ def positional_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 if known is None:
                     at = np.arange(len(found))
                 else:
-                    ids = np.fromiter(map(known.value.get, found, repeat(-1)), np.int32, len(found))
-                    edge = np.flatnonzero(np.diff((ids >= 0).astype(np.int8), prepend=0, append=0))
+                    held.learn(found)
+                    own = np.fromiter(map(held.__getitem__, found), np.int8, len(found))
+                    edge = np.flatnonzero(np.diff(own, prepend=0, append=0))
                     runs = edge.reshape(-1, 2)
                     runs = runs[runs[:, 1] - runs[:, 0] >= least_run]
                     at = np.concatenate([np.arange(s, e) for s, e in runs]) if len(runs) else np.empty(0, np.int64)
