@@ -11,7 +11,7 @@ node pairs that lie in one component already, and returns one link per fingerpri
 Links then join in connected components by alternating large and small stars.
 
 Edge cases: a null text counts as empty; texts without words have fingerprint zero and are linked like any other; copies
-share a fingerprint and are one leaf; a null doc_id never is the smallest unless alone; an empty table gives an empty one.
+share a fingerprint and are one leaf; a null doc_id never is the smallest unless alone, and rows without an id are told apart by a hash of their text; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -293,31 +293,29 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id, uid, keep_uid) of every row; keep_uid is the uid of the row that stands for its group (that of the smallest doc_id)."""
-    named = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("uid"), F.col(text_col).alias("_t"))
-    rows = stored(fingerprints(named, ["doc_id", "uid"], "_t"), "fingerprints")
+    """(doc_id, fp, component_id, mark, uid, keep_uid) of every row; mark is a hash of the text, keep_uid is the uid of the row that stands for its group (that of the smallest doc_id)."""
+    named = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("uid"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("mark"), F.col(text_col).alias("_t"))
+    rows = stored(fingerprints(named, ["doc_id", "uid", "mark"], "_t"), "fingerprints")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("least")
     classes = stored(rows.groupBy("fp").agg(least), "classes")
     roots = stored(components(trie_links(classes.select("fp"))), "roots")
     rooted = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     least_of = rooted.groupBy("root").agg(F.min("least").alias("least"))
     found = rooted.select("fp", "root").join(least_of, "root").select("fp", F.col("least.doc_id").alias("component_id"), F.col("least.uid").alias("keep_uid"))
-    return rows.join(found, "fp").select("doc_id", "fp", "component_id", "uid", "keep_uid")
+    return rows.join(found, "fp").select("doc_id", "fp", "component_id", "mark", "uid", "keep_uid")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stand for their group, with all their columns."""
     groups = stored(near_groups(docs, id_col, text_col), "near-groups")
-    own_id, own_fp, repeats, mark = (fresh_name(docs.columns, c) for c in ("_keep_id", "_keep_fp", "_repeats", "_fp"))
-    stay = groups.groupBy("doc_id", "fp").agg(F.max(F.col("uid") == F.col("keep_uid")).alias("stays"), F.count("*").alias(repeats)).filter("stays")
-    stay = stored(stay.select(F.col("doc_id").alias(own_id), F.col("fp").alias(own_fp), repeats), "near-stay")
+    own_id, own_mark, repeats = (fresh_name(docs.columns, c) for c in ("_keep_id", "_keep_mark", "_repeats"))
+    stay = groups.groupBy("doc_id", "mark").agg(F.max(F.col("uid") == F.col("keep_uid")).alias("stays"), F.count("*").alias(repeats)).filter("stays")
+    stay = stored(stay.select(F.col("doc_id").alias(own_id), F.col("mark").alias(own_mark), repeats), "near-stay")
     columns = [f"`{c}`" for c in docs.columns]
-    found = docs.join(stay, F.col(f"`{id_col}`").eqNullSafe(F.col(own_id)))
+    found = docs.join(stay, F.col(f"`{id_col}`").eqNullSafe(F.col(own_id)) & (F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))) == F.col(own_mark)))
     lone = F.col(repeats) == 1
-    if groups.groupBy("doc_id").count().filter("count > 1").isEmpty():
+    if stay.filter(~lone).isEmpty():
         return found.select(*columns)
-    # Some id stands on several rows: the fingerprint tells which of them stays, and repeated rows count once.
-    found = fingerprints(found, [*docs.columns, own_fp, repeats], text_col, mark).filter(F.col(mark) == F.col(own_fp))
-    more = found.filter(~lone).groupBy(F.col(f"`{id_col}`"), mark).agg(F.first(F.struct(*columns)).alias("row"))
+    # Rows that repeat both id and text count once.
+    more = found.filter(~lone).groupBy(own_id, own_mark).agg(F.first(F.struct(*columns)).alias("row"))
     return found.filter(lone).select(*columns).unionByName(more.select(*[F.col(f"row.`{c}`") for c in docs.columns]))
-
