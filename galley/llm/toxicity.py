@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from .common import bounded_batches, fresh_name
 
-WORD_CHARS, WINDOW, STRIDE = 12, 32, 26
+WORD_CHARS, WINDOW, STRIDE = 12, 32, 16
 WORDS = re.compile(r"[^\W_]{1,%d}" % WORD_CHARS)
 CHARS, BUCKETS, H_CHAR, H_WORD = 128, 2048, 8, 8
 #: Labelled documents of each class (harmless, toxic) that the network learns from, at most.
