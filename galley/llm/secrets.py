@@ -1,12 +1,13 @@
 """Secret scans with a recursive decoding worklist.
 
 A text is scanned for three kinds of secrets; then its encoded parts are unwrapped (URL escapes, Unicode escapes, base64, and
-gzip or zlib inside base64, as deep as they are nested and through all their members), each new layer is scanned and unwrapped again
-until nothing new turns up. Base64 is read at all four alignments of a run, as it may be glued to a path or a name; of decoded bytes,
-every printable stretch is a layer. A layer that was seen before, by its content, is not entered again, which ends cycles. Every layer carries, per character, the span of the original
-text it came from, so a find in a deep layer is reported where its source stands.
+gzip or zlib inside base64, URL or hex escapes, as deep as they are nested and through all their members), each new layer is scanned and
+unwrapped again until nothing new turns up. Base64 is read at all four alignments of a run, as it may be glued to a path or a name; of
+decoded bytes, every printable stretch is a layer, of UTF-8 as of UTF-16. A layer that was seen before, by its content and place, is not
+entered again, which ends cycles. Every layer knows for each character where in the original text it came from (one place for all that
+was unzipped), so a find in a deep layer is reported where its source stands.
 
-Fixed values: the patterns and least lengths below, and the bytes unzipped at once, which nested zip bombs would have no end of.
+Fixed values: the patterns and least lengths below, and the bytes unzipped of one text, which nested zip bombs would have no end of.
 
 Edge cases: a null text counts as empty and has no spans; spans are code points of the original text, end exclusive; equal finds
 (same kind and place) from different layers are reported once; rows are independent; an empty table gives an empty table.
@@ -17,8 +18,11 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import urllib.parse
 import zlib
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -39,6 +43,11 @@ _ZIPPED = re.compile(r"H4sI|eJ|eN|eA|eF")  # the first bytes of gzip and zlib in
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _PRINTABLE = re.compile(r"[^\x00-\x08\x0b\x0c\x0e-\x1f\x7f\udc80-\udcff]{12,}")
 _BYTES = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
+# Of UTF-16, little and big end first: stretches of ASCII.
+_WIDE = re.compile(rb"(?:[\t\n\r\x20-\x7e]\x00){12,}"), re.compile(rb"(?:\x00[\t\n\r\x20-\x7e]){12,}")
+# Zipped data in URL escapes (with the characters that need none) and in hex escapes.
+_ZIPPED_URL = re.compile(r"(?:%1[Ff]%8[Bb]|(?:x|%78)(?:%9[Cc]|%[Dd][Aa]|%01|%5[Ee]|\^))(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9_.~!*'()/-])+")
+_ZIPPED_HEX = re.compile(r"(?:\\x1[Ff]\\x8[Bb]|\\x78\\x(?:9[Cc]|[Dd][Aa]|01|5[Ee]))(?:\\x[0-9A-Fa-f]{2})+")
 
 
 def scan(text: str) -> list[tuple[int, int, str]]:
@@ -54,33 +63,41 @@ def scan(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
-def _readable(data: bytes) -> list[tuple[int, str]]:
-    """(first byte, text) of the stretches of bytes that are UTF-8 without control characters but white space: all, or those long enough for a secret or a layer."""
+def _readable(data: bytes) -> list[tuple[int, int, str]]:
+    """(first byte, bytes of a character or 0 for UTF-8, text) of the stretches of bytes that are text without control characters but white space: all, or those long enough for a secret or a layer."""
     text = data.decode("utf-8", "surrogateescape")
     found = [(m.start(), m[0]) for m in _PRINTABLE.finditer(text)]
+    wide = [(m.start(), 2, m[0].replace(b"\0", b"").decode()) for pattern in _WIDE for m in pattern.finditer(data)] if b"\0" in data else []
     if not found:
         whole = text and not re.search(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f\udc80-\udcff]", text)
-        return [(0, text)] if whole else []
-    out, at, past = [], 0, 0
+        return wide or ([(0, 0, text)] if whole else [])
+    out, at, past = wide, 0, 0
     for start, part in found:
         past += len(text[at:start].encode("utf-8", "surrogateescape"))
-        out.append((past, part))
+        out.append((past, 0, part))
         at = start
     return out
 
 
-def _unzipped(data: bytes) -> tuple[bytes, bool]:
-    """What gzip or zlib data hold, all members, up to where they are damaged or UNZIPPED_MOST is reached; whether that was all of data."""
-    out, room = [], UNZIPPED_MOST
-    while room > 0 and (data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and len(data) > 6 and (data[0] * 256 + data[1]) % 31 == 0):
+class _Budget:
+    """Bytes that may yet be unzipped of one text."""
+
+    def __init__(self):
+        self.room = UNZIPPED_MOST
+
+
+def _unzipped(data: bytes, budget: _Budget) -> tuple[bytes, bool]:
+    """What gzip or zlib data hold, all members, up to where they are damaged or the budget ends; whether that was all of data."""
+    out = []
+    while budget.room > 0 and (data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and len(data) > 6 and (data[0] * 256 + data[1]) % 31 == 0):
         unpacker, at = zlib.decompressobj(47), 0
         try:
             # In pieces, so that what stands before the damage is kept.
-            while at < len(data) and room > 0 and not unpacker.eof:
+            while at < len(data) and budget.room > 0 and not unpacker.eof:
                 piece = unpacker.unconsumed_tail or data[at : at + 256]
                 at += 0 if unpacker.unconsumed_tail else len(piece)
-                out.append(unpacker.decompress(piece, room))
-                room -= len(out[-1])
+                out.append(unpacker.decompress(piece, min(budget.room, 1 << 16)))
+                budget.room -= len(out[-1])
         except zlib.error:
             break
         if not unpacker.eof:
@@ -89,43 +106,68 @@ def _unzipped(data: bytes) -> tuple[bytes, bool]:
     return b"".join(out), bool(out) and not data
 
 
-# A layer is (text, spans): spans[i] is the (start, end) in the original text of the layer's character i; None: the text itself.
+class Spans(NamedTuple):
+    """Where the characters of a layer came from: starts and ends, which never fall; or one place for all (two numbers)."""
+
+    starts: np.ndarray | int
+    ends: np.ndarray | int
+
+    def place(self, start: int, end: int) -> tuple[int, int]:
+        if isinstance(self.starts, int):
+            return self.starts, self.ends
+        return int(self.starts[start]), int(self.ends[end - 1])
+
+    def through(self, first: np.ndarray, last: np.ndarray) -> Spans:
+        """The spans of a layer whose characters came from first to last (exclusive) of this one."""
+        if isinstance(self.starts, int):
+            return self
+        return Spans(self.starts[first], self.ends[last - 1])
+
+
+# A layer is (text, spans); spans None: the text itself.
 
 
-def _place(spans, start: int, end: int) -> tuple[int, int]:
-    if spans is None:
-        return start, end
-    part = spans[start:end]
-    return min(x for x, _ in part), max(y for _, y in part)
+def _through(spans: Spans | None, first: np.ndarray, last: np.ndarray) -> Spans:
+    return Spans(first, last) if spans is None else spans.through(first, last)
+
+
+def _place(spans: Spans | None, start: int, end: int) -> tuple[int, int]:
+    return (start, end) if spans is None else spans.place(start, end)
 
 
 def _decoded_line(spans, text: str, start: int, end: int, pattern: re.Pattern, decode):
     """(text, spans) of a line whose matches of pattern are replaced by decode(match): pairs of a character and its width in the line."""
-    out, where, at = [], [], start
+    out, firsts, widths, at = [], [], [], start
+
+    def copy(to: int):
+        out.append(text[at:to])
+        firsts.append(np.arange(at, to))
+        widths.append(np.ones(to - at, np.int64))
+
     for m in pattern.finditer(text, start, end):
-        out.append(text[at : m.start()])
-        where += [(i, i + 1) if spans is None else spans[i] for i in range(at, m.start())]
-        at = m.start()
-        for c, width in decode(m[0]):
-            out.append(c)
-            where.append(_place(spans, at, at + width))
-            at += width
+        copy(m.start())
+        made = decode(m[0])
+        wide = np.array([w for _, w in made], np.int64)
+        out.append("".join([c for c, _ in made]))
+        firsts.append(m.start() + np.cumsum(wide) - wide)
+        widths.append(wide)
+        at = m.start() + int(wide.sum())
     if not out:
         return None
-    out.append(text[at:end])
-    where += [(i, i + 1) if spans is None else spans[i] for i in range(at, end)]
-    return "".join(out), where
+    copy(end)
+    first = np.concatenate(firsts)
+    return "".join(out), _through(spans, first, first + np.concatenate(widths))
 
 
-def _percent(code: str):
+def _percent(code: str) -> list[tuple[str, int]]:
     # surrogateescape keeps bytes that are not UTF-8 one character each
-    for c in bytes.fromhex(code.replace("%", "")).decode("utf-8", "surrogateescape"):
-        yield "�" if 0xDC80 <= ord(c) <= 0xDCFF else c, 3 * len(c.encode("utf-8", "surrogateescape"))
+    decoded = bytes.fromhex(code.replace("%", "")).decode("utf-8", "surrogateescape")
+    return [("�" if 0xDC80 <= ord(c) <= 0xDCFF else c, 3 * len(c.encode("utf-8", "surrogateescape"))) for c in decoded]
 
 
-def _escape(code: str):
+def _escape(code: str) -> list[tuple[str, int]]:
     value = int(code[2:-1].lstrip("x"), 16 if code[2] == "x" else 10) if code[0] == "&" else int(code[2:], 16)
-    yield chr(value) if value < 0xD800 or 0xE000 <= value < 0x110000 else "�", len(code)
+    return [(chr(value) if value < 0xD800 or 0xE000 <= value < 0x110000 else "�", len(code))]
 
 
 def _line_layers(text: str, spans, sign: str, pattern: re.Pattern, decode):
@@ -138,33 +180,44 @@ def _line_layers(text: str, spans, sign: str, pattern: re.Pattern, decode):
             yield found
 
 
-def _url_layers(text: str, spans):
+def _zipped_layers(text: str, spans, pattern: re.Pattern, decode, budget: _Budget):
+    for m in pattern.finditer(text):
+        for direct, _, _, found in _decoded(decode(m[0]), budget):
+            if not direct:
+                yield found, Spans(*_place(spans, m.start(), m.end()))
+
+
+def _url_layers(text: str, spans, budget: _Budget):
     yield from _line_layers(text, spans, "%", _BYTES, _percent)
+    if "%" in text:
+        yield from _zipped_layers(text, spans, _ZIPPED_URL, urllib.parse.unquote_to_bytes, budget)
 
 
-def _escape_layers(text: str, spans):
+def _escape_layers(text: str, spans, budget: _Budget):
     for sign in ("\\", "&#"):
         yield from _line_layers(text, spans, sign, _ESCAPE, _escape)
+    if "\\x" in text:
+        yield from _zipped_layers(text, spans, _ZIPPED_HEX, lambda code: bytes.fromhex(code.replace("\\x", "")), budget)
 
 
-def _decoded(data: bytes):
-    """(whether data itself, first byte, text) of the readable stretches of data and of what is unzipped from it, at any depth."""
+def _decoded(data: bytes, budget: _Budget):
+    """(whether of data itself, first byte, bytes of a character, text) of the readable stretches of data and of what is unzipped from it, at any depth."""
     work, seen, whole = [data], set(), True
     while work:
         data = work.pop()
-        plain, complete = _unzipped(data)
+        plain, complete = _unzipped(data, budget)
         if plain:
             mark = hashlib.sha256(plain).digest()
             if mark not in seen:
                 seen.add(mark)
                 work.append(plain)
         if not complete:
-            for at, text in _readable(data):
-                yield whole, at, text
+            for at, width, text in _readable(data):
+                yield whole, at, width, text
         whole = False
 
 
-def _base64_layers(text: str, spans):
+def _base64_layers(text: str, spans, budget: _Budget):
     for m in _BASE64.finditer(text):
         run = m[0].rstrip("=").replace("-", "+").replace("_", "/")
         # What is glued to the front shifts the blob by any number of characters: all alignments, and zipped data from where they start.
@@ -175,31 +228,34 @@ def _base64_layers(text: str, spans):
             if len(body) < 16 and shift:
                 continue
             data = base64.b64decode(body + "=" * (-len(body) % 4))
-            if shift > 3 and not _unzipped(data)[0]:
+            if shift > 3 and not (data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and (data[0] * 256 + data[1]) % 31 == 0):
                 continue  # a part of what its alignment gave
             start = m.start() + shift
-            for direct, at, found in _decoded(data):
+            for direct, at, width, found in _decoded(data, budget):
                 if not direct:
-                    yield found, [_place(spans, start, m.end())] * len(found)
+                    yield found, Spans(*_place(spans, start, m.end()))
                     continue
-                where = []
-                for c in found:
-                    width = len(c.encode())
-                    first, last = at // 3 * 4 + at % 3, (at + width - 1) // 3 * 4 + (at + width - 1) % 3 + 2
-                    where.append(_place(spans, start + first, min(start + last, m.end())))
-                    at += width
-                yield found, where
+                if shift > 3:
+                    continue
+                point = np.frombuffer(found.encode("utf-32-le"), np.uint32).astype(np.int64)
+                wide = np.full(len(point), width) if width else 1 + (point > 0x7F) + (point > 0x7FF) + (point > 0xFFFF)
+                last = at + np.cumsum(wide) - 1
+                first = last - wide + 1
+                yield found, _through(spans, start + first // 3 * 4 + first % 3, np.minimum(start + last // 3 * 4 + last % 3 + 2, m.end()))
 
 
 def layers(text: str):
     """Every layer below text, nested ones too, each once by its content and place."""
-    work, seen = [(text, None)], {hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()}
+    work, seen, budget = [(text, None)], set(), _Budget()
     while work:
         above, spans = work.pop()
         for kind in (_url_layers, _escape_layers, _base64_layers):
-            for found, where in kind(above, spans):
-                mark = hashlib.sha256(f"{where[0][0]}:{where[-1][1]}:{found}".encode("utf-8", "surrogatepass")).digest()
-                if not found or mark in seen or found == above:
+            for found, where in kind(above, spans, budget):
+                if not found or found == above:
+                    continue
+                start, end = where.place(0, len(found))
+                mark = hashlib.sha256(f"{start}:{end}:".encode() + found.encode("utf-8", "surrogatepass")).digest()
+                if mark in seen:
                     continue
                 seen.add(mark)
                 yield found, where
@@ -214,7 +270,7 @@ def find_secrets(text: str | None) -> tuple[list[tuple[int, int, str]], list[tup
     every = set(base)
     for found, where in layers(text):
         for start, end, kind in scan(found):
-            every.add((*_place(where, start, end), kind))
+            every.add((*where.place(start, end), kind))
     return base, sorted(every, key=key)
 
 

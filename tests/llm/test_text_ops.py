@@ -33,6 +33,21 @@ def test_pieces_do_not_change_ids(enc, seed):
     assert bpe.decode(enc, ids) == t.encode()
 
 
+@pytest.mark.parametrize("seed", range(20))
+def test_runs_of_white_space_do_not_change_ids(enc, seed):
+    rng = random.Random(seed)
+    blanks = lambda: "".join(rng.choice(" \t\n\u3000\r\x85") for _ in range(5)) * rng.choice([150, 199, 200, 400]) + rng.choice(["", " ", "\t"])
+    t = "".join(rng.choice(["word", "é", " ", "'s", "1", "\x1c", "."]) if rng.random() < 0.6 else blanks() for _ in range(12))
+    assert "".join(x for x, _ in bpe.runs(t)) == t
+    assert bpe.encode(enc, t) == enc.encode_ordinary(t)
+
+
+@pytest.mark.parametrize("blank", [" ", "\t", "\n", " \n"])
+def test_a_million_blanks(enc, blank):
+    for t in (f"a{blank * 1_000_000}b", blank * 1_000_000, f"x {blank * 1_000_000}"):
+        assert bpe.decode(enc, bpe.encode(enc, t)) == t.encode()
+
+
 def test_long_text_without_boundary(enc):
     t = "x" * 5000
     assert bpe.pieces(t, 100) == [t]
@@ -105,6 +120,13 @@ def _b64(data):
         _b64(b"\x00\x01" + SECRET.encode() + b"\xff\xfe"),
         _b64(b"x " + SECRET.encode()),
         _b64(gzip.compress(bytes(9000) + SECRET.encode()) + b"tail"),
+        _b64(SECRET.encode("utf-16")),
+        _b64(SECRET.encode("utf-16-be")),
+        "data/x" + _b64(SECRET.encode("utf-16-le")),
+        urllib.parse.quote(gzip.compress(SECRET.encode()), safe=""),
+        urllib.parse.quote(zlib.compress(SECRET.encode()), safe=""),
+        "".join(f"%{b:02X}" for b in gzip.compress(SECRET.encode())),
+        "".join(f"\\x{b:02x}" for b in gzip.compress(SECRET.encode())),
         _b64(b"\xff" + _b64(gzip.compress(b"\x00" + SECRET.encode())).encode() + b"\x07"),
     ],
 )
@@ -124,6 +146,17 @@ def test_exact_map_in_percent_text():
     assert spans_of(t) == [(2, len(t) - 2, "assign")]
 
 
+def test_bombs_and_long_lines_stay_small():
+    import resource
+
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    bomb = _b64(gzip.compress(bytes(1 << 24) + b" " + SECRET.encode() + b"x " * (1 << 23)))
+    nested = _b64(gzip.compress(_b64(gzip.compress(b"a b " * (1 << 22))).encode() * 20))
+    assert [k for *_, k in spans_of(f"{bomb} {nested}")] == ["assign"]
+    assert spans_of("x" * 2_000_000 + " %74oken=abcdefghijklmnop") == [(2_000_001, 2_000_025, "assign")]
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 500_000
+
+
 def test_cycles_end():
     assert secrets.find_secrets("%25" * 2000)[0] == []
     assert secrets.find_secrets(None) == ([], [])
