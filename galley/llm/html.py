@@ -17,6 +17,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,7 +39,7 @@ NAMES_MAIN = {"article", "content", "main", "post", "entry", "story", "body", "t
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 ENDS_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>=]+|=)*+)(?:>|\Z)", re.S)
 _NAMED = re.compile(r"(?:^|[\s\"'])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _WORDS = re.compile(r"[a-z]+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
@@ -81,10 +82,33 @@ def _says(tag: str, attributes: str, above: int) -> int:
     return 1 if weak and above >= 0 else above
 
 
-def blocks(page: str) -> list[tuple[str, str, int, int]]:
-    """(path, text, characters in links, what the path says) of each block with text, in page order."""
-    out: list[tuple[str, str, int, int]] = []
-    stack: list[tuple[str, str, int, bool]] = []  # (tag, step of the path, says so far, skipped)
+class Paths:
+    """The paths of a page as a tree: a node is a path, its parent the path without the last step."""
+
+    def __init__(self):
+        self.parent, self.depth, self.nodes = [0], [0], {}
+
+    def below(self, node: int, step: str) -> int:
+        if (node, step) not in self.nodes:
+            self.nodes[node, step] = len(self.parent)
+            self.parent.append(node)
+            self.depth.append(self.depth[node] + 1)
+        return self.nodes[node, step]
+
+    def shared_depth(self, used: set[int]) -> int:
+        """How many steps all the used paths begin with in common."""
+        held = [int(n in used) for n in range(len(self.parent))]
+        for n in range(len(held) - 1, 0, -1):
+            held[self.parent[n]] += held[n]
+        return max(d for d, h in zip(self.depth, held) if h == held[0])
+
+
+def blocks(page: str) -> tuple[list[tuple[int, str, int, int]], Paths]:
+    """(path, text, characters in links, what the path says) of each block with text, in page order; and the paths."""
+    out: list[tuple[int, str, int, int]] = []
+    paths = Paths()
+    stack: list[tuple[str, int, int, bool]] = []  # (tag, path, says so far, skipped)
+    opened: Counter = Counter()
     parts: list[str] = []
     linked = links = 0
 
@@ -93,8 +117,7 @@ def blocks(page: str) -> list[tuple[str, str, int, int]]:
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text and not (stack and stack[-1][3]):
-                steps = [s for t, s, _, _ in stack if t not in INLINE]
-                out.append(("/".join(steps), text, linked, stack[-1][2] if stack else 0))
+                out.append((stack[-1][1] if stack else 0, text, linked, stack[-1][2] if stack else 0))
             parts.clear()
         linked = 0
 
@@ -105,6 +128,7 @@ def blocks(page: str) -> list[tuple[str, str, int, int]]:
             if tag not in INLINE:
                 flush()
             links -= tag == "a"
+            opened[tag] -= 1
             stack.pop()
 
     at, n = 0, len(page)
@@ -121,7 +145,7 @@ def blocks(page: str) -> list[tuple[str, str, int, int]]:
         if not tag:
             continue
         if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1, -1, -1) if opened[tag] else ():
                 if stack[i][0] == tag:
                     close(i)
                     break
@@ -135,7 +159,7 @@ def blocks(page: str) -> list[tuple[str, str, int, int]]:
         ends, stops = CLOSES.get(tag, (set(), set()))
         if tag in ENDS_P:
             ends, stops = {"p"}, {"article", "section", "div", "td", "th", "li", "body", "blockquote", "table", "button"} - {"p"}
-        if ends:
+        if any(opened[e] for e in ends):
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] in ends:
                     close(i)
@@ -144,15 +168,16 @@ def blocks(page: str) -> list[tuple[str, str, int, int]]:
                     break
         if tag not in INLINE:
             flush()
-        above = stack[-1] if stack else ("", "", 0, False)
+        above = stack[-1] if stack else ("", 0, 0, False)
         says = _says(tag, m[3], above[2])
         if m[3].endswith("/"):
             continue
-        step = tag
-        if tag not in INLINE and m[3]:
-            named = re.search(r"\bclass\s*=\s*[\"']?([^\"'>]*)", m[3])
-            step = f"{tag}.{named[1].strip()}" if named else tag
-        stack.append((tag, step, says, above[3] or tag in SKIPPED))
+        node = above[1]
+        if tag not in INLINE:
+            named = re.search(r"\bclass\s*=\s*[\"']?([^\"'>]*)", m[3]) if m[3] else None
+            node = paths.below(node, f"{tag}.{named[1].strip()}" if named else tag)
+        stack.append((tag, node, says, above[3] or tag in SKIPPED))
+        opened[tag] += 1
         links += tag == "a"
         if tag in RAW:
             end = re.compile(rf"</{tag}\b", re.I).search(page, at)
@@ -162,7 +187,7 @@ def blocks(page: str) -> list[tuple[str, str, int, int]]:
             at = stop
     close(0)
     flush()
-    return out
+    return out, paths
 
 
 def _fused(blocks: int, size: int, marks: int, linked: int, smooth: float) -> float:
@@ -170,9 +195,9 @@ def _fused(blocks: int, size: int, marks: int, linked: int, smooth: float) -> fl
     return math.log1p(0.5 * ratio + 0.5 * smooth) * (1 + math.log1p(marks / blocks)) * math.log1p(size)
 
 
-def content_paths(found: list[tuple[str, str, int, int]]) -> set[tuple[str, int]]:
+def content_paths(found: list[tuple[int, str, int, int]], tree: Paths) -> set[tuple[int, int]]:
     """The paths, each with what it says, whose fused and smoothed ratio is over the threshold."""
-    paths: dict[tuple[str, int], list[float]] = {}
+    paths: dict[tuple[int, int], list[float]] = {}
     for path, text, linked, says in found:
         row = paths.setdefault((path, says), [0, 0, 0, 0, 0.0])
         row[0] += 1
@@ -183,21 +208,22 @@ def content_paths(found: list[tuple[str, str, int, int]]) -> set[tuple[str, int]
     raw = [(paths[p, says][1] - paths[p, says][3]) / paths[p, says][0] for p, _, _, says in found]
     for i, (p, _, _, says) in enumerate(found):
         paths[p, says][4] += sum(w * raw[min(max(i + k - 2, 0), len(raw) - 1)] for k, w in enumerate(SMOOTH))
-    # A container is what stands above a path and not above the whole page; a main one counts anyway.
-    steps = [p.split("/") for p, _ in paths]
-    shared = next((i for i, x in enumerate(zip(*steps)) if len(set(x)) > 1), min(map(len, steps), default=0))
-    above = {key: ("/".join(way[:-1]), key[1]) for key, way in zip(paths, steps) if len(way) - 1 > shared or key[1] > 0 and len(way) > 1}
-    held: dict[tuple[str, int], list[float]] = {}
-    for box in set(above.values()):
-        inside = [r for (p, says), r in paths.items() if says == box[1] and (p == box[0] or p.startswith(box[0] + "/"))]
-        held[box] = [sum(x) for x in zip(*inside)]
+    # A container is what stands above a path and not above the whole page; a main one counts anyway. It holds all paths below it that say the same.
+    shared = tree.shared_depth({p for p, _ in paths}) if paths else 0
+    held = {key: list(row) for key, row in paths.items()}
+    for node in range(len(tree.parent) - 1, 0, -1):
+        for says in WEIGHT:
+            if (node, says) in held:
+                box = held.setdefault((tree.parent[node], says), [0, 0, 0, 0, 0.0])
+                for i, x in enumerate(held[node, says]):
+                    box[i] += x
     fused = {}
-    for key, r in paths.items():
+    for (node, says), r in paths.items():
         own = _fused(*r[:4], r[4] / r[0])
-        if key in above:
-            box = held[above[key]]
+        if tree.depth[node] - 1 > shared or says > 0 and tree.depth[node] > 1:
+            box = held[tree.parent[node], says]
             own = max(own, 0.5 * _fused(*box[:4], box[4] / box[0]))
-        fused[key] = own * (1 - r[3] / r[1]) * WEIGHT[key[1]]
+        fused[node, says] = own * (1 - r[3] / r[1]) * WEIGHT[says]
     most = max(fused.values(), default=0.0)
     mean = sum(fused.values()) / max(len(fused), 1)
     spread = math.sqrt(sum((x - mean) ** 2 for x in fused.values()) / max(len(fused), 1))
@@ -206,8 +232,9 @@ def content_paths(found: list[tuple[str, str, int, int]]) -> set[tuple[str, int]
 
 
 def main_text(page: str | None) -> str:
-    found = [b for b in blocks(page or "") if b[3] != HIDDEN]
-    kept = content_paths(found)
+    found, tree = blocks(page or "")
+    found = [b for b in found if b[3] != HIDDEN]
+    kept = content_paths(found, tree)
     return "\n".join(text for path, text, _, says in found if (path, says) in kept)
 
 
