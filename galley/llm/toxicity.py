@@ -29,7 +29,7 @@ from .common import bounded_batches, fresh_name
 
 WORD_CHARS, WINDOW, STRIDE = 12, 32, 16
 WORDS = re.compile(r"[^\W_]{1,%d}" % WORD_CHARS)
-CHARS, BUCKETS, H_CHAR, H_WORD = 128, 2048, 8, 8
+CHARS, BUCKETS, H_CHAR, H_WORD = 128, 1 << 14, 8, 8
 #: Labelled documents of each class (harmless, toxic) that the network learns from, at most.
 PER_CLASS = (2400, 800)
 THRESHOLD = 0.3
@@ -367,6 +367,15 @@ def first_windows(vocabulary: list[str], docs: list[np.ndarray], y: np.ndarray)
     return odds[parts].max(axis=1)
 
 
+def word_odds(hashed: np.ndarray, docs: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """Where the words' own vectors start from: how much a bucket speaks for the toxic class, less where few documents have it."""
+    df = np.zeros((2, BUCKETS), np.float32)
+    for own, label in zip(docs, y):
+        df[int(label), np.unique(hashed[own])] += 1
+    odds = np.log((df[1] + 0.5) / (y.sum() + 1)) - np.log((df[0] + 0.5) / (len(y) - y.sum() + 1))
+    return np.where(df[1] > 0, np.clip(odds, 0, None) * df[1] / (df[1] + 3), 0) * np.float32(0.3)
+
+
 def fit(texts: list[str | None], labels: list[int], rounds: tuple[int, ...] = (150, 100, 70), seed: int = 7) -> tuple[dict, float, float] | None:
     """(parameters, slope, shift), or None without both classes."""
     seen: dict[str, int] = {}
@@ -384,6 +393,7 @@ def fit(texts: list[str | None], labels: list[int], rounds: tuple[int, ...] = (1
     vocabulary = list(numbers)
     rng = np.random.default_rng(seed)
     net = Network.new(seed)
+    net.p["hashed"] += word_odds(hash_ids(vocabulary), docs, y)[:, None] * rng.normal(0, 1, 6 * H_WORD).astype(np.float32)
 
     def logits():
         scorer = Scorer(net.p, 1, 0)

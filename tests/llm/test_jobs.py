@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -11,7 +12,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from galley.llm import decontam, exact, lmscore, queries, sharding, simhash, toxicity
+from galley.llm import bpe, decontam, exact, lmscore, queries, sharding, simhash, toxicity
 from tests.conftest import DATA
 
 
@@ -126,6 +127,17 @@ def test_exact_groups(spark, batches):
     assert sorted((r["doc_id"], (r["text"] or "").lower() if (r["text"] or "").isascii() else r["text"]) for r in left) == sorted((max(x for x in g if x is not None), next((t or "").lower() if (t or "").isascii() else t for i, t in rows if hashlib.sha256((t or "").encode().lower()).digest() == d)) for d, g in groups.items())
 
 
+def test_many_rows_without_id(spark):
+    """Ten thousand rows without an id don't meet each other: one row of each text or group stays."""
+    rows = [(None, f"Text number {i % 2500} of this table, word{i % 2500}") for i in range(10_000)] + [(1, "alone"), (2, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [(r["doc_id"], r["text"]) for r in exact.exact_dedup(docs).collect()]
+    assert sorted(t or "" for _, t in kept) == sorted({t or "" for _, t in rows}) and (2, None) in kept
+    groups = simhash.near_groups(docs).collect()
+    near = simhash.near_dedup(docs).collect()
+    assert len(groups) == len(rows) and len(near) == len({(r["component_id"], r["keep_uid"]) for r in groups})
+
+
 # ---- decontamination
 
 
@@ -186,7 +198,19 @@ def test_few_rows_move_when_the_rest_stays(spark):
     docs = spark.range(3000).selectExpr("id AS doc_id", "cast(id AS string) AS text")
     first = {r["doc_id"]: r["shard"] for r in sharding.ring_shards(docs, shards=8).collect()}
     again = {r["doc_id"]: r["shard"] for r in sharding.ring_shards(docs, shards=9).collect()}
-    assert sum(first[i] != again[i] for i in first) / len(first) < 0.6
+    assert sum(first[i] != again[i] for i in first) / len(first) < 2 / 9
+
+
+def test_only_overflow_leaves_its_home(spark):
+    """Against a plain ring: a shard holds as many of its own keys as it has room for, and none is elsewhere while it has room."""
+    docs = spark.createDataFrame([(i % 700 if i % 5 else None, f"text {i % 900}") for i in range(2000)], "doc_id long, text string")
+    placed = [(r["doc_id"], r["shard"]) for r in sharding.ring_shards(docs, shards=5).collect()]
+    points = sharding.ring_points(5, sharding.VIRTUAL_NODES)
+    hashes = {r["doc_id"]: r["h"] for r in docs.selectExpr("doc_id", "xxhash64(doc_id) AS h").distinct().collect()}
+    home = lambda i: next((s for p, s in points if p >= hashes[i]), points[0][1])
+    homes, at_home = Counter(home(i) for i, _ in placed), Counter(s for i, s in placed if home(i) == s)
+    assert Counter(s for _, s in placed) == {s: 400 for s in range(5)}
+    assert all(at_home[s] == min(400, homes[s]) for s in range(5))
 
 
 # ---- language models
@@ -323,3 +347,46 @@ def test_held_out_accuracy():
     right = sum((s >= toxicity.THRESHOLD) == bool(y) for s, (_, y) in zip(scores, test))
     assert right >= 114 and scores[-1] == scores[-2] == 0
     assert toxicity.fit(["a"], [1]) is None
+
+
+def test_held_out_documents():
+    """Labelled documents that the network never saw: planted toxic ones are found, harmless ones left alone."""
+    import pandas as pd
+
+    folder = f"{os.path.dirname(DATA)}/sf0.01"
+    docs, labels = (pd.read_parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    rows = labels.merge(docs, on="doc_id").sort_values("doc_id")
+    out = rows["doc_id"].map(lambda i: zlib.crc32(str(i).encode()) % 4 == 2)
+    model = toxicity.fit(list(rows[~out]["text"].fillna("")), list(rows[~out]["toxic"]))
+    found = toxicity.Scorer(*model).scores(list(rows[out]["text"])) >= toxicity.THRESHOLD
+    toxic = rows[out]["toxic"].to_numpy() == 1
+    # Of 14 toxic ones 9 hold a word that three or more of the 37 toxic documents learnt from have.
+    assert toxic.sum() == 14 and found[toxic].sum() >= 7 and found[~toxic].mean() <= 0.05
+
+
+# ---- the pipeline
+
+
+def test_pipeline_against_plain_stages(spark):
+    """Every decision of run(), made anew without Spark; scores and ids come from the operators' own helpers."""
+    import public_tokenizers
+
+    import corpus_pipeline
+
+    rows = [(r["doc_id"], r["text"]) for r in table(spark, "documents").orderBy("doc_id").collect()]
+    scores = {r["doc_id"]: r["predicted"] for r in queries.op1_toxicity(spark, DATA).collect()}
+    left = [(i, t) for i, t in rows if not scores[i]]
+    last = {}
+    for i, t in left:
+        last[hashlib.sha256((t or "").encode().lower()).digest()] = i
+    left = [(i, t) for i, t in left if i in set(last.values())]
+    prints = {i: plain_fingerprint(t) for i, t in left}
+    first = set()
+    for group in plain_components(prints.values()):
+        first.add(min(i for i, f in prints.items() if f in group))
+    items = [(r["item_id"], r["text"]) for r in table(spark, "benchmark").collect()]
+    left = [(i, t) for i, t in left if i in first and not plain_hits(t, items)[1]]
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        enc = bpe.encoder(f.read(), public_tokenizers.PATTERN)[0]
+    got = {r["doc_id"]: list(r["token_ids"]) for r in corpus_pipeline.run(spark, DATA).collect()}
+    assert got == {i: enc.encode_ordinary(t or "") for i, t in left}

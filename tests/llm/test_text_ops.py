@@ -5,12 +5,14 @@ import gzip
 import hashlib
 import random
 import re
+import time
 import urllib.parse
 import zlib
 
 import pytest
 
 from galley.llm import bpe, html, secrets, warc
+from tests.conftest import DATA
 
 # ---- byte-level BPE
 
@@ -228,12 +230,29 @@ def test_odd_pages():
     assert html.main_text("<article>a<!-- <p>no</p> --><![CDATA[x]]>b</article>") == "ab"
 
 
-def test_generated_pages(spark):
-    import os
+def test_quotes_in_unquoted_values_and_deep_nesting():
+    assert html.main_text("<article><p title=it's>First.</p><p>We don't lose this.</p></article>") == "First.\nWe don't lose this."
+    assert html.main_text('<p title="a > b">One, two.</p><p class=x"y>Three, four.</p>') == "One, two.\nThree, four."
+    began = time.perf_counter()
+    assert html.main_text("<div>text, of a block. " * 20_000).count("text") > 10_000
+    assert time.perf_counter() - began < 10
+
 
-    from tests.conftest import DATA
+def test_ratios_find_articles_without_tags_and_names(spark):
+    """With all telling tags made div and all names dropped, what is left to go by is ratios."""
+    recall, precision = [], []
+    for r in spark.read.parquet(f"{DATA}/pages.parquet").collect():
+        wanted = html.main_text(r["html"]).split("\n")
+        bare = re.sub(r"<(/?)(article|main|nav|header|footer|aside|form)\b", r"<\1div", r["html"])
+        got = html.main_text(re.sub(r"""\s(class|id|role)=("[^"]*"|'[^']*'|[^\s>]+)""", "", bare)).split("\n")
+        both = sum(len(b) for b in wanted if b in got)
+        recall.append(both / sum(map(len, wanted)))
+        precision.append(both / sum(map(len, got)))
+    assert sum(recall) / len(recall) > 0.95 and sum(precision) / len(precision) > 0.85
 
-    for r in spark.read.parquet(os.path.join(DATA, "pages.parquet")).collect():
+
+def test_generated_pages(spark):
+    for r in spark.read.parquet(f"{DATA}/pages.parquet").collect():
         article = r["html"].split("<article>", 1)[1].split("</article>", 1)[0]
         import html as entities
 
