@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from galley.functions.scalars import bigram_dice, dois, name_norm, translit_skeleton
+from galley.functions.scalars import bigrams, dice_of, dois, name_norm, translit_skeleton
 
 from .filters import visible
 
@@ -163,22 +163,44 @@ def pair_bilingual_authors(ru: DataFrame, en: DataFrame) -> DataFrame:
 def align_references(ru: DataFrame, en: DataFrame, least: float = 0.5, head: int = 70) -> DataFrame:
     """(article_id, ru_pos, en_pos, ru, en, score): references of both languages in pairs that keep the order; others stand alone.
 
-    Candidates share a DOI (score 1) or have transliteration skeletons (first `head` characters) that agree by `least` or more. A pair
-    stands if each is the other's best, and if no stronger pair crosses it: a pair whose en_pos is under the running maximum is dropped.
+    Candidates share a DOI (score 1) or have transliteration skeletons (first `head` characters) that agree by `least` or more. Of all
+    chains of candidates that rise in both lists the one with the highest sum of scores (in millionths) is taken; of equal ones the one
+    whose pairs come first.
     """
-    r = ru.select("article_id", F.col("pos").alias("ru_pos"), F.col("text").alias("ru"))
-    e = en.select("article_id", F.col("pos").alias("en_pos"), F.col("text").alias("en"))
-    skeleton = lambda c: F.left(translit_skeleton(F.col(c)), F.lit(head))
-    first_doi = lambda c: F.get(dois(F.lower(F.col(c))), F.lit(0))
-    pairs = r.withColumn("rs", skeleton("ru")).withColumn("rd", first_doi("ru")).join(e.withColumn("es", skeleton("en")).withColumn("ed", first_doi("en")), "article_id")
-    score = F.when(F.col("rd") == F.col("ed"), 1.0).otherwise(bigram_dice(F.col("rs"), F.col("es")))
-    scored = pairs.withColumn("score", score).filter(F.col("score") >= least)
-    order = lambda k, other: F.row_number().over(Window.partitionBy("article_id", k).orderBy(F.desc("score"), F.abs(F.col("ru_pos") - F.col("en_pos")), other))
-    best = scored.withColumn("x", order("ru_pos", "en_pos")).withColumn("y", order("en_pos", "ru_pos")).filter("x = 1 AND y = 1")
-    before = Window.partitionBy("article_id").orderBy("ru_pos").rowsBetween(Window.unboundedPreceding, -1)
-    kept = best.withColumn("top", F.max("en_pos").over(before)).filter("top IS NULL OR en_pos > top").select("article_id", "ru_pos", "en_pos", "score")
-    left = r.join(kept, ["article_id", "ru_pos"], "left")
-    return left.join(e, ["article_id", "en_pos"], "full_outer").select("article_id", "ru_pos", "en_pos", "ru", "en", "score")
+
+    def keyed(df: DataFrame, name: str) -> DataFrame:
+        skeleton = F.left(translit_skeleton(F.col("text")), F.lit(head))
+        return df.select("article_id", F.col("pos").alias(f"{name}_pos"), F.col("text").alias(name), F.get(dois(F.lower("text")), F.lit(0)).alias(f"{name}_doi"), bigrams(skeleton).alias(f"{name}_grams"))
+
+    r, e = keyed(ru, "ru"), keyed(en, "en")
+    score = F.when(F.col("ru_doi") == F.col("en_doi"), 1.0).otherwise(dice_of("ru_grams", "en_grams"))
+    pairs = r.drop("ru").join(e.drop("en"), "article_id").select("article_id", "ru_pos", "en_pos", score.alias("score"))
+    cell = F.struct("en_pos", F.when(F.col("score") >= least, F.round(F.col("score") * 1_000_000).cast("bigint")).alias("points"), "score")
+    rows = pairs.groupBy("article_id", "ru_pos").agg(F.sort_array(F.collect_list(cell)).alias("cells"))
+    grid = rows.groupBy("article_id").agg(F.sort_array(F.collect_list(F.struct("ru_pos", "cells"))).alias("grid"))
+    kept = grid.select("article_id", F.explode(best_chain(F.col("grid"))).alias("p")).select("article_id", (-F.col("p.up")).alias("ru_pos"), (-F.col("p.left")).alias("en_pos"), "p.score")
+    left = r.select("article_id", "ru_pos", "ru").join(kept, ["article_id", "ru_pos"], "left")
+    return left.join(e.select("article_id", "en_pos", "en"), ["article_id", "en_pos"], "full_outer").select("article_id", "ru_pos", "en_pos", "ru", "en", "score")
+
+
+def best_chain(grid: Column) -> Column:
+    """The chain (up, left, score) of the highest sum in a grid of rows (ru_pos, cells (en_pos, points, score)); up and left are the positions' negatives.
+
+    After each row the best chain is known for every number of English references; of equal sums the greater array, so the earlier pairs, wins.
+    """
+    path = "array<struct<up:int,left:int,score:double>>"
+
+    def row(done: Column, x: Column) -> Column:
+        def cell(made: Column, j: Column) -> Column:
+            here, before = F.get(x["cells"], j), F.get(done, j - 1)
+            pair = F.array(F.struct((-x["ru_pos"]).cast("int").alias("up"), (-here["en_pos"]).cast("int").alias("left"), here["score"].alias("score")))
+            took = F.struct((F.coalesce(before["total"], F.lit(0)) + here["points"]).alias("total"), F.concat(F.coalesce(before["path"], F.array().cast(path)), pair).alias("path"))
+            return F.concat(made, F.array(F.array_max(F.array(F.get(done, j), F.get(made, j - 1), F.when(here["points"].isNotNull(), took)))))
+
+        return F.aggregate(F.sequence(F.lit(0), F.size(x["cells"]) - 1), F.array().cast(f"array<struct<total:bigint,path:{path}>>"), cell)
+
+    start = F.transform(F.get(grid, F.lit(0))["cells"], lambda _: F.struct(F.lit(0).cast("bigint").alias("total"), F.array().cast(path).alias("path")))
+    return F.element_at(F.aggregate(grid, start, row), -1)["path"]
 
 
 def legacy_chain(article: DataFrame, section: DataFrame, issue: DataFrame, journal: DataFrame) -> DataFrame:

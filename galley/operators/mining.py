@@ -33,16 +33,22 @@ def canon_headings(lines: DataFrame, near: float = 0.07, most: int = 80) -> Data
     """
     bare = [(h.replace(" ", ""), s) for h, s in HEADINGS]
     names = F.create_map(*[F.lit(x) for pair in bare for x in pair])
+    longest = max(len(h) for h, _ in bare)
+    forgiven = -int(-near * (longest + longest * near) // 1)
 
     def found(k: Column) -> Column:
         # Lengths rule most lines out before any distance is computed.
         wrong = F.ceil(near * F.length(k))
-        close = [F.when((F.abs(F.length(k) - len(h)) <= wrong) & (F.levenshtein(k, F.lit(h)) <= wrong), s) for h, s in bare if len(h) >= 9]
+        distance = lambda h: F.levenshtein(k, F.lit(h), forgiven)
+        close = [F.when((F.abs(F.length(k) - len(h)) <= wrong) & distance(h).between(0, wrong), s) for h, s in bare if len(h) >= 9]
         return F.coalesce(names[k], F.when(F.length(k) >= 9, F.coalesce(*close)))
 
     # transform binds the key: it is computed once a line, whatever the optimizer moves where.
     heading = F.get(F.transform(F.array(heading_key(F.col("line"))), found), F.lit(0))
-    return lines.withColumn("heading", F.when((F.length("line") < most) & (F.col("line") != ""), heading))
+    # No heading has digits, so each one is a wrong letter; most lines go by this test, which costs no regular expression.
+    digits = F.length("line") - F.length(F.translate("line", "0123456789", ""))
+    short = F.length("line").between(min(len(h) for h, _ in bare), most - 1)
+    return lines.withColumn("heading", F.when(short & (digits <= forgiven), heading))
 
 
 def fronted(lines: DataFrame) -> DataFrame:
@@ -162,21 +168,47 @@ def milestone_dates(lines: DataFrame) -> DataFrame:
 
 
 def parsed_manuscripts(lines: DataFrame) -> DataFrame:
-    """(doc_id, doi, title_ru, title_en, n_authors_ru, n_authors_en, n_orgs, n_cited, pages, n_keywords_ru, n_keywords_en, n_refs_ru, n_refs_en): what the jobs above find, per document."""
-    pick = lambda t, lang, name: t.filter(F.col("lang") == lang).select("doc_id", F.col("title").alias(name))
-    titles, authors = title_lines(lines), author_tokens(lines).groupBy("doc_id").pivot("lang", ["ru", "en"]).count()
-    authors = authors.select("doc_id", F.col("ru").alias("n_authors_ru"), F.col("en").alias("n_authors_en"))
-    orgs = org_chunks(lines).groupBy("doc_id").agg(F.count("*").alias("n_orgs"))
-    refs = split_references(lines).groupBy("doc_id").pivot("lang", ["ru", "en"]).count().select("doc_id", F.col("ru").alias("n_refs_ru"), F.col("en").alias("n_refs_en"))
-    s = section_texts(lines).select(
-        "doc_id", citation_author_count(F.col("citation_ru")).alias("n_cited"), extract_pages(F.coalesce("citation_ru", F.lit(""))).alias("pages"),
-        F.size(split_keywords(F.coalesce("keywords_ru", F.lit("")))).alias("n_keywords_ru"), F.size(split_keywords(F.coalesce("keywords_en", F.lit("")))).alias("n_keywords_en"), F.col("abstract_ru").isNotNull().alias("has_abstract"),
+    """(doc_id, doi, title_ru, title_en, n_authors_ru, n_authors_en, n_orgs, n_cited, pages, n_keywords_ru, n_keywords_en, n_refs_ru, n_refs_en): what the jobs above find, per document.
+
+    Lines are marked and moved by document once; one group per document then holds them by section, and the rest are expressions over these.
+    """
+    w = Window.partitionBy("doc_id").orderBy("line_no")
+    is_doi = F.col("line").rlike("(?i)^doi")
+    rows = canon_headings(lines).withColumn("is_doi", is_doi).withColumn("opens", F.when(F.col("is_doi"), "front_ru").otherwise(F.col("heading")))
+    last = lambda c: F.last(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumns({"section": last("heading"), "part": last("opens")})
+    line = F.struct("line_no", "line")
+    held = lambda where: F.transform(F.array_sort(F.collect_list(F.when(where, line))), lambda x: x["line"])
+    fronts = {f"front_{x}": held((F.col("part") == f"front_{x}") & F.col("opens").isNull()) for x in ("ru", "en")}
+    sections = {x: held((F.col("section") == x) & F.col("heading").isNull()) for x in ("abstract_ru", "citation_ru", "keywords_ru", "keywords_en", "refs_ru", "refs_en")}
+    doi = F.min(F.when(F.col("is_doi"), F.get(dois(F.col("line")), F.lit(0)))).alias("doi")
+    docs = rows.groupBy("doc_id").agg(doi, *[c.alias(n) for n, c in {**fronts, **sections}.items()])
+    text = lambda c: F.nullif(F.array_join(c, "\n"), F.lit(""))
+    keywords = lambda x: F.size(split_keywords(F.coalesce(text(f"keywords_{x}"), F.lit(""))))
+    references = lambda x: F.size(F.filter(f"refs_{x}", lambda t: t.rlike(r"^[0-9]{1,3}\.\s")))
+    # Author tokens don't reach over the end of a line.
+    authors = lambda x: F.regexp_count(F.array_join(f"front_{x}", "\u0001"), F.lit(AUTHOR)).cast("long")
+    return docs.select(
+        "doc_id", "doi", _title("front_ru").alias("title_ru"), _title("front_en").alias("title_en"), authors("ru").alias("n_authors_ru"), authors("en").alias("n_authors_en"),
+        (_orgs("front_ru") + _orgs("front_en")).cast("long").alias("n_orgs"), references("ru").cast("long").alias("n_refs_ru"), references("en").cast("long").alias("n_refs_en"),
+        citation_author_count(text("citation_ru")).alias("n_cited"), extract_pages(F.coalesce(text("citation_ru"), F.lit(""))).alias("pages"),
+        keywords("ru").alias("n_keywords_ru"), keywords("en").alias("n_keywords_en"), text("abstract_ru").isNotNull().alias("has_abstract"),
     )
-    doi = lines.filter(F.col("line").rlike("(?i)^doi")).groupBy("doc_id").agg(F.min(F.get(dois(F.col("line")), F.lit(0))).alias("doi"))
-    out = lines.select("doc_id").distinct().join(doi, "doc_id", "left")
-    for t in (pick(titles, "ru", "title_ru"), pick(titles, "en", "title_en"), authors, orgs, refs, s):
-        out = out.join(t, "doc_id", "left")
-    return out.fillna(0)
+
+
+def _title(front: str, most: int = 6) -> Column:
+    """As title_lines has it, over the lines of a front part."""
+    own = F.filter(front, lambda t: ~F.startswith(t, F.lit("©")))
+    stop = F.array_min(F.filter(F.transform(own, lambda t, i: F.when(t.rlike(AUTHOR) | ((t == "") & (i > 0)), i)), lambda i: i.isNotNull()))
+    kept = F.filter(F.slice(own, 1, F.least(F.coalesce(stop, F.lit(most)), F.lit(most))), lambda t: t != "")
+    return F.nullif(F.array_join(kept, " "), F.lit(""))
+
+
+def _orgs(front: str) -> Column:
+    """How many lines org_chunks takes from the lines of a front part."""
+    first = F.array_min(F.filter(F.transform(front, lambda t, i: F.when(t.rlike(AUTHOR), i)), lambda i: i.isNotNull()))
+    named = lambda t, i: (i > first) & t.rlike(f"^[0-9][0-9, -]*\\s*[{CAPITAL}]") & ~F.contains(t, F.lit("@")) & ~t.rlike(AUTHOR)
+    return F.size(F.filter(front, lambda t, i: F.coalesce(named(t, i), F.lit(False))))
 
 
 def parse_warnings(parsed: DataFrame) -> DataFrame:

@@ -97,12 +97,15 @@ bind(
 bind(
     "align_references",
     lambda v: joins.align_references(v.ref.select("article_id", "pos", F.col("ru").alias("text")), v.ref.filter("en IS NOT NULL").select("article_id", "pos", F.col("en").alias("text"))).select("article_id", "ru_pos", "en_pos", F.round("score", 6).alias("score")),
-    f"""WITH r AS (SELECT article_id, pos, left({_sql_skeleton('ru')}, 70) AS s FROM v_ref), e AS (SELECT article_id, pos, left({_sql_skeleton('en')}, 70) AS s FROM v_ref WHERE en IS NOT NULL),
+    f"""WITH RECURSIVE r AS (SELECT article_id, pos, left({_sql_skeleton('ru')}, 70) AS s FROM v_ref), e AS (SELECT article_id, pos, left({_sql_skeleton('en')}, 70) AS s FROM v_ref WHERE en IS NOT NULL),
     rg AS (SELECT article_id, pos, list_distinct([s[i:i+1] FOR i IN range(1, length(s))]) AS g FROM r), eg AS (SELECT article_id, pos, list_distinct([s[i:i+1] FOR i IN range(1, length(s))]) AS g FROM e),
     p AS (SELECT rg.article_id, rg.pos AS ru_pos, eg.pos AS en_pos, 2.0 * len(list_intersect(rg.g, eg.g)) / (len(rg.g) + len(eg.g)) AS score FROM rg JOIN eg ON rg.article_id = eg.article_id),
-    q AS (SELECT *, row_number() OVER (PARTITION BY article_id, ru_pos ORDER BY score DESC, abs(ru_pos - en_pos), en_pos) AS x, row_number() OVER (PARTITION BY article_id, en_pos ORDER BY score DESC, abs(ru_pos - en_pos), ru_pos) AS y FROM p WHERE score >= 0.5),
-    b AS (SELECT *, max(en_pos) OVER (PARTITION BY article_id ORDER BY ru_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM q WHERE x = 1 AND y = 1),
-    k AS (SELECT * FROM b WHERE top IS NULL OR en_pos > top),
+    c AS (SELECT article_id, list({{'ru': ru_pos, 'en': en_pos, 's': score}} ORDER BY ru_pos, en_pos) AS c FROM p WHERE score >= 0.5 GROUP BY article_id),
+    t AS (SELECT article_id, c, CAST([] AS STRUCT(t bigint, p STRUCT(r bigint, e bigint, s double)[])[]) AS s FROM c UNION ALL
+      SELECT article_id, c, list_append(s, {{'t': CAST(round(x.s * 1000000) AS bigint) + coalesce(m.t, 0), 'p': list_append(coalesce(m.p, []), {{'r': -x.ru, 'e': -x.en, 's': x.s}})}}) FROM
+      (SELECT *, c[len(s) + 1] AS x, list_max([s[i] FOR i IN range(1, len(s) + 1) IF c[i].ru < c[len(s) + 1].ru AND c[i].en < c[len(s) + 1].en]) AS m FROM t WHERE len(s) < len(c))),
+    b AS (SELECT article_id, unnest(list_max(s).p) AS p FROM t WHERE len(s) = len(c)),
+    k AS (SELECT article_id, -p.r AS ru_pos, -p.e AS en_pos, p.s AS score FROM b),
     l AS (SELECT r.article_id, r.pos AS ru_pos, k.en_pos, k.score FROM r LEFT JOIN k ON r.article_id = k.article_id AND r.pos = k.ru_pos)
     SELECT coalesce(l.article_id, e.article_id) AS article_id, l.ru_pos, coalesce(l.en_pos, e.pos) AS en_pos, round(l.score, 6) AS score FROM l FULL JOIN e ON l.article_id = e.article_id AND l.en_pos = e.pos""",
 )

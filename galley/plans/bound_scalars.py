@@ -24,10 +24,11 @@ def _sql_translit(c: str) -> str:
 
 
 def _sql_skeleton(c: str) -> str:
-    out = _sql_translit(c)
-    for old, new in (("shch", "s"), ("sch", "s"), ("sh", "s"), ("ch", "c"), ("zh", "z"), ("kh", "h"), ("ts", "c"), ("yu", "u"), ("ya", "a"), ("y", "i"), ("j", "i")):
-        out = f"replace({out}, '{old}', '{new}')"
-    return f"regexp_replace({out}, '[^a-z0-9]', '', 'g')"
+    several, single = s.skeleton_steps()
+    out = f"lower({c})"
+    for spelling, letter in several:
+        out = f"replace({out}, '{spelling}', '{letter}')"
+    return f"regexp_replace(translate({out}, '{single[0]}', '{single[1]}'), '[^a-z0-9]', '', 'g')"
 
 
 bind("fold_text", lambda v: v.ref.select("article_id", "pos", s.fold_text(F.col("ru")).alias("folded")), f"SELECT article_id, pos, {LOW.format('ru')} AS folded FROM v_ref")

@@ -35,6 +35,9 @@ def test_codes(spark):
 
 def test_homoglyphs_and_skeletons(spark):
     assert value(spark, s.homoglyph_fix(F.col("t")), t="Aннотация") == "Аннотация"
+    for texts in (["Журавлёв Юрий", "Zhuravlev Yurij", "Žuravlëv Ûrij", "Zhuravlev Juriy"], ["Щёголев Цой", "Shchegolev Tsoy", "Ŝëgolev Coj"], ["Чаплыгин, Яхин", "Chaplygin, Yakhin", "Čaplygin, Âhin"], ["Схимник", "Skhimnik"]):
+        assert len({value(spark, s.translit_skeleton(F.col("t")), t=t) for t in texts}) == 1, texts
+    assert value(spark, s.translit_skeleton(F.col("t")), t="Схимник") != value(spark, s.translit_skeleton(F.col("t")), t="Симник")
     assert value(spark, s.translit_skeleton(F.col("t")), t="Щукин Ю.") == value(spark, s.translit_skeleton(F.col("t")), t="Shchukin Yu.")
 
 
@@ -97,3 +100,22 @@ def test_uploads(spark, tmp_path):
     (tmp_path / "c.exe").write_bytes(b"MZ")
     rows = {r["name"]: r["verdict"] for r in mining.upload_audit(records.upload_audit_scan(spark, str(tmp_path))).collect()}
     assert rows == {"a.pdf": "accepted", "b.docx": "type", "c.exe": "extension"}
+
+
+@pytest.mark.parametrize(
+    ("en", "pairs"),
+    [
+        ([0, 1, 2, 3], {(0, 0), (1, 1), (2, 2), (3, 3)}),
+        ([1, 2, 3, 0], {(1, 0), (2, 1), (3, 2)}),  # a list that begins with the second reference keeps three pairs
+        ([0, None, 1], {(0, 0), (1, 2)}),
+        ([], set()),
+    ],
+)
+def test_references_keep_the_best_order(spark, en, pairs):
+    ru = ["Журавлёв И.И. Основы теории полёта. М.: Наука, 2010.", "Петров П.П. Методы расчёта. СПб.: Питер, 2015.", "Щукин Ю.Ю. Химия и жизнь. Казань, 1999.", "Без букв. DOI: 10.1000/abc.123"]
+    latin = ["Zhuravlev I.I. Osnovy teorii poleta. M.: Nauka, 2010.", "Petrov P.P. Metody rascheta. SPb.: Piter, 2015.", "Shchukin Yu.Yu. Khimiya i zhizn. Kazan, 1999.", "Quite different words. DOI: 10.1000/abc.123"]
+    left = spark.createDataFrame([(1, i, t) for i, t in enumerate(ru)], "article_id int, pos int, text string")
+    right = spark.createDataFrame([(1, i, "Wxqv jjj zzq, 1801" if k is None else latin[k]) for i, k in enumerate(en)], "article_id int, pos int, text string")
+    rows = joins.align_references(left, right).collect()
+    assert {(r["ru_pos"], r["en_pos"]) for r in rows if r["score"] is not None} == pairs
+    assert len(rows) == len(ru) + len(en) - len(pairs)
