@@ -3,11 +3,12 @@
 Each batch is first grouped by the SHA-256 of its normalised texts (A-Z lower-cased, UTF-8), so a text that a third of the
 rows share is one row from here on. A snapshot is stored with its groups and one binary-fuse filter per digest bucket;
 a later batch's groups meet the filters bucket by bucket, negatives are new texts, and only positives join the snapshot's
-groups, where the bytes of both representatives are compared. Filters have no false negatives, so no copy is lost.
+groups, where the bytes of both representatives are compared: only texts that a Bloom filter of fixed size lets through are moved
+for that. Filters have no false negatives, so no copy is lost.
 
 Edge cases: a null text counts as empty, so nulls and empty texts are copies of each other; of equal texts the row with the
 largest doc_id stays (null is the smallest); of repeated rows with that doc_id exactly one stays; empty tables (either
-side) give empty or unchanged results; further columns are kept by exact_dedup, whatever their names.
+side) give empty or unchanged results; rows without an id are told apart by a hash of their text; further columns are kept by exact_dedup, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, fresh_name, stored
+from .common import bloom_filter, bounded_batches, fresh_name, in_bloom, stored
 
 #: Digests in one filter, on average at most; the number of buckets grows with the snapshot.
 BUCKET_KEYS = 65_536
@@ -115,8 +116,8 @@ def _key_of(digests: pd.Series) -> np.ndarray:
 
 
 def groups_of(rows: DataFrame) -> DataFrame:
-    """(digest, n, top) of rows (id, uid, digest): top is the (id, uid) that stays."""
-    return rows.groupBy("digest").agg(F.count("*").alias("n"), F.max(F.struct("id", "uid")).alias("top"))
+    """(digest, n, top) of rows (id, uid, mark, digest): top is the (id, uid, mark) that stays."""
+    return rows.groupBy("digest").agg(F.count("*").alias("n"), F.max(F.struct("id", "uid", "mark")).alias("top"))
 
 
 def snapshot_filters(groups: DataFrame, buckets: int) -> DataFrame:
@@ -146,11 +147,27 @@ def screened(groups: DataFrame, filters: DataFrame, buckets: int) -> DataFrame:
     return groups.select("digest", bucket_of(buckets)).groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInPandas(screen, "digest binary")
 
 
+def mark_of(text_col: str):
+    return F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+
+
+def among(df: DataFrame, marks: DataFrame, mark: str) -> DataFrame:
+    """The rows of df whose column mark may be among marks (one column of 64-bit hashes), by a filter of fixed size."""
+    words = df.sparkSession.sparkContext.broadcast(bloom_filter(marks))
+
+    @F.pandas_udf("boolean")
+    def may(hashes: pd.Series) -> pd.Series:
+        return pd.Series(in_bloom(words.value, hashes.to_numpy()))
+
+    return df.filter(may(mark))
+
+
 def checked_copies(positives: DataFrame, old: DataFrame, new: DataFrame, texts: DataFrame, text_col: str, id_col: str) -> DataFrame:
     """Digests of positives in both old and new whose representatives agree byte by byte."""
-    both = positives.join(old.select("digest", F.col("top.id").alias("old_id")), "digest").join(new.select("digest", F.col("top.id").alias("new_id")), "digest")
-    wanted = both.select("digest", F.posexplode(F.array("old_id", "new_id")).alias("_side", "_id"))
-    found = wanted.join(texts.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text")), F.col("_id").eqNullSafe(F.col("_doc")))
+    both = positives.join(old.select("digest", F.col("top").alias("old_top")), "digest").join(new.select("digest", F.col("top").alias("new_top")), "digest")
+    wanted = stored(both.select("digest", F.posexplode(F.array("old_top", "new_top")).alias("_side", "_top")), "exact-wanted")
+    told = texts.select(F.col(f"`{id_col}`").alias("_doc"), mark_of(text_col).alias("_mark"), F.col(f"`{text_col}`").alias("_text"))
+    found = wanted.join(among(told, wanted.select("_top.mark"), "_mark"), F.col("_top.id").eqNullSafe(F.col("_doc")) & (F.col("_top.mark") == F.col("_mark")))
     found = with_digest(found.select("digest", "_side", "_text"), "_text", "_own", ["digest", "_side", "_text"]).filter("digest = _own")
     body = F.translate(F.coalesce("_text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     side = found.groupBy("digest", "_side").agg(F.min(body).alias("body"))
@@ -158,12 +175,12 @@ def checked_copies(positives: DataFrame, old: DataFrame, new: DataFrame, texts:
 
 
 def known_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = 2) -> tuple[DataFrame, DataFrame]:
-    """Rows (id, uid, digest, batch) and groups (digest, n, top) of docs, taken in as `batches` immutable snapshots one after the other.
+    """Rows (id, uid, mark, digest, batch) and groups (digest, n, top) of docs, taken in as `batches` immutable snapshots one after the other.
 
     The batch of a row is a hash of its id: all rows belong to some batch. uid tells repeated rows apart.
     """
-    named = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("uid"), F.col(text_col).alias("_t"))
-    rows = with_digest(named, "_t", "digest", ["id", "uid"]).withColumn("batch", F.pmod(F.xxhash64("id"), F.lit(batches)).cast("int"))
+    named = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("uid"), mark_of(text_col).alias("mark"), F.col(text_col).alias("_t"))
+    rows = with_digest(named, "_t", "digest", ["id", "uid", "mark"]).withColumn("batch", F.pmod(F.xxhash64("id"), F.lit(batches)).cast("int"))
     rows = stored(rows, "exact-rows")
     known = None
     for batch in range(batches):
@@ -190,19 +207,17 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns: one of each group of equal texts."""
     rows, known = known_groups(docs, id_col, text_col)
-    mark = fresh_name(docs.columns, "_digest")
-    own_id, own_digest, repeats = (fresh_name([*docs.columns, mark], c) for c in ("_keep_id", "_keep_digest", "_repeats"))
-    # The groups say which (id, digest) stays; how often it stands there is counted by both, so that no group meets in one task.
-    stay = known.select(F.col("top.id").alias(own_id), F.col("digest").alias(own_digest))
-    again = rows.groupBy("id", "digest").agg(F.count("*").alias(repeats)).filter(F.col(repeats) > 1)
-    stay = stay.join(again, F.col(own_id).eqNullSafe(F.col("id")) & (F.col(own_digest) == F.col("digest")), "left")
-    stay = stored(stay.select(own_id, own_digest, F.coalesce(repeats, F.lit(1)).alias(repeats)), "exact-stay")
-    marked = with_digest(docs, text_col, mark, docs.columns)
-    found = marked.join(stay, F.col(f"`{id_col}`").eqNullSafe(F.col(own_id)) & (F.col(mark) == F.col(own_digest)))
+    own_id, own_mark, repeats = (fresh_name(docs.columns, c) for c in ("_keep_id", "_keep_mark", "_repeats"))
+    # The groups say which (id, mark) stays; how often it stands there is counted by both, so that no group meets in one task.
+    stay = known.select(F.col("top.id").alias(own_id), F.col("top.mark").alias(own_mark))
+    again = rows.groupBy("id", "mark").agg(F.count("*").alias(repeats)).filter(F.col(repeats) > 1)
+    stay = stay.join(again, F.col(own_id).eqNullSafe(F.col("id")) & (F.col(own_mark) == F.col("mark")), "left")
+    stay = stored(stay.select(own_id, own_mark, F.coalesce(repeats, F.lit(1)).alias(repeats)), "exact-stay")
+    found = docs.join(stay, F.col(f"`{id_col}`").eqNullSafe(F.col(own_id)) & (mark_of(text_col) == F.col(own_mark)))
     columns = [f"`{c}`" for c in docs.columns]
     once = found.filter(F.col(repeats) == 1).select(*columns)
     if stay.filter(F.col(repeats) > 1).isEmpty():
         return once
     # Repeated rows: the same id and the same text, so any of them is the one that stays.
-    more = found.filter(F.col(repeats) > 1).groupBy(own_id, own_digest).agg(F.first(F.struct(*columns)).alias("row"))
+    more = found.filter(F.col(repeats) > 1).groupBy(own_id, own_mark).agg(F.first(F.struct(*columns)).alias("row"))
     return once.unionByName(more.select(*[F.col(f"row.`{c}`") for c in docs.columns]))
