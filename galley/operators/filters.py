@@ -57,7 +57,7 @@ def search_all(article: DataFrame, author: DataFrame, journal: DataFrame, needle
     contains = lambda c: fold_text(F.col(c)).contains(needle)
     by_author = author.filter(contains("full_name")).select(F.col("article_id").alias("id")).distinct().withColumn("by_author", F.lit(True))
     names = journal.select(F.col("id").alias("journal_id"), F.col("name").alias("journal"))
-    found = visible(article).join(F.broadcast(names), "journal_id").join(by_author, "id", "left")
+    found = visible(article).join(names, "journal_id").join(by_author, "id", "left")
     hit = contains("title") | F.coalesce(contains("authors"), F.lit(False)) | contains("journal") | F.coalesce("by_author", F.lit(False))
     found = found.filter(hit & F.lit(len(needle) >= 2)).select("id", "title", "journal")
     total = found.agg(F.count("*").alias("total"))
@@ -76,13 +76,13 @@ def issue_search(article: DataFrame, author: DataFrame, issue_id: int, needle: s
 def unnumbered_articles(article: DataFrame, issue: DataFrame) -> DataFrame:
     """Visible articles of issues without a number (number 0, year 0) that no author submitted."""
     none = issue.filter("number = 0 AND year = 0").select(F.col("id").alias("issue_id"))
-    return visible(article).filter(F.col("submitted_by_user_id").isNull()).join(F.broadcast(none), "issue_id", "left_semi")
+    return visible(article).filter(F.col("submitted_by_user_id").isNull()).join(none, "issue_id", "left_semi")
 
 
 def submission_queue(article: DataFrame, issue: DataFrame) -> DataFrame:
     """Visible articles of the authors' queue (number -1, year 0), newest first."""
     queue = issue.filter("number = -1 AND year = 0").select(F.col("id").alias("issue_id"))
-    return visible(article).join(F.broadcast(queue), "issue_id", "left_semi").orderBy(F.desc("submitted_at"), F.desc("id"))
+    return visible(article).join(queue, "issue_id", "left_semi").orderBy(F.desc("submitted_at"), F.desc("id"))
 
 
 def ids_of(spark, text: str) -> DataFrame:
@@ -93,7 +93,7 @@ def ids_of(spark, text: str) -> DataFrame:
 
 def selected_articles(article: DataFrame, ids: str) -> DataFrame:
     """Visible articles whose ids are listed."""
-    return visible(article).join(F.broadcast(ids_of(article.sparkSession, ids)), "id", "left_semi")
+    return visible(article).join(ids_of(article.sparkSession, ids), "id", "left_semi")
 
 
 def own_submissions(article: DataFrame, issue: DataFrame, user: int) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from galley.functions.scalars import bigrams, dice_of, dois, name_norm, translit_skeleton
 
 from .filters import visible
+from .numbering import numbered_by
 
 
 def prefixed(t: DataFrame, prefix: str) -> DataFrame:
@@ -235,13 +236,13 @@ def doi_conflicts(article: DataFrame, site: DataFrame) -> DataFrame:
 def find_or_create(keys: DataFrame, dim: DataFrame, on: list[str], id_col: str = "id") -> DataFrame:
     """(keys, id, created): ids of the dimension's rows, new ones after its largest for keys that it lacks.
 
-    New ids follow the order of the keys: one window over the new keys only, which are few beside the dimension.
+    New ids follow the order of the keys.
     """
     wanted = keys.select(*on).distinct()
     known = wanted.join(dim.select(*on, id_col), on).withColumn("created", F.lit(False))
     top = dim.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("top"))
-    new = wanted.join(dim.select(*on), on, "left_anti").withColumn("n", F.row_number().over(Window.orderBy(*on)))
-    made = new.crossJoin(F.broadcast(top)).select(*on, (F.col("top") + F.col("n")).alias(id_col), F.lit(True).alias("created"))
+    new = wanted.join(dim.select(*on), on, "left_anti")
+    made = numbered_by(new, on).crossJoin(F.broadcast(top)).select(*on, (F.col("top") + F.col("n")).alias(id_col), F.lit(True).alias("created"))
     return known.select(*on, id_col, "created").unionByName(made)
 
 

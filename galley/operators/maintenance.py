@@ -9,6 +9,7 @@ from galley.functions.scalars import clean_text, escape_html
 
 from .filters import ids_of, visible
 from .joins import doi_key, find_or_create, first_page, missing_articles
+from .numbering import numbered_by
 
 
 def flagged(t: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
@@ -127,8 +128,8 @@ def move_submissions(issue: DataFrame, article: DataFrame) -> tuple[DataFrame, D
     moved = visible(article).filter(F.col("submitted_by_user_id").isNotNull()).join(issue.filter("number = 0 AND year = 0").select(F.col("id").alias("issue_id"), "journal_id"), "issue_id")
     queues = issue.filter("number = -1 AND year = 0").select("id", "journal_id")
     top = issue.agg(F.max("id").alias("top"))
-    lacking = moved.select("journal_id").distinct().join(queues, "journal_id", "left_anti").withColumn("k", F.row_number().over(Window.orderBy("journal_id")))
-    made = lacking.crossJoin(F.broadcast(top)).select((F.col("top") + F.col("k")).alias("id"), "journal_id")
+    lacking = moved.select("journal_id").distinct().join(queues, "journal_id", "left_anti")
+    made = numbered_by(lacking, ["journal_id"], "k").crossJoin(F.broadcast(top)).select((F.col("top") + F.col("k")).alias("id"), "journal_id")
     to = moved.select("id", "journal_id").join(queues.unionByName(made).withColumnRenamed("id", "_to"), "journal_id").select("id", "_to")
     issues = issue.select("id", "number", "year", "journal_id").unionByName(made.select("id", F.lit(-1).alias("number"), F.lit(0).alias("year"), "journal_id"))
     return issues, article.join(to, "id", "left").withColumn("issue_id", F.coalesce("_to", "issue_id")).select(article.columns)
@@ -147,7 +148,7 @@ def revoke_findings(accepted: DataFrame, articles: DataFrame) -> DataFrame:
 def audit_log(log: DataFrame, actions: DataFrame) -> DataFrame:
     """The log with actions appended, ids going on from its largest."""
     top = log.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    new = actions.withColumn("k", F.row_number().over(Window.orderBy("created_at", "article_id", "action"))).crossJoin(F.broadcast(top)).withColumn("id", F.col("top") + F.col("k"))
+    new = numbered_by(actions, ["created_at", "article_id", "action"], "k").crossJoin(F.broadcast(top)).withColumn("id", F.col("top") + F.col("k"))
     return log.unionByName(new.select(log.columns))
 
 

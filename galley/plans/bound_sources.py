@@ -18,7 +18,11 @@ from .views import BASE
 
 def scratch(spark, name: str) -> str:
     """A new folder that driver and executors share."""
-    place = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='galley-')}"
+    place = spark.conf.get("spark.checkpoint.dir", None)
+    if not place:
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        place = f"file://{tempfile.mkdtemp(prefix='galley-')}"
     return f"{place.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -133,13 +137,13 @@ bind("latest_state_stream", lambda v: merged(v).select("user_id", "state", "at",
 
 
 def watched(v):
-    """Two snapshots as a stream of two files; the diff that was delivered."""
+    """Two snapshots as a stream; the diff that was delivered."""
     source, out = scratch(v.spark, "watch"), scratch(v.spark, "delivered")
-    v.snap_old.coalesce(1).write.parquet(source)
+    v.snap_old.write.parquet(source)
     state, checkpoint = scratch(v.spark, "watch-state"), scratch(v.spark, "watch-check")
     deliver = lambda diff: diff.write.mode("overwrite").parquet(out)
     jobs.watch_stream(v.spark, source, v.snap_old.schema, state, checkpoint, deliver).awaitTermination()
-    v.snap_new.coalesce(1).write.mode("append").parquet(source)
+    v.snap_new.write.mode("append").parquet(source)
     jobs.watch_stream(v.spark, source, v.snap_old.schema, state, checkpoint, deliver).awaitTermination()
     return v.spark.read.parquet(out)
 

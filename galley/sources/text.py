@@ -16,8 +16,10 @@ def manuscript_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 # Tables of the dump and the number of columns that a row must have.
 DUMP_TABLES = {"journals": 5, "nomera": 4, "razdel_numbers": 4, "articles": 12}
-_TUPLE = r"\(((?:'(?:[^'\\]|\\.)*'|[^()'])*)\)"
-_VALUE = r"'((?:[^'\\]|\\.)*)'|([^,'\s][^,']*)"
+#: Possessive throughout: Java's backtracking would need stack for every character of a long value.
+_QUOTED = r"'[^'\\]*+(?:\\.[^'\\]*+)*+'"
+_TUPLE = rf"\(((?:{_QUOTED}|\([^()']*+\)|[^()']++)*+)\)"
+_VALUE = rf"{_QUOTED}|[^,'\s](?:\([^()']*+\)|[^,'(])*+"
 
 
 def sql_dump_ingest(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -28,7 +30,7 @@ def sql_dump_ingest(lines: DataFrame, column: str = "value") -> DataFrame:
     inserts = lines.filter(F.col(column).startswith("INSERT INTO"))
     table = F.regexp_extract(column, r"^INSERT INTO `?([A-Za-z_]+)`?", 1)
     rows = inserts.select(table.alias("table"), F.explode(F.regexp_extract_all(F.regexp_replace(column, r"^INSERT INTO `?[A-Za-z_]+`?\s*(\([^)]*\)\s*)?VALUES\s*", ""), F.lit(_TUPLE), F.lit(1))).alias("tuple"))
-    raw = F.regexp_extract_all("tuple", F.lit(r"'(?:[^'\\]|\\.)*'|[^,'\s][^,']*"), F.lit(0))
+    raw = F.regexp_extract_all("tuple", F.lit(_VALUE), F.lit(0))
 
     def plain(x):
         inner = F.substring(x, F.lit(2), F.length(x) - 2)
@@ -39,33 +41,38 @@ def sql_dump_ingest(lines: DataFrame, column: str = "value") -> DataFrame:
     return rows.select("table", F.transform(raw, plain).alias("cols")).filter(F.size("cols") >= F.coalesce(least[F.col("table")], F.lit(1 << 30)))
 
 
-_UNIX = r"^([-dl])[rwxsStT-]{9}\s+[0-9]+\s+\S+\s+\S+\s+([0-9]+)\s+([A-Z][a-z]{2})\s+([0-9]{1,2})\s+([0-9]{4}|[0-9]{1,2}:[0-9]{2})\s+(.*)$"
-_DOS = r"^([0-9]{2})-([0-9]{2})-([0-9]{2,4})\s+([0-9]{2}):([0-9]{2})([AP]M)\s+(<DIR>|[0-9]+)\s+(.*)$"
-MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
+MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
 
 def listing_parse(lines: DataFrame, today: str, column: str = "line") -> DataFrame:
     """(name, is_dir, size, mtime) of directory listings in unix or DOS form; other lines are dropped.
 
-    Without a year the date is the last one not after today; two-digit years from 70 on are of the last century.
+    Lines are read as fields between blanks. Without a year the date is the last one not after today; two-digit years from 70 on are of
+    the last century; DOS times have 24 hours or AM / PM. Of links the name without the target is given.
     """
-    u = lambda i: F.regexp_extract(column, _UNIX, i)
-    d = lambda i: F.regexp_extract(column, _DOS, i)
     number = lambda c: c.try_cast("int")
-    month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), u(3)).cast("int")
-    year_now = F.year(F.lit(today).cast("date"))
-    no_year = u(5).contains(":")
-    this = F.make_date(year_now, month, number(u(4)))
-    u_year = F.when(~no_year, number(u(5))).when(this > F.lit(today).cast("date"), year_now - 1).otherwise(year_now)
-    u_time = F.make_timestamp_ntz(u_year, month, number(u(4)), F.when(no_year, number(F.split(u(5), ":")[0])).otherwise(0), F.when(no_year, number(F.get(F.split(u(5), ":"), F.lit(1)))).otherwise(0), F.lit(0))
-    raw_year = number(d(3))
+    matches = lambda c, pattern: F.coalesce(c.rlike(pattern), F.lit(False))
+    u, d = F.split(F.ltrim(column), r"\s+", 9), F.split(F.ltrim(column), r"\s+", 4)
+    # mode, links, owner, group, size, month, day, year or time, name
+    mode, size, day, when = (F.get(u, F.lit(i)) for i in (0, 4, 6, 7))
+    month = F.nullif(F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(F.get(u, F.lit(5)))), F.lit(0)).cast("int")
+    unix = (F.size(u) == 9) & matches(mode, "^[-bcdlps][-rwxsStT]{9}[.+@]?$") & month.isNotNull() & matches(size, "^[0-9]+$") & matches(day, "^[0-9]{1,2}$") & matches(when, "^([0-9]{4}|[0-9]{1,2}:[0-9]{2})$")
+    year_now, no_year, clock = F.year(F.lit(today).cast("date")), F.contains(when, F.lit(":")), F.split(when, ":")
+    this = F.try_to_date(F.concat_ws("-", year_now.cast("string"), month.cast("string"), day), "y-M-d")
+    u_year = F.when(~no_year, number(when)).when(this > F.lit(today).cast("date"), year_now - 1).otherwise(year_now)
+    u_time = F.try_make_timestamp_ntz(u_year, month, number(day), F.when(no_year, number(clock[0])).otherwise(0), F.when(no_year, number(F.get(clock, F.lit(1)))).otherwise(0), F.lit(0))
+    # month-day-year, time, <DIR> or size, name
+    date, time, what = F.split(d[0], "-"), F.get(d, F.lit(1)), F.get(d, F.lit(2))
+    dos = (F.size(d) == 4) & matches(d[0], "^[0-9]{2}-[0-9]{2}-[0-9]{2}([0-9]{2})?$") & matches(time, "^(?i)[0-9]{2}:[0-9]{2}([ap]m)?$") & matches(what, "^(?i)(<DIR>|[0-9]+)$")
+    raw_year = number(F.get(date, F.lit(2)))
     d_year = F.when(raw_year >= 100, raw_year).when(raw_year >= 70, raw_year + 1900).otherwise(raw_year + 2000)
-    hour = F.pmod(number(d(4)), F.lit(12)) + F.when(d(6) == "PM", 12).otherwise(0)
-    d_time = F.make_timestamp_ntz(d_year, number(d(1)), number(d(2)), hour, number(d(5)), F.lit(0))
-    unix, dos = F.col(column).rlike(_UNIX), F.col(column).rlike(_DOS)
+    hour, half = number(F.left(time, F.lit(2))), F.lower(F.substring(time, 6, 2))
+    d_time = F.try_make_timestamp_ntz(d_year, number(date[0]), number(F.get(date, F.lit(1))), F.when(half == "", hour).otherwise(F.pmod(hour, F.lit(12)) + F.when(half == "pm", 12).otherwise(0)), number(F.substring(time, 4, 2)), F.lit(0))
+    name = F.get(u, F.lit(8))
+    name = F.when(F.startswith(mode, F.lit("l")), F.substring_index(name, " -> ", 1)).otherwise(name)
     return lines.filter(unix | dos).select(
-        F.when(unix, u(6)).otherwise(d(8)).alias("name"), F.when(unix, u(1) == "d").otherwise(d(7) == "<DIR>").alias("is_dir"),
-        F.when(unix, u(2).try_cast("bigint")).otherwise(F.coalesce(d(7).try_cast("bigint"), F.lit(0))).alias("size"), F.when(unix, u_time).otherwise(d_time).alias("mtime"),
+        F.when(unix, name).otherwise(F.get(d, F.lit(3))).alias("name"), F.when(unix, F.startswith(mode, F.lit("d"))).otherwise(F.lower(what) == "<dir>").alias("is_dir"),
+        F.when(unix, size.try_cast("bigint")).otherwise(F.coalesce(what.try_cast("bigint"), F.lit(0))).alias("size"), F.when(unix, u_time).otherwise(d_time).alias("mtime"),
     )
 
 

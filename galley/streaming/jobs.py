@@ -47,7 +47,7 @@ def latest_state_stream(spark: SparkSession, path: str, state_path: str, checkpo
         old = spark.read.parquet(f"{state_path}/version={number - 1}") if number else None
         snapshot_commit(merged_state(old, batch), state_path, number)
 
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    stream = spark.readStream.schema(schema).parquet(path)
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
@@ -65,23 +65,23 @@ def watch_batch(spark: SparkSession, snapshot: DataFrame, path: str, version: in
 
 
 def watch_stream(spark: SparkSession, source: str, schema, state: str, checkpoint: str, deliver):
-    """A stream of snapshot files: every file is a snapshot (path, size, mtime) and one check."""
+    """A stream of snapshots (path, size, mtime): what was written since the last run, in any number of files, is one snapshot and one check."""
 
     def check(batch: DataFrame, number: int) -> None:
         watch_batch(spark, batch, state, number, deliver)
 
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source).writeStream.foreachBatch(check).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(check).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def digest(groups: DataFrame, latest: DataFrame, limit: int = 3500) -> DataFrame:
     """(text): one message of a check: a line per journal and issue, then the latest issues; escaped and cut at a line's end.
 
-    The lines are those of one publisher's folders: their number is that of issues that changed, and the text ends at the limit.
+    Lines beyond the first `limit` ones can't be in the text, so only those are gathered.
     """
     count = lambda c: F.when(F.col(c) > 0, F.concat(F.lit(f"{c} "), F.col(c).cast("string")))
     one = groups.select(F.concat_ws(" ", "journal", "issue", F.concat_ws(", ", count("added"), count("changed"), count("removed"))).alias("line"), F.lit(0).alias("part"))
     two = latest.select(F.concat(F.lit("latest: "), F.concat_ws(" ", "journal", "issue")).alias("line"), F.lit(1).alias("part"))
-    listed = one.unionByName(two).agg(F.array_sort(F.collect_list(F.struct("part", "line"))).alias("l"))
+    listed = one.unionByName(two).orderBy("part", "line").limit(limit).agg(F.array_sort(F.collect_list(F.struct("part", "line"))).alias("l"))
     return listed.select(fit_digest(escape_html(F.array_join(F.transform("l", lambda x: x["line"]), "\n")), limit).alias("text"))
 
 

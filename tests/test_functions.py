@@ -119,3 +119,34 @@ def test_references_keep_the_best_order(spark, en, pairs):
     rows = joins.align_references(left, right).collect()
     assert {(r["ru_pos"], r["en_pos"]) for r in rows if r["score"] is not None} == pairs
     assert len(rows) == len(ru) + len(en) - len(pairs)
+
+
+def test_dump_values_may_be_long_or_have_brackets(spark):
+    long = "x'y (z), \\ " * 9000
+    quoted = "'" + long.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    line = f"INSERT INTO `nomera` VALUES (1,{quoted},now(),NULL),(2,'(',f(1, 2),3);"
+    rows = [tuple(r["cols"]) for r in text.sql_dump_ingest(spark.createDataFrame([(line,)], "value string")).collect()]
+    assert rows == [("1", long, "now()", None), ("2", "(", "f(1, 2)", "3")]
+
+
+def test_listing_forms(spark):
+    lines = [
+        "lrwxrwxrwx 1 ftp ftp 7 jan 05 2001 now -> Iss 01", "crw------- 1 root root 0 Feb  3 04:05 dev", "drwxr-xr-x   2 ftp ftp 4096 Dec 31 23:59 a  b",
+        "03-04-05  17:06  <dir>  docs", "03-04-1999  05:06pm  12 a b.pdf", "03-04-70  12:06AM  12 c", "total 12", "drwxr-xr-x 2 ftp ftp 4096 Foo 31 2000 x", "",
+    ]
+    got = [(r["name"], r["is_dir"], r["size"], str(r["mtime"])) for r in text.listing_parse(spark.createDataFrame([(x,) for x in lines], "line string"), "2003-06-01").collect()]
+    assert got == [
+        ("now", False, 7, "2001-01-05 00:00:00"), ("dev", False, 0, "2003-02-03 04:05:00"), ("a  b", True, 4096, "2002-12-31 23:59:00"),
+        ("docs", True, 0, "2005-03-04 17:06:00"), ("a b.pdf", False, 12, "1999-03-04 17:06:00"), ("c", False, 12, "1970-03-04 00:06:00"),
+    ]
+
+
+def test_numbers_over_all_rows(spark):
+    from galley.operators.numbering import numbered_by
+
+    rows = [((i * 7919) % 997 if i % 50 else None, f"k{i % 13}") for i in range(3000)]
+    got = numbered_by(spark.createDataFrame(rows, "a int, b string").repartition(5), ["a", "b"], parts=7, sample=60).collect()
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1])
+    assert sorted(r["n"] for r in got) == list(range(1, 3001))
+    assert [key(r) for r in sorted(got, key=lambda r: r["n"])] == sorted(map(key, rows))
+    assert numbered_by(spark.createDataFrame([], "a int, b string"), ["a", "b"]).count() == 0
