@@ -59,7 +59,7 @@ class _Held(dict):
     def learn(self, found: list[bytes]) -> None:
         if len(self) > REMEMBERED:
             self.clear()
-        new = list(set(found).difference(self))
+        new = [w for w in set(found) if w not in self]
         hashes = np.array([xxhash.xxh64_intdigest(w, 42) for w in new], np.uint64).view(np.int64)  # as xxhash64 of Spark
         self.update(zip(new, in_bloom(self.filter_words, hashes).tolist()))
 
