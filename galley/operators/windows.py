@@ -100,9 +100,16 @@ def glue_runs(lines: DataFrame, start: Column, by: list[str], order: str = "line
 
 
 def numbered_list_size(c: Column) -> Column:
-    """The length of the chain 1, 2, 3 ... of line numbers in a text; numbers out of sequence and items that start with _ do not count."""
-    found = F.regexp_extract_all(c, F.lit(r"(?m)^\s*([0-9]{1,3})[.)]\s+[^_\s]"), F.lit(1))
-    return F.aggregate(found, F.lit(0), lambda n, x: F.when(x.cast("int") == n + 1, n + 1).otherwise(n))
+    """How many lines of a text are numbered 1, 2, 3 ... in sequence. Numbers out of sequence do not count; an item that starts with _ is the
+    tail of the one before: it takes its number but does not count."""
+    found = F.regexp_extract_all(c, F.lit(r"(?m)^\s*([0-9]{1,3}\.\s(?:\s*_)?)"), F.lit(1))
+    start = F.struct(F.lit(0).alias("number"), F.lit(0).alias("items"))
+
+    def step(s: Column, x: Column) -> Column:
+        follows = F.substring_index(x, ".", 1).cast("int") == s["number"] + 1
+        return F.when(follows, F.struct((s["number"] + 1).alias("number"), (s["items"] + F.when(x.endswith("_"), 0).otherwise(1)).alias("items"))).otherwise(s)
+
+    return F.aggregate(found, start, step, lambda s: s["items"])
 
 
 def page_of(t: DataFrame, page: int, per_page: int = 50, order: str = "id") -> DataFrame:

@@ -8,58 +8,128 @@ from galley.operators import windows
 from .bound_windows import PLAN
 from .registry import bind
 
-RECORD = """SELECT p.id AS article_id, a.title AS title_ru, a.title AS title_en, p.pages, concat(x.cit, ' ', a.title, ' // Журнал. 2000. Т. 1. № 1. С. ', p.pages, '.') AS citation_ru,
-concat('Цель. Текст ', CAST(p.id AS string), '.') AS abstract_ru, concat('Text ', CAST(p.id AS string), '.') AS abstract_en, CASE WHEN p.id % 13 <> 0 THEN '539.2' END AS udk, '2000-02-01' AS received,
-CASE WHEN p.id % 7 = 0 THEN NULL ELSE '05.03.2000' END AS accepted FROM v_pub_article p JOIN v_article a ON a.id = p.id JOIN v_author_lines x ON x.article_id = p.id"""
+FIELDS = ("surname_ru", "surname_en", "org_ru", "org_en", "orcid", "spin", "email")
 
 
 def record(v):
-    authors = v.author.groupBy("article_id").agg(
-        F.array_sort(F.collect_list(F.struct("ord", F.when(F.col("person") % 9 == 4, F.concat("surname_ru", F.lit("x"))).otherwise(F.col("surname_ru")).alias("surname_ru"), F.when(F.col("ord") % 5 != 4, F.col("surname_en")).alias("surname_en"), F.lit("Институт").alias("org_ru"), F.when(F.col("ord") != 3, F.lit("Institute")).alias("org_en"), F.when(F.col("person") % 4 == 1, "0000-0001-0002-0003").alias("orcid"), F.lit("").alias("spin"), "email"))).alias("authors")
-    )
-    refs = v.ref.groupBy("article_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "ru"))), lambda x: x["ru"]).alias("refs_ru"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "en"))), lambda x: x["en"]).alias("refs_en"))
-    out = v.sql(RECORD).join(authors, "article_id").join(refs, "article_id")
-    words = lambda w: F.array(F.concat(F.lit(w), (F.col("article_id") % 97).cast("string")), F.concat(F.lit(w), (F.col("article_id") % 89).cast("string")))
-    return out.withColumn("keywords_ru", words("слово ")).withColumn("keywords_en", words("word "))
+    authors = v.check_author.groupBy("article_id").agg(F.array_sort(F.collect_list(F.struct("ord", *FIELDS))).alias("authors"))
+    in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("pos", c))), lambda x: x[c]).alias(f"refs_{c}")
+    refs = v.check_ref.groupBy("article_id").agg(in_order("ru"), in_order("en"))
+    out = v.check_record.join(authors, "article_id").join(refs, "article_id", "left")
+    words = lambda w, none: F.when(F.col("article_id") % none != 0, F.array(*[F.concat(F.lit(w), (F.col("article_id") % m).cast("string")) for m in (97, 89)]))
+    return out.withColumn("keywords_ru", words("слово ", 79)).withColumn("keywords_en", words("word ", 83))
 
 
 def prints(v):
-    return v.print.select(F.col("doc_id").alias("article_id"), F.split("all_text", "\nВведение\n")[0].alias("page1"), "all_text", "n_pages")
+    return v.check_print.withColumn("page1", F.split("all_text", "\nВведение\n")[0])
 
 
-def check(rule: str, sql: str | None) -> None:
-    bind(f"check_{rule}", lambda v: c.check_articles(record(v), prints(v), [rule]), sql and f"SELECT article_id, severity, '{rule}' AS rule, detail FROM ({sql})")
+def norm(c: str) -> str:
+    return f"regexp_replace(replace(lower(coalesce({c}, '')), 'ё', 'е'), '[^0-9a-zа-я]', '', 'g')"
 
 
+#: What the rules are recomputed from: c records with prints, au their authors, rk their references in order, g how many of these are good,
+#: s the prints' reference lists with the chain of their numbers.
+BASIS = rf"""c AS MATERIALIZED (SELECT r.*, p.all_text, p.n_pages, CASE WHEN p.article_id IS NOT NULL THEN {norm("p.all_text")} END AS nall,
+  CASE WHEN p.article_id IS NOT NULL THEN {norm("split_part(p.all_text, chr(10)||'Введение'||chr(10), 1)")} END AS n1, p.article_id IS NOT NULL AS printed
+  FROM v_check_record r LEFT JOIN v_check_print p ON p.article_id = r.article_id WHERE r.article_id IN (SELECT article_id FROM v_check_author)),
+au AS (SELECT a.*, c.all_text, c.nall, c.n1, c.printed FROM v_check_author a JOIN c ON c.article_id = a.article_id),
+rf AS (SELECT article_id, 'ru' AS lang, pos, ru AS ref FROM v_check_ref UNION ALL SELECT article_id, 'en', pos, en FROM v_check_ref),
+rk AS (SELECT *, row_number() OVER (PARTITION BY article_id, lang ORDER BY pos) AS k, coalesce(trim(ref), '') <> '' AS good FROM rf),
+g AS (SELECT c.article_id, l.lang, count(CASE WHEN good THEN 1 END) AS good, count(k) AS n, string_agg(CASE WHEN NOT good THEN CAST(k AS varchar) END, ', ' ORDER BY k) AS blank
+  FROM c CROSS JOIN (SELECT unnest(['ru', 'en']) AS lang) l LEFT JOIN rk ON rk.article_id = c.article_id AND rk.lang = l.lang GROUP BY ALL),
+cut AS (SELECT article_id, 'ru' AS lang, split_part(substr(all_text, greatest(strpos(all_text, 'Список источников'), strpos(all_text, 'Cписок источников')) + 17), 'Информация об автор', 1) AS part FROM c
+  WHERE contains(all_text, 'писок источников')
+  UNION ALL SELECT article_id, 'en', split_part(substr(all_text, strpos(all_text, chr(10)||'References'||chr(10)) + 11), 'Information about the author', 1) FROM c WHERE contains(all_text, chr(10)||'References'||chr(10))),
+s AS (SELECT article_id, lang, part, {norm("part")} AS listed, list_reduce(list_prepend(0, list_transform(regexp_extract_all(part, '(?m)^\s*([0-9]{{1,3}})\.\s', 1), lambda x: CAST(x AS int))), lambda e, x: CASE WHEN x = e + 1 THEN x ELSE e END) AS numbered FROM cut),
+gs AS (SELECT g.*, s.listed, s.numbered FROM g JOIN s ON s.article_id = g.article_id AND s.lang = g.lang WHERE g.good > 0),
+gk AS (SELECT article_id, lang, {norm("ref")} AS nref, row_number() OVER (PARTITION BY article_id, lang ORDER BY pos) AS k FROM rk WHERE good),
+mail AS (SELECT DISTINCT article_id, lower(unnest(regexp_extract_all(all_text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}'))) AS e FROM c),
+got AS (SELECT article_id, count(*) AS n, list(DISTINCT lower(email)) FILTER (WHERE coalesce(email, '') <> '') AS mails FROM au GROUP BY article_id),
+walk AS (SELECT article_id, lang, CAST(0 AS bigint) AS k, CAST(0 AS bigint) AS at FROM gs WHERE numbered = 0
+  UNION ALL SELECT w.article_id, w.lang, gk.k, CASE WHEN w.at < 0 OR strpos(substr(gs.listed, w.at + 1), left(gk.nref, 45)) = 0 THEN -1 ELSE w.at + strpos(substr(gs.listed, w.at + 1), left(gk.nref, 45)) END
+  FROM walk w JOIN gk ON gk.article_id = w.article_id AND gk.lang = w.lang AND gk.k = w.k + 1 JOIN gs ON gs.article_id = w.article_id AND gs.lang = w.lang)"""
+
+
+def check(rule: str, sql: str) -> None:
+    bind(f"check_{rule}", lambda v: c.check_articles(record(v), prints(v), [rule]), f"WITH RECURSIVE {BASIS} SELECT article_id, severity, '{rule}' AS rule, detail FROM ({sql}) AS found(article_id, severity, detail)")
+
+
+check("title_ru", f"SELECT article_id, 'error', title_ru FROM c WHERE NOT contains(n1, {norm('title_ru')})")
+check("title_en", f"SELECT article_id, 'error', coalesce(title_en, 'missing') FROM c WHERE title_en IS NULL OR NOT contains(nall, {norm('title_en')})")
+check(
+    "page_span",
+    "SELECT article_id, 'error', coalesce(pages, '') || ' / ' || CAST(n_pages AS varchar) FROM c WHERE printed AND (pages IS NULL OR CAST(split_part(pages, '-', 2) AS int) - CAST(split_part(pages, '-', 1) AS int) + 1 <> n_pages)",
+)
+check(
+    "author_count",
+    r"""SELECT article_id, CASE WHEN cited = 0 THEN 'note' ELSE 'error' END, CASE WHEN cited = 0 THEN 'not countable' ELSE CAST(n AS varchar) || ' / ' || CAST(cited AS varchar) END FROM (
+    SELECT c.article_id, got.n, len(regexp_extract_all(split_part(replace(left(regexp_extract(all_text, '(?s)Для\s*цитирования(.*)', 1), 1200), '-' || chr(10), ''), split_part(title_ru, ' ', 1), 1), '[А-Я][а-я]+\s[А-Я]\.[А-Я]\.')) AS cited
+    FROM c JOIN got ON got.article_id = c.article_id WHERE printed) WHERE cited = 0 OR cited <> n""",
+)
+check("author_count_en", "SELECT article_id, 'error', CAST(count(*) AS varchar) FROM au GROUP BY article_id HAVING count(surname_en) < count(*)")
+check(
+    "surnames",
+    f"""SELECT article_id, 'error', surname_ru FROM au WHERE NOT contains(n1, {norm('surname_ru')}) UNION ALL SELECT article_id, 'error', coalesce(surname_en, 'no English surname: ' || surname_ru) FROM au
+    WHERE surname_en IS NULL OR NOT contains(nall, {norm('surname_en')})""",
+)
+check(
+    "organisations",
+    f"""SELECT article_id, 'error', 'none: ' || surname_ru FROM au WHERE trim(org_ru) = '' UNION ALL SELECT article_id, 'error', 'none in English: ' || surname_ru FROM au WHERE org_en IS NULL
+    UNION ALL SELECT article_id, 'note', left(org_ru, 50) FROM au WHERE len(list_filter(string_split(org_ru, ';'), lambda x: trim(x) <> '' AND NOT contains(nall, left({norm('x')}, 22)))) > 0""",
+)
+check("codes", "SELECT article_id, 'error', code FROM (SELECT article_id, all_text, unnest([orcid, spin]) AS code FROM au) WHERE NOT contains(all_text, code)")
+check(
+    "emails",
+    f"""SELECT article_id, 'error', email FROM au WHERE email <> '' AND NOT contains(lower(all_text), lower(email)) UNION ALL SELECT article_id, 'note', 'none recorded' FROM got WHERE mails IS NULL
+    UNION ALL SELECT m.article_id, 'note', string_agg(m.e, ', ' ORDER BY m.e) FROM mail m JOIN got ON got.article_id = m.article_id JOIN c ON c.article_id = m.article_id
+    WHERE len(coalesce(mails, [])) < n AND contains(n1, {norm('m.e')}) AND len(list_filter(coalesce(mails, []), lambda x: contains(m.e, x))) = 0 GROUP BY m.article_id""",
+)
+check(
+    "orcid_only_in_print",
+    """SELECT article_id, 'note', o FROM (SELECT DISTINCT article_id, unnest(regexp_extract_all(all_text, '[0-9]{4}-[0-9]{4}-[0-9]{4}-[0-9]{3}[0-9X]')) AS o FROM c) AS f
+    WHERE NOT EXISTS (SELECT 1 FROM v_check_author a WHERE a.article_id = f.article_id AND a.orcid = f.o)""",
+)
+check(
+    "abstracts",
+    " UNION ALL ".join(
+        f"SELECT article_id, 'error', CASE WHEN length(n) < {least} THEN '{x}: short' ELSE '{x}: differs' END FROM (SELECT article_id, {where} AS t, {norm(f'abstract_{x}')} AS n FROM c) WHERE length(n) < {least} OR NOT contains(t, left(n, {head}))"
+        for x, where, least, head in (("ru", "n1", 200, 120), ("en", "nall", 150, 100))
+    ),
+)
+check(
+    "keywords",
+    f"""SELECT article_id, 'error', 'missing' FROM c WHERE article_id % 79 = 0 UNION ALL SELECT article_id, 'error', 'missing in English' FROM c WHERE article_id % 83 = 0
+    UNION ALL SELECT article_id, 'error', w FROM (SELECT article_id, nall, unnest(['слово ' || CAST(article_id % 97 AS varchar), 'слово ' || CAST(article_id % 89 AS varchar)]) AS w FROM c WHERE article_id % 79 <> 0) WHERE NOT contains(nall, {norm('w')})""",
+)
+check("udk", f"SELECT article_id, 'error', coalesce(udk, 'missing') FROM c WHERE udk IS NULL OR NOT contains(n1, {norm('udk')})")
+check(
+    "dates",
+    """SELECT article_id, CASE WHEN v IS NULL THEN 'note' ELSE 'error' END, coalesce(v, f || ' missing') FROM (SELECT article_id, all_text, 'received' AS f, received AS v, '01.02.2000' AS shown FROM c UNION ALL SELECT article_id, all_text, 'accepted', accepted, accepted FROM c)
+    WHERE v IS NULL OR NOT contains(all_text, shown)""",
+)
+check(
+    "reference_section",
+    """SELECT article_id, 'error', lang || ': empty ' || blank FROM g WHERE blank IS NOT NULL UNION ALL SELECT article_id, 'error', lang || ': no list' FROM g WHERE good = 0
+    UNION ALL SELECT g.article_id, 'note', g.lang || ': section not found' FROM g JOIN c ON c.article_id = g.article_id WHERE printed AND good > 0 AND NOT EXISTS (SELECT 1 FROM s WHERE s.article_id = g.article_id AND s.lang = g.lang)""",
+)
+check("references", f"SELECT rk.article_id, 'error', rk.ref FROM rk JOIN s ON s.article_id = rk.article_id AND s.lang = rk.lang WHERE good AND NOT contains(listed, left({norm('ref')}, 45)) AND NOT contains(listed, right({norm('ref')}, 25))")
+check("reference_count", "SELECT article_id, 'error', lang || ': ' || CAST(n AS varchar) || ' / ' || CAST(numbered AS varchar) FROM gs WHERE numbered > 0 AND numbered <> n")
+check(
+    "unnumbered_list",
+    """SELECT w.article_id, 'note', w.lang FROM walk w JOIN gs ON gs.article_id = w.article_id AND gs.lang = w.lang AND w.k = gs.good JOIN gk ON gk.article_id = w.article_id AND gk.lang = w.lang AND gk.k = w.k
+    WHERE w.at < 0 OR length(listed) - w.at + 1 > length(nref) + 20""",
+)
+check("word_codes", "SELECT article_id, 'error', code FROM (SELECT article_id, raw, unnest(['HYPERLINK', 'MERGEFORMAT']) AS code FROM c) WHERE contains(raw, code)")
+check("print_missing", "SELECT article_id, 'error', 'not attached' FROM c WHERE NOT printed")
 IDS = "SELECT doc_id AS article_id FROM v_manuscript"
-NOTHING = f"SELECT article_id, '' AS severity, '' AS detail FROM ({IDS}) WHERE false"
-check("title_ru", NOTHING)
-check("title_en", NOTHING)
-check("page_span", f"SELECT article_id, 'error' AS severity, '8 / 9' AS detail FROM ({IDS}) WHERE article_id % 29 = 0")
-check("author_count", NOTHING)
-check("author_count_en", "SELECT article_id, 'error' AS severity, CAST(count(*) AS varchar) AS detail FROM v_author WHERE article_id IN (SELECT doc_id FROM v_manuscript) GROUP BY article_id HAVING max(ord) >= 4")
-check("surnames", "SELECT article_id, 'error' AS severity, surname_ru || 'x' AS detail FROM v_author WHERE person % 9 = 4 AND article_id IN (SELECT doc_id FROM v_manuscript)")
-check("organisations", "SELECT DISTINCT article_id, 'error' AS severity, 'missing in English' AS detail FROM v_author WHERE ord = 3 AND article_id IN (SELECT doc_id FROM v_manuscript)")
-check("codes", "SELECT article_id, 'error' AS severity, '0000-0001-0002-0003' AS detail FROM v_author WHERE person % 4 = 1 AND article_id IN (SELECT doc_id FROM v_manuscript)")
-check("emails", "SELECT article_id, 'error' AS severity, 'none recorded' AS detail FROM v_author WHERE article_id IN (SELECT doc_id FROM v_manuscript) GROUP BY article_id HAVING count(email) = 0")
-check("orcid_only_in_print", NOTHING)
-check("abstracts", f"SELECT article_id, 'error' AS severity, detail FROM ({IDS}), (SELECT unnest(['ru', 'en']) AS detail)")
-check("keywords", f"SELECT article_id, 'error' AS severity, 'слово ' || CAST(k AS varchar) AS detail FROM (SELECT article_id, unnest([article_id % 97, article_id % 89]) AS k FROM ({IDS}) WHERE article_id % 17 = 0)")
-check("udk", f"SELECT article_id, 'error' AS severity, CASE WHEN article_id % 13 = 0 THEN 'missing' ELSE '539.2' END AS detail FROM ({IDS}) WHERE article_id % 13 = 0 OR article_id % 19 = 0 AND article_id % 17 <> 0")
-check("dates", f"SELECT article_id, CASE WHEN article_id % 7 = 0 THEN 'note' ELSE 'error' END AS severity, CASE WHEN article_id % 7 = 0 THEN 'accepted missing' ELSE '05.03.2000' END AS detail FROM ({IDS})")
-check("reference_section", NOTHING)
-BROKEN = "article_id % 23 = 0 AND article_id % 17 <> 0 AND article_id % 19 <> 0"
-check("references", f"SELECT article_id, 'error' AS severity, ru AS detail FROM v_ref WHERE {BROKEN} AND article_id IN (SELECT doc_id FROM v_manuscript)")
-check("reference_count", NOTHING)
-check("unnumbered_list", NOTHING)
-check("word_codes", NOTHING)
-check("print_missing", NOTHING)
 bind("check_articles", lambda v: c.check_articles(record(v), prints(v)).groupBy("rule", "severity").agg(F.count("*").alias("n")))
 bind(
     "xml_required",
     lambda v: c.xml_required(record(v).withColumn("issn", F.when(F.col("article_id") % 11 != 0, "1000-2000"))),
     f"""SELECT article_id, 'error' AS severity, 'issn' AS detail FROM ({IDS}) WHERE article_id % 11 = 0
-    UNION ALL SELECT article_id, 'error', 'references in English' FROM v_ref WHERE article_id IN (SELECT doc_id FROM v_manuscript) GROUP BY article_id HAVING count(en) > 0 AND count(en) < count(*)""",
+    UNION ALL SELECT article_id, 'error', 'pages' FROM v_check_record WHERE pages IS NULL AND article_id IN (SELECT doc_id FROM v_manuscript)
+    UNION ALL SELECT article_id, 'error', 'references in English' FROM v_check_ref WHERE article_id IN (SELECT doc_id FROM v_manuscript) GROUP BY article_id HAVING count(en) > 0 AND count(en) < count(*)""",
 )
 bind(
     "keyword_balance",

@@ -14,8 +14,8 @@ for status, column in filters.STATUSES.items():
     bind(f"status_filter_{status}", lambda v, s=status: filters.status_filter(v.article, s).select("id", "title"), f"SELECT id, title FROM v_article WHERE {column} = false")
 bind(
     "search_title_author",
-    lambda v: filters.search_title_author(v.article_full, "bdi", "not_edited", 7).select("id", "title", "authors"),
-    "SELECT id, title, authors FROM v_article_full WHERE deleted_at IS NULL AND (title ILIKE '%bdi%' OR authors ILIKE '%bdi%') AND edited = false AND journal_id = 7",
+    lambda v: filters.search_title_author(v.article_full, "orB", "not_edited", 7).select("id", "title", "authors"),
+    "SELECT id, title, authors FROM v_article_full WHERE deleted_at IS NULL AND (title ILIKE '%orb%' OR authors ILIKE '%orb%') AND edited = false AND journal_id = 7",
 )
 bind(
     "search_all",
@@ -28,9 +28,9 @@ bind(
 ISSUE = "(SELECT min(id) FROM v_issue WHERE journal_id = 3 AND year = 1995)"
 bind(
     "issue_search",
-    lambda v: filters.issue_search(v.article_full, v.article_author, v.issue.filter("journal_id = 3 AND year = 1995").agg(F.min("id")).first()[0] or 0, "AUTHORb"),
-    f"""SELECT id, title FROM v_article_full a WHERE deleted_at IS NULL AND issue_id = {ISSUE} AND (contains({FOLD.format('title')}, 'authorb')
-      OR contains({FOLD.format('authors')}, 'authorb') OR id IN (SELECT article_id FROM v_article_author WHERE contains({FOLD.format('full_name')}, 'authorb')))""",
+    lambda v: filters.issue_search(v.article_full, v.article_author, v.issue.filter("journal_id = 3 AND year = 1995").agg(F.min("id")).first()[0] or 0, "STUDY 1"),
+    f"""SELECT id, title FROM v_article_full a WHERE deleted_at IS NULL AND issue_id = {ISSUE} AND (contains({FOLD.format('title')}, 'study 1')
+      OR contains({FOLD.format('authors')}, 'study 1') OR id IN (SELECT article_id FROM v_article_author WHERE contains({FOLD.format('full_name')}, 'study 1')))""",
 )
 bind(
     "unnumbered_articles",

@@ -60,6 +60,18 @@ SELECT p.id AS doc_id, concat_ws(chr(10),'Научная статья','УДК 5
 """,
     "v_print": """
 SELECT doc_id, CASE WHEN doc_id%17=0 THEN replace(text,'слово ','лишнее ') WHEN doc_id%19=0 THEN replace(text,'УДК 539.2','УДК 621.3') WHEN doc_id%23=0 THEN replace(text,'М.: Наука','СПб.: Питер') ELSE text END AS all_text, CASE WHEN doc_id%29=0 THEN 9 ELSE 8 END AS n_pages FROM v_manuscript
+""",
+    "v_check_record": """
+SELECT p.id AS article_id, a.title AS title_ru, CASE WHEN p.id%59=0 THEN NULL ELSE a.title END AS title_en, CASE WHEN p.id%61=0 THEN NULL ELSE p.pages END AS pages, CASE WHEN p.id%7=2 THEN 'Цель.' ELSE concat(CASE WHEN p.id%7=1 THEN 'Иначе. ' ELSE '' END,'Цель. Текст ',cast(p.id AS string),'. ',repeat('Подробно описан опыт с решёткой. ',8)) END AS abstract_ru, CASE WHEN p.id%11=2 THEN 'Text.' ELSE concat(CASE WHEN p.id%11=1 THEN 'Other. ' ELSE '' END,'Text ',cast(p.id AS string),'. ',repeat('The lattice is described in detail. ',8)) END AS abstract_en, CASE WHEN p.id%13<>0 THEN '539.2' END AS udk, '2000-02-01' AS received, CASE WHEN p.id%7=0 THEN NULL WHEN p.id%7=3 THEN '05.02.2000' ELSE '05.03.2000' END AS accepted, concat(a.title,CASE WHEN p.id%67=0 THEN ' HYPERLINK' ELSE '' END,CASE WHEN p.id%71=0 THEN ' MERGEFORMAT' ELSE '' END) AS raw FROM v_pub_article p JOIN v_article a ON a.id=p.id
+""",
+    "v_check_author": """
+SELECT article_id, ord, CASE WHEN person%9=4 THEN concat(surname_ru,'x') ELSE surname_ru END AS surname_ru, CASE WHEN ord%5=4 THEN NULL WHEN person%11=3 THEN concat(surname_en,'x') ELSE surname_en END AS surname_en, CASE WHEN ord=2 AND article_id%6=1 THEN '' WHEN article_id%6=2 THEN 'Институт; Завод' ELSE 'Институт' END AS org_ru, CASE WHEN ord<>3 THEN 'Institute' END AS org_en, CASE person%4 WHEN 1 THEN '0000-0001-0002-0003' WHEN 2 THEN '0000-0002-1111-2223' END AS orcid, CASE WHEN ord=2 THEN '1234-5678' END AS spin, CASE WHEN article_id%8=3 OR article_id%8=5 AND ord=1 THEN NULL WHEN person%10=7 AND email IS NOT NULL THEN concat('x',email) ELSE email END AS email FROM v_author
+""",
+    "v_check_ref": """
+SELECT article_id, CASE WHEN article_id%43=1 THEN -pos ELSE pos END AS pos, CASE WHEN article_id%29=0 AND pos=2 THEN ' ' ELSE ru END AS ru, CASE WHEN article_id%53=0 THEN concat(en,' X') ELSE en END AS en FROM v_ref WHERE NOT (article_id%59=1 AND pos=1)
+""",
+    "v_check_print": """
+SELECT p.doc_id AS article_id, p.n_pages, {FAULTY(p.all_text)} AS all_text FROM v_print p JOIN v_article a ON a.id=p.doc_id WHERE p.doc_id%73<>0
 """,
     "v_site_article": """
 SELECT site_art_id AS art_id, journal_id AS razd_id, concat('https://doi.org/',CASE WHEN p.id%31=0 THEN 'other' ELSE coalesce(doi,'') END) AS doi, p.id AS draft_id FROM v_pub_article p JOIN v_base b ON b.o_orderkey=p.id WHERE site_art_id IS NOT NULL
@@ -88,6 +100,32 @@ SELECT i.id, j.issn, j.name, i.year, cast(i.number AS string) AS number, CASE WH
 }
 
 
+#: (condition on doc_id, old text, new text) of the faults in v_check_print, in SQL.
+FAULTS = [
+    ("p.doc_id>=0", "concat('Цель. Текст ',cast(p.doc_id AS string),'.')", "concat('Цель. Текст ',cast(p.doc_id AS string),'. ',repeat('Подробно описан опыт с решёткой. ',8))"),
+    ("p.doc_id>=0", "concat('Text ',cast(p.doc_id AS string),'.')", "concat('Text ',cast(p.doc_id AS string),'. ',repeat('The lattice is described in detail. ',8))"),
+    ("p.doc_id%31=0", "' study '", "' work '"),
+    ("p.doc_id%37=0", "'Для цитирования'", "'Ссылка'"),
+    ("p.doc_id%37=1", "'Для цитирования'", "concat('Для цитирования',chr(10),'Лишний Л.Л.,')"),
+    ("p.doc_id%37=2", "concat('Для цитирования',chr(10),'Автор')", "concat('Дляцитирования',chr(10),'Ав-',chr(10),'тор')"),
+    ("p.doc_id%41=0", "'Список источников'", "'Перечень'"),
+    ("p.doc_id%41=1", "concat(chr(10),'References',chr(10))", "concat(chr(10),'Sources',chr(10))"),
+    ("p.doc_id%41=2", "'Список источников'", "'Cписок источников'"),
+    *[("p.doc_id%43<3", f"concat(chr(10),'{k}. ')", "chr(10)") for k in range(1, 8)],
+    ("p.doc_id%43=2", "'Информация об авторах'", "concat(repeat('Лишний хвост списка. ',3),chr(10),'Информация об авторах')"),
+    ("p.doc_id%43=2", "'Information about the authors'", "concat(repeat('More than the list. ',3),chr(10),'Information about the authors')"),
+    ("p.doc_id%47=0", "'Введение'", "concat('Введение',chr(10),'0000-0002-1111-2223')"),
+    ("p.doc_id%5=0", "'Введение'", "concat('Введение',chr(10),'SPIN 1234-5678')"),
+]
+
+
+def _faulty(text: str) -> str:
+    """The text with all faults; where a fault's condition doesn't hold, its old text is put back."""
+    for cond, old, new in FAULTS:
+        text = f"replace({text},{old},CASE WHEN {cond} THEN {new} ELSE {old} END)"
+    return text
+
+
 def _render(name: str, dialect: str) -> str:
     order = "pos" if name == "v_ref_lines" else "ord"
 
@@ -98,6 +136,7 @@ def _render(name: str, dialect: str) -> str:
 
     text = re.sub(r"\{AGG\((.*?)\)\}", listed(", "), VIEWS[name], flags=re.S)
     text = re.sub(r"\{AGL\((.*?)\)\}", listed("\\n"), text, flags=re.S)
+    text = re.sub(r"\{FAULTY\((.*?)\)\}", lambda m: _faulty(m[1]), text)
     return text.replace("{NTZ}", "timestamp_ntz" if dialect == "spark" else "timestamp").strip()
 
 
