@@ -133,8 +133,8 @@ bind(
 )
 bind(
     "keyword_balance",
-    lambda v: c.keyword_balance(v.article.select(F.col("id").alias("doc_id"), F.split("title", " ").alias("ru"), F.split(F.lit("a b c d"), " ").alias("en"))),
-    "SELECT id AS doc_id, CAST(length(title) - length(replace(title, ' ', '')) + 1 AS int) AS ru, 4 AS en FROM v_article WHERE length(title) - length(replace(title, ' ', '')) <> 3",
+    lambda v: c.keyword_balance(v.article_full.select(F.col("id").alias("doc_id"), F.split("title", " ").alias("ru"), F.split("authors", ", ").alias("en"))),
+    "SELECT id AS doc_id, CAST(len(string_split(title, ' ')) AS int) AS ru, CAST(len(string_split(authors, ', ')) AS int) AS en FROM v_article_full WHERE len(string_split(title, ' ')) <> len(string_split(authors, ', '))",
 )
 bind(
     "field_limits",
