@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, exact, html, lmscore, secrets, sharding, simhash, toxicity, warc
+from . import bpe, chat, decontam, divergence, exact, html, lmscore, secrets, sharding, simhash, toxicity, vectors, warc
 from .common import table
 
 
@@ -62,8 +62,20 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_text(table(spark, sf_dir, "pages"), ["page_id", "url"])
 
 
+def op11_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.round_trip(chat.planted(table(spark, sf_dir, "conversations")))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.compress(table(spark, sf_dir, "embeddings"))
+
+
 def queries():
-    named = (op1_toxicity, op2_sharding, op3_simhash, op4_warc, op5_lm_score, op6_secrets, op7_exact_dedup, op8_bpe, op9_decontamination, op10_html_text)
+    named = (op1_toxicity, op2_sharding, op3_simhash, op4_warc, op5_lm_score, op6_secrets, op7_exact_dedup, op8_bpe, op9_decontamination, op10_html_text, op11_chat, op12_divergence, op13_vector_codes)
     return {f.__name__: f for f in named}
 
 
@@ -96,6 +108,57 @@ SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_item
 FROM d LEFT JOIN spots ON d.doc_id = spots.doc_id LEFT JOIN items ON d.doc_id = items.doc_id
 """
 
+OP11 = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+s AS (SELECT *, role || ':' || sha256(text) AS message,
+  length(text) - length(replace(text, '\', '')) + (length(text) - length(replace(text, '</turn>', ''))) // 7
+    + coalesce(list_sum([length(x) - 2 for x in regexp_extract_all(text, '#{3,}')]), 0)
+    + length(role) - length(regexp_replace(role, '[\\:]', '', 'g')) + (length(role) - length(replace(role, '</turn>', ''))) // 7
+    + coalesce(list_sum([length(x) - 2 for x in regexp_extract_all(role, '#{3,}')]), 0) AS n_escapes FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, message)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS bigint) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, message) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(4 + length(role) + 2 + length(text) + 8 + n_escapes) AS bigint) AS formatted_chars
+FROM s GROUP BY conv_id
+"""
+
+OP12 = f"""
+WITH d AS (SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {LOWER} AS text FROM documents),
+w AS MATERIALIZED (SELECT doc, lang, source, unnest(regexp_extract_all(text, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+kept AS MATERIALIZED (SELECT lang, term, count(*) AS n FROM w GROUP BY lang, term HAVING count(DISTINCT doc) >= 30),
+size AS (SELECT lang, count(*) AS v, sum(n) AS n FROM kept GROUP BY lang),
+g AS MATERIALIZED (SELECT DISTINCT lang, source FROM d),
+c AS MATERIALIZED (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term),
+total AS (SELECT lang, source, sum(n) AS n FROM c GROUP BY lang, source),
+p AS MATERIALIZED (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + 1000000000 * CAST(coalesce(c.n, 0) + 5 AS hugeint) // CAST(coalesce(t.n, 0) + 5 * s.v AS hugeint) AS p,
+    1 + 1000000000 * CAST(k.n + 5 AS hugeint) // CAST(s.n + 5 * s.v AS hugeint) AS q
+  FROM g JOIN kept k USING (lang) JOIN size s USING (lang) LEFT JOIN total t ON t.lang = g.lang AND t.source = g.source LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+far AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS bigint) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN far ON far.lang = a.lang AND far.source = a.source AND far.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, CAST(p - q AS bigint) AS value FROM p WHERE n > 0 AND p > q)
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS int) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)) WHERE part = 'pair' OR rank <= 50
+"""
+
+
+def op13_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """One common table expression a step: the nearest entries, their sums, the next codebooks."""
+    steps = [
+        "k AS MATERIALIZED (SELECT vec_id, label, [CAST(floor(1024 * CAST(x AS double)) AS bigint) FOR x IN embedding] AS v FROM embeddings WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0)",
+        f"p AS MATERIALIZED (SELECT vec_id, label, part, v[part * len(v) // {parts} + 1 : (part + 1) * len(v) // {parts}] AS x FROM k, (SELECT unnest(range({parts})) AS part))",
+        f"b0 AS MATERIALIZED (SELECT part, r AS entry, x FROM (SELECT *, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS r FROM p) WHERE r < {entries})",
+    ]
+    for i in range(rounds + 1):
+        away = "list_sum([(z[1] - z[2]) * (z[1] - z[2]) FOR z IN list_zip(p.x, b.x)])"
+        steps.append(f"a{i} AS MATERIALIZED (SELECT vec_id, label, p.part, min({{'d': {away}, 'entry': entry}}) AS m, any_value(p.x) AS x FROM p JOIN b{i} b ON p.part = b.part GROUP BY vec_id, label, p.part)")
+        if i < rounds:
+            steps.append(f"u{i} AS (SELECT part, m.entry AS entry, place, CAST(sum(y) AS hugeint) AS s, count(*) AS n FROM (SELECT part, m, unnest(x) AS y, unnest(range(len(x))) AS place FROM a{i}) GROUP BY part, m.entry, place)")
+            moved = f"SELECT part, entry, list(CAST((s - ((s % n) + n) % n) // n AS bigint) ORDER BY place) AS x FROM u{i} GROUP BY part, entry"
+            steps.append(f"b{i + 1} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(n.x, b.x) AS x FROM b{i} b LEFT JOIN ({moved}) n ON b.part = n.part AND b.entry = n.entry)")
+    steps.append(f"c AS (SELECT vec_id, any_value(label) AS label, string_agg(printf('%02x', m.entry), '' ORDER BY part) AS code, CAST(sum(m.d) AS bigint) AS error FROM a{rounds} GROUP BY vec_id)")
+    books = f"SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) FROM b{rounds}"
+    return f"WITH {', '.join(steps)} SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS bigint) AS label_error, ({books}) AS codebooks_sha256 FROM c"
+
 
 def oracle_sql():
-    return {"op4_warc": OP4, "op7_exact_dedup": OP7, "op9_decontamination": OP9}
+    return {"op4_warc": OP4, "op7_exact_dedup": OP7, "op9_decontamination": OP9, "op11_chat": OP11, "op12_divergence": OP12, "op13_vector_codes": op13_sql()}
