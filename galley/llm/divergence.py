@@ -1,6 +1,6 @@
 """Divergence of sources: how far apart the term shares of the sources of a language are, priced on hash-consed segment trees.
 
-The kept terms of a language are dealt out by hash to blocks of about BLOCK_TERMS. In a block every source, and the whole language, is a segment tree over
+The kept terms of a language are dealt out by hash to blocks, of about BLOCK_TERMS of all languages together. In a block every source, and the whole language, is a segment tree over
 the block's terms whose leaves are counts; at each height equal (left, right) pairs become one node, whichever source and place they are
 of. Two trees are walked together from their roots, one step a height for all pairs of trees at once: equal node pairs under equal
 denominators are one state and are priced once, and a pair of subtrees without counts is left out, since prices are kept relative to that
@@ -28,40 +28,43 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, stored
 
 LEAST_DOCUMENTS, SMOOTHING, SCALE, TOP_TERMS = 30, 5, 1_000_000_000, 50
-BLOCK_TERMS, CHUNK_SOURCES = 64, 64
+BLOCK_TERMS, CHUNK_SOURCES = 512, 32
 #: Tasks over which the blocks of one language are dealt when their sources are listed.
 SALTS = 32
 #: Distinct terms that a task holds before it hands its counts on.
-HELD_TERMS = 400_000
+HELD_TERMS = 1_000_000
 
 TERM = re.compile(rb"[a-z\x80-\xff]+")
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
     """(lang, source, term, n, documents) of what each task reads: occurrences, and documents that have the term."""
+    one = 1 << 44  # a document, in the bits above the occurrences
+
+    def handed_on(held):
+        for (lang, source), counts in held.items():
+            both, k = np.fromiter(counts.values(), np.int64, len(counts)), len(counts)
+            terms = pa.array(counts.keys(), pa.binary()).cast(pa.string())
+            for at in range(0, k, 50_000):
+                part = slice(at, min(k, at + 50_000))
+                n = part.stop - at
+                columns = [pa.repeat(pa.scalar(lang, pa.string()), n), pa.repeat(pa.scalar(source, pa.string()), n), terms[part], pa.array(both[part] & (one - 1)), pa.array(both[part] >> 44)]
+                yield pa.RecordBatch.from_arrays(columns, names=["lang", "source", "term", "n", "documents"])
 
     def counted(batches):
         held, size = {}, 0
-
-        def handed_on():
-            rows = [(lang, source, term.decode(), n, d) for (lang, source), (ns, ds) in held.items() for term, n in ns.items() for d in (ds[term],)]
-            for at in range(0, len(rows), 50_000):
-                columns = list(zip(*rows[at : at + 50_000], strict=True))
-                kinds = [pa.string()] * 3 + [pa.int64()] * 2
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["lang", "source", "term", "n", "documents"])
-
         for batch in batches:
             for lang, source, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "text")), strict=True):
-                found = Counter(TERM.findall(text.encode().lower()))  # bytes: only A-Z are lower-cased, and no letter beyond ASCII is cut
-                ns, ds = held.setdefault((lang, source), (Counter(), Counter()))
-                size -= len(ns)
-                ns.update(found)
-                ds.update(found.keys())
-                size += len(ns)
+                counts = held.setdefault((lang, source), {})
+                size -= len(counts)
+                get = counts.get
+                for term, n in Counter(TERM.findall(text.encode().lower())).items():  # bytes: only A-Z are lower-cased, and no letter beyond ASCII is cut
+                    counts[term] = get(term, 0) + n + one
+                size += len(counts)
                 if size > HELD_TERMS:
-                    yield from handed_on()
+                    yield from handed_on(held)
                     held, size = {}, 0
-        yield from handed_on()
+        yield from handed_on(held)
 
     return docs.select("lang", "source", "text").mapInArrow(counted, "lang string, source string, term string, n long, documents long")
 
