@@ -291,3 +291,28 @@ def search_description(needle: Column, journal: Column, status: Column) -> Colum
 def fit_digest(c: Column, limit: int) -> Column:
     """Cut to limit characters at a line end, where the text is longer."""
     return F.when(F.length(c) <= limit, c).otherwise(F.regexp_replace(F.left(c, F.lit(limit)), r"\n[^\n]*$", ""))
+
+
+def two_digits(c: Column) -> Column:
+    """A number's digits with a zero before a single one; longer numbers stay as they are."""
+    return F.when(F.length(c) < 2, F.concat(F.lit("0"), c)).otherwise(c)
+
+
+def issue_segment(number: Column) -> Column:
+    """An issue's number as DOIs hold it: '1' is 01, '1(1)' is 01(01), '100' is 100; anything else stays."""
+    n = F.trim(number.cast("string"))
+    part = F.regexp_extract_all(n, F.lit("[0-9]+"), F.lit(0))
+    padded = F.concat(two_digits(part[0]), F.when(F.size(part) > 1, F.concat(F.lit("("), two_digits(F.get(part, F.lit(1))), F.lit(")"))).otherwise(""))
+    return F.when(n.rlike(r"^[0-9]+(\([0-9]+\))?$"), padded).otherwise(n)
+
+
+def unbroken(c: Column) -> Column:
+    """A text whose words are whole again where a hyphen at a line's end cut them; the other line ends stay."""
+    lines = F.transform(F.split(c, "\n"), lambda x: F.trim(F.replace(x, F.lit("\t"), F.lit(" "))))
+    letter = r"[\p{L}\p{N}_]"
+
+    def went_on(done: Column, line: Column) -> Column:
+        cut = done.rlike(f"{letter}-$") & line.rlike(f"^{letter}")
+        return F.when(done.isNull(), line).when(cut, F.concat(F.left(done, F.length(done) - 1), line)).otherwise(F.concat(done, F.lit("\n"), line))
+
+    return F.aggregate(lines, F.lit(None).cast("string"), went_on)

@@ -18,16 +18,25 @@ def flagged(t: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
     return t.join(hit, key, "left").withColumn("_hit", F.coalesce("_hit", F.lit(False)))
 
 
+def soft_deleted(t: DataFrame, ids: DataFrame, ts: Column, key: str = "id") -> DataFrame:
+    """t with a deletion time on the rows whose key is listed; rows deleted before keep theirs."""
+    stamp = F.when(F.col("_hit"), F.coalesce("deleted_at", ts)).otherwise(F.col("deleted_at"))
+    return flagged(t, ids, key).withColumn("deleted_at", stamp).drop("_hit").select(t.columns)
+
+
+def restored(t: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
+    """t with the rows whose key is listed visible again."""
+    return flagged(t, ids, key).withColumn("deleted_at", F.when(~F.col("_hit"), F.col("deleted_at"))).drop("_hit").select(t.columns)
+
+
 def soft_delete_cascade(issue: DataFrame, article: DataFrame, ids: DataFrame, ts: Column) -> tuple[DataFrame, DataFrame]:
     """Issues and all their visible articles get one deletion time; rows deleted before keep theirs."""
-    stamp = F.when(F.col("_hit"), F.coalesce("deleted_at", ts)).otherwise(F.col("deleted_at"))
-    return tuple(flagged(t, ids, k).withColumn("deleted_at", stamp).drop("_hit").select(t.columns) for t, k in ((issue, "id"), (article, "issue_id")))
+    return soft_deleted(issue, ids, ts), soft_deleted(article, ids, ts, "issue_id")
 
 
 def restore_cascade(issue: DataFrame, article: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Issues and all their articles come back, those deleted earlier on their own too."""
-    clear = F.when(~F.col("_hit"), F.col("deleted_at"))
-    return tuple(flagged(t, ids, k).withColumn("deleted_at", clear).drop("_hit").select(t.columns) for t, k in ((issue, "id"), (article, "issue_id")))
+    return restored(issue, ids), restored(article, ids, "issue_id")
 
 
 def bulk_delete(article: DataFrame, ids: str, ts: Column) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from galley.functions.scalars import issue_segment, two_digits
+
 from .joins import first_page
 
 
@@ -56,13 +58,13 @@ def reorder_plan(article: DataFrame) -> DataFrame:
 def assign_doi(article: DataFrame, issue: DataFrame, prefix: str = "10.18127") -> DataFrame:
     """(id, doi) of articles without a DOI: they count on from the issue's DOIs, in page order.
 
-    issue: issue_id, issn, year, number.
+    issue: issue_id, issn, year, number ('1', '1(1)' or a number). No number is cut: the 100th article ends in -100.
     """
     have = article.groupBy("issue_id").agg(F.count("doi").alias("have"))
     new = article.filter(F.col("doi").isNull()).withColumn("k", F.row_number().over(Window.partitionBy("issue_id").orderBy(*page_key())))
     out = new.join(have, "issue_id").join(issue, "issue_id")
-    seq = F.lpad((F.col("have") + F.col("k")).cast("string"), 2, "0")
-    doi = F.concat(F.lit(f"{prefix}/j"), F.replace("issn", F.lit("-"), F.lit("")), F.lit("-"), F.col("year").cast("string"), F.lpad(F.col("number").cast("string"), 2, "0"), F.lit("-"), seq)
+    seq = two_digits((F.col("have") + F.col("k")).cast("string"))
+    doi = F.concat(F.lit(f"{prefix}/j"), F.replace("issn", F.lit("-"), F.lit("")), F.lit("-"), F.col("year").cast("string"), issue_segment(F.col("number")), F.lit("-"), seq)
     return out.select("id", doi.alias("doi"))
 
 
@@ -142,10 +144,11 @@ def recent_activity(log: DataFrame, k: int = 15) -> DataFrame:
     return log.orderBy(F.desc("created_at"), F.desc("id")).limit(k)
 
 
-def natural_key(c: Column, width: int = 12) -> Column:
-    """Lower case with every number padded by zeros: 'Rt_9' sorts before 'Rt_10'."""
+def natural_key(c: Column) -> Column:
+    """Lower case with the number of digits before every number, leading zeros dropped: 'Rt_9' sorts before 'Rt_10', however long numbers are."""
     parts = F.regexp_extract_all(F.lower(c), F.lit("[0-9]+|[^0-9]+"), F.lit(0))
-    return F.array_join(F.transform(parts, lambda x: F.when(x.rlike("^[0-9]"), F.lpad(x, width, "0")).otherwise(x)), "")
+    number = lambda x: F.regexp_replace(x, "^0+", "")
+    return F.array_join(F.transform(parts, lambda x: F.when(x.rlike("^[0-9]"), F.concat(F.lpad(F.length(number(x)).cast("string"), 10, "0"), number(x))).otherwise(x)), "")
 
 
 def natural_sort(df: DataFrame, name: str) -> DataFrame:

@@ -27,8 +27,7 @@ bind("distinct_authors", lambda v: aggs.distinct_authors(v.article_author), "SEL
 bind("distinct_authors_approximate", lambda v: aggs.distinct_authors(v.article_author, approximate=True))
 DIRECTORY = "SELECT min(full_name) AS name, min(email) AS email, min(organization) AS organization, count(DISTINCT article_id) AS articles FROM v_article_author GROUP BY lower(full_name)"
 bind("author_directory", lambda v: aggs.author_directory(v.article_author), DIRECTORY)
-bind("sorted_directory", lambda v: aggs.author_directory(v.article_author, "authora", "-articles").limit(20), f"SELECT * FROM ({DIRECTORY}) WHERE contains(lower(name), 'authora') ORDER BY articles DESC, name LIMIT 20")
-bind("sorted_directory_whole", lambda v: aggs.author_directory(v.article_author, sort="-articles"), f"SELECT * FROM ({DIRECTORY}) ORDER BY articles DESC, name")
+bind("sorted_directory", lambda v: aggs.author_directory(v.article_author, sort="-articles"), f"SELECT * FROM ({DIRECTORY}) ORDER BY articles DESC, name")
 bind(
     "author_entities",
     lambda v: aggs.author_entities(v.article_author, author_key(F.col("full_name"))).select("entity", "name", F.size("variants").cast("long").alias("variants"), F.array_join("organizations", "|").alias("organizations"), F.array_join(F.slice(F.col("articles"), 1, 3).cast("array<string>"), ",").alias("newest")),

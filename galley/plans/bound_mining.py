@@ -70,11 +70,6 @@ bind(
 )
 bind(
     "surname_by_translit",
-    lambda v: m.surname_by_translit(v.author.filter("ord = 1").select("article_id", F.col("ord").alias("pos"), F.col("surname_ru").alias("surname")), v.author.filter("ord = 1").select("article_id", F.explode(F.array("surname_en", "ini", F.lit("Institute"))).alias("word"))),
-    "SELECT article_id, ord AS pos, surname_en AS word FROM v_author WHERE ord = 1",
-)
-bind(
-    "surname_by_translit_whole",
     lambda v: m.surname_by_translit(v.author.select("article_id", F.col("ord").alias("pos"), F.col("surname_ru").alias("surname")), v.author.select("article_id", F.explode(F.array("surname_en", "ini", F.lit("Institute"))).alias("word"))),
     "SELECT article_id, ord AS pos, surname_en AS word FROM v_author",
 )

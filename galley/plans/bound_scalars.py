@@ -42,13 +42,6 @@ bind("translit_ru", lambda v: v.ref.select("article_id", "pos", s.translit_ru(F.
 bind("translit_skeleton", lambda v: v.ref.select("article_id", "pos", s.translit_skeleton(F.col("ru")).alias("skeleton")), f"SELECT article_id, pos, {_sql_skeleton('ru')} AS skeleton FROM v_ref")
 bind(
     "bigram_dice",
-    lambda v: v.ref.select("article_id", "pos", F.round(s.bigram_dice(F.substring(s.translit_skeleton(F.col("ru")), 1, 20), F.substring(s.translit_skeleton(F.coalesce("en", F.lit(""))), 1, 20)), 6).alias("dice")),
-    f"""WITH k AS (SELECT article_id, pos, left({_sql_skeleton('ru')}, 20) AS a, left({_sql_skeleton("coalesce(en, '')")}, 20) AS b FROM v_ref),
-    g AS (SELECT article_id, pos, list_distinct([a[i:i+1] FOR i IN range(1, length(a))]) AS x, list_distinct([b[i:i+1] FOR i IN range(1, length(b))]) AS y FROM k)
-    SELECT article_id, pos, round(CASE WHEN len(x) + len(y) > 0 THEN 2.0 * len(list_intersect(x, y)) / (len(x) + len(y)) ELSE 0 END, 6) AS dice FROM g""",
-)
-bind(
-    "bigram_dice_whole",
     lambda v: v.ref.select("article_id", "pos", F.round(s.bigram_dice(s.translit_skeleton(F.col("ru")), s.translit_skeleton(F.coalesce("en", F.lit("")))), 6).alias("dice")),
     f"""WITH k AS (SELECT article_id, pos, {_sql_skeleton('ru')} AS a, {_sql_skeleton("coalesce(en, '')")} AS b FROM v_ref),
     g AS (SELECT article_id, pos, list_distinct([a[i:i+1] FOR i IN range(1, length(a))]) AS x, list_distinct([b[i:i+1] FOR i IN range(1, length(b))]) AS y FROM k)

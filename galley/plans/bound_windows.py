@@ -21,7 +21,17 @@ plan AS (SELECT a.id, a.site_art_id AS old, b.site_art_id AS new FROM a JOIN a b
 bind("reorder_plan", lambda v: windows.reorder_plan(v.pub_article), f"WITH {PLAN} SELECT * FROM plan")
 ISSUES = "SELECT i.id AS issue_id, j.issn, i.year, i.number FROM v_issue i JOIN v_journal j ON i.journal_id = j.id"
 DOIS = f"""n AS (SELECT id, issue_id, row_number() OVER (PARTITION BY issue_id ORDER BY {PAGE}, id) AS k FROM v_pub_article WHERE doi IS NULL), h AS (SELECT issue_id, count(doi) AS have FROM v_pub_article GROUP BY issue_id),
-dois AS (SELECT n.id, '10.18127/j' || replace(x.issn, '-', '') || '-' || CAST(x.year AS varchar) || lpad(CAST(x.number AS varchar), 2, '0') || '-' || CASE WHEN have + k < 10 THEN '0' ELSE '' END || CAST(have + k AS varchar) AS doi FROM n JOIN h ON n.issue_id = h.issue_id JOIN ({ISSUES}) x ON x.issue_id = n.issue_id)"""
+dois AS (SELECT n.id, '10.18127/j' || replace(x.issn, '-', '') || '-' || CAST(x.year AS varchar) || CASE WHEN x.number BETWEEN 0 AND 9 THEN '0' ELSE '' END || CAST(x.number AS varchar) || '-' || CASE WHEN have + k < 10 THEN '0' ELSE '' END || CAST(have + k AS varchar) AS doi FROM n JOIN h ON n.issue_id = h.issue_id JOIN ({ISSUES}) x ON x.issue_id = n.issue_id)"""
+#: All articles of a journal in one issue: far more than 99 of them.
+BIG = "SELECT p.id, cast(floor(p.issue_id / 1000000) AS bigint) AS issue_id, p.pages, CASE WHEN p.id % 2 = 0 THEN p.doi END AS doi FROM v_pub_article p"
+BIG_ISSUES = "SELECT id AS issue_id, issn, 1999 AS year, CASE WHEN id % 3 = 0 THEN concat(cast(id AS string), '(1)') WHEN id % 3 = 1 THEN concat(cast(100 + id AS string), '(12)') ELSE ' 7' END AS number FROM v_journal"
+bind(
+    "assign_doi_large",
+    lambda v: windows.assign_doi(v.sql(BIG), v.sql(BIG_ISSUES)),
+    f"""WITH b AS ({BIG}), n AS (SELECT id, issue_id, row_number() OVER (PARTITION BY issue_id ORDER BY {PAGE}, id) AS k FROM b WHERE doi IS NULL), h AS (SELECT issue_id, count(doi) AS have FROM b GROUP BY issue_id)
+    SELECT n.id, '10.18127/j' || replace(j.issn, '-', '') || '-1999' || CASE j.id % 3 WHEN 0 THEN CASE WHEN j.id < 10 THEN '0' ELSE '' END || CAST(j.id AS varchar) || '(01)' WHEN 1 THEN CAST(100 + j.id AS varchar) || '(12)' ELSE '07' END
+      || '-' || CASE WHEN have + k < 10 THEN '0' ELSE '' END || CAST(have + k AS varchar) AS doi FROM n JOIN h ON n.issue_id = h.issue_id JOIN v_journal j ON j.id = n.issue_id""",
+)
 bind("assign_doi", lambda v: windows.assign_doi(v.pub_article, v.sql(ISSUES)), f"WITH {DOIS} SELECT * FROM dois")
 bind(
     "next_sort",
@@ -86,29 +96,16 @@ bind(
 bind("recent_activity", lambda v: windows.recent_activity(v.history).select("id", "article_id", "action"), "SELECT id, article_id, action FROM v_history ORDER BY created_at DESC, id DESC LIMIT 15")
 bind(
     "natural_sort",
-    lambda v: windows.natural_sort(v.snap_new.select("path"), "path").limit(500),
-    "SELECT path FROM v_snap_new ORDER BY lower(split_part(split_part(path, '/', 1), '_', 1)), CAST(split_part(split_part(path, '/', 1), '_', 2) AS int), path LIKE '%', CAST(split_part(path, '/', 2) AS int), CAST(substr(split_part(path, '/', 3), 5, 2) AS int), CAST(split_part(split_part(path, '/', 5), '.', 1) AS int), path LIMIT 500",
-)
-bind(
-    "folder_order",
-    lambda v: windows.folder_order(v.sql("SELECT CASE WHEN id % 2 = 0 THEN concat('Rt_', CAST(id AS string)) ELSE concat('rt_', CAST(id AS string)) END AS name, id % 3 = 0 AS is_dir FROM v_article")).limit(200),
-    "SELECT CASE WHEN id % 2 = 0 THEN 'Rt_' ELSE 'rt_' END || CAST(id AS varchar) AS name, id % 3 = 0 AS is_dir FROM v_article ORDER BY is_dir DESC, id LIMIT 200",
-)
-bind("issues_order", lambda v: windows.issues_order(v.issue.filter("journal_id = 4")).select("id", "year", "number").limit(20), "SELECT id, year, number FROM v_issue WHERE journal_id = 4 ORDER BY year DESC, greatest(number, 0) DESC, id DESC LIMIT 20")
-bind("issues_order_public", lambda v: windows.issues_order(v.issue.filter("journal_id = 4"), True).select("id", "year", "number").limit(20), "SELECT id, year, number FROM v_issue WHERE journal_id = 4 ORDER BY position, id DESC LIMIT 20")
-#: The whole sorts; those above are their first pages.
-bind(
-    "natural_sort_whole",
     lambda v: windows.natural_sort(v.snap_new.select("path"), "path"),
     "SELECT path FROM v_snap_new ORDER BY lower(split_part(split_part(path, '/', 1), '_', 1)), CAST(split_part(split_part(path, '/', 1), '_', 2) AS int), path LIKE '%', CAST(split_part(path, '/', 2) AS int), CAST(substr(split_part(path, '/', 3), 5, 2) AS int), CAST(split_part(split_part(path, '/', 5), '.', 1) AS int), path",
 )
 bind(
-    "folder_order_whole",
+    "folder_order",
     lambda v: windows.folder_order(v.sql("SELECT CASE WHEN id % 2 = 0 THEN concat('Rt_', CAST(id AS string)) ELSE concat('rt_', CAST(id AS string)) END AS name, id % 3 = 0 AS is_dir FROM v_article")),
     "SELECT CASE WHEN id % 2 = 0 THEN 'Rt_' ELSE 'rt_' END || CAST(id AS varchar) AS name, id % 3 = 0 AS is_dir FROM v_article ORDER BY is_dir DESC, id",
 )
-bind("issues_order_whole", lambda v: windows.issues_order(v.issue).select("id", "year", "number"), "SELECT id, year, number FROM v_issue ORDER BY year DESC, greatest(number, 0) DESC, id DESC")
-bind("issues_order_public_whole", lambda v: windows.issues_order(v.issue, True).select("id", "year", "number"), "SELECT id, year, number FROM v_issue ORDER BY position, id DESC")
+bind("issues_order", lambda v: windows.issues_order(v.issue).select("id", "year", "number"), "SELECT id, year, number FROM v_issue ORDER BY year DESC, greatest(number, 0) DESC, id DESC")
+bind("issues_order_public", lambda v: windows.issues_order(v.issue, True).select("id", "year", "number"), "SELECT id, year, number FROM v_issue ORDER BY position, id DESC")
 bind("years_of_journal", lambda v: windows.years_of_journal(v.issue, 9), "SELECT DISTINCT year FROM v_issue WHERE journal_id = 9 AND year > 0 AND deleted_at IS NULL ORDER BY year DESC")
 RECORDED = "SELECT article_id, concat('c', CAST(person AS string)) AS code FROM v_author WHERE ord % 3 <> 0"
 PRINTED = "SELECT article_id, concat('c', CAST(person AS string)) AS code FROM v_author WHERE ord % 2 = 1"

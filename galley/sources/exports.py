@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from galley.operators.filters import STATUSES
 from galley.operators.windows import numbered_rows, page_key
 
+from .versions import Change, Tables
+
 dash = lambda c: F.coalesce(F.nullif(F.trim(F.col(c).cast("string")), F.lit("")), F.lit("-"))
 
 
@@ -107,14 +109,15 @@ def table_dump_frame(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def snapshot_commit(snapshot: DataFrame, path: str, version: int) -> None:
-    """A snapshot as a new version; readers take the largest version whose write ended (Spark's _SUCCESS)."""
-    snapshot.write.mode("overwrite").parquet(f"{path}/version={version}")
+def snapshot_commit(snapshot: DataFrame, path: str, version: int, writer: str = "snapshots") -> None:
+    """A snapshot as version `version` of a folder: its files first, then the pointer; Conflict where another writer has made that version."""
+    Tables(snapshot.sparkSession, path).commit({"snapshot": Change(snapshot)}, version - 1, writer)
 
 
-def latest_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    df = spark.read.parquet(path)
-    return df.filter(F.col("version") == df.agg(F.max("version")).first()[0]).drop("version")
+def latest_snapshot(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The newest committed snapshot, or that of one version; only its own files are opened."""
+    tables = Tables(spark, path)
+    return tables.read("snapshot", None if version is None else tables.version(version))
 
 
 def snapshot_retention(versions: DataFrame, now: Column, days: int = 7) -> DataFrame:

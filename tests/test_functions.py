@@ -150,3 +150,42 @@ def test_numbers_over_all_rows(spark):
     assert sorted(r["n"] for r in got) == list(range(1, 3001))
     assert [key(r) for r in sorted(got, key=lambda r: r["n"])] == sorted(map(key, rows))
     assert numbered_by(spark.createDataFrame([], "a int, b string"), ["a", "b"]).count() == 0
+
+
+def test_numbers_of_dois_are_never_cut(spark):
+    from galley.operators import windows
+
+    article = spark.range(1, 106).selectExpr("id", "1L AS issue_id", "concat(id, '-', id) AS pages", "CASE WHEN id = 105 THEN 'x' END AS doi")
+    issue = spark.createDataFrame([(1, "0033-8486", 2020, "1(1)")], "issue_id long, issn string, year int, number string")
+    found = sorted(r["doi"] for r in windows.assign_doi(article, issue).collect())
+    assert len(set(found)) == 104
+    assert "10.18127/j00338486-202001(01)-02" in found and "10.18127/j00338486-202001(01)-105" in found
+
+
+def test_issue_segments(spark):
+    from galley.functions.scalars import issue_segment
+
+    rows = spark.createDataFrame([("1",), ("1(1)",), (" 10 ",), ("100(12)",), ("1-2",), ("-1",)], "n string")
+    assert [r[0] for r in rows.select(issue_segment(F.col("n"))).collect()] == ["01", "01(01)", "10", "100(12)", "1-2", "-1"]
+
+
+def test_natural_order_of_long_numbers(spark):
+    from galley.operators import windows
+
+    names = ["a1234567890129", "a123456789013", "a0007", "a7b", "a12345678901234567890123456789", "b"]
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    assert [r["name"] for r in windows.natural_sort(df, "name").collect()] == ["a0007", "a7b", "a123456789013", "a1234567890129", "a12345678901234567890123456789", "b"]
+
+
+def test_names_of_a_citation(spark):
+    from galley.functions.scalars import unbroken
+    from galley.operators.checks import name_count
+
+    cases = {
+        "Иванов И.И., Петров П.П.": 2, "Маслов. И.В., Кариа C.Н.": 2, "Кузнецова-Белых А.": 1, "Иванов Иван, Петров П. ": 2, "Иванов Иван": 0,
+        "Нгуен Ван, Ли С.": 2, "просто слова, и ещё": 0, "": 0,
+    }
+    df = spark.createDataFrame([(k, v) for k, v in cases.items()], "listed string, n int")
+    assert [(r[0], r[1]) for r in df.select("listed", name_count(F.col("listed"))).collect()] == list(cases.items())
+    broken = spark.createDataFrame([("Кари- \n  бов А.\nда -\nнет",)], "t string")
+    assert broken.select(unbroken(F.col("t"))).first()[0] == "Карибов А.\nда -\nнет"

@@ -11,10 +11,10 @@ SORTS = ("natural_sort", "folder_order", "issues_order", "issues_order_public",
 
 @pytest.mark.parametrize("name", SORTS)
 def test_whole_sort(spark, duck, name):
-    found = catalog.queries()[f"{name}_whole"](spark, DATA)
-    theirs = duck.cursor().execute(catalog.oracle_sql()[f"{name}_whole"])
+    found = catalog.queries()[name](spark, DATA)
+    theirs = duck.cursor().execute(catalog.oracle_sql()[name])
     names = [d[0] for d in theirs.description]
     rows = [tuple(map(normal, r)) for r in theirs.fetchall()]
     assert [tuple(normal(r[c]) for c in names) for r in found.collect()] == rows
-    assert len(rows) > catalog.queries()[name](spark, DATA).count()
+    assert len(rows) > 20
     assert "GlobalLimit" not in found._jdf.queryExecution().optimizedPlan().toString()
