@@ -3,7 +3,9 @@
 A page is cut into blocks, each with its path of block-level tags from the root. Per path the text length and the punctuation of
 all its blocks are added up and set against the number of blocks; the sequence of ratios is smoothed along the page, both ratios are
 fused to one score, to which a path's container adds half of its own, and what tags and names say (article, nav, comment ...) is one
-weight of it. The paths over the threshold are content: all their blocks are kept, however short, and no block of another path.
+weight of it. The paths over the threshold are content: all their blocks are kept, however short. The element that holds most of what they
+hold (an article or main, one named so, or one of a kind on the page) is then kept whole: its lists, tables, captions and code too,
+but nothing that tags or names tell to be away, and lists of links only where the element is an article or main. A heading in the header of an article is the article's.
 
 Fixed values: the tag and name lists below.
 
@@ -47,6 +49,7 @@ SMOOTH = (0.06, 0.24, 0.4, 0.24, 0.06)
 #: A class like has-sidebar tells of a layout, not of the element.
 LAYOUT = {"has", "with", "no", "without", "layout"}
 HIDDEN = -3
+TITLES = {"h1", "h2"}
 #: What a path's score is multiplied by: away by tag or role, away by name, nothing said, main.
 WEIGHT = {-2: 0.1, -1: 0.15, 0: 1.0, 1: 3.0}
 
@@ -87,6 +90,8 @@ class Paths:
 
     def __init__(self):
         self.parent, self.depth, self.nodes = [0], [0], {}
+        self.elements = Counter()  # how many elements have the path
+        self.strong: set[int] = set()  # paths of article and main elements
 
     def below(self, node: int, step: str) -> int:
         if (node, step) not in self.nodes:
@@ -103,11 +108,11 @@ class Paths:
         return max(d for d, h in zip(self.depth, held) if h == held[0])
 
 
-def blocks(page: str) -> tuple[list[tuple[int, str, int, int]], Paths]:
-    """(path, text, characters in links, what the path says) of each block with text, in page order; and the paths."""
-    out: list[tuple[int, str, int, int]] = []
+def blocks(page: str) -> tuple[list[tuple[int, str, int, int, int]], Paths]:
+    """(path, text, characters in links, what the path says, path of the main element around it or -1) of each block with text, in page order; and the paths."""
+    out: list[tuple[int, str, int, int, int]] = []
     paths = Paths()
-    stack: list[tuple[str, int, int, bool]] = []  # (tag, path, says so far, skipped)
+    stack: list[tuple[str, int, int, bool, int, bool]] = []  # (tag, path, says so far, skipped, main element, in its header)
     opened: Counter = Counter()
     parts: list[str] = []
     linked = links = 0
@@ -117,7 +122,7 @@ def blocks(page: str) -> tuple[list[tuple[int, str, int, int]], Paths]:
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text and not (stack and stack[-1][3]):
-                out.append((stack[-1][1] if stack else 0, text, linked, stack[-1][2] if stack else 0))
+                out.append((stack[-1][1], text, linked, stack[-1][2], stack[-1][4]) if stack else (0, text, linked, 0, -1))
             parts.clear()
         linked = 0
 
@@ -168,15 +173,26 @@ def blocks(page: str) -> tuple[list[tuple[int, str, int, int]], Paths]:
                     break
         if tag not in INLINE:
             flush()
-        above = stack[-1] if stack else ("", 0, 0, False)
+        above = stack[-1] if stack else ("", 0, 0, False, -1, False)
         says = _says(tag, m[3], above[2])
+        headed = above[5]
+        if headed and tag in TITLES and says != HIDDEN:
+            says, headed = 1, False
+        elif says in (-1, -2) and above[2] == 1 and above[4] in paths.strong:
+            headed = tag == "header" or "header" in m[3].lower()
         if m[3].endswith("/"):
             continue
         node = above[1]
         if tag not in INLINE:
             named = re.search(r"\bclass\s*=\s*[\"']?([^\"'>]*)", m[3]) if m[3] else None
             node = paths.below(node, f"{tag}.{named[1].strip()}" if named else tag)
-        stack.append((tag, node, says, above[3] or tag in SKIPPED))
+            paths.elements[node] += 1
+        around = above[4]
+        if says == 1 and tag not in INLINE and (tag in MAIN or around < 0):
+            around = node
+            if tag in MAIN:
+                paths.strong.add(node)
+        stack.append((tag, node, says, above[3] or tag in SKIPPED, around, headed))
         opened[tag] += 1
         links += tag == "a"
         if tag in RAW:
@@ -195,18 +211,18 @@ def _fused(blocks: int, size: int, marks: int, linked: int, smooth: float) -> fl
     return math.log1p(0.5 * ratio + 0.5 * smooth) * (1 + math.log1p(marks / blocks)) * math.log1p(size)
 
 
-def content_paths(found: list[tuple[int, str, int, int]], tree: Paths) -> set[tuple[int, int]]:
+def content_paths(found: list[tuple[int, str, int, int, int]], tree: Paths) -> set[tuple[int, int]]:
     """The paths, each with what it says, whose fused and smoothed ratio is over the threshold."""
     paths: dict[tuple[int, int], list[float]] = {}
-    for path, text, linked, says in found:
+    for path, text, linked, says, _ in found:
         row = paths.setdefault((path, says), [0, 0, 0, 0, 0.0])
         row[0] += 1
         row[1] += len(text)
         row[2] += len(_PUNCTUATION.findall(text))
         row[3] += min(linked, len(text))
     # Smoothing: a block's ratio takes in its neighbours' along the page; a path has the mean of its blocks.
-    raw = [(paths[p, says][1] - paths[p, says][3]) / paths[p, says][0] for p, _, _, says in found]
-    for i, (p, _, _, says) in enumerate(found):
+    raw = [(paths[p, says][1] - paths[p, says][3]) / paths[p, says][0] for p, _, _, says, _ in found]
+    for i, (p, _, _, says, _) in enumerate(found):
         paths[p, says][4] += sum(w * raw[min(max(i + k - 2, 0), len(raw) - 1)] for k, w in enumerate(SMOOTH))
     # A container is what stands above a path and not above the whole page; a main one counts anyway. It holds all paths below it that say the same.
     shared = tree.shared_depth({p for p, _ in paths}) if paths else 0
@@ -231,11 +247,42 @@ def content_paths(found: list[tuple[int, str, int, int]], tree: Paths) -> set[tu
     return {key for key, x in fused.items() if x >= limit}
 
 
+def completed(found: list[tuple[int, str, int, int, int]], tree: Paths, content: set[tuple[int, int]]) -> list[bool]:
+    """Which blocks stay: those of content paths, and the rest of the element that holds most of them."""
+    kept = [(path, says) in content for path, _, _, says, _ in found]
+    most = sum(len(text) for (_, text, *_), k in zip(found, kept, strict=True) if k) / 2
+    marked, below = [0] * len(tree.parent), [0] * len(tree.parent)  # kept text of main elements, and of elements that nothing is told of
+    for (path, text, _, says, around), k in zip(found, kept, strict=True):
+        if k and says == 1:
+            marked[around] += len(text)
+        elif k and says == 0:
+            below[path] += len(text)
+    for n in range(len(below) - 1, 0, -1):  # a path comes after its parent
+        below[tree.parent[n]] += below[n]
+    main = max((n for n in tree.strong if marked[n] >= most), default=-1)
+    if main < 0 and found:
+        # No article: the innermost element of a kind, below what all blocks share, that holds most of the content.
+        shared = tree.shared_depth({b[0] for b in found})
+        alone = [n for n in range(1, len(below)) if tree.elements[n] == 1 and max(marked[n], below[n]) >= most and tree.depth[n] > max(1, shared)]
+        main = max(alone, key=lambda n: tree.depth[n], default=-1)
+    if main < 0:
+        return kept
+    strong, inside = main in tree.strong, {main}
+    for n in range(main + 1, len(tree.parent)):
+        if tree.parent[n] in inside:
+            inside.add(n)
+    says_here = {1} if strong else {0, 1}
+    for i, (path, text, linked, says, around) in enumerate(found):
+        own = around == main if strong else path in inside
+        kept[i] = kept[i] or own and says in says_here and (strong or 2 * linked < len(text))
+    return kept
+
+
 def main_text(page: str | None) -> str:
     found, tree = blocks(page or "")
     found = [b for b in found if b[3] != HIDDEN]
-    kept = content_paths(found, tree)
-    return "\n".join(text for path, text, _, says in found if (path, says) in kept)
+    kept = completed(found, tree, content_paths(found, tree))
+    return "\n".join(text for (_, text, *_), k in zip(found, kept, strict=True) if k)
 
 
 def extract_text(df: DataFrame, keep: list[str], html_col: str = "html") -> DataFrame:
