@@ -1,10 +1,10 @@
-"""Secret scans with a recursive decoding worklist.
+r"""Secret scans with a recursive decoding worklist.
 
 A text is scanned for three kinds of secrets; then its encoded parts are unwrapped (URL escapes, Unicode escapes, base64, and
 gzip or zlib inside base64, URL or hex escapes, as deep as they are nested and through all their members), each new layer is scanned and
 unwrapped again until nothing new turns up. Base64 is read at all four alignments of a run, as it may be glued to a path or a name; of
 decoded bytes, every printable stretch is a layer, of UTF-8 as of UTF-16. A layer that was seen before, by its content and place, is not
-entered again, which ends cycles. Every layer knows for each character where in the original text it came from (one place for all that
+entered again, which ends cycles. Base64 that is folded into lines of one width (as in mail, keys, or with \n escapes) is read as one run. Every layer knows for each character where in the original text it came from (one place for all that
 was unzipped), so a find in a deep layer is reported where its source stands.
 
 Fixed values: the patterns and least lengths below, and the bytes unzipped of one text, which nested zip bombs would have no end of.
@@ -20,6 +20,7 @@ import hashlib
 import re
 import urllib.parse
 import zlib
+from collections import Counter
 from typing import NamedTuple
 
 import numpy as np
@@ -41,6 +42,9 @@ _LINE = re.compile(r"[^\n]+")
 _ESCAPE = re.compile(r"\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\U[0-9A-Fa-f]{8}|&#x[0-9A-Fa-f]{1,6};|&#[0-9]{1,7};")
 _ZIPPED = re.compile(r"H4sI|eJ|eN|eA|eF")  # the first bytes of gzip and zlib in base64
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+# Lines of base64 with nothing but a line end, as such or escaped, and blanks between them; it starts where a run starts.
+_FOLD = re.compile(r"(?:\r?\n|(?:\\r)?\\n)[ \t]*")
+_FOLDED = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{16,}}+(?:{_FOLD.pattern}[A-Za-z0-9+/_-]++)++={{0,2}}")
 _PRINTABLE = re.compile(r"[^\x00-\x08\x0b\x0c\x0e-\x1f\x7f\udc80-\udcff]{12,}")
 _BYTES = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 # Of UTF-16, little and big end first: stretches of ASCII.
@@ -217,31 +221,78 @@ def _decoded(data: bytes, budget: _Budget):
         whole = False
 
 
+#: Characters of base64 that are tried before all of what seems to be zipped data inside a run is decoded: such data give something by then.
+_TRIED = 4096
+
+
+def _bytes_of(run: str) -> bytes:
+    run = run[: len(run) - (len(run) % 4 == 1)]
+    return base64.b64decode(run + "=" * (-len(run) % 4))
+
+
+def _zipped_from(run: str, at: int) -> bytes | None:
+    """The bytes from a place of a run on if they begin as zipped data: no more of them than it takes to see that they are damaged."""
+    head = _bytes_of(run[at : at + 4])
+    if not (head[:2] == b"\x1f\x8b" or head[:1] == b"\x78" and (head[0] * 256 + head[1]) % 31 == 0):
+        return None
+    tried = _bytes_of(run[at : at + _TRIED])
+    try:
+        made = zlib.decompressobj(47).decompress(tried, 1 << 16)
+    except zlib.error:
+        return tried
+    return _bytes_of(run[at:]) if made or len(run) - at <= _TRIED else None
+
+
+def _unfolded(text: str, start: int, end: int) -> tuple[str, np.ndarray] | None:
+    """(run, places of its characters) of the lines between start and end that have one width, with a shorter one at their end."""
+    lines, at = [], start
+    for m in _FOLD.finditer(text, start, end):
+        lines.append((at, m.start()))
+        at = m.end()
+    lines.append((at, end - (len(text[at:end]) - len(text[at:end].rstrip("=")))))
+    widths = Counter(b - a for a, b in lines)
+    width = max(widths, key=lambda w: (widths[w], w))
+    first = next(i for i, (a, b) in enumerate(lines) if b - a >= width)
+    kept = []
+    for a, b in lines[first:]:
+        kept.append((max(a, b - width), b) if not kept else (a, min(b, a + width)))
+        if b - a != width and len(kept) > 1:
+            break
+    if len(kept) < 2:
+        return None
+    return "".join(text[a:b] for a, b in kept), np.concatenate([np.arange(a, b) for a, b in kept])
+
+
 def _base64_layers(text: str, spans, budget: _Budget):
     for m in _BASE64.finditer(text):
-        run = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-        # What is glued to the front shifts the blob by any number of characters: all alignments, and zipped data from where they start.
-        starts = {0, 1, 2, 3, *(d.start() for d in _ZIPPED.finditer(run))}
-        for shift in sorted(starts):
-            body = run[shift:]
-            body = body[: len(body) - (len(body) % 4 == 1)]
-            if len(body) < 16 and shift:
+        run = m[0].rstrip("=")
+        yield from _run_layers(run, lambda k, m=m: m.start() + k, m.end(), spans, budget)
+    for m in _FOLDED.finditer(text) if "\n" in text or "\\n" in text else ():
+        found = _unfolded(text, m.start(), m.end())
+        if found:
+            run, places = found
+            yield from _run_layers(run, lambda k, p=places: p[np.minimum(k, len(p) - 1)], int(places[-1]) + 1, spans, budget)
+
+
+def _run_layers(run: str, place, end: int, spans, budget: _Budget):
+    """The layers below a run of base64; place gives where its characters stand, end is where it ends."""
+    run = run.replace("-", "+").replace("_", "/")
+    # What is glued to the front shifts the blob by any number of characters: all alignments, and zipped data from where they start.
+    for shift in range(min(4, max(1, len(run) - 15))):
+        for direct, at, width, found in _decoded(_bytes_of(run[shift:]), budget):
+            if not direct:
+                yield found, Spans(*_place(spans, int(place(shift)), end))
                 continue
-            data = base64.b64decode(body + "=" * (-len(body) % 4))
-            if shift > 3 and not (data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and (data[0] * 256 + data[1]) % 31 == 0):
-                continue  # a part of what its alignment gave
-            start = m.start() + shift
-            for direct, at, width, found in _decoded(data, budget):
-                if not direct:
-                    yield found, Spans(*_place(spans, start, m.end()))
-                    continue
-                if shift > 3:
-                    continue
-                point = np.frombuffer(found.encode("utf-32-le"), np.uint32).astype(np.int64)
-                wide = np.full(len(point), width) if width else 1 + (point > 0x7F) + (point > 0x7FF) + (point > 0xFFFF)
-                last = at + np.cumsum(wide) - 1
-                first = last - wide + 1
-                yield found, _through(spans, start + first // 3 * 4 + first % 3, np.minimum(start + last // 3 * 4 + last % 3 + 2, m.end()))
+            point = np.frombuffer(found.encode("utf-32-le"), np.uint32).astype(np.int64)
+            wide = np.full(len(point), width) if width else 1 + (point > 0x7F) + (point > 0x7FF) + (point > 0xFFFF)
+            last = at + np.cumsum(wide) - 1
+            first = last - wide + 1
+            yield found, _through(spans, place(shift + first // 3 * 4 + first % 3), np.minimum(place(shift + last // 3 * 4 + last % 3 + 1) + 1, end))
+    for shift in (d.start() for d in _ZIPPED.finditer(run) if d.start() > 3):
+        data = _zipped_from(run, shift) if len(run) - shift >= 16 else None
+        for direct, _, _, found in _decoded(data, budget) if data else ():
+            if not direct:  # the rest is a part of what its alignment gave
+                yield found, Spans(*_place(spans, int(place(shift)), end))
 
 
 def layers(text: str):

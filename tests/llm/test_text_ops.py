@@ -11,7 +11,7 @@ import zlib
 
 import pytest
 
-from galley.llm import bpe, html, secrets, warc
+from galley.llm import bpe, html, queries, secrets, warc
 from tests.conftest import DATA
 
 # ---- byte-level BPE
@@ -188,6 +188,55 @@ def test_header_values_hold_no_line_ends():
     assert p["record_type"] == "response" and p["error"] is None
 
 
+FOLDS = {"mail": "\r\n", "key": "\n    ", "escaped": "\\n", "escaped twice": "\\r\\n"}
+
+
+def folded(data, width, fold):
+    run = base64.b64encode(data).decode()
+    return fold.join(run[i : i + width] for i in range(0, len(run), width))
+
+
+@pytest.mark.parametrize("fold", FOLDS)
+@pytest.mark.parametrize("width", [64, 76, 61])
+def test_folded_base64_is_one_run(fold, width):
+    prose = "".join(f"some plain words {i}, " for i in range(9))
+    inner = f"{prose}password = {'q' * 40} {prose}"
+    at = inner.index("password")
+    text = f"Body: {folded(inner.encode(), width, FOLDS[fold])}\nBye"
+    run = base64.b64encode(inner.encode()).decode()
+    place = lambda k: 6 + k + k // width * len(FOLDS[fold])
+    start, end = place(at // 3 * 4 + at % 3), place((at + 50) // 3 * 4 + (at + 50) % 3 + 1) + 1
+    assert (start, end, "assign") in spans_of(text) and len(run) > 3 * width
+    zipped = gzip.compress(inner.encode() + bytes(range(256)) * 2)
+    text = f"Body:\n{folded(zipped, width, FOLDS[fold])}\nBye"
+    assert any(k == "assign" and s == 6 for s, _, k in spans_of(text))
+
+
+def test_long_runs_take_time_in_proportion():
+    rng = random.Random(5)
+    times = []
+    for size in (200_000, 800_000):
+        run = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=size))
+        began = time.perf_counter()
+        secrets.find_secrets(f"{run} {'eJ' * (size // 20)} {'H4sI' * (size // 40)}")
+        times.append(time.perf_counter() - began)
+    assert times[1] < 8 * times[0] + 2 and times[1] < 20
+
+
+def test_query_by_value(spark):
+    """What op6_secrets returns of a table, computed row by row."""
+    rows = {r["doc_id"]: r for r in queries.op6_secrets(spark, DATA).collect()}
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").collect()
+    assert len(rows) == len(docs)
+    for d in docs:
+        base = plain_base(d["text"] or "")
+        joined = ",".join(f"{k}:{s}:{e}" for s, e, k in base)
+        found, r = secrets.find_secrets(d["text"])[1], rows[d["doc_id"]]
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(b[2] == k for b in base) for k in ("assign", "access", "hex")]
+        assert r["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest()
+        assert r["spans"] == ",".join(f"{k}:{s}:{e}" for s, e, k in found) and set(base) <= set(found)
+
+
 # ---- HTML
 
 PAGE = """<!DOCTYPE html><html><head><title>Head</title><script>var x="</p>";</script></head><body>
@@ -204,6 +253,35 @@ def test_article_is_whole_and_alone():
     assert html.main_text(PAGE.format(body=body)) == f"Title & more\n{PROSE}\nShort.\nitem one\nitem two\nA bold word next é."
 
 
+LONG_PROSE = f"{PROSE} {PROSE} And a third one follows, as they do."
+PARTS = {
+    "<ul><li>Six words are in this one</li><li>And six are in that one</li></ul>": ["Six words are in this one", "And six are in that one"],
+    "<table><tr><th>Year<th>Sum<tr><td>1999<td>12</table>": ["Year", "Sum", "1999", "12"],
+    "<dl><dt>Term<dd>What it means.</dl>": ["Term", "What it means."],
+    "<figure><img src=x><figcaption>What the picture shows</figcaption></figure>": ["What the picture shows"],
+    "<ul><li><a href=/1>First link</a></li><li><a href=/2>Second link</a></li></ul>": ["First link", "Second link"],
+    "<h2>Part</h2><pre>x = 1</pre><blockquote>So it was said.</blockquote>": ["Part", "x = 1", "So it was said."],
+}
+
+
+@pytest.mark.parametrize("part", PARTS)
+@pytest.mark.parametrize("box", ["article", "main", "div class=x1"])
+def test_short_parts_of_long_articles_stay(part, box):
+    if "href" in part and box.startswith("div"):
+        return  # links in an element that nothing tells to be the article may be a menu
+    prose = "".join(f"<p>{LONG_PROSE} {i}.</p>" for i in range(4))
+    body = f"<{box}><h1>Title</h1>{prose}{part}{prose}</{box.split()[0]}>"
+    lines = [f"{LONG_PROSE} {i}." for i in range(4)]
+    assert html.main_text(PAGE.format(body=body)).split("\n") == ["Title", *lines, *PARTS[part], *lines]
+
+
+def test_headings_in_an_articles_header():
+    prose = "".join(f"<p>{LONG_PROSE} {i}.</p>" for i in range(4))
+    for head in ("<header><h1>Title</h1><p>By someone, today.</p></header>", "<div class='article-header'><h1>Title</h1><span>By someone</span></div>"):
+        text = html.main_text(PAGE.format(body=f"<article>{head}{prose}<div class='share'>Share this, do.</div></article>")).split("\n")
+        assert text == ["Title", *[f"{LONG_PROSE} {i}." for i in range(4)]]
+
+
 def test_article_by_ratios_only():
     body = f"<div class=x1><div class=x2><p>{PROSE}</p><p>{PROSE} Again.</p><p>Tiny.</p></div></div>"
     assert html.main_text(PAGE.format(body=body)) == f"{PROSE}\n{PROSE} Again.\nTiny."
