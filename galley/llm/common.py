@@ -61,6 +61,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Keys that hold this share of the rows are hot: there are 1,000 of them at most.
+HOT_SHARE = 1000
+
+
+def join_hot(rows: DataFrame, dim: DataFrame, key: str) -> DataFrame:
+    """rows (stored) joined with dim, which has one row a key: hot keys, HOT_SHARE at most, by a broadcast, the others by a shuffle. Null keys match each other."""
+    _key = fresh_name([*rows.columns, *dim.columns], "_key")
+    sizes = rows.groupBy(F.col(key).alias(_key)).agg(F.count("*").alias("_n"))
+    hot = sizes.filter(F.col("_n") * HOT_SHARE >= rows.count()).select(_key)
+    same, right = F.col(key).eqNullSafe(F.col(_key)), dim.withColumnRenamed(key, _key)
+    often = rows.join(F.broadcast(right.join(F.broadcast(hot.withColumnRenamed(_key, "_hot")), F.col(_key).eqNullSafe(F.col("_hot")), "left_semi")), same)
+    seldom = rows.join(F.broadcast(hot), same, "left_anti").join(right, same)
+    return often.drop(_key).unionByName(seldom.drop(_key))
+
+
 def fresh_name(taken: list[str], name: str) -> str:
     """A column name that clashes with none of those taken, whatever their case."""
     low = {x.lower() for x in taken}

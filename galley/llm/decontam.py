@@ -4,7 +4,8 @@ The index: one pass over the documents stores, per document, the positions of it
 vocabulary is given), and from these the postings (term, document, position). A search takes the rarest term of every window of a
 benchmark item as its anchor, shifts the anchor's postings by its offset in the item so that equal starts mean one candidate
 (document, item, start), and intersects these candidates with the positions of all other terms in the document: exact windows give
-phrase matches, positions within a slop give proximity matches.
+phrase matches, positions within a slop give proximity matches. All starts of a document are tested against one copy of its positions.
+The postings of a term are dealt out over SALTS tasks, and items that very many documents may hold are joined by a broadcast.
 
 A vocabulary is broadcast as a Bloom filter of fixed size, whatever its own size; a word that it wrongly lets through costs a position,
 no match. A word can be part of a match only inside a run of benchmark words as long as the shortest window, so other positions need
@@ -25,10 +26,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bloom_filter, bounded_batches, fresh_name, in_bloom, stored
+from .common import bloom_filter, bounded_batches, fresh_name, in_bloom, join_hot, stored
 
 WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")  # of lower-cased UTF-8: code points outside ASCII and its letters and digits
 WINDOW = 10
+#: Starts times words of an item that are tested at once.
+CELLS = 1 << 24
+#: Tasks over which the postings of one term are dealt.
+SALTS = 32
 #: Words of which a worker remembers whether the filter holds them.
 REMEMBERED = 500_000
 
@@ -123,26 +128,44 @@ def match_items(index: DataFrame, items: DataFrame, window: int = WINDOW, slop:
     vocabulary = items.select(F.explode("terms").alias("term")).distinct()
     frequency = stored(stored_postings.join(vocabulary, "term", "left_semi").groupBy("term").agg(F.count("*").alias("f")), "frequency")
     anchor = stored(anchors(items, frequency, window), "anchors")
-    found = stored_postings.join(anchor, "term").select("uid", "item", (F.col("position") - F.col("offset")).alias("start")).distinct()
-    both = found.join(items.select("item", F.col("terms").alias("wanted")), "item").join(index.select("uid", "positions", "terms"), "uid")
-    return both.mapInArrow(_intersect(window, slop), "uid long, item long, start int, from_offset int, to_offset int")
+    salted = anchor.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    found = stored_postings.withColumn("salt", F.pmod(F.xxhash64("uid"), F.lit(SALTS)).cast("int")).join(salted, ["term", "salt"])
+    starts = stored(found.groupBy("uid", "item").agg(F.array_sort(F.collect_set(F.col("position") - F.col("offset"))).alias("starts")), "starts")
+    wanted = join_hot(starts, items.select("item", F.col("terms").alias("wanted")), "item")
+    asked = wanted.groupBy("uid").agg(F.collect_list(F.struct("item", "wanted", "starts")).alias("asked"))
+    return asked.join(index.select("uid", "positions", "terms"), "uid").mapInArrow(_intersect(window, slop), "uid long, item long, start int, from_offset int, to_offset int")
 
 
 def _intersect(window: int, slop: int):
+    def stretches(where: dict[str, np.ndarray], wanted: list[str], starts: np.ndarray):
+        """(start, from_offset, to_offset) of an item's words in a document whose terms stand at `where`."""
+        hit = np.zeros((len(starts), len(wanted) + 2), np.int8)
+        for o, term in enumerate(wanted):
+            places = where.get(term)
+            if places is not None:
+                at = starts + o
+                near = np.searchsorted(places, at - slop)  # the first place that isn't too far left
+                hit[:, o + 1] = (near < len(places)) & (places[np.minimum(near, len(places) - 1)] <= at + slop)
+        edge = np.diff(hit, axis=1)
+        row, low = np.nonzero(edge == 1)
+        high = np.nonzero(edge == -1)[1]
+        long = high - low >= min(window, len(wanted))
+        return starts[row[long]], low[long], high[long]
+
     def run(batches):
         for batch in batches:
-            rows = []
-            last, where = None, {}
-            for uid, item, start, wanted, positions, terms in zip(*[batch.column(c).to_pylist() for c in ("uid", "item", "start", "wanted", "positions", "terms")]):
-                if last != uid:
-                    last, where = uid, dict(zip(positions, terms))
-                hit = np.array([any(where.get(start + o + s) == t for s in range(-slop, slop + 1)) for o, t in enumerate(wanted)])
-                width = min(window, len(wanted))
-                edge = np.flatnonzero(np.diff(hit.astype(np.int8), prepend=0, append=0)).reshape(-1, 2)
-                rows += [(uid, item, start, int(s), int(e)) for s, e in edge if e - s >= width]
-            columns = list(zip(*rows)) or [[]] * 5
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["uid", "item", "start", "from_offset", "to_offset"])
+            for uid, asked, positions, terms in zip(*[batch.column(c) for c in ("uid", "asked", "positions", "terms")], strict=True):
+                coded = terms.values.dictionary_encode()
+                code = coded.indices.to_numpy()
+                order = np.argsort(code, kind="stable")  # positions ascend
+                places = np.split(positions.values.to_numpy()[order], np.cumsum(np.bincount(code))[:-1])
+                where = dict(zip(coded.dictionary.to_pylist(), places, strict=True))
+                for one in asked.as_py():
+                    starts, step = np.array(one["starts"], np.int64), max(1, CELLS // len(one["wanted"]))
+                    for at in range(0, len(starts), step):
+                        start, low, high = stretches(where, one["wanted"], starts[at : at + step])
+                        columns = [pa.array([x] * len(start), pa.int64()) for x in (uid.as_py(), one["item"])] + [pa.array(c.astype(np.int32)) for c in (start, low, high)]
+                        yield pa.RecordBatch.from_arrays(columns, names=["uid", "item", "start", "from_offset", "to_offset"])
 
     return run
 

@@ -27,13 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from .common import bounded_batches, stored
+from .common import bounded_batches, join_hot, stored
 
 PARTS, ENTRIES, ROUNDS, SCALE = 4, 256, 4, 1024
 #: Split points of a tree node, and entries up to which a node isn't split.
 SPLITS, BUCKET = 8, 16
-#: Labels of this share of the rows are hot: there are 1,000 of them at most.
-HOT_SHARE = 1000
 
 
 @dataclass
@@ -242,11 +240,5 @@ def compress(df: DataFrame, entries: int = ENTRIES, rounds: int = ROUNDS, parts:
 
     table = stored(kept.mapInArrow(coded, schema), "codes")
     total = F.sum(F.col("error").cast("decimal(38,0)")).try_cast("long").alias("label_error")
-    labels = table.groupBy(F.col("label").alias("_label")).agg(F.count("*").alias("_n"), total)
-    hot_from = table.count() / HOT_SHARE
-    same = F.col("label").eqNullSafe(F.col("_label"))
-    hot = F.broadcast(labels.filter(F.col("_n") >= hot_from))  # HOT_SHARE labels at most
-    columns = ["vec_id", "code", "error", "label_error", F.lit(hashlib.sha256(listed.encode()).hexdigest()).alias("codebooks_sha256")]
-    often = table.join(hot, same).select(*columns)
-    seldom = table.join(hot.select("_label"), same, "left_anti").join(labels.filter(F.col("_n") < hot_from), same).select(*columns)
-    return often.unionByName(seldom)
+    labels = table.groupBy("label").agg(total)
+    return join_hot(table, labels, "label").select("vec_id", "code", "error", "label_error", F.lit(hashlib.sha256(listed.encode()).hexdigest()).alias("codebooks_sha256"))
