@@ -6,12 +6,14 @@ size and sorts and merges otherwise. Containment matches extract keys first and
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from galley.functions.scalars import bigrams, dice_of, dois, name_norm, translit_skeleton
 
 from .filters import visible
+from .grams import containing
 from .numbering import numbered_by
 
 
@@ -106,12 +108,15 @@ def match_journal(folder: DataFrame, journal: DataFrame, least: int = 8) -> Data
 
 
 def map_legacy_journals(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(old_id, new_id, how): the journal of the same name, else the one with the longest contained or containing name (lowest id), else none."""
+    """(old_id, new_id, how): the journal of the same name, else the one with the longest contained or containing name (lowest id), else none; an empty name is contained in none."""
     o = old.select(F.col("id").alias("old_id"), F.lower("name").alias("a"))
     n = new.select(F.col("id").alias("new_id"), F.lower("name").alias("b"))
     exact = o.join(n, F.col("a") == F.col("b")).groupBy("old_id").agg(F.min("new_id").alias("exact_id"))
-    # A theta join of two dimensions: both have as many rows as there are journals.
-    part = o.join(n, (F.contains("a", F.col("b")) | F.contains("b", F.col("a"))) & (F.col("a") != F.col("b")))
+    as_text = lambda df, key, name: df.select(F.col(key).alias("text_id"), F.col(name).alias("text"))
+    as_needle = lambda df, key, name: df.select(F.col(key).alias("needle_id"), F.col(name).alias("needle"))
+    held = containing(as_text(o, "old_id", "a"), as_needle(n, "new_id", "b")).select(F.col("text_id").alias("old_id"), F.col("needle_id").alias("new_id"))
+    holds = containing(as_text(n, "new_id", "b"), as_needle(o, "old_id", "a")).select(F.col("needle_id").alias("old_id"), F.col("text_id").alias("new_id"))
+    part = held.union(holds).distinct().join(o, "old_id").join(n, "new_id").filter(F.col("a") != F.col("b"))
     best = part.groupBy("old_id").agg(F.min_by("new_id", F.struct(-F.least(F.length("a"), F.length("b")), F.col("new_id"))).alias("part_id"))
     out = o.select("old_id").join(exact, "old_id", "left").join(best, "old_id", "left")
     how = F.when(F.col("exact_id").isNotNull(), "exact").when(F.col("part_id").isNotNull(), "part").otherwise("new")
@@ -164,44 +169,70 @@ def pair_bilingual_authors(ru: DataFrame, en: DataFrame) -> DataFrame:
 def align_references(ru: DataFrame, en: DataFrame, least: float = 0.5, head: int = 70) -> DataFrame:
     """(article_id, ru_pos, en_pos, ru, en, score): references of both languages in pairs that keep the order; others stand alone.
 
-    Candidates share a DOI (score 1) or have transliteration skeletons (first `head` characters) that agree by `least` or more. Of all
+    Candidates share any DOI (score 1) or have transliteration skeletons (first `head` characters) that agree by `least` or more. Of all
     chains of candidates that rise in both lists the one with the highest sum of scores (in millionths) is taken; of equal ones the one
     whose pairs come first.
     """
 
     def keyed(df: DataFrame, name: str) -> DataFrame:
         skeleton = F.left(translit_skeleton(F.col("text")), F.lit(head))
-        return df.select("article_id", F.col("pos").alias(f"{name}_pos"), F.col("text").alias(name), F.get(dois(F.lower("text")), F.lit(0)).alias(f"{name}_doi"), bigrams(skeleton).alias(f"{name}_grams"))
+        return df.select("article_id", F.col("pos").alias(f"{name}_pos"), F.col("text").alias(name), dois(F.lower("text")).alias(f"{name}_dois"), bigrams(skeleton).alias(f"{name}_grams"))
 
     r, e = keyed(ru, "ru"), keyed(en, "en")
-    score = F.when(F.col("ru_doi") == F.col("en_doi"), 1.0).otherwise(dice_of("ru_grams", "en_grams"))
-    pairs = r.drop("ru").join(e.drop("en"), "article_id").select("article_id", "ru_pos", "en_pos", score.alias("score"))
-    cell = F.struct("en_pos", F.when(F.col("score") >= least, F.round(F.col("score") * 1_000_000).cast("bigint")).alias("points"), "score")
-    rows = pairs.groupBy("article_id", "ru_pos").agg(F.sort_array(F.collect_list(cell)).alias("cells"))
-    grid = rows.groupBy("article_id").agg(F.sort_array(F.collect_list(F.struct("ru_pos", "cells"))).alias("grid"))
-    kept = grid.select("article_id", F.explode(best_chain(F.col("grid"))).alias("p")).select("article_id", (-F.col("p.up")).alias("ru_pos"), (-F.col("p.left")).alias("en_pos"), "p.score")
+    score = F.when(F.arrays_overlap("ru_dois", "en_dois"), 1.0).otherwise(dice_of("ru_grams", "en_grams"))
+    pairs = r.drop("ru").join(e.drop("en"), "article_id").select("article_id", "ru_pos", "en_pos", score.alias("score")).filter(F.col("score") >= least)
+    candidates = pairs.groupBy("article_id").agg(F.collect_list(F.struct("ru_pos", "en_pos", "score")).alias("pairs"))
+    kinds = {f.name: f.dataType.simpleString() for f in pairs.schema}
+    kept = candidates.mapInArrow(_chains, ", ".join(f"{c} {kinds[c]}" for c in ("article_id", "ru_pos", "en_pos", "score")))
     left = r.select("article_id", "ru_pos", "ru").join(kept, ["article_id", "ru_pos"], "left")
     return left.join(e.select("article_id", "en_pos", "en"), ["article_id", "en_pos"], "full_outer").select("article_id", "ru_pos", "en_pos", "ru", "en", "score")
 
 
-def best_chain(grid: Column) -> Column:
-    """The chain (up, left, score) of the highest sum in a grid of rows (ru_pos, cells (en_pos, points, score)); up and left are the positions' negatives.
+def best_chain(pairs: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
+    """The pairs (ru_pos, en_pos, score) of the chain with the highest sum of points; of equal sums, that whose pairs come first.
 
-    After each row the best chain is known for every number of English references; of equal sums the greater array, so the earlier pairs, wins.
+    From the last pair to the first, each one's best chain is its points and the best of a chain that starts behind it in both lists: the
+    largest in a tree of prefix maxima over the English positions, counted from the end. k pairs take k log k steps.
     """
-    path = "array<struct<up:int,left:int,score:double>>"
-
-    def row(done: Column, x: Column) -> Column:
-        def cell(made: Column, j: Column) -> Column:
-            here, before = F.get(x["cells"], j), F.get(done, j - 1)
-            pair = F.array(F.struct((-x["ru_pos"]).cast("int").alias("up"), (-here["en_pos"]).cast("int").alias("left"), here["score"].alias("score")))
-            took = F.struct((F.coalesce(before["total"], F.lit(0)) + here["points"]).alias("total"), F.concat(F.coalesce(before["path"], F.array().cast(path)), pair).alias("path"))
-            return F.concat(made, F.array(F.array_max(F.array(F.get(done, j), F.get(made, j - 1), F.when(here["points"].isNotNull(), took)))))
-
-        return F.aggregate(F.sequence(F.lit(0), F.size(x["cells"]) - 1), F.array().cast(f"array<struct<total:bigint,path:{path}>>"), cell)
-
-    start = F.transform(F.get(grid, F.lit(0))["cells"], lambda _: F.struct(F.lit(0).cast("bigint").alias("total"), F.array().cast(path).alias("path")))
-    return F.element_at(F.aggregate(grid, start, row), -1)["path"]
+    places = {en: i + 1 for i, en in enumerate(sorted({p[1] for p in pairs}, reverse=True))}
+    none = (0, 0, 0, None)
+    tree = [none] * (len(places) + 1)  # (points, -ru_pos, -en_pos, pair) of the best chain that starts there
+    follows, waiting, best = {}, [], none
+
+    def entered():
+        for entry in waiting:
+            at = places[-entry[2]]
+            while at < len(tree):
+                tree[at] = max(tree[at], entry, key=lambda x: x[:3])
+                at += at & -at
+        waiting.clear()
+
+    for pair in sorted(pairs, reverse=True):
+        ru, en, score = pair
+        if waiting and -waiting[0][1] != ru:  # pairs of one Russian reference don't follow each other
+            entered()
+        after, at = none, places[en] - 1
+        while at:
+            after = max(after, tree[at], key=lambda x: x[:3])
+            at -= at & -at
+        entry = (round(score * 1_000_000) + after[0], -ru, -en, pair)
+        follows[pair] = after[3]
+        waiting.append(entry)
+        best = max(best, entry, key=lambda x: x[:3])
+    chain, pair = [], best[3]
+    while pair is not None:
+        chain.append(pair)
+        pair = follows[pair]
+    return chain
+
+
+def _chains(batches):
+    for batch in batches:
+        rows = [(article, *pair) for article, pairs in zip(batch.column("article_id").to_pylist(), batch.column("pairs").to_pylist(), strict=True) for pair in best_chain([tuple(p.values()) for p in pairs])]
+        kind = batch.column("pairs").type.value_type
+        kinds = [batch.column("article_id").type, *(kind.field(c).type for c in ("ru_pos", "en_pos", "score"))]
+        columns = list(zip(*rows, strict=True)) or [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["article_id", "ru_pos", "en_pos", "score"])
 
 
 def legacy_chain(article: DataFrame, section: DataFrame, issue: DataFrame, journal: DataFrame) -> DataFrame:

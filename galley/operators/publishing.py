@@ -42,39 +42,46 @@ def refusals(draft: DataFrame, author: DataFrame, blocked: DataFrame, limits: di
     return out.distinct()
 
 
-def push_rows(draft: DataFrame, author: DataFrame, site_issue: DataFrame, site_section: DataFrame, site_article: DataFrame, blocked: DataFrame, limits: dict[str, int] | None = None) -> DataFrame:
+def push_rows(draft: DataFrame, author: DataFrame, site_issue: DataFrame, site_section: DataFrame, site_article: DataFrame, blocked: DataFrame, limits: dict[str, int] | None = None, stage=lambda df: df) -> DataFrame:
     """One row per article of issues that nothing stands against, with the ids, DOI and HTML that it gets on the site.
 
     draft: id, issue_id, journal_id, issn, year, number, section, title, pages, doi, abstract; author: article_id, ord, name, organization,
     email; blocked: issue_id. An article without a section goes to the one for such. A missing DOI counts on from the articles that the
-    site has of the issue, in page order.
+    site has of the issue, in page order. What is used several times goes through `stage`, which may write it and read it back.
     """
+    draft, author = stage(draft), stage(author)
     todo = draft.withColumn("section", F.coalesce(F.nullif(F.trim("section"), F.lit("")), F.lit(NO_SECTION)))
     html = site_html(todo.select("id", "abstract"), author.join(todo.select(F.col("id").alias("article_id")), "article_id", "left_semi"))
-    todo = todo.join(html, "id")
-    todo = todo.join(refusals(todo, author, blocked, limits or {}).select("issue_id").distinct(), "issue_id", "left_anti")
+    todo = stage(todo.join(html, "id"))
+    todo = stage(todo.join(refusals(todo, author, blocked, limits or {}).select("issue_id").distinct(), "issue_id", "left_anti"))
     issues = find_or_create(todo.select("journal_id", "year", "number"), site_issue, ["journal_id", "year", "number"], "num_id").withColumnRenamed("created", "num_created")
-    rows = todo.join(issues, ["journal_id", "year", "number"])
-    sections = find_or_create(rows.select("num_id", F.col("section").alias("title")), site_section, ["num_id", "title"], "razd_id").withColumnRenamed("created", "razd_created")
+    rows = stage(todo.join(issues, ["journal_id", "year", "number"]))
+    sections = stage(find_or_create(rows.select("num_id", F.col("section").alias("title")), site_section, ["num_id", "title"], "razd_id").withColumnRenamed("created", "razd_created"))
     sorts = next_sort(sections.filter("razd_created").select("num_id", "title"), site_section, "num_id", ["title"])
     sections = sections.join(sorts, ["num_id", "title"], "left").withColumnRenamed("title", "section")
     have = site_article.join(site_section.select("razd_id", "num_id"), "razd_id").groupBy("num_id").agg(F.count("*").alias("_have"))
     place = F.row_number().over(Window.partitionBy("num_id").orderBy(*page_key()))
     rows = rows.join(sections, ["num_id", "section"]).join(have, "num_id", "left").withColumn("place", place)
-    rows = rows.withColumn("doi", F.coalesce("doi", doi_of(F.col("issn"), F.col("year"), F.col("number"), F.coalesce("_have", F.lit(0)) + F.col("place"))))
+    rows = stage(rows.withColumn("doi", F.coalesce("doi", doi_of(F.col("issn"), F.col("year"), F.col("number"), F.coalesce("_have", F.lit(0)) + F.col("place")))))
     top = site_article.agg(F.coalesce(F.max("art_id"), F.lit(0)).alias("_top"))
     numbered = numbered_by(rows, ["num_id", "place"], "_k").crossJoin(F.broadcast(top))
     return numbered.withColumn("art_id", F.col("_top") + F.col("_k")).withColumnRenamed("id", "draft_id").drop("_top", "_k", "_have")
 
 
+def staged(tables: Tables, df: DataFrame) -> DataFrame:
+    """df written beside the tables, where no pointer names it, and read back."""
+    path = f"{tables.path}/staged/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return tables.spark.read.schema(df.schema).parquet(path)
+
+
 def push(tables: Tables, draft: DataFrame, author: DataFrame, blocked: DataFrame, limits: dict[str, int] | None = None, writer: str = "push") -> None:
     """Pushes all issues of draft that nothing stands against: every table of the site changes, or none does."""
     base = tables.current()
     site = {name: tables.read(name, base) for name in ("site_issue", "site_section", "site_article")}
-    # Written once, so that all tables get the same ids; no pointer names these files.
-    staged = f"{tables.path}/staged/{uuid.uuid4().hex}"
-    push_rows(draft, author, *site.values(), blocked, limits).write.parquet(staged)
-    rows = tables.spark.read.parquet(staged)
+    # Written once, so that all tables get the same ids.
+    stage = lambda df: staged(tables, df)
+    rows = stage(push_rows(draft, author, *site.values(), blocked, limits, stage))
     new = {
         "site_issue": rows.filter("num_created").select("num_id", "journal_id", "year", "number").distinct(),
         "site_section": rows.filter("razd_created").select("razd_id", "num_id", F.col("section").alias("title"), "sort").distinct(),
@@ -87,21 +94,22 @@ def push(tables: Tables, draft: DataFrame, author: DataFrame, blocked: DataFrame
 def roll_back(tables: Tables, issues: DataFrame, writer: str = "rollback") -> DataFrame:
     """Undoes the pushes of issues (issue_id): articles that still hold their DOI go, then sections and issues made by the push if nothing
     is left in them. Only the parts that hold them are written anew. Returns (art_id, doi) of articles that were left alone."""
-    base, ids = tables.current(), issues.select("issue_id").distinct()
-    record = tables.read("push_record", base, tables.parts_of("push_record", ids, base)).join(ids, "issue_id", "left_semi")
+    base, ids = tables.current(), staged(tables, issues.select("issue_id").distinct())
+    record = staged(tables, tables.read("push_record", base, tables.parts_of("push_record", ids, base)).join(ids, "issue_id", "left_semi"))
     sections_of, issues_of = record.select("razd_id").distinct(), record.select("num_id").distinct()
-    read = lambda name, keys: tables.read(name, base, tables.parts_of(name, keys, base))
-    articles, skipped = rollback_push(record, read("site_article", sections_of))
-    section, issue = read("site_section", issues_of), read("site_issue", issues_of)
+    parts = {name: tables.parts_of(name, keys, base) for name, keys in (("site_article", sections_of), ("site_section", issues_of), ("site_issue", issues_of))}
+    site = {name: tables.read(name, base, touched) for name, touched in parts.items()}
+    kept, skipped = (staged(tables, df) for df in rollback_push(record, site["site_article"]))
+    section, issue = site["site_section"], site["site_issue"]
     made = lambda key: record.filter(f"{key}_created").select(F.col(f"{key}_id").alias("id")).distinct()
     # Articles of sections that nothing of the push is in stay out: only sections made by it are asked for.
-    sections, parents = drop_empty_parents(section.select(F.col("razd_id").alias("id"), F.col("num_id").alias("issue_id"), "title", "sort"), issue.withColumnRenamed("num_id", "id"), articles.select(F.col("razd_id").alias("section_id")), made("razd"), made("num"))
+    sections, parents = drop_empty_parents(section.select(F.col("razd_id").alias("id"), F.col("num_id").alias("issue_id"), "title", "sort"), issue.withColumnRenamed("num_id", "id"), kept.select(F.col("razd_id").alias("section_id")), made("razd"), made("num"))
     after = {
-        "site_article": (sections_of, articles),
-        "site_section": (issues_of, sections.select(F.col("id").alias("razd_id"), F.col("issue_id").alias("num_id"), "title", "sort")),
-        "site_issue": (issues_of, parents.withColumnRenamed("id", "num_id").select(issue.columns)),
+        "site_article": kept,
+        "site_section": sections.select(F.col("id").alias("razd_id"), F.col("issue_id").alias("num_id"), "title", "sort"),
+        "site_issue": parents.withColumnRenamed("id", "num_id"),
     }
-    changes = {name: Change(df.select(tables.read(name, base).columns), touched=tables.parts_of(name, keys, base)) for name, (keys, df) in after.items()}
+    changes = {name: Change(df.select(site[name].columns), touched=parts[name]) for name, df in after.items()}
     changes["push_record"] = changed_parts(tables, "push_record", ids, lambda t: t.join(ids, "issue_id", "left_anti").select(t.columns), base)
     tables.commit(changes, base.number, writer)
     return skipped

@@ -7,12 +7,15 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from galley.operators import aggs, joins, mining, windows
-from galley.sources import exports, records, text
+from galley.operators import aggs, grams, joins, maintenance, mining, publishing, sketches, windows
+from galley.sources import exports, paging, records, text
+from galley.sources.versions import Change, Tables, changed_parts
 from galley.streaming import jobs
 
+from . import bound_filters  # noqa: F401  (its SQL is used again)
 from .bound_joins import DIFF
-from .registry import bind
+from .bound_maintenance import AUTHORS, IDS, now, state
+from .registry import SQL, bind
 from .views import BASE
 
 
@@ -115,12 +118,23 @@ bind(
 # ---- streams
 
 
+def in_time(v, path: str, rows, column: str = "ts", files: int = 3) -> None:
+    """Rows written as files one after the other, in the order of a time, as a log grows."""
+    seconds = F.unix_micros(F.col(column).cast("timestamp")).cast("double")
+    cuts = rows.select(seconds.alias("s")).approxQuantile("s", [k / files for k in range(1, files)], 0.001)
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        own = (F.lit(True) if low is None else seconds > low) & (F.lit(True) if high is None else seconds <= high)
+        rows.filter(own).coalesce(1).write.mode("append").parquet(path)
+
+
 def replayed(v):
-    """The activity stream run over the events in files; its final counts."""
-    source, name = scratch(v.spark, "events"), f"activity_{uuid.uuid4().hex}"
-    v.events.repartition(3).write.parquet(source)
-    jobs.activity_stream(v.spark, source, name, scratch(v.spark, "activity")).awaitTermination()
-    return v.spark.table(name).select(F.col("start").cast("timestamp_ntz").alias("start"), "action", "n")
+    """The activity stream run over the events in files, some of them delivered twice; a last event closes all windows before it."""
+    source, out = scratch(v.spark, "events"), scratch(v.spark, "activity")
+    in_time(v, source, v.events.unionByName(v.events.filter("event_id % 10 = 0")))
+    last = v.events.agg((F.max("ts") + F.expr("INTERVAL 3 DAYS")).alias("ts")).withColumn("event_id", F.lit(-1))
+    v.events.limit(0).unionByName(last, allowMissingColumns=True).coalesce(1).write.mode("append").parquet(source)
+    jobs.activity_stream(v.spark, source, out, scratch(v.spark, "activity-check")).awaitTermination()
+    return v.spark.read.parquet(out).select(F.col("start").cast("timestamp_ntz").alias("start"), "action", "n")
 
 
 bind("activity_stream", replayed, "SELECT date_trunc('day', ts) AS start, event_type AS action, count(*) AS n FROM events GROUP BY 1, 2")
@@ -129,8 +143,8 @@ bind("activity_stream", replayed, "SELECT date_trunc('day', ts) AS start, event_
 def merged(v):
     source, state = scratch(v.spark, "events"), scratch(v.spark, "state")
     v.events.repartition(3).write.parquet(source)
-    jobs.latest_state_stream(v.spark, source, state, scratch(v.spark, "merge")).awaitTermination()
-    return exports.latest_snapshot(v.spark, state)
+    jobs.latest_state_stream(v.spark, source, state, scratch(v.spark, "merge"), files_per_batch=1).awaitTermination()
+    return jobs.current_states(v.spark, state)
 
 
 bind("latest_state_stream", lambda v: merged(v).select("user_id", "state", "at", "event_id"), "SELECT user_id, event_type AS state, ts AS at, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
@@ -164,6 +178,17 @@ bind(
     f"""WITH s AS ({STATUS}), l AS (SELECT file_uid, status_code, row_number() OVER (PARTITION BY file_uid ORDER BY seen DESC, event_id DESC) AS r FROM s), u AS (SELECT file_uid, uid, event_id, row_number() OVER (PARTITION BY file_uid, uid ORDER BY seen DESC, event_id DESC) AS r FROM s)
     SELECT l.file_uid, status_code, (SELECT string_agg(uid || ':' || CAST(event_id AS varchar), ',' ORDER BY uid) FROM u WHERE u.file_uid = l.file_uid AND u.r = 1) AS articles FROM l WHERE l.r = 1""",
 )
+def streamed_progress(v):
+    """The same from a stream of messages in files, in their order of time."""
+    source, out = scratch(v.spark, "status"), scratch(v.spark, "progress")
+    rows = v.sql(STATUS).select("file_uid", F.col("seen").alias("at"), F.col("event_id").alias("seq"), "status_code", F.to_json(F.array(F.struct("uid", F.col("event_id").alias("n")))).alias("articles"))
+    in_time(v, source, rows, "at")
+    jobs.progress_stream(v.spark, source, out, scratch(v.spark, "progress-check"), files_per_batch=1).awaitTermination()
+    articles = F.from_json("articles", "array<struct<uid:string,n:long>>")
+    return jobs.current_progress(v.spark, out).select("file_uid", "status_code", F.array_join(F.transform(articles, lambda a: F.concat_ws(":", a["uid"], a["n"].cast("string"))), ",").alias("articles"))
+
+
+bind("processing_progress_stream", streamed_progress, SQL["processing_progress"], views=False)
 bind(
     "comment_thread",
     lambda v: jobs.comment_thread(v.comment).select("article_id", F.sha2(F.array_join(F.transform("thread", lambda x: F.concat_ws(":", x["seq"].cast("string"), x["user_name"], x["text"])), "|"), 256).alias("thread")),
@@ -206,3 +231,102 @@ bind(
     lambda v: mining.best_charset(encoded(v)),
     "SELECT CAST(article_id AS varchar) || '-' || CAST(pos AS varchar) AS name, CASE pos % 4 WHEN 1 THEN 'windows-1251' WHEN 2 THEN 'IBM866' WHEN 3 THEN 'KOI8-R' ELSE 'UTF-8' END AS charset, ru AS text FROM v_ref",
 )
+
+# ---- stored tables: an index, pushes, changes of parts
+
+
+def _indexed(v):
+    tables = Tables(v.spark, scratch(v.spark, "search"))
+    grams.build_search_index(tables, v.article_full, v.article_author)
+    return grams.indexed_search(tables, v.article_full, v.article_author, v.journal, "TION_1", 120)
+
+
+bind("search_all_indexed", _indexed, SQL["search_all"], views=False)
+DRAFTS = """SELECT p.id, p.issue_id, i.journal_id, j.issn, i.year, cast(i.number AS string) AS number, CASE WHEN p.id % 4 < 3 THEN concat('S', cast(p.id % 4 AS string)) END AS section,
+  a.title, p.pages, CASE WHEN p.id % 2 = 0 THEN p.doi END AS doi, concat('Цель. ', a.title) AS abstract
+FROM v_pub_article p JOIN v_article a ON a.id = p.id JOIN v_issue i ON i.id = p.issue_id JOIN v_journal j ON j.id = i.journal_id WHERE p.site_art_id IS NULL"""
+SITE_TABLES = {
+    "site_issue": "SELECT id AS num_id, journal_id, year, cast(number AS string) AS number FROM v_issue WHERE id % 2 = 0 AND year > 0",
+    "site_section": "SELECT DISTINCT p.issue_id * 10 + p.id % 4 AS razd_id, p.issue_id AS num_id, concat('S', cast(p.id % 4 AS string)) AS title, cast(p.id % 4 + 1 AS int) AS sort FROM v_pub_article p WHERE p.issue_id % 2 = 0 AND p.id % 4 < 3 AND p.site_art_id IS NOT NULL",
+    "site_article": "SELECT p.site_art_id AS art_id, p.issue_id * 10 + p.id % 4 AS razd_id, p.doi, 'old' AS title, p.pages, '' AS authors_html, '' AS orgs_html, '' AS abstract_html, p.id AS draft_id FROM v_pub_article p WHERE p.issue_id % 2 = 0 AND p.id % 4 < 3 AND p.site_art_id IS NOT NULL",
+    "push_record": "SELECT p.issue_id, p.id AS draft_id, p.id AS num_id, p.id AS razd_id, p.id AS art_id, p.doi, true AS num_created, true AS razd_created FROM v_pub_article p WHERE p.id < 0",
+}
+BLOCKED = "SELECT id AS issue_id FROM v_issue WHERE id % 3 = 0"
+
+
+def _site(v):
+    """The site with all drafts pushed that nothing stands against."""
+    tables = Tables(v.spark, scratch(v.spark, "site"))
+    tables.commit({name: Change(v.sql(text), key=publishing.KEYS[name], parts=8) for name, text in SITE_TABLES.items()}, -1, "load")
+    publishing.push(tables, v.sql(DRAFTS), v.sql(AUTHORS), v.sql(BLOCKED))
+    return tables
+
+
+def _rolled_back(v):
+    tables = _site(v)
+    publishing.roll_back(tables, v.sql("SELECT id AS issue_id FROM v_issue WHERE id % 5 = 0"))
+    return tables
+
+
+PUSHED_ROWS = f"""si AS ({SITE_TABLES['site_issue']}), ss AS ({SITE_TABLES['site_section']}), sa AS ({SITE_TABLES['site_article']}), t AS ({DRAFTS}), d AS (SELECT * FROM t WHERE issue_id % 3 <> 0 AND issue_id NOT IN (SELECT issue_id FROM t WHERE id NOT IN (SELECT article_id FROM v_author))),
+ni AS (SELECT (SELECT max(num_id) FROM si) + row_number() OVER (ORDER BY journal_id, year, number) AS num_id, journal_id, year, number FROM (SELECT DISTINCT journal_id, year, number FROM d ANTI JOIN si USING (journal_id, year, number))),
+r AS (SELECT d.*, n.num_id, coalesce(section, 'Без раздела') AS sec FROM d JOIN (SELECT * FROM si UNION ALL SELECT num_id, journal_id, year, number FROM ni) n USING (journal_id, year, number)),
+ns AS (SELECT (SELECT max(razd_id) FROM ss) + row_number() OVER (ORDER BY num_id, title) AS razd_id, num_id, title FROM (SELECT DISTINCT num_id, sec AS title FROM r ANTI JOIN ss ON ss.num_id = r.num_id AND ss.title = r.sec)),
+have AS (SELECT num_id, count(*) AS n FROM sa JOIN ss USING (razd_id) GROUP BY num_id),
+pushed AS (SELECT r.id, r.issue_id, r.num_id, s.razd_id, r.title, row_number() OVER (PARTITION BY r.num_id ORDER BY CAST(split_part(pages, '-', 1) AS int), id) AS place, coalesce(have.n, 0) AS have, r.doi, r.issn, r.year, r.number
+  FROM r JOIN (SELECT razd_id, num_id, title FROM ss UNION ALL SELECT * FROM ns) s ON s.num_id = r.num_id AND s.title = r.sec LEFT JOIN have ON have.num_id = r.num_id),
+numbered AS (SELECT *, (SELECT max(art_id) FROM sa) + row_number() OVER (ORDER BY num_id, place) AS art_id,
+  coalesce(doi, '10.18127/j' || replace(issn, '-', '') || '-' || CAST(year AS varchar) || CASE WHEN length(number) < 2 THEN '0' ELSE '' END || number || '-' || CASE WHEN have + place < 10 THEN '0' ELSE '' END || CAST(have + place AS varchar)) AS new_doi FROM pushed)"""
+bind(
+    "push_issue_staged",
+    lambda v: _site(v).read("site_article").select("art_id", "razd_id", "doi", "title", "draft_id"),
+    f"WITH {PUSHED_ROWS} SELECT art_id, razd_id, doi, title, draft_id FROM sa UNION ALL SELECT art_id, razd_id, new_doi, title, id FROM numbered",
+)
+bind(
+    "push_issue_staged_sections",
+    lambda v: _site(v).read("site_section").select("razd_id", "num_id", "title", "sort"),
+    f"WITH {PUSHED_ROWS} SELECT razd_id, num_id, title, sort FROM ss UNION ALL SELECT razd_id, num_id, title, CAST(coalesce((SELECT max(sort) FROM ss WHERE ss.num_id = ns.num_id), 0) + row_number() OVER (PARTITION BY num_id ORDER BY title) AS int) FROM ns",
+)
+bind(
+    "push_rolled_back",
+    lambda v: _rolled_back(v).read("site_article").select("art_id", "razd_id", "draft_id"),
+    f"WITH {PUSHED_ROWS} SELECT art_id, razd_id, draft_id FROM sa UNION ALL SELECT art_id, razd_id, id FROM numbered WHERE issue_id % 5 <> 0",
+)
+bind(
+    "push_rolled_back_issues",
+    lambda v: _rolled_back(v).read("site_issue"),
+    f"WITH {PUSHED_ROWS} SELECT num_id, journal_id, year, number FROM si UNION ALL SELECT num_id, journal_id, year, number FROM ni WHERE num_id IN (SELECT num_id FROM numbered WHERE issue_id % 5 <> 0)",
+)
+
+
+def _cascaded(v):
+    """The article table after a cascade that wrote only the parts of the issues it hit."""
+    tables, ids = Tables(v.spark, scratch(v.spark, "articles")), v.sql(IDS)
+    tables.commit({"issue": Change(v.issue, key="id", parts=8), "article": Change(v.article, key="issue_id", parts=8)}, -1, "load")
+    keys = {"issue": "id", "article": "issue_id"}
+    tables.commit({n: changed_parts(tables, n, ids, lambda t, k=k: maintenance.soft_deleted(t, ids, now(), k)) for n, k in keys.items()}, 0, "delete")
+    return tables
+
+
+bind("soft_delete_parts", lambda v: _cascaded(v).read("article").select("id", state("deleted_at")), SQL["soft_delete_cascade"], views=False)
+
+
+def _authors_by_year(v):
+    """Distinct authors by journal and year from the stored sketches of issues, beside the exact numbers."""
+    tables, by = Tables(v.spark, scratch(v.spark, "sketches")), ["journal_id", "year"]
+    issue = v.issue.select(F.col("id").alias("issue_id"), *by)
+    tables.commit({"issue": Change(sketches.author_sketches(v.article_author, v.article), key="issue_id", parts=8)}, -1, "load")
+    exact = v.article_author.join(v.article.select(F.col("id").alias("article_id"), "issue_id"), "article_id").join(issue, "issue_id").groupBy(*by).agg(F.count_distinct(F.lower("full_name")).alias("n"))
+    return sketches.compared(sketches.rolled_up(tables.read("issue").join(issue, "issue_id"), by), exact, by)
+
+
+bind("authors_by_journal_year", _authors_by_year, "SELECT journal_id, year, count(DISTINCT lower(full_name)) AS n, true AS close FROM v_article_author x JOIN v_article a ON a.id = x.article_id JOIN v_issue i ON i.id = a.issue_id GROUP BY journal_id, year")
+
+
+def _stored_page(v):
+    path = scratch(v.spark, "pages")
+    paging.store_pages(v.article.select("id", "title"), path, rows=500)
+    return paging.Pages(v.spark, path).page(31, 40)
+
+
+bind("page_of_stored", _stored_page, "SELECT id, title, (SELECT count(*) FROM v_article) AS total, CAST(ceil((SELECT count(*) FROM v_article) / 40.0) AS bigint) AS pages FROM v_article ORDER BY id DESC LIMIT 40 OFFSET 1200")

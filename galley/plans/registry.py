@@ -12,12 +12,13 @@ QUERIES: dict[str, Callable[[Views], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def bind(name: str, run: Callable[[Views], DataFrame], sql: str | None = None) -> None:
+def bind(name: str, run: Callable[[Views], DataFrame], sql: str | None = None, views: bool = True) -> None:
+    """views: whether the SQL names views that are still to be put before it."""
     if name in QUERIES:
         raise ValueError(f"{name} is bound twice")
     QUERIES[name] = run
     if sql:
-        SQL[name] = with_views(sql)
+        SQL[name] = with_views(sql) if views else sql
 
 
 def _query(run: Callable[[Views], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

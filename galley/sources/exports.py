@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from galley.operators.filters import STATUSES
+from galley.operators.grams import containing
 from galley.operators.windows import numbered_rows, page_key
 
 from .versions import Change, Tables
@@ -131,8 +132,10 @@ def export_names(issue: DataFrame, by_issn: DataFrame, by_name: DataFrame, suffi
     issue: id, issn, name, number, year; by_issn: issn, abbr; by_name: part, abbr.
     """
     rows = issue.join(by_issn.select("issn", F.col("abbr").alias("_a")), "issn", "left")
-    # Abbreviations are listed per journal of a publisher: a small dimension on the right of a containment join.
-    named = rows.filter("_a IS NULL").join(by_name, F.contains(F.lower("name"), F.lower("part"))).groupBy("id").agg(F.max_by("abbr", F.struct(F.length("part"), F.col("part"))).alias("_b"))
-    rows = rows.join(named, "id", "left")
+    names = rows.filter("_a IS NULL").select("name").distinct()
+    parts = by_name.groupBy("part").agg(F.min("abbr").alias("abbr"))
+    pairs = containing(names.select(F.col("name").alias("text_id"), F.lower("name").alias("text")), parts.select(F.col("part").alias("needle_id"), F.lower("part").alias("needle")))
+    named = pairs.join(parts, F.col("needle_id") == F.col("part")).groupBy(F.col("text_id").alias("name")).agg(F.max_by("abbr", F.struct(F.length("part"), F.col("part"))).alias("_b"))
+    rows = rows.join(named, "name", "left").withColumn("_b", F.when(F.col("_a").isNull(), F.col("_b")))
     first = F.left(F.regexp_replace("name", "[^0-9A-Za-zА-Яа-яЁё]", ""), F.lit(6))
     return rows.select("id", F.format_string("%s_%s_%s_%s.xml", F.coalesce("_a", "_b", first), F.col("number").cast("string"), F.col("year").cast("string"), F.lit(suffix)).alias("file"))
