@@ -17,7 +17,11 @@ def write(spark, folder, empty):
     pages = spark.createDataFrame([(1, "http://a", "<p>x</p>" * 30), (2, None, "<p>x</p>" * 30), (3, "http://b\r\n", None), (None, "u", ""), (4, "u", "<p>x</p>" * 30), (4, "u", "<p>x</p>" * 30)], "page_id long, url string, html string").withColumn("payload", F.lit("x")).withColumn("error", F.lit("x"))
     labels = spark.createDataFrame([(1, 1, 1), (2, 0, 0), (3, None, 0), (None, 1, 1), (5, 1, 0), (7, 1, 0)], "doc_id long, quality int, toxic int").withColumn("target", F.lit("x"))
     bench = spark.createDataFrame([(1, "no id here"), (None, "upper lower"), (2, None), (3, "")], "item_id long, text string").withColumn("terms", F.lit("x"))
-    for name, df in (("documents", docs), ("pages", pages), ("labels", labels), ("benchmark", bench)):
+    chats = [(1, 1, "user", "a"), (1, 1, "user", "a"), (1, 0, None, None), (1, None, "assistant", "\\x ### </turn>"), (None, 0, "assistant", ""), (2, 5, "a:b\n", "x" * 300_000), (-7, 3, "user", "more")]
+    chats = spark.createDataFrame(chats, "conv_id long, turn long, role string, text string").withColumns({c: F.lit("x") for c in ("seq", "kind", "message_id", "at")})
+    vectors = [(1, [0.5, -0.25, 1.0, 2.0, 0.0], 1), (1, [0.5, -0.25, 1.0, 2.0, 0.0], 1), (2, None, 1), (3, [0.5, None, 1.0, 2.0, 0.0], 1), (4, [float("nan")] * 5, 1), (5, [float("inf")] * 5, None), (None, [1e30] * 5, None), (7, [-1e30, 0.0, 0.0, 0.0, 0.0], None), (8, [0.1], 2)]
+    vectors = spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").withColumns({c: F.lit("x") for c in ("vector", "code", "_label", "_key")})
+    for name, df in (("conversations", chats), ("embeddings", vectors), ("documents", docs), ("pages", pages), ("labels", labels), ("benchmark", bench)):
         cut(df).write.parquet(f"{folder}/{name}.parquet")
     return str(folder)
 
@@ -31,7 +35,14 @@ def tables(request, spark, tmp_path_factory):
 def test_query(spark, tables, name):
     folder, empty = tables
     rows = queries.queries()[name](spark, folder).collect()
-    assert len(rows) == (0 if empty else 6 if name in ("op4_warc", "op10_html_text") else len(ROWS))
+    if name == "op11_chat":  # conversation -7 is always there
+        assert {r["conv_id"]: r["n_turns"] for r in rows} == ({-7: 2} if empty else {-7: 3, 1: 4, None: 1, 2: 1})
+    elif name == "op12_divergence":
+        assert rows == []  # one group, and no term is in 30 documents
+    elif name == "op13_vector_codes":
+        assert sorted((str(r["vec_id"]), r["code"], r["error"], r["label_error"]) for r in rows) == ([] if empty else [("1", "00000000", 0, 0), ("1", "00000000", 0, 0), ("7", "02020202", 0, 0), ("None", "03030303", 0, 0)])
+    else:
+        assert len(rows) == (0 if empty else 6 if name in ("op4_warc", "op10_html_text") else len(ROWS))
 
 
 def test_stages(spark, tables, tmp_path):
