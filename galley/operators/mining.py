@@ -51,16 +51,35 @@ def canon_headings(lines: DataFrame, near: float = 0.07, most: int = 80) -> Data
     return lines.withColumn("heading", F.when(short & (digits <= forgiven), heading))
 
 
+def marked_lines(lines: DataFrame) -> DataFrame:
+    """lines (doc_id, line_no, line) with what all jobs below ask of them: heading and section, is_doi, and opens and part, where the lines
+    under the DOI are front_ru."""
+    last = lambda c: F.last(c, ignorenulls=True).over(Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
+    is_doi = F.col("line").rlike("(?i)^doi")
+    rows = canon_headings(lines).withColumn("is_doi", is_doi).withColumn("opens", F.when(F.col("is_doi"), "front_ru").otherwise(F.col("heading")))
+    return rows.withColumns({"section": last("heading"), "part": last("opens")})
+
+
+def store_lines(lines: DataFrame, table: str, path: str, buckets: int) -> None:
+    """The marked lines as a table bucketed by doc_id: they are moved once, and jobs over the table move no line."""
+    dealt = lines.repartition(buckets, "doc_id")
+    marked_lines(dealt).write.bucketBy(buckets, "doc_id").sortBy("doc_id", "line_no").option("path", path).saveAsTable(table)
+
+
+def sectioned(lines: DataFrame) -> DataFrame:
+    """Lines with heading and section, as marked_lines has them already."""
+    return lines if "section" in lines.columns else segment_sections(canon_headings(lines))
+
+
 def fronted(lines: DataFrame) -> DataFrame:
     """Lines with their section; the lines under the DOI are front_ru."""
-    doi = F.col("line").rlike("(?i)^doi")
-    marked = canon_headings(lines).withColumn("heading", F.when(doi, "front_ru").otherwise(F.col("heading")))
-    return segment_sections(marked)
+    rows = lines if "part" in lines.columns else marked_lines(lines)
+    return rows.select("doc_id", "line_no", "line", F.col("opens").alias("heading"), F.col("part").alias("section"))
 
 
 def section_texts(lines: DataFrame) -> DataFrame:
     """One row per document and one column per section: its lines without the heading."""
-    rows = segment_sections(canon_headings(lines)).filter("heading IS NULL AND section IS NOT NULL")
+    rows = sectioned(lines).filter("heading IS NULL AND section IS NOT NULL")
     listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
     out = rows.groupBy("doc_id").pivot("section", list(SECTIONS)).agg(listed)
     return out.select("doc_id", *[F.nullif(c, F.lit("")).alias(c) for c in SECTIONS])
@@ -88,7 +107,7 @@ def _glued(lines: DataFrame, start: Column) -> DataFrame:
 
 def split_references(lines: DataFrame) -> DataFrame:
     """(doc_id, lang, pos, ref): a reference starts with its number; other lines go on with it, those that start with _ without a blank."""
-    rows = segment_sections(canon_headings(lines)).filter("heading IS NULL AND section IN ('refs_ru', 'refs_en') AND line <> ''")
+    rows = sectioned(lines).filter("heading IS NULL AND section IN ('refs_ru', 'refs_en') AND line <> ''")
     rows = rows.withColumn("lang", F.right("section", F.lit(2))).withColumn("line", F.when(F.startswith("line", F.lit("_")), F.concat(F.lit("\b"), "line")).otherwise(F.col("line")))
     runs = glue_runs(rows, F.col("line").rlike(r"^[0-9]{1,3}\.\s"), ["doc_id", "lang"])
     text = F.regexp_replace(F.replace("text", F.lit(" \b"), F.lit("")), r"^[0-9]{1,3}\.\s+", "")
@@ -172,11 +191,7 @@ def parsed_manuscripts(lines: DataFrame) -> DataFrame:
 
     Lines are marked and moved by document once; one group per document then holds them by section, and the rest are expressions over these.
     """
-    w = Window.partitionBy("doc_id").orderBy("line_no")
-    is_doi = F.col("line").rlike("(?i)^doi")
-    rows = canon_headings(lines).withColumn("is_doi", is_doi).withColumn("opens", F.when(F.col("is_doi"), "front_ru").otherwise(F.col("heading")))
-    last = lambda c: F.last(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumns({"section": last("heading"), "part": last("opens")})
+    rows = lines if "part" in lines.columns else marked_lines(lines)
     line = F.struct("line_no", "line")
     held = lambda where: F.transform(F.array_sort(F.collect_list(F.when(where, line))), lambda x: x["line"])
     fronts = {f"front_{x}": held((F.col("part") == f"front_{x}") & F.col("opens").isNull()) for x in ("ru", "en")}

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -16,17 +14,7 @@ from . import bound_filters  # noqa: F401  (its SQL is used again)
 from .bound_joins import DIFF
 from .bound_maintenance import AUTHORS, IDS, now, state
 from .registry import SQL, bind
-from .views import BASE
-
-
-def scratch(spark, name: str) -> str:
-    """A new folder that driver and executors share."""
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    if not place:
-        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        place = f"file://{tempfile.mkdtemp(prefix='galley-')}"
-    return f"{place.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from .views import BASE, scratch
 
 
 bind("scan_tables", lambda v: text.table_profile({t: getattr(v, t) for t in BASE}).select("table", "n_rows"), " UNION ALL ".join(f"SELECT '{t}' AS \"table\", count(*) AS n_rows FROM {t}" for t in BASE))
