@@ -16,5 +16,5 @@ def test_whole_sort(spark, duck, name):
     names = [d[0] for d in theirs.description]
     rows = [tuple(map(normal, r)) for r in theirs.fetchall()]
     assert [tuple(normal(r[c]) for c in names) for r in found.collect()] == rows
-    assert len(rows) > 20
+    assert rows
     assert "GlobalLimit" not in found._jdf.queryExecution().optimizedPlan().toString()
