@@ -230,7 +230,7 @@ def _indexed(v):
 
 
 bind("search_all_indexed", _indexed, SQL["search_all"], views=False)
-DRAFTS = """SELECT p.id, p.issue_id, i.journal_id, j.issn, i.year, cast(i.number AS string) AS number, CASE WHEN p.id % 4 < 3 THEN concat('S', cast(p.id % 4 AS string)) END AS section,
+SITE_DRAFTS = """SELECT p.id, p.issue_id, i.journal_id, j.issn, i.year, cast(i.number AS string) AS number, CASE WHEN p.id % 4 < 3 THEN concat('S', cast(p.id % 4 AS string)) END AS section,
   a.title, p.pages, CASE WHEN p.id % 2 = 0 THEN p.doi END AS doi, concat('Цель. ', a.title) AS abstract
 FROM v_pub_article p JOIN v_article a ON a.id = p.id JOIN v_issue i ON i.id = p.issue_id JOIN v_journal j ON j.id = i.journal_id WHERE p.site_art_id IS NULL"""
 SITE_TABLES = {
@@ -246,7 +246,7 @@ def _site(v):
     """The site with all drafts pushed that nothing stands against."""
     tables = Tables(v.spark, scratch(v.spark, "site"))
     tables.commit({name: Change(v.sql(text), key=publishing.KEYS[name], parts=8) for name, text in SITE_TABLES.items()}, -1, "load")
-    publishing.push(tables, v.sql(DRAFTS), v.sql(AUTHORS), v.sql(BLOCKED))
+    publishing.push(tables, v.sql(SITE_DRAFTS), v.sql(AUTHORS), v.sql(BLOCKED))
     return tables
 
 
@@ -256,7 +256,7 @@ def _rolled_back(v):
     return tables
 
 
-PUSHED_ROWS = f"""si AS ({SITE_TABLES['site_issue']}), ss AS ({SITE_TABLES['site_section']}), sa AS ({SITE_TABLES['site_article']}), t AS ({DRAFTS}), d AS (SELECT * FROM t WHERE issue_id % 3 <> 0 AND issue_id NOT IN (SELECT issue_id FROM t WHERE id NOT IN (SELECT article_id FROM v_author))),
+PUSHED_ROWS = f"""si AS ({SITE_TABLES['site_issue']}), ss AS ({SITE_TABLES['site_section']}), sa AS ({SITE_TABLES['site_article']}), t AS ({SITE_DRAFTS}), d AS (SELECT * FROM t WHERE issue_id % 3 <> 0 AND issue_id NOT IN (SELECT issue_id FROM t WHERE id NOT IN (SELECT article_id FROM v_author))),
 ni AS (SELECT (SELECT max(num_id) FROM si) + row_number() OVER (ORDER BY journal_id, year, number) AS num_id, journal_id, year, number FROM (SELECT DISTINCT journal_id, year, number FROM d ANTI JOIN si USING (journal_id, year, number))),
 r AS (SELECT d.*, n.num_id, coalesce(section, 'Без раздела') AS sec FROM d JOIN (SELECT * FROM si UNION ALL SELECT num_id, journal_id, year, number FROM ni) n USING (journal_id, year, number)),
 ns AS (SELECT (SELECT max(razd_id) FROM ss) + row_number() OVER (ORDER BY num_id, title) AS razd_id, num_id, title FROM (SELECT DISTINCT num_id, sec AS title FROM r ANTI JOIN ss ON ss.num_id = r.num_id AND ss.title = r.sec)),
