@@ -254,23 +254,6 @@ def citation_author_count(c: Column) -> Column:
     return F.regexp_count(F.split(F.coalesce(c, F.lit("")), "//")[0], F.lit(NAMED))
 
 
-def front_matter(lines: DataFrame, zone: int = 25) -> DataFrame:
-    """(doc_id, title, authors): of texts without headings: the lines before the first author line are the title, the names in the author zone the authors.
-
-    The zone ends at the first line with an e-mail or an organisation's sign, or after `zone` lines.
-    """
-    w = Window.partitionBy("doc_id")
-    rows = lines.filter((F.col("line") != "") & (F.col("line_no") <= zone))
-    is_author = F.col("line").rlike(AUTHOR) | F.col("line").rlike(f"^(?:{NAMED}(?:,\\s|$))+")
-    rows = rows.withColumn("first", F.min(F.when(is_author, F.col("line_no"))).over(w))
-    stop = F.min(F.when((F.col("line_no") >= F.col("first")) & ~is_author, F.col("line_no")))
-    rows = rows.withColumn("stop", F.coalesce(stop.over(w), F.lit(zone + 1)))
-    rows = rows.filter("first IS NOT NULL AND line_no < stop")
-    listed = lambda cond, name: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("line_no", "line")))), lambda x: x["line"]), " ").alias(name)
-    meta = F.lower("line").rlike("^(удк|doi|научная статья|original article)")
-    return rows.groupBy("doc_id").agg(listed((F.col("line_no") < F.col("first")) & ~meta, "title"), listed(F.col("line_no") >= F.col("first"), "names")).select("doc_id", "title", F.transform(F.regexp_extract_all("names", F.lit(f"{AUTHOR}|{NAMED}"), F.lit(0)), lambda x: F.regexp_replace(x, "[ ,-]+$", "")).alias("authors"))
-
-
 def title_by_font(spans: DataFrame) -> DataFrame:
     """(doc_id, title, last_line): the first consecutive lines in the greatest font on page 1, of lines over five characters.
 

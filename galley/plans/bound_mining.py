@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from galley.operators import mining as m
 from galley.operators import windows
+from galley.operators.frontmatter import front_authors, front_matter
 from galley.sources.text import manuscript_lines
 
 from .bound_windows import LINES
@@ -114,9 +115,32 @@ bind(
 )
 bind(
     "front_matter",
-    lambda v: m.front_matter(manuscript_lines(v.sql("SELECT p.id AS doc_id, concat('УДК 539', chr(10), a.title, chr(10), x.en_line, chr(10), 'Institute', chr(10), 'Text.') AS text FROM v_pub_article p JOIN v_article a ON a.id = p.id JOIN v_author_lines x ON x.article_id = p.id"))).select("doc_id", "title", F.array_join("authors", "; ").alias("authors")),
+    lambda v: front_matter(manuscript_lines(v.sql("SELECT p.id AS doc_id, concat('УДК 539', chr(10), a.title, chr(10), x.en_line, chr(10), 'Institute', chr(10), 'Text.') AS text FROM v_pub_article p JOIN v_article a ON a.id = p.id JOIN v_author_lines x ON x.article_id = p.id"))).select("doc_id", "title", F.array_join(F.transform("authors", lambda a: F.concat(a["name"], F.array_join(a["numbers"], ","))), "; ").alias("authors")),
     "SELECT p.id AS doc_id, a.title, string_agg(ini || '.' || ini || '. ' || surname_en || '1', '; ' ORDER BY ord) AS authors FROM v_pub_article p JOIN v_article a ON a.id = p.id JOIN v_author w ON w.article_id = p.id GROUP BY p.id, a.title",
 )
+# Texts in six forms of names by the article's id, with and without numbers, some with names behind a © only, some without any.
+FORM = """CASE article_id % 6 WHEN 0 THEN concat('А.Б. ', surname_ru) WHEN 1 THEN concat(surname_ru, ' В. Г.') WHEN 2 THEN concat(surname_ru, ' Иван Ильич')
+WHEN 3 THEN concat(ini, '. ', ini, '. ', surname_en) WHEN 4 THEN concat(surname_en, ' ', ini, '.', ini, '.') ELSE concat('John ', surname_en) END"""
+KIND = "CASE WHEN article_id % 7 = 3 THEN 'holders' WHEN article_id % 11 = 5 THEN 'nameless' WHEN article_id % 5 < 3 THEN 'numbered' ELSE 'plain' END"
+UNTEMPLATED = f"""WITH w AS (SELECT article_id, ord, {FORM} AS name, {KIND} AS kind, email, organization FROM v_author),
+g AS (SELECT article_id, kind, array_sort(collect_list(struct(ord, name, email, organization))) AS xs FROM w GROUP BY article_id, kind)
+SELECT g.article_id AS doc_id, concat_ws(chr(10), 'УДК 539', a.title, '', 'and its second line',
+  CASE kind WHEN 'numbered' THEN array_join(transform(xs, x -> concat(x.name, x.ord)), ', ') WHEN 'plain' THEN array_join(transform(xs, x -> x.name), ', ') END,
+  array_join(transform(xs, x -> concat(CASE WHEN kind = 'numbered' THEN concat(x.ord, ' ') ELSE '' END, x.organization, ', ул. Мира, д. 5')), chr(10)),
+  array_join(transform(filter(xs, x -> x.email IS NOT NULL), x -> concat(CASE WHEN kind = 'numbered' THEN CAST(x.ord AS string) ELSE '' END, x.email)), ', '), 'named after A.B. Popov', 'Аннотация', 'Текст. Петров П.П.',
+  CASE WHEN kind = 'holders' THEN concat('© ', array_join(transform(xs, x -> x.name), ', '), ', 2020') END) AS text
+FROM g JOIN v_pub_article p ON p.id = g.article_id JOIN v_article a ON a.id = p.id"""
+bind(
+    "front_authors",
+    lambda v: (lambda front: front_authors(front).join(front.select("doc_id", "title"), "doc_id"))(front_matter(manuscript_lines(v.sql(UNTEMPLATED)))),
+    f"""WITH w AS (SELECT article_id, ord, {FORM} AS name, {KIND} AS kind, email, organization FROM v_author JOIN v_pub_article p ON p.id = article_id),
+    mails AS (SELECT article_id, list(email ORDER BY ord) AS ms FROM w WHERE email IS NOT NULL GROUP BY article_id),
+    orgs AS (SELECT article_id, list(organization ORDER BY ord) AS os FROM (SELECT article_id, organization, min(ord) AS ord FROM w GROUP BY ALL) GROUP BY article_id),
+    named AS (SELECT article_id, ord AS pos, name, CASE WHEN kind = 'numbered' THEN CAST(ord AS varchar) ELSE '' END AS numbers, coalesce(CASE WHEN kind = 'numbered' THEN email END, ms[ord], '') AS email,
+      coalesce(CASE WHEN kind = 'numbered' THEN organization END, CASE WHEN len(os) = 1 THEN os[1] ELSE os[ord] END, '') AS organization FROM w LEFT JOIN mails USING (article_id) JOIN orgs USING (article_id) WHERE kind <> 'nameless'),
+    nameless AS (SELECT article_id, CAST(row_number() OVER (PARTITION BY article_id ORDER BY ord) AS int) AS pos, '' AS name, '' AS numbers, email, '' AS organization FROM w WHERE kind = 'nameless' AND email IS NOT NULL)
+    SELECT x.article_id AS doc_id, pos, name, numbers, email, organization, a.title || ' and its second line' AS title FROM (SELECT * FROM named UNION ALL SELECT * FROM nameless) x JOIN v_article a ON a.id = x.article_id""",
+)
 SPANS = """SELECT id AS doc_id, 1 AS page, 1 AS line_no, 9.0 AS size, 'Journal head' AS text FROM v_article UNION ALL SELECT id, 1, 2, 16.0, title FROM v_article
 UNION ALL SELECT id, 1, 3, CASE WHEN id % 2 = 0 THEN 16.0 ELSE 10.0 END, 'second line' FROM v_article UNION ALL SELECT id, 1, 5, 16.0, 'far away line' FROM v_article UNION ALL SELECT id, 2, 1, 30.0, 'page two' FROM v_article"""
 bind("title_by_font", lambda v: m.title_by_font(v.sql(SPANS)), "SELECT id AS doc_id, CASE WHEN id % 2 = 0 THEN title || ' second line' ELSE title END AS title, CASE WHEN id % 2 = 0 THEN 3 ELSE 2 END AS last_line FROM v_article")
