@@ -65,14 +65,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 HOT_SHARE = 1000
 
 
-def join_hot(rows: DataFrame, dim: DataFrame, key: str) -> DataFrame:
-    """rows (stored) joined with dim, which has one row a key: hot keys, HOT_SHARE at most, by a broadcast, the others by a shuffle. Null keys match each other."""
+def join_hot(rows: DataFrame, dim: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """rows (stored, or read from a table) joined with dim, which has one row a key: hot keys, HOT_SHARE at most, by a broadcast, the others by a shuffle. Null keys match each other.
+
+    how: inner, or left to keep rows whose key is not in dim.
+    """
     _key = fresh_name([*rows.columns, *dim.columns], "_key")
     sizes = rows.groupBy(F.col(key).alias(_key)).agg(F.count("*").alias("_n"))
     hot = sizes.filter(F.col("_n") * HOT_SHARE >= rows.count()).select(_key)
     same, right = F.col(key).eqNullSafe(F.col(_key)), dim.withColumnRenamed(key, _key)
-    often = rows.join(F.broadcast(right.join(F.broadcast(hot.withColumnRenamed(_key, "_hot")), F.col(_key).eqNullSafe(F.col("_hot")), "left_semi")), same)
-    seldom = rows.join(F.broadcast(hot), same, "left_anti").join(right, same)
+    of_hot = F.broadcast(right.join(F.broadcast(hot.withColumnRenamed(_key, "_hot")), F.col(_key).eqNullSafe(F.col("_hot")), "left_semi"))
+    # An inner join with of_hot picks the hot rows itself.
+    often = rows.join(of_hot, same) if how == "inner" else rows.join(F.broadcast(hot), same, "left_semi").join(of_hot, same, how)
+    seldom = rows.join(F.broadcast(hot), same, "left_anti").join(right, same, how)
     return often.drop(_key).unionByName(seldom.drop(_key))
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bloom_filter, bounded_batches, fresh_name, in_bloom, stored
+from .common import bloom_filter, bounded_batches, fresh_name, in_bloom, join_hot, stored
 
 #: Digests in one filter, on average at most; the number of buckets grows with the snapshot.
 BUCKET_KEYS = 65_536
@@ -201,7 +201,7 @@ def known_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = 2) -> DataFrame:
     """(id, uid, digest, keep_id, keep_uid, group_size) of every row of docs."""
     rows, known = known_groups(docs, id_col, text_col, batches)
-    return rows.join(known, "digest").select("id", "uid", "digest", F.col("top.id").alias("keep_id"), F.col("top.uid").alias("keep_uid"), F.col("n").alias("group_size"))
+    return join_hot(rows, known, "digest").select("id", "uid", "digest", F.col("top.id").alias("keep_id"), F.col("top.uid").alias("keep_uid"), F.col("n").alias("group_size"))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

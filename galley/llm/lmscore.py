@@ -213,6 +213,7 @@ def with_marks(docs: DataFrame, chosen: DataFrame, keep: list[str], id_col: str,
     base = [F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept"), mark.alias("mark"), F.xxhash64(text).alias("mate"), text.alias("text")]
     if len(wrong) > WRONG_MOST:
         joined = docs.select(key.alias("chosen"), *base).join(ids.withColumn("target", F.lit(True)).hint("merge"), "chosen", "left").drop("chosen")
+        joined = joined.sortWithinPartitions("mark", "mate")  # rows arrive from a shuffle in any order: a task that runs again must deal the same stretches
         return Chosen(joined, lambda batch: batch.column("target").fill_null(False).to_numpy(zero_copy_only=False))
     listed = spark.sparkContext.broadcast(Lookup(np.sort(wrong.astype(np.int64).view(np.uint64))))
     return Chosen(docs.select(*base), lambda batch: _let_through(sent.value, listed.value, batch.column("mark").to_numpy()))

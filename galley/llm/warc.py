@@ -26,7 +26,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, new_path, stored
+from .common import bounded_batches, join_hot, new_path, stored
 
 ARCHIVE_BYTES, CHUNK, LEAST = 16 << 20, 1 << 16, 100
 #: Tasks that read archives, at most; each takes its archives one after the other.
@@ -196,7 +196,7 @@ def page_records(pages: DataFrame, least: int = LEAST) -> DataFrame:
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", payload.alias("payload"), F.unhex(F.sha2(payload, 256)).alias("digest"), F.octet_length(payload).alias("size"))
     first = rows.select("page_id", "digest", "size").filter(F.col("size") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    found = rows.join(first.select("digest", "first"), "digest", "left")
+    found = join_hot(rows, first.select("digest", "first"), "digest", "left")  # many pages of one payload stay where they are
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return found.select("page_id", "url", "payload", F.when(revisit, F.col("first")).alias("refers_to"), revisit.alias("revisit"))
 

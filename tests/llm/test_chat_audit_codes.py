@@ -210,3 +210,16 @@ def test_hot_keys_are_joined_apart(spark):
     rows = stored(spark.range(5000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN NULL WHEN id % 3 = 1 THEN 'hot' ELSE concat('k', id) END AS key"), "rows")
     dim = rows.groupBy("key").agg(F.count("*").alias("n"))
     assert sorted((r["id"], r["n"]) for r in join_hot(rows, dim, "key").collect()) == [(i, 1 if i % 3 == 2 else 1667) for i in range(5000)]
+    few = dim.filter("key = 'hot' OR key = 'k5'")
+    found = {r["id"]: r["n"] for r in join_hot(rows, few, "key", "left").collect()}
+    assert len(found) == 5000 and all(n == (1667 if i % 3 == 1 else 1 if i == 5 else None) for i, n in found.items())
+    assert join_hot(rows.limit(0), few, "key", "left").count() == 0
+
+
+def test_many_pages_of_one_payload(spark):
+    from galley.llm import warc
+
+    html = "<p>" + "x" * 200
+    pages = spark.createDataFrame([(i, f"u{i}", html if i % 3 else html + str(i)) for i in range(2, 1500)] + [(-1, "e", None), (-2, "f", "")], "page_id long, url string, html string")
+    got = {r["page_id"]: (r["refers_to"], r["revisit"]) for r in warc.page_records(pages).collect()}
+    assert got == {i: (2, True) if i > 2 and i % 3 else (None, False) for i in [*range(2, 1500), -1, -2]}
