@@ -5,6 +5,10 @@ Character classes are spelled out ([А-Яа-яЁёA-Za-z]) because \\w is ASCII
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,7 +21,6 @@ LOOKALIKES = ("АВЕКМНОРСТХаеорсух", "ABEKMHOPCTXaeopcyx")
 SUPERSCRIPTS = ("⁰¹²³⁴⁵⁶⁷⁸⁹", "0123456789")
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&laquo;", "«"), ("&raquo;", "»"), ("&ndash;", "–"), ("&mdash;", "—"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
 #: Compatibility letters folded by compare_norm, a part of NFKC: ligatures and full-width digits.
-COMPATIBLE = (("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("№", "no"), ("…", "..."))
 LETTER = "А-Яа-яЁёA-Za-z"
 
 
@@ -26,10 +29,45 @@ def fold_text(c: Column) -> Column:
     return F.translate(F.lower(c), "ё", "е")
 
 
+def _compared(x: str) -> str:
+    """What a comparison keeps of a composed text."""
+    return re.sub("[^0-9a-zа-я]", "", x.lower().replace("ё", "е"))
+
+
+@cache
+def compatible() -> tuple[tuple[str, str], dict[str, str]]:
+    """Characters whose compatibility form (NFKC) has letters or digits that count in comparisons and that lower case alone doesn't give: those
+    that stand for one with these, and spellings of those that stand for several."""
+    forms = {chr(i): _compared(unicodedata.normalize("NFKC", chr(i))) for i in range(0x80, 0x20000) if not 0xD800 <= i < 0xE000}
+    forms = {x: form for x, form in forms.items() if form and form != _compared(x)}
+    single = {x: form for x, form in forms.items() if len(form) == 1}
+    return ("".join(single), "".join(single.values())), {x: form for x, form in forms.items() if len(form) > 1}
+
+
+@cache
+def combining() -> str:
+    """A pattern of letters that count, each with a combining mark that makes another letter of it, one that doesn't count."""
+    letters, marks = "".join(map(chr, (*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x410, 0x450)))), map(chr, range(0x300, 0x370))
+    made = {m: "".join(x for x in letters if not _compared(unicodedata.normalize("NFC", x + m))) for m in marks}
+    return "|".join(f"[{bases}]{m}" for m, bases in made.items() if bases)
+
+
 def compare_norm(c: Column) -> Column:
-    """For comparing texts: compatibility letters, lower case, ё as е, then only digits and Latin and Russian letters."""
-    for old, new in COMPATIBLE:
-        c = F.replace(c, F.lit(old), F.lit(new))
+    """For comparing texts: compatibility forms (NFKC), lower case, ё as е, then only digits and Latin and Russian letters.
+
+    A letter and one combining mark right behind it are composed; letters that carry more marks are composed with the first one.
+    """
+    (single, plain), several = compatible()
+    spelled = F.str_to_map(F.lit(",".join(f"{x}:{form}" for x, form in several.items())), F.lit(","), F.lit(":"))
+    rare = f"[{''.join(several)}\u0300-\u036f]"
+
+    def folded(x: Column) -> Column:
+        letters = F.transform(F.regexp_extract_all(x, F.lit("(?s)."), F.lit(0)), lambda y: F.coalesce(F.try_element_at(spelled, y), y))
+        composed = F.replace(F.replace(F.array_join(letters, ""), F.lit("и\u0306"), F.lit("й")), F.lit("И\u0306"), F.lit("й"))
+        return F.when(x.rlike(rare), F.regexp_replace(composed, combining(), "")).otherwise(x)
+
+    # transform binds c, which would else be computed for every use.
+    c = F.get(F.transform(F.array(F.translate(c, single, plain)), folded), F.lit(0))
     return F.regexp_replace(fold_text(c), "[^0-9a-zа-я]", "")
 
 
