@@ -59,10 +59,11 @@ def compare_norm(c: Column) -> Column:
     """
     (single, plain), several = compatible()
     spelled = F.str_to_map(F.lit(",".join(f"{x}:{form}" for x, form in several.items())), F.lit(","), F.lit(":"))
-    rare = f"[{''.join(several)}\u0300-\u036f]"
+    rare = "[^\u0000-\u007f\u0400-\u045f\u2010-\u201f«»]"  # ranges only: a class of all spellings would be tried one by one for every character
+    usual = lambda y: (y < "\u0080") | y.between("\u0400", "\u045f")
 
     def folded(x: Column) -> Column:
-        letters = F.transform(F.regexp_extract_all(x, F.lit("(?s)."), F.lit(0)), lambda y: F.coalesce(F.try_element_at(spelled, y), y))
+        letters = F.transform(F.regexp_extract_all(x, F.lit("(?s)."), F.lit(0)), lambda y: F.when(usual(y), y).otherwise(F.coalesce(F.try_element_at(spelled, y), y)))
         composed = F.replace(F.replace(F.array_join(letters, ""), F.lit("и\u0306"), F.lit("й")), F.lit("И\u0306"), F.lit("й"))
         return F.when(x.rlike(rare), F.regexp_replace(composed, combining(), "")).otherwise(x)
 
