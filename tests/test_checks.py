@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from galley.operators import checks
 from galley.operators.windows import numbered_list_size
 
+from .conftest import DATA
+
 REFS = ["Иванов И.И. Первый труд. М.: Наука, 2001.", "Петров П.П. Второй труд. М.: Наука, 2002.", "Сидоров С.С. Третий труд. М.: Наука, 2003."]
 PRINT = "\n".join(["УДК 539.2", "Решётки", "Иванов И.И., Петров П.П.", "a@b.ru", "Для цитирования", "Иванов И.И., Пет-", "ров П.П. Решётки // Журнал.", "Список источников", *[f"{i + 1}. {r}" for i, r in enumerate(REFS)], "Информация об авторах"])
 AUTHOR = "struct<surname_ru:string,surname_en:string,org_ru:string,org_en:string,orcid:string,spin:string,email:string>"
@@ -74,3 +76,9 @@ def test_no_print_and_null_lists(spark):
 def test_tails_of_addresses_take_a_number_without_counting(spark):
     text = "1. A\n2. URL: x\n3. _Rate\n4. B. P. 278-\n282.\n5.\nC\n9. D"
     assert spark.range(1).select(numbered_list_size(F.lit(text))).first()[0] == 4
+
+
+def test_a_rule_asks_for_its_own_forms_only(spark):
+    from galley import catalog
+
+    assert "all_text" not in str(catalog.queries()["check_word_codes"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString())

@@ -5,7 +5,10 @@ import unicodedata
 
 from pyspark.sql import functions as F
 
-from galley.functions.scalars import compare_norm
+from galley.functions.scalars import compare_norm, usual_letters
+from galley.plans.views import Views
+
+from .conftest import DATA
 
 
 def plain(text):
@@ -32,3 +35,16 @@ def test_combining_marks(spark):
 def test_texts(spark):
     texts = ["Рентгеновский диффрактометр", "ﬁeld ﬂow, № 5 … 10 ㎏ and ½", "ＦＵＬＬ １２３ 𝐀𝐛𝟗 Ⅳ x²", "a,b:c", "", None, "café café", "ﬁ" * 10_000 + "й"]
     assert got(spark, texts) == [plain(t) for t in texts]
+
+
+def test_texts_of_manuscripts_take_the_plain_path(spark):
+    kept, rest = usual_letters()
+    v = Views(spark, DATA)
+    left = v.check_print.select(F.translate(F.lower(F.replace("all_text", F.lit("№"), F.lit("no"))), kept + rest + "ё", "").alias("left")).filter("left <> ''")
+    assert left.count() == 0
+
+
+def test_plain_path_gives_what_pieces_give(spark):
+    texts = ["Ёж № 5 — «опыт», т. 1", "ﬁ № Ⅷ й", "", " \n\t", "Ёж́ №№", "K K № ½"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", compare_norm(F.col("t")).alias("n")).collect()
+    assert {r["t"]: r["n"] for r in rows} == {t: re.sub("[^0-9a-zа-я]", "", unicodedata.normalize("NFKC", t).lower().replace("ё", "е")) for t in texts}
