@@ -112,3 +112,19 @@ def test_long_reference_lists(spark):
     rows = joins.align_references(ru, en).collect()
     assert time.perf_counter() - began < 60
     assert sorted((r["ru_pos"], r["en_pos"]) for r in rows) == [(i, i) for i in range(1, 501)]
+
+
+def test_texts_are_cut_once_and_grams_are_not_moved_to_be_told_apart(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from galley.operators import grams
+    from galley.sources.versions import Tables
+
+    rows = spark.createDataFrame([("абвг",), ("a😀b",), ("",), (None,)], "t string")
+    cut = rows.select(grams.pieces(F.lower("t"), 1, 3).alias("p"))
+    assert [r.p for r in cut.collect()] == [["а", "б", "в", "г", "абв", "бвг"], ["a", "😀", "b", "a😀b"], [], []]
+    assert cut._jdf.queryExecution().optimizedPlan().toString().split("LogicalRDD")[0].count("lower(") == 1
+    tables = Tables(spark, str(tmp_path / "grams"))
+    article = spark.createDataFrame([(1, "Ёж", "ёж"), (2, None, "")], "id int, title string, authors string")
+    grams.build_search_index(tables, article, spark.createDataFrame([(1, "еж"), (2, "ж")], "article_id int, full_name string"))
+    assert sorted((r.gram, r.id) for r in tables.read("grams").collect()) == [("е", 1), ("еж", 1), ("ж", 1), ("ж", 2)]
