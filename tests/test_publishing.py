@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from galley.operators import publishing as p
+from galley.operators.maintenance import author_html
+from galley.operators.numbering import sum_before
 from galley.sources.versions import Change, Tables
 
 SITE = {
@@ -93,3 +95,32 @@ def test_rollback_leaves_edited_articles(site, spark):
     assert [tuple(r) for r in skipped.collect()] == [(903, "10.9/other")]
     assert {r[0] for r in rows(tables, "site_article")} == {900, 903, 904} and {r[0] for r in rows(tables, "site_section")} == {500, 502, 503}
     assert {r[0] for r in rows(tables, "site_issue")} == {50, 51, 52}
+
+
+def test_articles_are_written_once_with_their_html(site):
+    tables, draft, author, blocked = site
+    found, written = [tables.read(n) for n in ("site_issue", "site_section", "site_article")], []
+
+    def stage(df):
+        written.append(set(df.columns))
+        return df
+
+    p.push_rows(draft, author, *found, blocked, stage=stage)
+    assert not any("organization" in columns for columns in written)
+    assert sum("authors_html" in columns for columns in written) == 1
+
+
+def test_authors_without_an_organisation_take_no_part(spark):
+    rows = [(1, 1, "А", "НИИ"), (1, 2, "Б", None), (1, 3, "В", "МГУ"), (1, 4, "Г", "НИИ"), (2, 1, "Д", None), (3, 1, None, "НИИ"), (4, 2, "Е", "МГУ"), (4, 1, "Ж", "<НИИ>")]
+    found = author_html(spark.createDataFrame(rows, "article_id long, ord int, name string, organization string"))
+    assert {r[0]: tuple(r)[1:] for r in found.collect()} == {
+        1: ("А<sup>1</sup>, В<sup>3</sup>, Г<sup>1</sup>", "<sup>1</sup> НИИ<br><sup>3</sup> МГУ"),
+        2: (None, ""),
+        3: ("", "<sup>1</sup> НИИ"),
+        4: ("Ж<sup>1</sup>, Е<sup>2</sup>", "<sup>1</sup> &lt;НИИ&gt;<br><sup>2</sup> МГУ"),
+    }
+
+
+def test_sums_before_a_key_go_on_over_blocks(spark):
+    found = sum_before(spark.range(50).selectExpr("id * 7 AS k", "id % 3 AS n"), "k", "n", "before", block=8).collect()
+    assert len(found) == 50 and all(r["before"] == sum(i % 3 for i in range(r["k"] // 7)) for r in found)
