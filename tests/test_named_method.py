@@ -47,3 +47,13 @@ def test_lines_and_texts_give_the_same(spark):
     jobs = (mining.section_texts, mining.author_tokens, mining.split_references, mining.title_lines, mining.org_chunks, mining.milestone_dates, lambda x: mining.parsed_manuscripts(x))
     for job in jobs:
         assert sorted(map(repr, job(docs).collect())) == sorted(map(repr, job(manuscript_lines(docs)).collect()))
+
+
+def test_surnames_compare_each_word_once(spark):
+    """Equal words of an article are one, and a surname or a word that is null changes nothing for the others."""
+    ru = spark.createDataFrame([(1, 1, "Иванов"), (1, 2, None), (1, 3, "Яша"), (2, 1, "Ли")], "article_id int, pos int, surname string")
+    words = spark.createDataFrame([(1, x) for x in ("Institute", "Institute", "Ivanov", "ivanov", None, "Yasha")] + [(2, None)], "article_id int, word string")
+    found = mining.surname_by_translit(ru, words)
+    assert {(r.article_id, r.pos): r.word for r in found.collect()} == {(1, 1): "ivanov", (1, 2): "ivanov", (1, 3): "Yasha", (2, 1): None}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("levenshtein") == 1 and "collect_set" in plan
